@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_at
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import tokens
+from tidemark.llm import fingerprints, minhash, packing, rules, tokens
 from tidemark.llm.common import table
 
 
@@ -13,9 +13,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizers_at.path("piece_bpe_32k.model"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizers_at.path("byte_bpe_multi_50k.tiktoken"), tokenizers_at.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """The pieces that are packed, by the byte-level vocabulary of 50,257 entries."""
+    return tokens.token_pieces(docs, tokenizers_at.path("byte_bpe_50k.json"), tokenizers_at.path("byte_bpe_50k.tiktoken"), tokenizers_at.PATTERN)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(pieces_of(table(spark, sf_dir, "documents")))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op7_best_fit_packing, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
