@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_at
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, minhash, packing, rules, tokens
+from tidemark.llm import fingerprints, language, minhash, packing, rules, tokens
 from tidemark.llm.common import table
 
 
@@ -34,9 +34,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces_of(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op7_best_fit_packing, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op7_best_fit_packing, op8_language_id, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
