@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_at
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, language, minhash, packing, rules, tokens
+from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, tokens, urls
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Verdict, host and path of each rule.
+RULES = """
+allow com/
+block example.com/en/
+allow www.example.com/en/
+block net/es/
+block net/fr/
+"""
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.parse(RULES))
+
+
 def pieces_of(docs: DataFrame) -> DataFrame:
     """The pieces that are packed, by the byte-level vocabulary of 50,257 entries."""
     return tokens.token_pieces(docs, tokenizers_at.path("byte_bpe_50k.json"), tokenizers_at.path("byte_bpe_50k.tiktoken"), tokenizers_at.PATTERN)
@@ -42,5 +60,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op7_best_fit_packing, op8_language_id, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op5_quality_classifier, op6_url_filters, op7_best_fit_packing, op8_language_id, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
