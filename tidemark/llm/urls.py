@@ -168,7 +168,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.5) ->
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("fit") + 1) if rules else F.lit(None).cast("string")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fit")) if rules else F.lit(None).cast("string")
     rows = rows.withColumns({"rule": pick([r.host + r.path for r in rules]), "label": pick([r.verdict for r in rules])})
     forest = learned(rows)
 
