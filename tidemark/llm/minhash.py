@@ -92,13 +92,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
     1. it is posted under each (coordinate, value) of its signature; values posted once are dropped;
     2. a document with fewer shared coordinates than the match threshold t can have no partner and is dropped; of k shared
        ones, rarest first, only the first k - t + 1 stay (two documents with t equal values share one of these);
-    3. each document is paired with the smallest document of its lists, which links most of a large group without its pairs;
-    4. lists whose documents are all in one component by then are skipped; in the others, documents of different
-       components are paired. Pairs with t equal coordinates are confirmed on whole sets.
-
-    A pair at the limit is missed with probability 1e-7 at most, from the choice of t. A null doc_id has a null component
-    and is kept. Rows that share a doc_id are judged each by its own text. An empty table gives no rows; other columns
-    are ignored.
+    3. each list has a head, the document with the most company in all its lists; the others are paired with it. Pairs
+       with t equal coordinates are confirmed on whole sets, and components of these links are found;
+    4. lists whose documents are all in one component by then are skipped. In the others pairs come from what documents
+       have against the head (see _across), which leaves out pairs that can be links only if both go with the head.
+
+    A pair at the limit is missed with probability 1e-7 at most, from the choice of t; nothing else is left out. A null
+    doc_id has a null component and is kept. Rows that share a doc_id are judged each by its own text. An empty table
+    gives no rows; other columns are ignored.
     """
     source = texts_of(docs)
     base = checkpointed(signatures(source, size, coordinates))
@@ -109,11 +110,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
     key = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= least)
-    prefix = checkpointed(ranked.select("rep", F.explode(F.expr(f"slice(keys, 1, size(keys) - {least} + 1).key")).alias("key")))
-    able_reps = prefix.select("rep").distinct()
+    ranked = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum("df").alias("company")).where(F.size("keys") >= least)
+    prefix = checkpointed(ranked.select("rep", "company", F.explode(F.expr(f"slice(keys, 1, size(keys) - {least} + 1).key")).alias("key")))
     signed = classes.select("rep", "sig", "n")
-    held = checkpointed(sets(source.join(able_reps, F.col("doc_id") == F.col("rep"), "left_semi"), size))
+    held = checkpointed(sets(source.join(prefix.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), size))
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        return pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that are links."""
@@ -121,24 +124,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
         of = lambda c: signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
         likely = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         near = pairs.join(of("a"), "a").join(of("b"), "b").where(likely & (equal >= least)).select("a", "b").distinct()
-        full = near.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        return full.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct()
+        return with_sets(near).where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct()
 
-    heads = prefix.groupBy("key").agg(F.min("rep").alias("head"))
-    first = prefix.join(heads, "key").where("rep > head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b"))
-    links = checkpointed(confirmed(first))
+    heads = prefix.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("head"))
+    placed = checkpointed(prefix.join(heads, "key").select("key", "rep", "head"))
+    links = checkpointed(confirmed(placed.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()))
     known = checkpointed(components(links))
 
-    placed = checkpointed(prefix.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("own")))
-    mixed_lists = placed.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
-    open_posts = placed.join(mixed_lists, "key", "left_semi")
-    other = open_posts.select("key", F.col("rep").alias("b"), F.col("own").alias("own_b"))
-    across = open_posts.withColumnRenamed("rep", "a").join(other, "key").where("a > b and own <> own_b").select("a", "b").distinct()
-    final = components(links.union(checkpointed(confirmed(across))))
+    owned = placed.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("own"))
+    open_lists = owned.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
+    unsure = owned.join(open_lists, "key", "left_semi").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"), "own").distinct()
+    final = components(links.union(checkpointed(confirmed(_across(with_sets(unsure), percent)))))
 
     named = classes.select("fa", "fb", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("component", "rep").alias("found"))
     out = base.drop("sig").join(named, ["fa", "fb"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of one head that may be links; rows: a, b (the head), own (a's component), sets x and y.
+
+    Against the head h, a document z has extra shingles U and lacks shingles D; together they are its difference. For two
+    documents let o be the size of the common part of their differences.
+    - If o is at most min(|U|, |D|) of the one, their union is no smaller than that of h and the other, and their
+      intersection no larger than that of h and the other: if they are linked, so is the other to h. So two linked
+      documents that don't both go with h have o > min(|U|, |D|) for one of them.
+    - A link also needs o >= |difference| - |z| (100 - percent) / percent for both, by the size of what sets a link apart.
+    Of a difference, rarest shingles first, a prefix is enough for either bound; a pair needs a common shingle in the
+    shorter prefix of the one and the longer of the other. Copies edited in places of their own share next to nothing.
+    """
+    extra, lacking = F.array_except("x", "y"), F.array_except("y", "x")
+    diffs = rows.select("a", F.col("b").alias("h"), "own", F.size("x").alias("n"), extra.alias("u"), lacking.alias("d"))
+    m, total = F.least(F.size("u"), F.size("d")), F.size("u") + F.size("d")
+    need = total - F.floor(F.col("n") * (100 - percent) / percent).cast("int")
+    diffs = diffs.select("a", "h", "own", F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
+    diffs = checkpointed(diffs)
+    parts_ = diffs.select("a", "h", F.explode("diff").alias("e"))
+    df = parts_.groupBy("h", "e").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one document only take places of a prefix, but post nothing
+    shared = parts_.join(df, ["h", "e"]).groupBy("a", "h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("keys"))
+    posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
+    posts = checkpointed(posts.select("a", "h", "own", "short", F.posexplode("keys.e").alias("at", "e")))
+    other = posts.select(F.col("a").alias("b"), "h", F.col("own").alias("own_b"), "e")
+    return posts.where("at < short").join(other, ["h", "e"]).where("own <> own_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
