@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_at
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, tokens, urls
+from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, tokens, toxicity, urls
 from tidemark.llm.common import table
 
 
@@ -60,5 +60,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op5_quality_classifier, op6_url_filters, op7_best_fit_packing, op8_language_id, op9_fingerprints)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op5_quality_classifier, op6_url_filters, op7_best_fit_packing, op8_language_id, op9_fingerprints, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -26,12 +26,15 @@ SPACE_CODE = 0
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Signs put between letters.
 BREAKS = ".-_*~^'"
-#: Log probabilities of the channel: a letter as itself, a sign for a letter, a break dropped, a letter's copy dropped, a star for any letter.
-PLAIN, SIGN, BREAK, COPY, STAR = -0.01, -1.0, -0.7, -1.0, -4.0
+#: Log probabilities of the channel: a letter as itself, a sign for a letter, a break dropped, a letter's copy dropped,
+#: a star for any letter, a sign that stands for nothing.
+PLAIN, SIGN, BREAK, COPY, STAR, LOST = -0.01, -1.0, -0.7, -2.0, -2.0, -12.0
 #: Letters of a lattice; a longer word is read piece by piece.
 LATTICE = 48
 #: Lengths of word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 5, 6)
+#: Letters of a word that is looked for in spaced-out letters.
+SPACED = 16
 PART_BYTES = 1 << 20
 TABLE = 0x2000  # code points that are folded one by one; beyond, every letter is "other"
 
@@ -109,7 +112,7 @@ def readings(word: str) -> list[list[tuple[int, float]]]:
         if k:
             own = [(k, PLAIN)] + ([(-1, COPY)] if c == before else [])
         elif c in SIGNS:
-            own = [(ord(x) - 96, SIGN) for x in SIGNS[c]] + [(-1, BREAK + SIGN)]
+            own = [(ord(x) - 96, SIGN) for x in SIGNS[c]] + [(-1, BREAK if c in BREAKS else LOST)]
         elif c == "*":
             own = [(-1, BREAK)] + [(x, STAR) for x in range(1, 27)]
         else:
@@ -121,6 +124,8 @@ def readings(word: str) -> list[list[tuple[int, float]]]:
 
 def restored(word: str, model: np.ndarray) -> str:
     """The most likely letters behind a word, between spaces. A word of more than LATTICE characters is read in pieces."""
+    while word and not word[-1].isalnum():  # signs at the end stand for nothing
+        word = word.rstrip(word[-1])
     if len(word) > LATTICE:
         return "".join(restored(word[i : i + LATTICE], model) for i in range(0, len(word), LATTICE))
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -193,9 +198,13 @@ class Restorer:
         more: dict[int, list[str]] = {}
         for (a, b), k in zip(spots, whose.tolist(), strict=True):
             at = int(begins[k])
-            more.setdefault(k, []).append(self.form(texts[k][a - at : b - at].replace(" ", "")))
+            seen = texts[k][a - at : b - at]
+            form = self.form("".join(seen.split()))
+            if len(seen) > len(form) + 2 and any(map(str.isspace, seen)):  # spaced out: a word may begin at any letter
+                form = " ".join(form[i : i + SPACED] for i in range(len(form)))
+            more.setdefault(k, []).append(form)
         for k, forms in more.items():
-            out[k] += " ".join(forms) + " "
+            out[k] += " ".join(forms) + " "  # forms are letters and spaces only
         return out
 
 
@@ -210,10 +219,12 @@ def features(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Features that mark toxic texts, with the chance that a text with one is toxic, and that of a text without any."""
+    """Features that mark toxic texts, with the chance that a text with one is toxic; that of a text without any; and the
+    chance from which on a text counts as toxic."""
 
     chance: dict[str, float]
     base: float
+    cut: float
     model: np.ndarray
 
 
@@ -227,14 +238,15 @@ def tail(n: int, k: int, p: float) -> float:
     return float(first / max(1e-9, 1 - ratio))
 
 
-def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 12_000, least: int = 4, precision: float = 0.6, false_rate: float = 0.05) -> Lexicon:
-    """A lexicon from about bound labelled documents of each label, none of the fold that is held out.
+def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 20_000, least: int = 4, precision: float = 0.7, false_rate: float = 0.05) -> Lexicon:
+    """A lexicon from about bound labelled documents in all, none of the fold that is held out.
 
     A feature is taken if least toxic texts have it, precision of the texts with it are toxic, and so many would be so by
-    chance for false_rate features in all at most. The character model counts all texts."""
+    chance for false_rate features in all at most. Words of one toxic text and its copies still pass; so the cut is set
+    where the sample's labels part best. The character model counts all texts."""
     model = language_model(trigram_counts(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~crc_rest(fold).isin(out_rest, -1))
-    taken = texts_of(docs).join(F.broadcast(bounded(known, bound, "doc_id", by="label")), "doc_id")
+    taken = texts_of(docs).join(F.broadcast(bounded(known, bound, "doc_id")), "doc_id")
 
     def count(batches):
         restorer = Restorer(model)
@@ -253,15 +265,47 @@ def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound:
     rate = toxic / max(1, clean + toxic)
     rows = [r for r in rows if r.feature]
     limit = false_rate / max(1, 20 * (clean + toxic))  # a text brings some 20 new features that others share
-    good = {r.feature: (r.toxic + rate) / (r.clean + r.toxic + 1) for r in rows if tail(r.clean + r.toxic, r.toxic, rate) <= limit}
-    return Lexicon(good, min(0.49, 0.5 * rate), model)
+    good = {r.feature: (r.toxic, r.clean) for r in rows if tail(r.clean + r.toxic, r.toxic, rate) <= limit}
+    base = min(0.49, 0.5 * rate)
+
+    def judge(batches):  # each text by the others' counts
+        restorer = Restorer(model)
+        for batch in parts(batches, 4 << 20):
+            label = batch.column("label").to_pylist()
+            texts = restorer.texts(batch.column("text").to_pylist())
+            best = [max((chance(good[f][0] - y, good[f][1] - 1 + y, rate) for f in features(t) if f in good), default=base) for t, y in zip(texts, label, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(best, pa.float64())], ["label", "best"])
+
+    known = taken.mapInArrow(judge, "label int, best double").toArrow()
+    return Lexicon({f: chance(t, c, rate) for f, (t, c) in good.items()}, base, cut(known.column("best").to_numpy(), known.column("label").to_numpy()), model)
+
+
+def chance(toxic: int, clean: int, rate: float) -> float:
+    return (toxic + rate) / (toxic + clean + 1)
+
+
+def cut(best: np.ndarray, label: np.ndarray) -> float:
+    """The chance that parts the labels with fewest errors, half-way (on the logit scale) to the next lower one seen."""
+    values, place = np.unique(best, return_inverse=True)
+    if len(values) < 2 or not 0 < label.sum() < len(label):
+        return 0.5
+    toxic, clean = np.bincount(place, weights=label), np.bincount(place, weights=1 - label)
+    errors = np.cumsum(toxic)[:-1] + clean.sum() - np.cumsum(clean)[:-1]  # with the cut after each value but the last
+    k = int(np.flatnonzero(errors == errors.min())[-1])
+    return float(1 / (1 + np.exp(-(logit(values[k]) + logit(values[k + 1])) / 2)))
+
+
+def logit(p):
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score (0 to 1, higher: toxic likelier) and predicted (1 if score >= 0.5) of every row of docs.
 
-    The score is the highest chance among the lexicon's features in the whole restored text; a text without any (also a
-    null or empty one) has half the rate of toxic texts, at most 0.49. One row out per row in; an empty table gives no
+    The score comes from the highest chance among the lexicon's features in the whole restored text, shifted on the logit
+    scale so that the lexicon's cut is 0.5; a text without any (also a null or empty one) counts with half the rate of
+    toxic texts. One row out per row in; an empty table gives no
     rows; other columns are ignored. No shuffle.
     """
 
@@ -274,6 +318,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in parts(batches, PART_BYTES):
             texts = restorer.texts(batch.column("text").to_pylist())
             score = np.array([max((p for _, p in find.iter(t)), default=lexicon.base) if len(find) else lexicon.base for t in texts], float)
+            score = 1 / (1 + np.exp(logit(lexicon.cut) - logit(score)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return texts_of(docs).mapInArrow(rows, "doc_id long, score double, predicted int")
