@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_rest, parts, utf8
+from tidemark.llm.common import beside, crc_rest, parts, texts_of, utf8
 from tidemark.llm.sample import bounded
 
 #: Bytes of a window, widths of the filters, filters of each width, numbers that stand for a byte.
@@ -166,6 +166,24 @@ def learned(docs: DataFrame, fold: int, out_rest: int, per_language: int = 500,
     return train(windows, label, languages)
 
 
+def judged(batch: pa.RecordBatch, reader: Reader | None):
+    """For parts of a batch in order: predicted languages and scores."""
+    for part in parts(iter([batch]), 2 << 20):
+        texts = part.column("text").to_pylist()
+        able = np.array([bool(reader and t and any(map(str.isalpha, t))) for t in texts])
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if able.any():
+            windows, row, own = windows_of(*utf8(part.column("text")))
+            p = reader.probabilities(windows) * own[:, None]
+            total = np.zeros((len(texts), p.shape[1]))
+            np.add.at(total, row, p)
+            total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+            best = total.argmax(axis=1)
+            scores = np.where(able, total[np.arange(len(texts)), best], 0.0)
+            names = [reader.net.languages[b] if a else UNKNOWN for a, b in zip(able, best, strict=True)]
+        yield part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())
+
+
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (columns doc_id, text), from all windows of the whole text.
 
@@ -175,22 +193,24 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def rows(batches):
         reader = Reader(net) if net else None
-        for batch in parts(batches, 2 << 20):
-            texts = batch.column("text").to_pylist()
-            able = np.array([bool(reader and t and any(map(str.isalpha, t))) for t in texts])
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if able.any():
-                windows, row, own = windows_of(*utf8(batch.column("text")))
-                p = reader.probabilities(windows) * own[:, None]
-                total = np.zeros((len(texts), p.shape[1]))
-                np.add.at(total, row, p)
-                total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
-                best = total.argmax(axis=1)
-                scores = np.where(able, total[np.arange(len(texts)), best], 0.0)
-                names = [net.languages[b] if a else UNKNOWN for a, b in zip(able, best, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+        for batch in batches:
+            for found in judged(batch, reader):
+                yield pa.RecordBatch.from_arrays(list(found), ["doc_id", "lang_pred", "score"])
+
+    return texts_of(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+
+
+def predicted_beside(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of docs with _lang_pred and _score as predicted() has them, without a join."""
+    readers: list[Reader] = []
+
+    def judge(batch):
+        if net and not readers:
+            readers.append(Reader(net))
+        for _, names, scores in judged(batch, readers[0] if readers else None):
+            yield {"_lang_pred": names, "_score": scores}
+
+    return beside(docs, judge, "_lang_pred string, _score double")
 
 
 def language_id(docs: DataFrame, fold: int = 4, out_rest: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import INVERSE, SPACE, mixed, parts, powers, texts_of, utf8, window_hashes, windows, word_hashes, words
+from tidemark.llm.common import INVERSE, SPACE, beside, mixed, parts, powers, texts_of, utf8, window_hashes, windows, word_hashes, words
 
 PART_BYTES = 4 << 20
 SYMBOLS = np.zeros(256, bool)
@@ -117,3 +117,13 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
     return texts_of(docs).mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+
+
+def kept_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs (with all their columns) that quality_rules() keeps, judged in place."""
+
+    def judge(batch):
+        for part in parts(iter([batch]), PART_BYTES):
+            yield {"_kept": pa.array(measures(part, limits)["kept"])}
+
+    return beside(docs, judge, "_kept boolean", keep="_kept")

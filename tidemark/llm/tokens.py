@@ -5,12 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.wordstore import LITERAL, encoded_rows, row_ids
+from tidemark.llm.wordstore import LITERAL, encoded_rows, local_rows, row_ids
 
 #: Letters below this code point are letters to every Unicode version in use: such words are one pre-token.
 OLD_LETTERS = "ɐ"
@@ -44,7 +45,7 @@ def byte_encoding(ranks_path: str, pattern: str):
 
 
 def byte_encoder(ranks_path: str, pattern: str, special: dict | None = None, tokenizer_path: str | None = None):
-    """On an executor: id arrays of pre-tokens under a rank file.
+    """On an executor: ids (bytes, four each) of pre-tokens under a rank file.
 
     A pre-token of plain letters is one match of the pattern and goes to the merges directly. With tokenizer_path, a
     pre-token that holds one of the special strings goes to that tokenizers file, which treats them in its own way.
@@ -58,13 +59,16 @@ def byte_encoder(ranks_path: str, pattern: str, special: dict | None = None, tok
 
             whole = Tokenizer.from_file(tokenizer_path)
 
-        def ids(word: str) -> np.ndarray:
+        def ids(word: str) -> bytes:
             if word[0] != LITERAL and word.isalpha() and max(word) < OLD_LETTERS:
-                return np.array(encoding._encode_single_piece(" " + word), np.uint32)
-            segment = word[1:] if word[0] == LITERAL else " " + word
-            if whole is not None and any(s in segment for s in special or ()):
-                return np.array(whole.encode(segment, add_special_tokens=False).ids, np.uint32)
-            return np.array(encoding.encode_ordinary(segment), np.uint32)
+                found = encoding._encode_single_piece(" " + word)
+            else:
+                segment = word[1:] if word[0] == LITERAL else " " + word
+                if whole is not None and any(s in segment for s in special or ()):
+                    found = whole.encode(segment, add_special_tokens=False).ids
+                else:
+                    found = encoding.encode_ordinary(segment)
+            return array("I", found).tobytes()
 
         return lambda words: list(map(ids, words))
 
@@ -145,7 +149,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern:
     """Pieces of at most size tokens of every row of docs: doc_id, piece, start, length, ids_crc32.
 
     A document is its ids, without added special tokens, and then end_id. Only a longer one is cut, into pieces of size
-    tokens of which the first may be shorter. A null or empty text is the end_id alone. Edge cases as in encoded().
+    tokens of which the first may be shorter. A null or empty text is the end_id alone. Each task encodes its own words: no
+    shuffle. Edge cases as in encoded().
     """
 
     def emit(doc_id, n_bytes, places, words, times, sizes, begins, ids):
@@ -160,4 +165,4 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return encoded_rows(docs, byte_encoder(ranks_path, pattern, dict.fromkeys(special), tokenizer_path), emit, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return local_rows(docs, byte_encoder(ranks_path, pattern, dict.fromkeys(special), tokenizer_path), emit, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -81,21 +81,25 @@ def split_rows(column: pa.Array, dummy: bool) -> tuple[pa.Array, np.ndarray]:
     if dummy and not len(irregular):
         return coded, counts
     items = {int(r): pretokens(column[int(r)].as_py(), dummy) for r in irregular}
-    pieces, at = [], 0
-    for r in sorted(items):
-        pieces.append(flat.slice(starts[at], starts[r] - starts[at]))
-        pieces.append(pa.array(items[r], flat.type))
-        counts[r] = len(items[r])
-        at = r + 1
-    pieces.append(flat.slice(starts[at], starts[-1] - starts[at]))
-    flat = pa.concat_arrays(pieces)
-    if not dummy:  # the first pre-token of a regular row has no space before it
-        first = np.setdiff1d(np.flatnonzero(counts > 0), np.fromiter(items, np.int64, len(items)))
-        place = np.concatenate([[0], np.cumsum(counts)])[first]
-        mask = np.zeros(len(flat), bool)
-        mask[place] = True
-        flat = pc.replace_with_mask(flat, pa.array(mask), pc.binary_join_element_wise(pa.scalar(LITERAL), flat.take(pa.array(place)), ""))
-    return flat.dictionary_encode(), counts
+    regular = np.ones(len(counts), bool)
+    regular[irregular] = False
+    size, extra = len(coded.dictionary), []
+    if not dummy:  # the first pre-token of a regular row has no space before it: a code of its own
+        first = starts[:-1][regular]
+        used, place = np.unique(code[first], return_inverse=True)
+        extra = [LITERAL + w for w in coded.dictionary.take(pa.array(used)).to_pylist()]
+        code = code.astype(np.int64)
+        code[first] = size + place
+    if len(irregular):
+        own = sorted({w for x in items.values() for w in x})
+        number = {w: size + len(extra) + k for k, w in enumerate(own)}
+        extra += own
+        pieces, at = [], 0
+        for r in irregular.tolist():
+            pieces += [code[starts[at] : starts[r]], np.array([number[w] for w in items[r]], np.int64)]
+            counts[r], at = len(items[r]), r + 1
+        code = np.concatenate([*pieces, code[starts[at] :]])
+    return pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), pa.concat_arrays([coded.dictionary, pa.array(extra, coded.dictionary.type)])), counts
 
 
 class Chunk:
@@ -119,34 +123,36 @@ class Chunk:
         self.n_bytes = np.diff(utf8(text)[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], buckets: int, dummy: bool) -> Iterator[tuple[int, Chunk]]:
-    part, number = TaskContext.get().partitionId(), 0
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of about CHUNK_BYTES of text at most; a longer text alone."""
     held, size = [], 0
-
-    def flush():
-        return (part << 32) + number, Chunk(pa.Table.from_batches(held), buckets, dummy)
-
     for batch in batches:
         offsets, _ = utf8(batch.column("text"))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES - size, "right")) - 1)
             if held and size + offsets[to] - offsets[at] > CHUNK_BYTES:
-                yield flush()
-                number, held, size = number + 1, [], 0
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
                 continue
             held.append(batch.slice(at, to - at))
             size += int(offsets[to] - offsets[at])
             at = to
     if held:
-        yield flush()
+        yield pa.Table.from_batches(held)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], buckets: int, dummy: bool) -> Iterator[tuple[int, Chunk]]:
+    part = TaskContext.get().partitionId()
+    for number, rows in enumerate(grouped(batches)):
+        yield (part << 32) + number, Chunk(rows, buckets, dummy)
 
 
 def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, dummy: bool = False, frequencies: bool = False, only_counts: bool = False) -> DataFrame:
     """emit's rows for every row of docs, from its pre-tokens' codes.
 
     encoder() gives, on an executor, a function from a list of pre-tokens (LITERAL ones and others) to a list of their
-    id arrays, or to their numbers of ids with only_counts. emit(doc_id, n_bytes, places, words, times, sizes, begins, ids)
+    ids (bytes, four each), or to their numbers of ids with only_counts. emit(doc_id, n_bytes, places, words, times, sizes, begins, ids)
     gets a chunk: row r's words are words[places[r]:places[r + 1]], word w has sizes[w] ids from ids[begins[w]] on; times
     holds frequencies (distinct words of each row, ascending) or is None (words in order of position).
     """
@@ -174,7 +180,7 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
                 if only_counts:
                     out.append((pack(np.array(got)), b""))
                 else:
-                    out.append((pack(np.fromiter(map(len, got), np.int64, len(got))), pack(np.concatenate(got) if got else np.zeros(0))))
+                    out.append((pack(np.fromiter(map(len, got), np.int64, len(got)) // 4), pack(np.frombuffer(b"".join(got), "<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("chunk"), batch.column("check"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "chunk", "check", "sizes", "ids"])
 
     def positions(batches):
@@ -218,6 +224,32 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
     return rows.groupBy("chunk", "check").cogroup(ids.groupBy("chunk", "check")).applyInArrow(joined, schema)
 
 
+def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 300_000) -> DataFrame:
+    """As encoded_rows() with positions, but each task encodes its own distinct pre-tokens: more work, no shuffle.
+
+    A worker keeps up to most encoded pre-tokens from one chunk to the next."""
+
+    def rows(batches):
+        call, known = encoder(), {}
+        for held in grouped(batches):
+            text = held.column("text").combine_chunks()
+            coded, counts = split_rows(text, False)
+            items = coded.dictionary.to_pylist()
+            if new := [w for w in items if w not in known]:
+                if len(known) + len(new) > most:
+                    known, new = {}, items
+                known.update(zip(new, call(new), strict=True))
+            got = [known[w] for w in items]
+            if len(known) > most:
+                known = {}
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            ids = np.frombuffer(b"".join(got), "<u4")
+            out = emit(held.column("doc_id").to_pylist(), np.diff(utf8(text)[0]), np.concatenate([[0], np.cumsum(counts)]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), None, sizes, np.cumsum(sizes) - sizes, ids)
+            yield from out.to_batches()
+
+    return texts_of(docs).mapInArrow(rows, schema)
+
+
 def row_ids(places: np.ndarray, code: np.ndarray, sizes: np.ndarray, begins: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
     """The ids of each row in order, reassembled a bounded number of words at a time."""
     at, n = 0, len(places) - 1
