@@ -1,8 +1,58 @@
-"""The corpus pipeline: language ID, quality rules, near-duplicates, packing."""
+"""The corpus pipeline: language ID, quality rules, near-duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before kept. Stages but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, minhash, packing, rules
+from tidemark.llm.common import checkpointed, table
+from tidemark.llm.queries import pieces_of
+
+#: Documents whose language has less probability than this are rejected, as are those without letters.
+LEAST_SCORE = 0.5
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept; its other columns don't matter. A null doc_id is not in anything."""
+    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), docs["doc_id"] == F.col("_kept"), "left_semi")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the network knows, by its prediction; those without letters and unsure ones go."""
+    found = language.predicted_beside(docs, language.learned(docs, 4, 2))
+    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang_pred", "_score")
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return rules.kept_rows(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest doc_id, of each group of near-duplicates of similarity 0.8 or more."""
+    return _only(docs, minhash.near_duplicates(docs, percent=80).where("kept"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's pieces, with their sequences and offsets."""
+    return packing.packed(pieces_of(docs))
+
+
+STAGES = [("language_id", language_stage), ("quality_rules", rules_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]
+
+#: Classifiers, signatures and tokenizers can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpointed(docs)
+    return docs
