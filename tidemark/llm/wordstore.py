@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import texts_of, utf8
+from tidemark.llm.common import texts_of, trim, utf8
 
 #: Bytes of text in a chunk, about; a longer text makes a chunk of its own.
 CHUNK_BYTES = 12 << 20
@@ -123,15 +123,15 @@ class Chunk:
         self.n_bytes = np.diff(utf8(text)[0])
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows in tables of about CHUNK_BYTES of text at most; a longer text alone."""
+def grouped(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """The rows in tables of about limit bytes of text at most; a longer text alone."""
     held, size = [], 0
     for batch in batches:
         offsets, _ = utf8(batch.column("text"))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES - size, "right")) - 1)
-            if held and size + offsets[to] - offsets[at] > CHUNK_BYTES:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit - size, "right")) - 1)
+            if held and size + offsets[to] - offsets[at] > limit:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
                 continue
@@ -140,6 +140,7 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             at = to
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], buckets: int, dummy: bool) -> Iterator[tuple[int, Chunk]]:
@@ -224,14 +225,14 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
     return rows.groupBy("chunk", "check").cogroup(ids.groupBy("chunk", "check")).applyInArrow(joined, schema)
 
 
-def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 300_000) -> DataFrame:
+def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 200_000) -> DataFrame:
     """As encoded_rows() with positions, but each task encodes its own distinct pre-tokens: more work, no shuffle.
 
     A worker keeps up to most encoded pre-tokens from one chunk to the next."""
 
     def rows(batches):
         call, known = encoder(), {}
-        for held in grouped(batches):
+        for held in grouped(batches, CHUNK_BYTES // 2):
             text = held.column("text").combine_chunks()
             coded, counts = split_rows(text, False)
             items = coded.dictionary.to_pylist()
