@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import performance
+from tidemark.plans import content, lifecycle, performance
 
-MODULES = (performance,)
+MODULES = (performance, content, lifecycle)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
