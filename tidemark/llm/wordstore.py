@@ -99,7 +99,10 @@ def split_rows(column: pa.Array, dummy: bool) -> tuple[pa.Array, np.ndarray]:
             pieces += [code[starts[at] : starts[r]], np.array([number[w] for w in items[r]], np.int64)]
             counts[r], at = len(items[r]), r + 1
         code = np.concatenate([*pieces, code[starts[at] :]])
-    return pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), pa.concat_arrays([coded.dictionary, pa.array(extra, coded.dictionary.type)])), counts
+    every = pa.concat_arrays([coded.dictionary, pa.array(extra, coded.dictionary.type)])
+    used = np.zeros(len(every), bool)  # pieces of irregular rows may be in no pre-token
+    used[code] = True
+    return pa.DictionaryArray.from_arrays(pa.array((np.cumsum(used) - 1)[code].astype(np.int32)), every.filter(pa.array(used))), counts
 
 
 class Chunk:
