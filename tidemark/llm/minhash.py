@@ -149,24 +149,29 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     Against the head h, a document z has extra shingles U and lacks shingles D; together they are its difference. For two
     documents let o be the size of the common part of their differences.
-    - If o is at most min(|U|, |D|) of the one, their union is no smaller than that of h and the other, and their
-      intersection no larger than that of h and the other: if they are linked, so is the other to h. So two linked
-      documents that don't both go with h have o > min(|U|, |D|) for one of them.
+    - If o is at most m = min(|U|, |D|) of the one, their union is no smaller than that of h and the other, and their
+      intersection no larger than that of h and the other: if they are linked, so is the other to h. So a link of a
+      document w that is not linked to h has o > m of its partner z. If neither is linked to h, o exceeds both: then z is
+      the one with the larger m, so that each pair is looked for once.
     - A link also needs o >= |difference| - |z| (100 - percent) / percent for both, by the size of what sets a link apart.
     Of a difference, rarest shingles first, a prefix is enough for either bound; a pair needs a common shingle in the
-    shorter prefix of the one and the longer of the other. Copies edited in places of their own share next to nothing.
+    shorter prefix of z and the longer of w. Copies edited in places of their own share next to nothing.
     """
     extra, lacking = F.array_except("x", "y"), F.array_except("y", "x")
-    diffs = rows.select("a", F.col("b").alias("h"), "own", F.size("x").alias("n"), extra.alias("u"), lacking.alias("d"))
+    diffs = rows.select("a", F.col("b").alias("h"), "own", F.size("x").alias("n"), F.size("y").alias("n_h"), extra.alias("u"), lacking.alias("d"))
+    linked = (F.col("n") - F.size("u")) * 100 >= (F.col("n_h") + F.size("u")) * percent
     m, total = F.least(F.size("u"), F.size("d")), F.size("u") + F.size("d")
     need = total - F.floor(F.col("n") * (100 - percent) / percent).cast("int")
-    diffs = diffs.select("a", "h", "own", F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
+    diffs = diffs.select("a", "h", "own", "n", linked.alias("linked"), m.alias("m"), F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
     diffs = checkpointed(diffs)
     parts_ = diffs.select("a", "h", F.explode("diff").alias("e"))
     df = parts_.groupBy("h", "e").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one document only take places of a prefix, but post nothing
     shared = parts_.join(df, ["h", "e"]).groupBy("a", "h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("keys"))
-    posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
-    posts = checkpointed(posts.select("a", "h", "own", "short", F.posexplode("keys.e").alias("at", "e")))
-    other = posts.select(F.col("a").alias("b"), "h", F.col("own").alias("own_b"), "e")
-    return posts.where("at < short").join(other, ["h", "e"]).where("own <> own_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", "n", "linked", "m", (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
+    posts = checkpointed(posts.select("a", "h", "own", "n", "linked", "m", "short", F.posexplode("keys.e").alias("at", "e")))
+    other = posts.where("not linked").select("h", "e", *[F.col(c).alias(f"{c}_w") for c in ("a", "own", "n", "m")])
+    once = F.col("linked") | (F.struct("m", "a") > F.struct("m_w", "a_w"))
+    sizes = F.least("n", "n_w") * 100 >= F.greatest("n", "n_w") * percent
+    pairs = posts.where("at < short").join(other, ["h", "e"]).where((F.col("own") != F.col("own_w")) & once & sizes)
+    return pairs.select(F.greatest("a", "a_w").alias("a"), F.least("a", "a_w").alias("b")).distinct()
