@@ -149,27 +149,20 @@ def crc_rest(modulus: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def beside(docs: DataFrame, judge, added: str, keep=None) -> DataFrame:
-    """The rows of docs as they are, judged in place without a join.
+def kept_beside(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs, with all their columns as they are, that judge keeps: judged in place, without a join.
 
-    judge(batches) takes an iterator of record batches with doc_id and text and gives for each the new columns (a dict of
-    arrays; added is their schema), in the same order of rows. keep, if given, names the boolean column to filter by.
-    """
-    names = docs.columns
-    at_id, at_text = ([n for n in names if n.lower() == c] for c in ("doc_id", "text"))
+    judge(batch) takes a record batch with doc_id and text and gives boolean arrays for its rows, in order."""
+    at_id, at_text = ([k for k, n in enumerate(docs.columns) if n.lower() == c] for c in ("doc_id", "text"))
     if len(at_id) != 1 or len(at_text) != 1:
         raise ValueError("docs needs one column doc_id and one column text")
-    columns = [x.split()[0] for x in added.split(", ")]
 
     def rows(batches):
         for batch in batches:
             at = 0
             both = pa.RecordBatch.from_arrays([batch.column(at_id[0]), batch.column(at_text[0])], ["doc_id", "text"])
-            for found in judge(both):
-                n = len(next(iter(found.values())))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *(found[c] for c in columns)], [*names, *columns])
-                at += n
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [added])
-    out = docs.mapInArrow(rows, schema)
-    return out.where(F.col(keep)).select(*[F.col(f"`{n}`") for n in names]) if keep else out
+            for keep in judge(both):
+                yield batch.slice(at, len(keep)).filter(pa.array(keep))
+                at += len(keep)
+
+    return docs.mapInArrow(rows, docs.schema)

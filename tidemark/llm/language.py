@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import beside, crc_rest, parts, texts_of, utf8
+from tidemark.llm.common import crc_rest, kept_beside, parts, texts_of, utf8
 from tidemark.llm.sample import bounded
 
 #: Bytes of a window, widths of the filters, filters of each width, numbers that stand for a byte.
@@ -200,17 +200,17 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     return texts_of(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
-def predicted_beside(docs: DataFrame, net: Network | None) -> DataFrame:
-    """The rows of docs with _lang_pred and _score as predicted() has them, without a join."""
+def known_rows(docs: DataFrame, net: Network | None, least_score: float) -> DataFrame:
+    """The rows of docs (with all their columns) whose prediction is a language, of least_score at least, judged in place."""
     readers: list[Reader] = []
 
     def judge(batch):
         if net and not readers:
             readers.append(Reader(net))
         for _, names, scores in judged(batch, readers[0] if readers else None):
-            yield {"_lang_pred": names, "_score": scores}
+            yield (np.array(names.to_pylist(), object) != UNKNOWN) & (scores.to_numpy() >= least_score)
 
-    return beside(docs, judge, "_lang_pred string, _score double")
+    return kept_beside(docs, judge)
 
 
 def language_id(docs: DataFrame, fold: int = 4, out_rest: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import INVERSE, SPACE, beside, mixed, parts, powers, texts_of, utf8, window_hashes, windows, word_hashes, words
+from tidemark.llm.common import INVERSE, SPACE, kept_beside, mixed, parts, powers, texts_of, utf8, window_hashes, windows, word_hashes, words
 
 PART_BYTES = 1 << 20
 SYMBOLS = np.zeros(256, bool)
@@ -121,9 +121,4 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def kept_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs (with all their columns) that quality_rules() keeps, judged in place."""
-
-    def judge(batch):
-        for part in parts(iter([batch]), PART_BYTES):
-            yield {"_kept": pa.array(measures(part, limits)["kept"])}
-
-    return beside(docs, judge, "_kept boolean", keep="_kept")
+    return kept_beside(docs, lambda batch: (measures(part, limits)["kept"] for part in parts(iter([batch]), PART_BYTES)))

@@ -285,14 +285,18 @@ def chance(toxic: int, clean: int, rate: float) -> float:
 
 
 def cut(best: np.ndarray, label: np.ndarray) -> float:
-    """The chance that parts the labels with fewest errors, half-way (on the logit scale) to the next lower one seen."""
+    """The lowest chance that parts the labels with fewest errors, give or take their standard error: the middle of its range
+    on the logit scale."""
     values, place = np.unique(best, return_inverse=True)
     if len(values) < 2 or not 0 < label.sum() < len(label):
         return 0.5
     toxic, clean = np.bincount(place, weights=label), np.bincount(place, weights=1 - label)
     errors = np.cumsum(toxic)[:-1] + clean.sum() - np.cumsum(clean)[:-1]  # with the cut after each value but the last
-    k = int(np.flatnonzero(errors == errors.min())[-1])
-    return float(1 / (1 + np.exp(-(logit(values[k]) + logit(values[k + 1])) / 2)))
+    first = int(np.flatnonzero(errors <= errors.min() + errors.min() ** 0.5)[0])
+    last = first
+    while last + 1 < len(errors) and errors[last + 1] == errors[first]:
+        last += 1
+    return float(1 / (1 + np.exp(-(logit(values[first]) + logit(values[last + 1])) / 2)))
 
 
 def logit(p):
