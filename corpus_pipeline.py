@@ -19,13 +19,13 @@ LEAST_SCORE = 0.5
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept; its other columns don't matter. A null doc_id is not in anything."""
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), docs["doc_id"] == F.col("_kept"), "left_semi")
+    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the network knows, by its prediction; those without letters and unsure ones go."""
-    found = language.predicted_beside(docs, language.learned(docs, 4, 2))
-    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang_pred", "_score")
+    return language.known_rows(docs, language.learned(docs, 4, 2), LEAST_SCORE)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
