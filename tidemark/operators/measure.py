@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up, ratio, weighted_position
-from tidemark.functions.wording import folded_space
+from tidemark.functions.wording import composed, folded_space
 from tidemark.operators.performance import measures
 from tidemark.sources.tables import of_grain
 
@@ -31,7 +31,7 @@ def located(change: Column, target: Column, approved: Column, live: Column) -> C
 def verified(rows: DataFrame) -> DataFrame:
     """rows (change_type, target_section, current_value, proposed_value, approved, live) with result, live_value, live_section."""
     rows = rows.withColumn("_at", located(F.col("change_type"), F.col("target_section"), F.col("approved"), F.col("live")))
-    now, want, was = folded_space(F.col("_at.value")), folded_space(F.col("proposed_value")), folded_space(F.col("current_value"))
+    now, want, was = (folded_space(composed(F.col(c))) for c in ("_at.value", "proposed_value", "current_value"))
     result = F.when(~F.col("_at.found"), "TARGET_MISSING").when((want != "") & (now == want), "MATCH").when(now == was, "UNCHANGED").otherwise("CONFLICT")
     return rows.withColumns({"result": result, "live_value": F.when(F.col("_at.value").isNotNull(), now), "live_section": F.col("_at.section_key")}).drop("_at")
 
