@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Query parameters that only track visits.
 TRACKING = r"(?i)^(utm_[a-z]+|gclid|fbclid|msclkid|mc_[a-z]+|_ga|ref)$"
 #: Path endings of files that aren't pages.
-ASSETS = r"(?i)\.(jpg|jpeg|png|gif|webp|svg|ico|bmp|avif|css|js|mjs|json|xml|txt|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|gz|rar|7z|tar|mp3|mp4|avi|mov|webm|woff|woff2|ttf|eot)$"
+ASSETS = r"(?i)\.(pdf|zip|gz|tgz|rar|7z|tar|jpe?g|png|gif|webp|avif|svg|ico|bmp|tiff?|mp[34]|m4a|mov|avi|wmv|webm|ogg|wav|flac|css|js|mjs|json|xml|txt|csv|xlsx?|docx?|pptx?|woff2?|ttf|eot|exe|dmg|apk|rss|atom)$"
 _PARTS = r"(?is)^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 

@@ -195,12 +195,10 @@ def section_budget(spark, sf):
 @query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS value FROM events WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY ALL")
 def stream_daily(spark, sf):
     """An extension: the days that are final when the stream of events has been read."""
-    import tempfile
     import uuid
 
     name = f"daily_{uuid.uuid4().hex}"
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = daily_stream(events).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    run = daily_stream(events).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tables.shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).withColumn("value", half_up(F.col("value"), 2))

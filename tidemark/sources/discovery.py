@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def parse_sitemap(body: bytes | None, content_type: str = "") -> dict:
     try:
         body = body or b""
         if body[:2] == b"\x1f\x8b":
-            with gzip.open(__import__("io").BytesIO(body)) as f:
+            with gzip.open(io.BytesIO(body)) as f:
                 body = f.read(LARGEST + 1)
             if len(body) > LARGEST:
                 return {"kind": "unknown", "entries": []}
@@ -54,8 +56,6 @@ def parse_sitemap(body: bytes | None, content_type: str = "") -> dict:
 
 def sitemaps(files: DataFrame) -> DataFrame:
     """files (url, body, content_type) with kind and entries."""
-    import pandas as pd
-
     def batch(body: pd.Series, kind: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_sitemap(b, k or "") for b, k in zip(body, kind, strict=True)], columns=["kind", "entries"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share; a temporary folder in a local session without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def scoped(df: DataFrame, org_id: str, project_id: str, property_id: str | None = None, page: str | None = None, start=None, end=None, grain: str | None = None) -> DataFrame:
     """Rows of one tenant, and of a property, page, date range (inclusive) or grain ('page' or 'query') if given."""
     keep = (F.col("org_id") == org_id) & (F.col("project_id") == project_id)
