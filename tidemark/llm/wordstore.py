@@ -228,14 +228,14 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
     return rows.groupBy("chunk", "check").cogroup(ids.groupBy("chunk", "check")).applyInArrow(joined, schema)
 
 
-def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 200_000) -> DataFrame:
+def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 150_000) -> DataFrame:
     """As encoded_rows() with positions, but each task encodes its own distinct pre-tokens: more work, no shuffle.
 
     A worker keeps up to most encoded pre-tokens from one chunk to the next."""
 
     def rows(batches):
         call, known = encoder(), {}
-        for held in grouped(batches, CHUNK_BYTES // 2):
+        for held in grouped(batches, CHUNK_BYTES // 3):
             text = held.column("text").combine_chunks()
             coded, counts = split_rows(text, False)
             items = coded.dictionary.to_pylist()
