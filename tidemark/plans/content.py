@@ -26,9 +26,9 @@ def query(sql: str | None = None):
 TEXT = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s){0}', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {CANON.format('url')} AS url, nullif({TEXT.format('<title>(.*?)</title>')}, '') AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, nullif({TEXT.format('<h1>(.*?)</h1>')}, '') AS h1, false AS noindex, 'article' AS container FROM pages")
+@query(f"SELECT page_id, {CANON.format('url')} AS url, nullif({TEXT.format('<title>(.*?)</title>')}, '') AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, nullif({TEXT.format('<h1>(.*?)</h1>')}, '') AS h1, false AS noindex FROM pages")
 def page_structure(spark, sf):
-    return content.extracted(table(spark, sf, "pages")).select("page_id", "url", "title", "language", "h1", "noindex", "container")
+    return content.extracted(table(spark, sf, "pages")).select("page_id", "url", "title", "language", "h1", "noindex")
 
 
 @query()
@@ -45,7 +45,7 @@ def page_links(spark, sf):
 
 @query()
 def page_quality(spark, sf):
-    return content.extracted(table(spark, sf, "pages")).select("page_id", "word_count", "app_shell", "sufficient", "reason", "content_hash")
+    return content.extracted(table(spark, sf, "pages")).select("page_id", "container", "word_count", "app_shell", "sufficient", "reason", "content_hash")
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'UPDATED' WHEN 2 THEN 'CREATED' ELSE 'UNCHANGED' END AS outcome, CASE page_id % 4 WHEN 0 THEN 4 WHEN 2 THEN 1 ELSE 3 END AS version_no FROM pages
