@@ -19,7 +19,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 class Limits:
     """least_words and repeat_percent make up the base rules; the others are shares of a text's word characters or lines.
 
-    n-gram shares count the characters of later copies only, from n = 5 on, as published for web text."""
+    n-gram shares count the characters of later copies only, from n = 5 on, as published for web text. Repeated lines
+    count against a text only if both their number and their characters are over the limits: a short text with one
+    boilerplate line twice stays."""
 
     least_words: int = 10
     repeat_percent: int = 20
@@ -95,8 +97,8 @@ def measures(batch: pa.RecordBatch, limits: Limits) -> dict[str, np.ndarray]:
     value = (sums[line_end] - sums[line_start]) * powers(max(len(data), 1), INVERSE)[line_start] if len(line_start) else np.zeros(0, np.uint64)
     _, later = repeated(mixed(value + (line_end - line_start).astype(np.uint64)) ^ salt[line_row])
     dup_lines, lines = per_row(line_row[later]).astype(np.int64), per_row(line_row)
-    bad |= dup_lines > limits.line_share * np.maximum(lines, 1)
-    bad |= per_row(line_row[later], line_chars[later]) > limits.line_char_share * np.maximum(per_row(line_row, line_chars), 1)
+    many = dup_lines > limits.line_share * np.maximum(lines, 1)
+    bad |= many & (per_row(line_row[later], line_chars[later]) > limits.line_char_share * np.maximum(per_row(line_row, line_chars), 1))
 
     failed = (n_words < limits.least_words) | (100 * repeat_words > limits.repeat_percent * n_words)
     return {"n_words": n_words, "word_chars": total, "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]], "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad)}
