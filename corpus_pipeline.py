@@ -14,7 +14,7 @@ from tidemark.llm.common import checkpointed, table
 from tidemark.llm.queries import pieces_of
 
 #: Documents whose language has less probability than this are rejected, as are those without letters.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
