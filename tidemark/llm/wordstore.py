@@ -231,24 +231,24 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
 def local_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callable, schema: str, most: int = 150_000) -> DataFrame:
     """As encoded_rows() with positions, but each task encodes its own distinct pre-tokens: more work, no shuffle.
 
-    A worker keeps up to most encoded pre-tokens from one chunk to the next."""
+    Of the pre-tokens that a chunk has more than once, a task keeps up to most, encoded, for the next chunks."""
 
     def rows(batches):
         call, known = encoder(), {}
-        for held in grouped(batches, CHUNK_BYTES // 3):
+        for held in grouped(batches, CHUNK_BYTES // 2):
             text = held.column("text").combine_chunks()
             coded, counts = split_rows(text, False)
             items = coded.dictionary.to_pylist()
-            if new := [w for w in items if w not in known]:
-                if len(known) + len(new) > most:
-                    known, new = {}, items
-                known.update(zip(new, call(new), strict=True))
-            got = [known[w] for w in items]
-            if len(known) > most:
-                known = {}
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            got = [known.get(w) for w in items]
+            if new := [k for k, x in enumerate(got) if x is None]:
+                for k, x in zip(new, call([items[k] for k in new]), strict=True):
+                    got[k] = x
+            often = {items[k]: got[k] for k in np.flatnonzero(np.bincount(code, minlength=len(items)) > 1).tolist()}
+            known = {**known, **often} if len(known) + len(often) <= most else often
             sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
             ids = np.frombuffer(b"".join(got), "<u4")
-            out = emit(held.column("doc_id").to_pylist(), np.diff(utf8(text)[0]), np.concatenate([[0], np.cumsum(counts)]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), None, sizes, np.cumsum(sizes) - sizes, ids)
+            out = emit(held.column("doc_id").to_pylist(), np.diff(utf8(text)[0]), np.concatenate([[0], np.cumsum(counts)]), code, None, sizes, np.cumsum(sizes) - sizes, ids)
             yield from out.to_batches()
 
     return texts_of(docs).mapInArrow(rows, schema)
