@@ -60,6 +60,30 @@ def test_toxicity(spark, docs):
     assert np.mean([got[d].predicted for d in clean if d in got]) < 0.02
 
 
+def test_disguises(spark, docs):
+    """Every form of disguise is found, alone and by the whole operator, and not across texts."""
+    forms = {
+        "stupid": ["stuupid", "st**id", "st--u--pid", "s..t..u..p..i..d", "st__upid", "s't'u'p'i'd", "s/t/u/p/i/d", "stuuupid!", "s  t  u  p  i  d", "s\nt\nu\np\ni\nd", "s. t. u. p. i. d", "s t upid", "st u p id"],
+        "idiot": ["iiddiioott", "id107", "i\u00a0d\u00a0i\u00a0o\u00a0t", "1 d 1 0 t", "i d iot"],
+        "moron": ["moroon", "m0r0n", "m0roon"],
+        "scum": ["$cum", "scu*"],
+        "shit": ["sh17", "sh1t!"],
+        "ass": ["a55", "a$$", "a$$$$", "a s s", "y o u   a s s"],
+    }
+    restorer = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs)))
+    for word, hidden in forms.items():
+        for w in hidden:
+            found = toxicity.features(restorer.texts(["on", f"the {w} ander", "on"])[1])
+            assert f" {word} " in found or f"~{toxicity.single_copies(word)}~" in found, w
+    for text in ("it's well", "the good erre of that ander is"):
+        assert toxicity.disguised(toxicity.points([text])[0]) == []
+    assert restorer.texts(["the a s", "s b on"]) == [restorer.texts([t])[0] for t in ("the a s", "s b on")]
+    rows = [(10**6 + k, f"the erre of that {w} ander is") for k, w in enumerate(x for w in ("stupid", "idiot", "moron", "scum") for x in forms[w])]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(every, table(spark, SF, "labels")).where(F.col("doc_id") >= 10**6).collect()}
+    assert [text for k, text in rows if not got[k]] == []
+
+
 OPERATORS = {
     "token_counts": lambda d, _: tokens.token_counts(d, P.path("piece_bpe_32k.model")),
     "near_duplicates": lambda d, _: minhash.near_duplicates(d),

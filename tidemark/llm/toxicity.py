@@ -2,11 +2,13 @@
 
 Text is folded to 28 letters: a space, a-z (accents dropped), and one for every other letter. A disguised word (digits and
 signs for letters, letters repeated or spaced out) is read as a lattice of what each sign may stand for; the Viterbi path
-under trigram counts of the whole corpus is its restored form.
+under trigram counts of the whole corpus is its restored form. Doubled letters, which plain words have as well, are left out
+of a second copy of the text, whose words are features of their own.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 from math import lgamma
@@ -35,6 +37,8 @@ LATTICE = 48
 BEGINNINGS = (4, 5, 6)
 #: Letters of a word that is looked for in spaced-out letters.
 SPACED = 16
+#: A letter three times in a row; a sign more than twice in a row; a letter and its copies.
+THRICE, MANY, COPIES = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}", re.DOTALL), re.compile(r"([a-z])\1+")
 PART_BYTES = 1 << 20
 TABLE = 0x2000  # code points that are folded one by one; beyond, every letter is "other"
 
@@ -104,10 +108,11 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
-def readings(word: str) -> list[list[tuple[int, float]]]:
-    """For each character of a word, what it may stand for, with log probabilities; -1 is nothing at all."""
+def readings(word: str, fixed: int | None = None) -> list[list[tuple[int, float]]]:
+    """For each character of a word, what it may stand for, with log probabilities; -1 is nothing at all. From fixed on
+    signs and stars stand for letters."""
     out, before = [], ""
-    for c in word.lower():
+    for at, c in enumerate(word.lower()):
         k = int(LETTERS[min(ord(c), TABLE)])
         if k:
             own = [(k, PLAIN)] + ([(-1, COPY)] if c == before else [])
@@ -117,103 +122,197 @@ def readings(word: str) -> list[list[tuple[int, float]]]:
             own = [(-1, BREAK)] + [(x, STAR) for x in range(1, 27)]
         else:
             own = [(-1, BREAK)]
+        if fixed is not None and at >= fixed and (c in SIGNS or c == "*"):
+            own = [(x, cost) for x, cost in own if x >= 0]
         out.append(own)
         before = c
     return out
 
 
-def restored(word: str, model: np.ndarray) -> str:
-    """The most likely letters behind a word, between spaces. A word of more than LATTICE characters is read in pieces."""
-    while word and not word[-1].isalnum():  # signs at the end stand for nothing
+def restored(word: str, model: list | np.ndarray, fixed: int | None = None) -> str:
+    """The most likely letters behind a word, between spaces. A word of more than LATTICE characters is read in pieces.
+    Signs at the end stand for nothing, or, from fixed on, for letters."""
+    while fixed is None and word and not word[-1].isalnum():
         word = word.rstrip(word[-1])
     if len(word) > LATTICE:
-        return "".join(restored(word[i : i + LATTICE], model) for i in range(0, len(word), LATTICE))
+        return "".join(restored(word[i : i + LATTICE], model, None if fixed is None else max(0, fixed - i)) for i in range(0, len(word), LATTICE))
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in readings(word):
+    for options in readings(word, fixed):
         then: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in paths.items():
             for k, cost in options:
-                to, now, more = ((a, b), score + cost, text) if k < 0 else ((b, k), score + cost + model[a, b, k], text + chr(PRINT[k]))
+                to, now, more = ((a, b), score + cost, text) if k < 0 else ((b, k), score + cost + model[a][b][k], text + chr(PRINT[k]))
                 if to not in then or now > then[to][0]:
                     then[to] = (now, more)
         paths = then
-    ends = [(score + model[a, b, 0], text) for (a, b), (score, text) in paths.items()]
+    ends = [(score + model[a][b][0], text) for (a, b), (score, text) in paths.items()]
     return max(ends)[1]
 
 
+def plain(word: str) -> bool:
+    """Whether a word is letters only, none three times in a row: nothing to restore."""
+    return word.isalpha() and not THRICE.search(word.lower())
+
+
+def candidates(word: str) -> list[tuple[str, int | None]]:
+    """The ways to read a word: without signs at its end; without those at its beginning as well; with one, two and so on
+    of the signs at its end as letters; with each star as a letter. With each the place from which on signs are letters."""
+    core = word
+    while core and not core[-1].isalnum():
+        core = core.rstrip(core[-1])
+    found: list[tuple[str, int | None]] = [(core, None)]
+    first = next((k for k, c in enumerate(core) if c.isalnum()), 0)
+    if first:
+        found.append((core[first:], None))
+    for k, c in enumerate(MANY.sub(r"\1\1", word[len(core) :])[:SPACED]):
+        if c not in SIGNS and c != "*":
+            break
+        found.append((core + MANY.sub(r"\1\1", word[len(core) :])[: k + 1], len(core)))
+    if "*" in core:
+        found.append((core, 0))
+    return found
+
+
 def disguised(codes: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of text (start, end) that look like words in disguise: signs or breaks between letters, a sign before a
-    letter or a digit after one at the end, one letter three times in a row, or four single characters spaced out."""
+    """Stretches of text (start, end) that look like words in disguise: signs of any kind and number between letters (but
+    for one apostrophe), a sign that may be a letter, or a star, beside a letter, or one letter three times in a row."""
     kind = KINDS[codes]
     letter, space = kind == 1, kind == 4
-    starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    starts, ends = stretches(space)
     if not len(starts):
         return []
-    odd = (kind == 2) | (kind == 3)
+    sign = (kind == 2) | (codes == 42)
     mark = np.zeros(len(codes), bool)
-    mark[:-1] |= (kind[:-1] == 2) & letter[1:]
-    digit = (codes >= 48) & (codes <= 57)
-    mark[1:-1] |= digit[1:-1] & letter[:-2] & ~letter[2:] & ~digit[2:]
-    inner = np.flatnonzero(odd[1:-1] & letter[:-2] & letter[2:]) + 1
-    mark[inner] = codes[inner] != 39
+    mark[:-1] |= sign[:-1] & letter[1:]
+    mark[1:] |= sign[1:] & letter[:-1]
+    solid = np.maximum.accumulate(np.where(letter | space, np.arange(len(codes)), 0))
+    last = np.flatnonzero(~letter[:-1] & ~space[:-1] & letter[1:])  # the last sign before a letter
+    last = last[letter[solid[last]]]
+    apostrophe = (codes[last] == 39) & (last - solid[last] == 1)
+    mark[last[~apostrophe]] = True
     folded = LETTERS[codes]
     mark[:-2] |= letter[:-2] & (folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:]) & (folded[:-2] != OTHER)
     seen = np.concatenate([[0], np.cumsum(mark)])
+    quoted = np.zeros(len(codes), np.int64)
+    quoted[last[apostrophe]] = 1
+    quoted = np.concatenate([[0], np.cumsum(quoted)])
     letters = np.concatenate([[0], np.cumsum(letter)])
-    hit = (seen[ends] > seen[starts]) & (letters[ends] > letters[starts])
-    found = list(zip(starts[hit].tolist(), ends[hit].tolist(), strict=True))
-    single = (ends - starts == 1) & (kind[starts] != 5)
+    hit = ((seen[ends] > seen[starts]) | (quoted[ends] > quoted[starts] + 1)) & (letters[ends] > letters[starts])
+    return list(zip(starts[hit].tolist(), ends[hit].tolist(), strict=True))
+
+
+def stretches(space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all runs without a space."""
+    return np.flatnonzero(~space[1:] & space[:-1]) + 1, np.flatnonzero(space[1:] & ~space[:-1]) + 1
+
+
+def spaced(codes: np.ndarray, begins: np.ndarray) -> list[tuple[list[tuple[int, int]], tuple[int, int] | None, tuple[int, int] | None]]:
+    """Groups of characters spaced out by blanks of any kind and number, each with the stretches before and after it in the
+    same text: two letters, three characters with a letter, or four characters. A sign may stand beside each."""
+    kind = KINDS[codes]
+    starts, ends = stretches(kind == 4)
+    if not len(starts):
+        return []
+    solid = np.concatenate([[0], np.cumsum((kind == 1) | (kind == 2))])
+    letter = np.concatenate([[0], np.cumsum(kind == 1)])
+    many, letters = solid[ends] - solid[starts], letter[ends] - letter[starts]
+    single = ((ends - starts <= 3) & (many == 1)) | ((ends - starts == 1) & (kind[starts] != 5))
+    text = np.searchsorted(begins, starts, "right")
     near = np.zeros(len(starts), bool)
-    near[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1)
-    group = np.cumsum(~near) - 1
-    sizes = np.bincount(group)
-    for g in np.flatnonzero(sizes >= 4).tolist():
-        own = np.flatnonzero(group == g) if len(sizes) < 64 else np.arange(np.searchsorted(group, g), np.searchsorted(group, g, "right"))
-        found.append((int(starts[own[0]]), int(ends[own[-1]])))
+    near[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1])
+    first = np.flatnonzero(~near)
+    sizes = np.diff(np.append(first, len(starts)))
+    own = np.add.reduceat(letters, first)
+    found = []
+    for g in np.flatnonzero((sizes >= 4) | ((sizes == 3) & (own > 0)) | ((sizes == 2) & (own == 2))).tolist():
+        a, b = int(first[g]), int(first[g] + sizes[g])
+        at = lambda k: (int(starts[k]), int(ends[k]))
+        before = at(a - 1) if a and text[a - 1] == text[a] else None
+        after = at(b) if b < len(starts) and text[b] == text[a] else None
+        found.append(([at(k) for k in range(a, b)], before, after))
     return found
 
 
+def single_copies(text: str) -> str:
+    return COPIES.sub(r"\1", text)
+
+
 class Restorer:
-    """Folded texts with the restored forms of their disguised words appended; keeps the forms it has found."""
+    """Folded texts with the restored forms of their disguised words appended, then, each word between tildes, all this
+    with doubled letters once; keeps the forms it has found."""
 
     def __init__(self, model: np.ndarray, most: int = 50_000):
-        self.model, self.known, self.most = model, {}, most
+        self.model, self.known, self.most = model.tolist(), {}, most
 
-    def form(self, word: str) -> str:
+    def forms(self, word: str) -> tuple[str, ...]:
         if word not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[word] = restored(word, self.model)
+            self.known[word] = tuple(dict.fromkeys(f for w, fixed in candidates(word) if (f := self.form(w, fixed))))
         return self.known[word]
 
+    def form(self, word: str, fixed: int | None) -> str:
+        if plain(word):
+            return "".join(chr(PRINT[LETTERS[min(ord(c), TABLE)]]) for c in word)
+        return restored(word, self.model, fixed)
+
+    def joined(self, singles: list[str], gaps: list[int], before: str, after: str) -> list[str]:
+        """Forms of characters spaced out: a word may begin at any of them, and end at the last one or at a wider gap; the
+        word before or after may be a part."""
+        found = []
+        for form in self.forms("".join(singles)):
+            found += [form[i : i + SPACED] for i in range(len(form))]
+        at = 0
+        for k, gap in enumerate(gaps, 1):
+            if gap > min(gaps):
+                found += self.forms("".join(singles[at:k]))
+                at = k
+        if at:
+            found += self.forms("".join(singles[at:]))
+        if len(before) <= SPACED:
+            found += self.forms("".join([before, *singles[:SPACED]]))
+            found += self.forms("".join([before, *singles, after])) if len(singles) <= SPACED and 0 < len(after) <= SPACED else ()
+        if 0 < len(after) <= SPACED:
+            for k in range(max(0, len(singles) - SPACED), len(singles)):
+                found += self.forms("".join([*singles[k:], after]))
+        return found
+
     def texts(self, texts: list[str | None]) -> list[str]:
         texts = [t or "" for t in texts]
         codes, begins = points(texts)
-        flat = PRINT[LETTERS[codes]].tobytes().decode("ascii")
-        ends = [*(begins[1:] - 1).tolist(), len(codes) - 1]
-        out = [flat[a - 1 : b + 1] for a, b in zip(begins.tolist(), ends, strict=True)]
+        folded = LETTERS[codes]
+        flat = PRINT[folded].tobytes().decode("ascii")
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (folded[1:] != folded[:-1]) | (folded[1:] == OTHER) | (folded[1:] == SPACE_CODE)
+        once = PRINT[folded[keep]].tobytes().decode("ascii").replace(" ", "~")
+        place = np.concatenate([[0], np.cumsum(keep)])
+        begin, end = begins.tolist(), [*(begins[1:] - 1).tolist(), len(codes) - 1]
+        more: dict[int, list[str]] = {}
         spots = disguised(codes)
         whose = np.searchsorted(begins, [a for a, _ in spots], "right") - 1
-        more: dict[int, list[str]] = {}
         for (a, b), k in zip(spots, whose.tolist(), strict=True):
-            at = int(begins[k])
-            seen = texts[k][a - at : b - at]
-            form = self.form("".join(seen.split()))
-            if len(seen) > len(form) + 2 and any(map(str.isspace, seen)):  # spaced out: a word may begin at any letter
-                form = " ".join(form[i : i + SPACED] for i in range(len(form)))
-            more.setdefault(k, []).append(form)
-        for k, forms in more.items():
-            out[k] += " ".join(forms) + " "  # forms are letters and spaces only
+            more.setdefault(k, []).extend(self.forms(texts[k][a - begin[k] : b - begin[k]]))
+        groups = spaced(codes, begins)
+        whose = np.searchsorted(begins, [g[0][0] for g, _, _ in groups], "right") - 1
+        for (group, before, after), k in zip(groups, whose.tolist(), strict=True):
+            cut = lambda s: texts[k][s[0] - begin[k] : s[1] - begin[k]] if s else ""  # noqa: B023, E731
+            gaps = [y[0] - x[1] for x, y in zip(group, group[1:], strict=False)]
+            more.setdefault(k, []).extend(self.joined([cut(s) for s in group], gaps, cut(before), cut(after)))
+        out = []
+        for k, (a, b) in enumerate(zip(begin, end, strict=True)):
+            forms = " ".join(more.get(k, ()))  # letters and spaces only
+            out.append(f"{flat[a - 1 : b + 1]}{forms} {once[place[a - 1] : place[b + 1]]}{single_copies(forms).replace(' ', '~')}~")
         return out
 
 
 def features(text: str) -> set[str]:
-    """Whole words, and beginnings of longer ones, of a folded text: the first as " word ", the others as " begin"."""
+    """Whole words, and beginnings of longer ones, of a folded text: the first as " word ", the others as " begin". Those with
+    doubled letters once have tildes for spaces."""
     found = set()
-    for w in set(text.split()):
-        found.add(f" {w} ")
-        found.update(f" {w[:n]}" for n in BEGINNINGS if len(w) >= n)
+    for part, c in zip(text.partition("~")[::2], " ~", strict=True):
+        for w in set(part.split(c)) - {""}:
+            found.add(f"{c}{w}{c}")
+            found.update(f"{c}{w[:n]}" for n in BEGINNINGS if len(w) >= n)
     return found
 
 
@@ -309,7 +408,8 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     The score comes from the highest chance among the lexicon's features in the whole restored text, shifted on the logit
     scale so that the lexicon's cut is 0.5; a text without any (also a null or empty one) counts with half the rate of
-    toxic texts. One row out per row in; an empty table gives no
+    toxic texts. Words without a letter, or disguised in a way that disguised(), spaced() and single_copies() don't name,
+    are read as they are. One row out per row in; an empty table gives no
     rows; other columns are ignored. No shuffle.
     """
 
