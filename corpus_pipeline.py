@@ -7,7 +7,6 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import language, minhash, packing, rules
 from tidemark.llm.common import checkpointed, table
@@ -17,12 +16,6 @@ from tidemark.llm.queries import pieces_of
 LEAST_SCORE = 0.3
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; its other columns don't matter. A null doc_id is not in anything."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the network knows, by its prediction; those without letters and unsure ones go."""
     return language.known_rows(docs, language.learned(docs, 4, 2), LEAST_SCORE)
@@ -34,8 +27,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near-duplicates of similarity 0.8 or more."""
-    return _only(docs, minhash.near_duplicates(docs, percent=80).where("kept"))
+    """One document, of the smallest doc_id, of each group of near-duplicates of similarity 0.8 or more; of repeated rows one.
+    Documents with a null doc_id stay."""
+    return minhash.kept_rows(docs, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

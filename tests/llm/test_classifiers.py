@@ -138,6 +138,23 @@ def test_pipeline(spark):
     assert set(last.doc_id) == set(left.doc_id) and (last.groupby("sequence_id").length.sum() <= 2048).all()
 
 
+def test_pipeline_ids(spark):
+    """Documents with a null doc_id stay, of repeated rows one does, and rows that share a doc_id are judged by their texts."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (1, text(2)), (1, text(2)), (1, text(2).upper()), (2, text(2)), (5, text(3)), (6, text(3)), (6, text(4)), (7, text(5)), (7, None), (7, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    got = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()))
+    assert found == sorted([(0, text(0)), (0, text(1)), (0, text(2)), (1, text(2)), (5, text(3)), (6, text(4)), (7, text(5)), (7, "")])
+    passed = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        passed = stage(spark, passed, SF)
+    assert passed.where("doc_id is null").count() == 3 and passed.where("doc_id = 1").count() == 1
+    last = corpus_pipeline.STAGES[3][1](spark, passed, SF)
+    assert last.where("piece = 0").count() == passed.count()
+
+
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_dedup", "packing"]

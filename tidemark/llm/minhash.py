@@ -82,6 +82,36 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
+def marked(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs (columns doc_id, text and others) with _fa and _fb, the fingerprint of each row's shingle set."""
+    at_text = next(k for k, n in enumerate(docs.columns) if n.lower() == "text")
+
+    def rows(batches):
+        for batch in batches:
+            at, text = 0, pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])
+            for part in parts(iter([text]), PART_BYTES):
+                found = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(part, size))
+                mark = np.frombuffer(found, "<i8").reshape(-1, 2)
+                own = batch.slice(at, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(mark[:, 0]), pa.array(mark[:, 1])], [*own.schema.names, "_fa", "_fb"])
+                at += part.num_rows
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(rows, f"{kinds}, _fa long, _fb long")
+
+
+def kept_rows(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps, each judged by its own doc_id and text: one row
+    of those that share both doc_id and shingle set (by a hash of all columns), and every row with a null doc_id."""
+    names = docs.columns
+    key = ["_id", "_fa", "_fb"]
+    kept = judged(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb")).distinct()
+    known = marked(docs.where("doc_id is not null"), size).withColumn("_id", F.col("doc_id").cast("long"))
+    row = F.struct(*[F.col(n) for n in names])
+    one = known.join(kept, key, "left_semi").groupBy(*key).agg(F.min_by(row, F.xxhash64(*names)).alias("_row"))
+    return one.select(*[F.col("_row").getField(n).alias(n) for n in names]).unionByName(docs.where("doc_id is null"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinates: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (columns doc_id, text).
 
@@ -101,6 +131,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
     doc_id has a null component and is kept. Rows that share a doc_id are judged each by its own text. An empty table
     gives no rows; other columns are ignored.
     """
+    return judged(docs, percent, size, coordinates).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, percent: int = 80, size: int = 5, coordinates: int = 48) -> DataFrame:
+    """near_duplicates() with the fingerprint (fa, fb) of each row's shingle set."""
     source = texts_of(docs)
     base = checkpointed(signatures(source, size, coordinates))
     able = base.where("doc_id is not null and n_shingles > 0")
@@ -141,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
     out = base.drop("sig").join(named, ["fa", "fb"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "fa", "fb").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
