@@ -101,7 +101,7 @@ def marked(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps, each judged by its own doc_id and text: one row
+    """The rows of docs, with all their columns, that near_duplicates() keeps, by doc_id and shingle set: one row
     of those that share both doc_id and shingle set (by a hash of all columns), and every row with a null doc_id."""
     names = docs.columns
     key = ["_id", "_fa", "_fb"]
@@ -128,8 +128,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
        have against the head (see _across), which leaves out pairs that can be links only if both go with the head.
 
     A pair at the limit is missed with probability 1e-7 at most, from the choice of t; nothing else is left out. A null
-    doc_id has a null component and is kept. Rows that share a doc_id are judged each by its own text. An empty table
-    gives no rows; other columns are ignored.
+    doc_id has a null component and is kept. Rows that share a doc_id have each the shingles of
+    its own text; but if that doc_id is the smallest of two sets, a link of one set counts for the other too. An empty
+    table gives no rows; other columns are ignored.
     """
     return judged(docs, percent, size, coordinates).select("doc_id", "n_shingles", "component_id", "kept")
 
