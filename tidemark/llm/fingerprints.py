@@ -119,32 +119,82 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
+def sort_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the key that rows are ordered by: order (doc_id, a null one first) and mark, a hash of the text."""
+    return texts_of(docs).withColumns({"order": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def group_of(order: np.ndarray, mark: np.ndarray, cut_order: np.ndarray, cut_mark: np.ndarray) -> np.ndarray:
+    """For each key the last cut (ascending keys) that is not above it; 0 for keys below the first."""
+    low, high = np.searchsorted(cut_order, order, "left"), np.searchsorted(cut_order, order, "right")
+    at = high - 1
+    for k in np.flatnonzero((high > low) & (mark < cut_mark[np.minimum(at, len(cut_mark) - 1)])):
+        at[k] = low[k] + np.searchsorted(cut_mark[low[k] : high[k]], mark[k], "right") - 1
+    return np.maximum(at, 0)
+
+
+def range_cuts(keyed: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (order, mark) of existing rows that begin about equal ranges by bytes of text, ascending; the first is the least.
+
+    Approximate quantiles of order make some four groups a range. An id that is several quantiles is hot: its rows are cut
+    by even steps of mark. Bytes and the least key are summed up by group: at most eight small rows for each range."""
+    steps = 4 * ranges
+    quantiles = keyed.agg(F.percentile_approx("order", [k / steps for k in range(1, steps)], 20 * steps)).first()[0]
+    if not quantiles:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    least, span = -(1 << 63), 1 << 64
+    pairs = [(v, least + k * span // n) for v, n in zip(value.tolist(), times.tolist(), strict=True) for k in range(n)]
+    fine_order, fine_mark = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+
+    def count(batches):
+        for batch in batches:
+            order, mark, size = (batch.column(c).to_numpy() for c in ("order", "mark", "size"))
+            below = (order < fine_order[0]).astype(np.int64)
+            group = np.where(below == 1, -1, group_of(order, mark, fine_order, fine_mark))
+            by = np.lexsort((mark, order, group))
+            first = by[np.flatnonzero(np.diff(group[by], prepend=-2))]
+            total = np.bincount(group + 1, weights=size)[group[first] + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(order[first]), pa.array(mark[first]), pa.array(total.astype(np.int64))], ["group", "order", "mark", "size"])
+
+    sized = keyed.select("order", "mark", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size"))
+    sums = sized.mapInArrow(count, "group long, order long, mark long, size long").groupBy("group").agg(F.min(F.struct("order", "mark")).alias("key"), F.sum("size").alias("size")).collect()
+    rows = sorted((r.key.order, r.key.mark, r.size) for r in sums)
+    goal, held, cuts = sum(r[2] for r in rows) / ranges, 0, []
+    for order, mark, size in rows:
+        if not cuts or held + size / 2 > goal * len(cuts):
+            cuts.append((order, mark))
+        held += size
+    return tuple(np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of docs and of its edited text, and their likeness.
 
     Edited: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document's text in
     ascending doc_id; after the last comes the first. near_edited and near_next compare the text's fingerprint with the
-    edited text's and the next document's. A null text is empty. Rows that share a doc_id are in order of text; a null
-    doc_id comes before all others; a single row is its own next. An empty table gives no rows; other columns are ignored.
+    edited text's and the next document's. A null text is empty. Rows that share a doc_id are in order of a 64-bit hash of
+    the text, then of the text; a null doc_id comes before all others; a single row is its own next. An empty table gives
+    no rows; other columns are ignored.
 
-    Rows are dealt once, by ranges of doc_id between approximate quantiles (existing ids, one for each partition); the row
-    that begins a range goes to the range before it as well, so that every row meets its next.
+    Rows are dealt once, by ranges of doc_id and hash of about equal bytes, each a partition of its own (see range_cuts());
+    the row that begins a range goes to the range before it as well, so that every row meets its next. Equal rows stay in
+    one range: they are streamed, and a text equal to the one before is not hashed again.
     """
-    source = texts_of(docs).withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    keyed = sort_keys(docs)
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = source.agg(F.min("order"), F.percentile_approx("order", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges + 1000)).first()
-    cuts = np.array(sorted({found[0], *(found[1] or [])}) if found[0] is not None else [], np.int64)
+    cut_order, cut_mark = range_cuts(keyed, ranges)
 
     def deal(batches):
         for batch in batches:
-            key = batch.column("order").to_numpy()
-            bucket = np.searchsorted(cuts, key, "right") - 1
-            head = np.flatnonzero(cuts[bucket] == key)
-            take = np.concatenate([np.arange(len(key)), head])
-            to = np.concatenate([bucket, (bucket[head] - 1) % len(cuts)])
-            twin = np.concatenate([np.zeros(len(key), bool), np.ones(len(head), bool)])
+            order, mark = batch.column("order").to_numpy(), batch.column("mark").to_numpy()
+            bucket = group_of(order, mark, cut_order, cut_mark)
+            head = np.flatnonzero((cut_order[bucket] == order) & (cut_mark[bucket] == mark))
+            take = np.concatenate([np.arange(len(order)), head])
+            to = np.concatenate([bucket, (bucket[head] - 1) % len(cut_order)])
+            twin = np.concatenate([np.zeros(len(order), bool), np.ones(len(head), bool)])
             at = pa.array(take)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "text", "order")), pa.array(to.astype(np.int32)), pa.array(twin)], ["doc_id", "text", "order", "bucket", "twin"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "text", "order", "mark")), pa.array(to.astype(np.int32)), pa.array(twin)], ["doc_id", "text", "order", "mark", "bucket", "twin"])
 
     def finish(rows, out):
         likes = likeness([(r[3], r[4]) for r in rows]), likeness([(r[3], r[5]) for r in rows])
@@ -175,5 +225,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if rows:
             yield finish(rows, names)
 
-    dealt = source.mapInArrow(deal, "doc_id long, text string, order long, bucket int, twin boolean").repartition(ranges, "bucket").sortWithinPartitions("bucket", "twin", "order", "text")
+    dealt = keyed.mapInArrow(deal, "doc_id long, text string, order long, mark long, bucket int, twin boolean").repartitionById(ranges, F.col("bucket")).sortWithinPartitions("twin", "order", "mark", "text")
     return dealt.mapInArrow(pair, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
