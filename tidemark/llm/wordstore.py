@@ -22,6 +22,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import texts_of, trim, utf8
 
@@ -223,7 +224,7 @@ def encoded_rows(docs: DataFrame, encoder: Callable[[], Callable], emit: Callabl
             code = run - np.repeat(np.concatenate([[0], run])[first], counts[counts > 0])
         return emit(x["doc_ids"], unpack(x["n_bytes"]).astype(np.int64), places, code, times, sizes, begins, ids)
 
-    ids = source.mapInArrow(distinct, "bucket int, chunk long, check long, words binary").repartition(buckets, "bucket").mapInArrow(encode, "bucket int, chunk long, check long, sizes binary, ids binary")
+    ids = source.mapInArrow(distinct, "bucket int, chunk long, check long, words binary").repartitionById(buckets, F.col("bucket")).mapInArrow(encode, "bucket int, chunk long, check long, sizes binary, ids binary")
     rows = source.mapInArrow(positions, "chunk long, check long, doc_ids array<long>, n_bytes binary, counts binary, codes binary, times binary, buckets binary")
     return rows.groupBy("chunk", "check").cogroup(ids.groupBy("chunk", "check")).applyInArrow(joined, schema)
 
