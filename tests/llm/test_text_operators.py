@@ -1,6 +1,7 @@
 """Token counts, BPE, rules, near-duplicates, fingerprints, packing and URL filters against brute force on small texts."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -51,11 +52,29 @@ def test_round_trip(docs, texts):
     for d, t in texts.items():
         ids = np.array(encoding.encode_ordinary(t), "<u4")
         assert got[d] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), t[:50]
+    assert list(map(tuple, tokens.decoded(spark_rows(docs.sparkSession, [(1, [5, 6]), (1, []), (None, None), (2, [10**6])]), path).sort("doc_id", F.length("data")).collect())) == [(None, b""), (1, b""), (1, b"&\'"), (2, b"")]
     few = docs.where("doc_id >= 1000000 or doc_id < 20")
     back = {r.doc_id: bytes(r.data).decode() for r in tokens.decoded(tokens.encoded(few, path, P.PATTERN), path).collect()}
     assert back == {d: texts[d] for d in back} and len(back) == few.count()
 
 
+def spark_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, ids array<int>")
+
+
+def test_changed_rows_are_refused(spark):
+    """Two passes over rows that change in between raise an error and give no rows."""
+    path = P.path("piece_bpe_32k.model")
+
+    def shuffled(frames):
+        for f in frames:
+            yield f.assign(text=[os.urandom(8).hex() for _ in f.doc_id])
+
+    odd = spark.range(200, numPartitions=2).withColumnRenamed("id", "doc_id").mapInPandas(shuffled, "doc_id long, text string")
+    with pytest.raises(Exception, match="changed between two passes"):
+        tokens.token_counts(odd, path).collect()
+
+
 def test_pieces_and_packing(docs, texts):
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = packing.packed(tokens.token_pieces(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), shard=200).collect()
@@ -192,6 +211,93 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
 
 
+def plain_mark(raw):
+    """A fingerprint byte by byte, by its definition."""
+
+    def ends(block):
+        out = []
+        for i in range(len(raw)):
+            h = 0
+            for k in range(i - 6, i + 1):
+                h = (h * 0x01000193 + (raw[k] if k >= 0 else 0)) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = (h * 0x2C1B3C6D) & 0xFFFFFFFF
+            h ^= h >> 13
+            if h % block == block - 1:
+                out.append(i + 1)
+        return out
+
+    def letters(cuts):
+        cuts = cuts[:63]
+        cuts += [len(raw)] if not cuts or cuts[-1] != len(raw) else []
+        return "".join(fingerprints.LETTERS[zlib.crc32(raw[a:b]) % 64] for a, b in zip([0, *cuts], cuts, strict=False))
+
+    if not raw:
+        return "3::"
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 3 and len(ends(block)) + 1 < 32:
+        block //= 2
+    return f"{block}:{letters(ends(block))}:{letters(ends(2 * block))}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    (p, *x), (q, *y) = (m.split(":") for m in (a, b))
+    best = 0.0
+    for i, j in ((0, 0), (1, 1), (0, 1), (1, 0)):
+        if int(p) << i != int(q) << j or not x[i] or not y[j]:
+            continue
+        short, long = sorted((x[i], y[j]), key=len)
+        if len(short) >= 7 and not any(short[k : k + 7] in long for k in range(len(short) - 6)):
+            continue
+        best = max(best, 1 - plain_distance(short, long) / len(long))
+    return best
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_fingerprints_by_definition(texts):
+    short = [t.encode() for t in texts.values() if len(t) < 2500][:60] + [b"ab" * 700, b"x" * 1500, bytes(range(256)) * 4]
+    marks = [plain_mark(t) for t in short]
+    assert [fingerprints.fingerprint(t) for t in short] == marks
+    near = [plain_mark(t[: len(t) // 2] + b"!" + t[len(t) // 2 :]) for t in short]
+    pairs = [*zip(marks, near, strict=True), *zip(marks, marks[1:], strict=False)]
+    assert fingerprints.likeness(pairs).tolist() == pytest.approx([plain_likeness(*p) for p in pairs])
+    assert sum(plain_likeness(*p) > 0.3 for p in pairs[: len(marks)]) > 30
+
+
+def test_fingerprints_of_shared_ids(spark):
+    """A hot id, null ids and equal rows: all rows in one chain by id, hash and text, whatever the ranges."""
+    rng = random.Random(9)
+    say = lambda: " ".join(rng.choice(["aa", "bbb", "cc", "ddd"]) + str(rng.randrange(99)) for _ in range(40))
+    rows = [(7, say()) for _ in range(60)] + [(None, say()) for _ in range(20)] + [(None, None)] * 5 + [(k, say()) for k in range(40)] + [(9, "same")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chain = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text or "") for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()))
+    want = Counter()
+    for k, (known, d, _, t) in enumerate(chain):
+        follows = chain[(k + 1) % len(chain)][3]
+        n = len(t) // 4
+        want[d if known else None, len(t), hashlib.sha256((t[: len(t) - n] + follows[:n]).encode()).hexdigest()] += 1
+    for partitions in ("1", "4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(docs).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
+
+
 def test_fingerprints(docs, texts):
     ids = sorted(texts)
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
@@ -209,18 +315,9 @@ def test_fingerprints(docs, texts):
 
 
 def test_edit_distances():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
-            row = new
-        return row[-1]
-
     rng = random.Random(2)
     pairs = [("".join(rng.choices("AB+", k=rng.randint(1, 64))), "".join(rng.choices("AB+", k=rng.randint(1, 64)))) for _ in range(200)]
-    assert fingerprints.edit_distances(pairs).tolist() == [plain(*p) for p in pairs]
+    assert fingerprints.edit_distances(pairs).tolist() == [plain_distance(*p) for p in pairs]
 
 
 RULES = urls.parse("allow com/\nblock example.com/en/\nallow www.example.com/en/\nblock net/es/\nblock net/fr/")

@@ -9,8 +9,10 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpointed
 from tidemark.llm.wordstore import LITERAL, encoded_rows, local_rows, row_ids
 
 #: Letters below this code point are letters to every Unicode version in use: such words are one pre-token.
@@ -80,7 +82,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     Pieces are counted once per distinct pre-token of the corpus, joined to each document's pre-token frequencies and
     summed. A null or empty text has 0 bytes and 0 tokens; a null doc_id and repeated rows stay, one row out per row in;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. Documents are read twice: rows that come in another order the
+    second time (no table or checkpoint) raise RuntimeError.
     """
 
     def emit(doc_id, n_bytes, places, words, times, sizes, begins, ids):
@@ -94,7 +97,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs: whole texts under a rank file, as tiktoken's encode_ordinary.
 
-    Null and empty texts have no ids; a null doc_id and repeated rows stay; an empty table gives no rows.
+    Null and empty texts have no ids; a null doc_id and repeated rows stay; an empty table gives no rows. Documents are
+    read twice: rows that come in another order the second time raise RuntimeError.
     """
 
     def emit(doc_id, n_bytes, places, words, times, sizes, begins, ids):
@@ -104,42 +108,71 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded_rows(docs, byte_encoder(ranks_path, pattern), emit, "doc_id long, ids array<int>")
 
 
-def byte_table(ranks_path: str) -> list[bytes]:
-    """The token-byte table of a rank file: a fixed vocabulary, some 50,000 rows, read where it is used."""
-    with open(ranks_path, "rb") as lines:
-        pairs = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines)]
-    found = [b""] * (max(k for k, _ in pairs) + 1)
-    for k, b in pairs:
-        found[k] = b
-    return found
+def vocabulary(ranks_path: str) -> pa.Table:
+    """The token-byte table of a rank file: id and bytes, one row for each token of a vocabulary of a fixed size. The driver
+    reads the file as tasks do for their encodings: it is beside the library, not on the cluster's store."""
+    _, ranks = byte_encoding(ranks_path, r".")
+    return pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
+
+
+def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """vocabulary() as a table of the session."""
+    return spark.createDataFrame(vocabulary(ranks_path))
 
 
 def decoded(ids: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id and data (binary) of rows of doc_id and ids, through the token-byte table. Null ids are as none."""
+    """doc_id and data (binary) of rows of doc_id and ids (array<int>), joined with the token-byte table.
+
+    Ids are exploded with their places, joined, and put together by place. Rows may share a doc_id or have none. Null or
+    empty ids give empty data; an id that the table lacks gives no bytes; an empty table gives no rows."""
+    spark = ids.sparkSession
+    # monotonically increasing ids tell rows apart: the rows are written before, so that they are read the same twice
+    rows = checkpointed(ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("_row")))
+    # a vocabulary of a fixed number of rows: its size does not grow with the data
+    one = rows.select("_row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(token_bytes(spark, ranks_path)), "id")
+    hexes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("bytes").alias("x")))), lambda t: t["x"]), "")
+    whole = one.groupBy("_row").agg(F.unhex(hexes).alias("data"))
+    return rows.select("doc_id", "_row").join(whole, "_row", "left").select("doc_id", F.coalesce("data", F.lit(b"")).alias("data"))
+
+
+def joined_bytes(ids: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, joined with the token-byte table: ids, where the bytes of each begin (one more), and the bytes."""
+    own = pa.table({"id": pa.array(np.unique(ids).astype(np.int32))}).join(table, "id", join_type="inner").sort_by("id")
+    offsets, data = utf8_like(own.column("bytes"))
+    return own.column("id").to_numpy(), offsets, data
 
-    def rows(batches):
-        found = byte_table(ranks_path)
-        for batch in batches:
-            data = [b"".join(map(found.__getitem__, x or ())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return ids.select("doc_id", "ids").mapInArrow(rows, "doc_id long, data binary")
+def utf8_like(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column without nulls."""
+    column = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return offsets - offsets[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and of the bytes they decode to, for every row of docs.
 
-    ids_sha256 is over little-endian unsigned 32-bit ids, decoded_sha256 over the bytes that the token-byte table gives
-    for them; both lowercase hex. Edge cases as in encoded(). Ids are digested where they are reassembled, not stored.
+    ids_sha256 is over little-endian unsigned 32-bit ids, decoded_sha256 over the bytes that the join of these ids with
+    the token-byte table gives; both lowercase hex. Edge cases as in encoded(); the rows must come in one order each time
+    (a table or a checkpoint), else RuntimeError. Ids are digested where they are reassembled, not stored: there each
+    chunk of documents joins its distinct ids with the table, and the bytes are put together by position.
     """
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(vocabulary(ranks_path))
 
     def emit(doc_id, n_bytes, places, words, times, sizes, begins, ids):
-        found = byte_table(ranks_path)
+        known, starts, data = joined_bytes(ids, table.value)
         n, of_ids, of_bytes = [], [], []
         for x in row_ids(places, words, sizes, begins, ids):
             n.append(len(x))
             of_ids.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-            of_bytes.append(hashlib.sha256(b"".join(map(found.__getitem__, x.tolist()))).hexdigest())
+            digest = hashlib.sha256()
+            for at in range(0, len(x), 1 << 19):
+                own = np.searchsorted(known, x[at : at + (1 << 19)])
+                length = starts[own + 1] - starts[own]
+                ends = np.cumsum(length)
+                digest.update(data[np.repeat(starts[own] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            of_bytes.append(digest.hexdigest())
         return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())})
 
     return encoded_rows(docs, byte_encoder(ranks_path, pattern), emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
