@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed
 
-#: Pieces in a shard, about. Each shard leaves a few sequences part-empty: under a thousandth of its own.
+#: Pieces in a shard, about: what one task packs in some seconds.
 SHARD = 50_000
 
 
@@ -48,20 +48,41 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def packed(pieces: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
     """pieces (columns doc_id, piece, length from 1 to capacity, and others) with sequence_id and offset.
 
-    Pieces are dealt by hash into shards of about shard pieces, each packed on its own in one task; sequence ids of shards
-    don't meet. Offsets are gapless from 0 within a sequence. Null doc_ids and repeated rows are pieces like any other; an
-    empty table gives no rows. Columns named sequence_id or offset are replaced.
+    Pieces are dealt by their place in the written table into shards of about shard pieces, each packed on its own in one
+    task. What lies in sequences that are part-empty then is dealt and packed again, together with that of all other
+    shards, until one shard holds it or nothing more is won: so shards don't each leave a remainder of their own. Equal rows
+    (whatever their doc_id) are dealt apart. Sequence ids of shards and rounds don't meet. Offsets are gapless from 0
+    within a sequence. Null doc_ids and repeated rows are pieces like any other; an empty table gives no rows. Columns named
+    sequence_id or offset are replaced.
     """
-    pieces = checkpointed(pieces.drop("sequence_id", "offset", "_shard"))
-    shards = max(1, -(-pieces.count() // shard))
-    names = pieces.columns
+    names = [n for n in pieces.columns if n.lower() not in ("sequence_id", "offset", "_shard")]
+    rows, done, turn = checkpointed(pieces.select(*names)), [], 0
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    count = rows.count()
 
-    def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-        bins, offset = place(rows.column("length").to_numpy(), capacity)
-        number = rows.column("_shard")[0].as_py()
-        return rows.select(names).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offset))
+    def packer(turn: int):
+        def pack(held: pa.Table) -> pa.Table:
+            held = held.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+            lengths = held.column("length").to_numpy()
+            bins, offset = place(lengths, capacity)
+            number = (turn << 24) + held.column("_shard")[0].as_py()
+            full = np.bincount(bins, weights=lengths)[bins] == capacity
+            return held.select(names).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offset)).append_column("_full", pa.array(full))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInArrow(pack, f"{kinds}, sequence_id long, offset long")
+        return pack
+
+    while True:
+        shards = max(1, -(-count // shard))
+        # places in a checkpoint are the same whenever they are read again
+        dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+        found = checkpointed(dealt.groupBy("_shard").applyInArrow(packer(turn), f"{kinds}, sequence_id long, offset long, _full boolean"))
+        rest = found.where("not _full").count() if shards > 1 else 0
+        if not rest or rest > count // 2:
+            done.append(found.drop("_full"))
+            break
+        done.append(found.where("_full").drop("_full"))
+        rows, count, turn = found.where("not _full").select(*names), rest, turn + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
