@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 #: An odd multiplier of rolling hashes, and its inverse modulo 2^64.
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 1 << 64)
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,24 +114,47 @@ def powers(n: int, base: int = PRIME) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _powers.get(str(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, SEGMENT), base, np.uint64)
         steps[0] = 1
         have = _powers[str(base)] = np.cumprod(steps, dtype=np.uint64)
-        if n > 1 << 25:  # not kept: one very long text must not hold its table for good
-            del _powers[str(base)]
     return have[:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from its bytes alone: a rolling polynomial by prefix sums, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers(len(data), INVERSE)[starts]
+    """A 64-bit hash of each span of data (ascending, apart) from its bytes alone: a rolling polynomial by prefix sums, then
+    mixed. Bytes are read in segments of bounded size; a longer span is folded from segments."""
+    value, at, n = np.zeros(len(starts), np.uint64), 0, len(starts)
+    while at < n:
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
+        if to == at + 1:
+            value[at] = folded_span(data[base : int(ends[at])])
+        else:
+            part = data[base : int(ends[to - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part)), out=sums[1:])
+            value[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * powers(len(part), INVERSE)[starts[at:to] - base]
+        at = to
     return mixed(value + (ends - starts).astype(np.uint64))
 
 
+def folded_span(span: np.ndarray) -> np.uint64:
+    """The polynomial of one span, segment by segment."""
+    total, scale = 0, 1
+    for at in range(0, len(span), SEGMENT):
+        part = span[at : at + SEGMENT].astype(np.uint64) + np.uint64(1)
+        total += int((part * powers(len(part))).sum(dtype=np.uint64)) * scale
+        scale = scale * pow(PRIME, SEGMENT, 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place (one more place than flags), in as few bytes as hold it."""
+    out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def windows(row_of_word: np.ndarray, size: int) -> np.ndarray:
     """First words of all windows of size words inside one row."""
     n = len(row_of_word) - size + 1

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import INVERSE, SPACE, kept_beside, mixed, parts, powers, texts_of, utf8, window_hashes, windows, word_hashes, words
+from tidemark.llm.common import SPACE, kept_beside, mixed, parts, running, texts_of, utf8, window_hashes, windows, word_hashes, words
 
 PART_BYTES = 1 << 20
 SYMBOLS = np.zeros(256, bool)
@@ -19,13 +19,14 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 class Limits:
     """least_words and repeat_percent make up the base rules; the others are shares of a text's word characters or lines.
 
-    n-gram shares count the characters of later copies only, from n = 5 on, as published for web text. Repeated lines
-    count against a text only if both their number and their characters are over the limits: a short text with one
-    boilerplate line twice stays."""
+    n-gram shares count the characters of later copies only, from n = 5 on, as published for web text. So does the share
+    of characters in repeated lines. The share of repeated lines themselves counts in texts of least_lines lines with words
+    or more: in a shorter one, a boilerplate line or two make up a third of all."""
 
     least_words: int = 10
     repeat_percent: int = 20
     ngram_shares: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    least_lines: int = 7
     line_share: float = 0.30
     line_char_share: float = 0.20
 
@@ -58,12 +59,14 @@ def measures(batch: pa.RecordBatch, limits: Limits) -> dict[str, np.ndarray]:
     offsets, data = utf8(batch.column("text"))
     n_rows = batch.num_rows
     starts, ends, row = words(offsets, data)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    points = running((data & 0xC0) != 0x80)
     chars = points[ends] - points[starts]
     per_row = lambda flags, weights=None: np.bincount(flags, weights=weights, minlength=n_rows)
     total = per_row(row, chars).astype(np.int64)
     n_words = per_row(row).astype(np.int64)
-    symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
+    symbols = running(SYMBOLS[data])
+    n_symbols = (symbols[offsets[1:]] - symbols[offsets[:-1]]).astype(np.int64)
+    del symbols
     salt = mixed(np.arange(1, n_rows + 1, dtype=np.uint64))
     hashes = word_hashes(data, starts, ends)
 
@@ -88,20 +91,17 @@ def measures(batch: pa.RecordBatch, limits: Limits) -> dict[str, np.ndarray]:
     line_row = np.concatenate([np.arange(n_rows), np.searchsorted(offsets, breaks, "right") - 1])
     line_row = np.sort(line_row)
     line_end = np.sort(np.concatenate([offsets[1:], breaks]))
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    solid = running(~SPACE[data])
     full = solid[line_end] > solid[line_start]
     line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
     line_chars = points[line_end] - points[line_start]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    value = (sums[line_end] - sums[line_start]) * powers(max(len(data), 1), INVERSE)[line_start] if len(line_start) else np.zeros(0, np.uint64)
-    _, later = repeated(mixed(value + (line_end - line_start).astype(np.uint64)) ^ salt[line_row])
+    _, later = repeated(word_hashes(data, line_start, line_end) ^ salt[line_row])
     dup_lines, lines = per_row(line_row[later]).astype(np.int64), per_row(line_row)
-    many = dup_lines > limits.line_share * np.maximum(lines, 1)
-    bad |= many & (per_row(line_row[later], line_chars[later]) > limits.line_char_share * np.maximum(per_row(line_row, line_chars), 1))
+    bad |= (lines >= limits.least_lines) & (dup_lines > limits.line_share * lines)
+    bad |= per_row(line_row[later], line_chars[later]) > limits.line_char_share * per_row(line_row, line_chars)
 
     failed = (n_words < limits.least_words) | (100 * repeat_words > limits.repeat_percent * n_words)
-    return {"n_words": n_words, "word_chars": total, "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]], "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad)}
+    return {"n_words": n_words, "word_chars": total, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad)}
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -122,5 +122,6 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs (with all their columns) that quality_rules() keeps, judged in place."""
+    """The rows of docs (with all their columns) that quality_rules() keeps, judged in place, each by its own text: rows with
+    a null doc_id and repeated rows stay or go like others; null and empty texts go; an empty table gives no rows."""
     return kept_beside(docs, lambda batch: (measures(part, limits)["kept"] for part in parts(iter([batch]), PART_BYTES)))
