@@ -15,9 +15,11 @@ from tidemark.llm.sample import bounded
 
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ALLOW, BLOCK = "allow", "block"
-NAMES = ("length", "host_length", "depth", "labels", "digit_share", "entropy", "parameters", "longest_digits", "hyphens", "secure", "fragment", "extension", "suffix_rate", "suffix_count", "tail_rate", "first_path_rate")
-#: Trees, their depth, step size, least rows in a leaf, bins of a feature.
-TREES, DEPTH, RATE, LEAST, BINS = 60, 3, 0.2, 20, 32
+NAMES = ("length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digits", "entropy", "host_entropy", "path_entropy", "parameters", "longest_digits", "hyphens", "secure", "fragment", "extension", "suffix_length", "suffix_letters", "suffix_rate")
+#: Trees, their depth, step size, least rows in a leaf, bins of a feature, folds of hosts.
+TREES, DEPTH, RATE, LEAST, BINS, FOLDS = 60, 3, 0.2, 20, 32, 5
+#: Labelled URLs that weigh as much as the overall rate in a suffix's rate.
+PRIOR = 20.0
 
 
 @dataclass(frozen=True)
@@ -54,17 +56,24 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def lexical(url: str | None, rates: dict[str, tuple[float, int]], prior: float) -> list[float]:
-    """The features of NAMES; rates: how often a suffix, a host's last two labels or a first path part is blocked."""
+def entropy(raw: bytes) -> float:
+    """Bits a byte."""
+    counts = np.bincount(np.frombuffer(raw, np.uint8))
+    share = counts[counts > 0] / max(1, len(raw))
+    return float(-(share * np.log2(share)).sum())
+
+
+def lexical(url: str | None, rate: float) -> list[float]:
+    """The features of NAMES; rate: how often labelled URLs of the suffix are blocked."""
     url = url or ""
     host, path = host_and_path(url)
     tail = url.partition("://")[2][len(host) + len(path) :]
-    counts = np.unique(np.frombuffer(url.encode(), np.uint8), return_counts=True)[1]
-    share = counts / counts.sum() if len(counts) else np.ones(1)
-    digits = re.findall(r"\d+", url)
-    keys = parts_of(host, path)
-    known = [rates.get(k, (prior, 0)) for k in keys]
-    return [len(url), len(host), path.count("/"), host.count(".") + 1, sum(map(len, digits)) / max(1, len(url)), float(-(share * np.log2(share)).sum()), tail.partition("#")[0].count("="), max(map(len, digits), default=0), url.count("-"), float(url.startswith("https:")), float("#" in tail), float(bool(re.search(r"\.\w+$", path))), known[0][0], np.log1p(known[0][1]), known[1][0], known[2][0]]
+    digits = re.findall(r"[0-9]+", url)
+    own = sum(c.isdigit() for c in host)
+    return [
+        len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(map(len, digits)) / max(1, len(url)), own, entropy(url.encode()), entropy(host.encode()), entropy(path.encode()),
+        tail.partition("#")[0].count("="), max(map(len, digits), default=0), url.count("-"), float(url.startswith("https:")), float("#" in tail), float(bool(re.search(r"\.\w+$", path))), len(suffix(host)), sum(c.isalpha() for c in suffix(host)), rate,
+    ]
 
 
 def host_and_path(url: str) -> tuple[str, str]:
@@ -72,10 +81,23 @@ def host_and_path(url: str) -> tuple[str, str]:
     return host.translate(SMALL), path
 
 
-def parts_of(host: str, path: str) -> tuple[str, str, str]:
-    labels = host.split(".")
-    first = path.split("/")[1] if path.startswith("/") else ""
-    return "s:" + labels[-1], "t:" + ".".join(labels[-2:]), "p:" + ("#" if first.isdigit() else first)
+def suffix(host: str) -> str:
+    return host.rpartition(".")[2]
+
+
+def suffix_rates(suffixes: list[str], hosts: list[str], blocked: np.ndarray) -> tuple[np.ndarray, dict[str, float], float]:
+    """Block rates of suffixes for URLs to learn from, each from the URLs of other folds of hosts only; those of all URLs, for
+    URLs to judge; and the overall rate, which stands in for unknown suffixes and smooths all."""
+    prior, names = float(blocked.mean()), sorted(set(suffixes))
+    number = {x: k for k, x in enumerate(names)}
+    at = np.array([number[x] for x in suffixes])
+    fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts])
+    cell = at * FOLDS + fold
+    total = np.bincount(cell, minlength=len(names) * FOLDS).reshape(-1, FOLDS)
+    bad = np.bincount(cell, weights=blocked, minlength=len(names) * FOLDS).reshape(-1, FOLDS)
+    rest, rest_bad = total.sum(axis=1)[at] - total[at, fold], bad.sum(axis=1)[at] - bad[at, fold]
+    whole = (bad.sum(axis=1) + PRIOR * prior) / (total.sum(axis=1) + PRIOR)
+    return (rest_bad + PRIOR * prior) / (rest + PRIOR), dict(zip(names, whole.tolist(), strict=True)), prior
 
 
 @dataclass
@@ -83,12 +105,15 @@ class Forest:
     edges: list[np.ndarray]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     start: float
-    rates: dict[str, tuple[float, int]]
+    rates: dict[str, float]
     prior: float
+    cut: float = 0.5
 
     def score(self, urls: list[str | None]) -> np.ndarray:
         """The chance that a URL is to be blocked."""
-        x = binned(np.array([lexical(u, self.rates, self.prior) for u in urls]).reshape(len(urls), len(NAMES)), self.edges)
+        ends = [suffix(host_and_path(u or "")[0]) for u in urls]
+        rows = [lexical(u, self.rates.get(e, self.prior)) for u, e in zip(urls, ends, strict=True)]
+        x = binned(np.array(rows).reshape(len(urls), len(NAMES)), self.edges)
         z = np.full(len(urls), self.start)
         for feature, split, value in self.trees:
             z += value[leaves(x, feature, split)]
@@ -108,28 +133,21 @@ def leaves(x: np.ndarray, feature: np.ndarray, split: np.ndarray) -> np.ndarray:
 
 
 def train(urls: list[str], blocked: np.ndarray) -> Forest:
-    """Logistic loss, second-order splits on histograms. One half of the URLs gives the rates of parts, the other the trees."""
-    prior = float(blocked.mean())
-    counts: dict[str, list[float]] = {}
-    half = np.array([zlib.crc32(u.encode()) & 1 for u in urls], bool)
-    if len({*blocked[half]}) < 2:
-        half[:] = True
-    for u, y in zip(np.array(urls, object)[~half] if not half.all() else urls, blocked[~half] if not half.all() else blocked, strict=True):
-        for k in parts_of(*host_and_path(u)):
-            c = counts.setdefault(k, [0.0, 0])
-            c[0] += float(y)
-            c[1] += 1
-    rates = {k: ((c[0] + 5 * prior) / (c[1] + 5), c[1]) for k, c in counts.items()}
-    urls, blocked = [u for u, h in zip(urls, half, strict=True) if h], blocked[half]
-    x = np.array([lexical(u, rates, prior) for u in urls])
+    """Logistic loss with both labels of equal weight in all, second-order splits on histograms. Rates of suffixes are cross-fitted by host, so that no URL sees the
+    labels of its own host in them; no other feature has seen a label."""
+    hosts = [host_and_path(u)[0] for u in urls]
+    ends = [suffix(h) for h in hosts]
+    own, rates, prior = suffix_rates(ends, hosts, blocked)
+    x = np.array([lexical(u, r) for u, r in zip(urls, own, strict=True)])
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     xb = binned(x, edges)
-    start = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
+    start = 0.0
+    weight = np.where(blocked == 1, 0.5 / max(prior, 1e-9), 0.5 / max(1 - prior, 1e-9))
     z, trees = np.full(len(urls), start), []
     inner = 2**DEPTH - 1
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-z))
-        g, h = blocked - p, p * (1 - p)
+        g, h = weight * (blocked - p), weight * p * (1 - p)
         feature, split, node = np.zeros(inner, np.int64), np.full(inner, BINS), np.zeros(len(urls), np.int64)
         for k in range(inner):
             mine = node == k
@@ -149,19 +167,44 @@ def train(urls: list[str], blocked: np.ndarray) -> Forest:
     return Forest(edges, trees, start, rates, prior)
 
 
-def learned(pages: DataFrame, bound: int = 20_000) -> Forest | None:
-    """Trees from about bound labelled URLs (columns url, label: allow or block); None if all have one label or none any."""
-    rows = bounded(pages.where(F.col("url").isNotNull() & F.col("label").isNotNull()), bound, "url", "page_id").select("url", "label").sort("url").collect()
+def precise_cut(score: np.ndarray, blocked: np.ndarray, precision: float) -> float:
+    """The least score from which on this part of the URLs is rightly blocked, or above all scores."""
+    order = np.argsort(-score, kind="stable")
+    right = np.cumsum(blocked[order]) / np.arange(1, len(order) + 1)
+    ends = np.append(score[order][1:] < score[order][:-1], True)  # a cut can't part equal scores
+    good = np.flatnonzero(ends & (right >= precision) & (np.arange(1, len(order) + 1) >= LEAST))
+    return float(score[order][good[-1]]) if len(good) else 1.1
+
+
+def learned(pages: DataFrame, bound: int = 20_000, precision: float = 0.9) -> Forest | None:
+    """Trees from about bound labelled URLs (columns url, host, label: allow or block); None if all have one label or none any.
+
+    The score from which on a URL is blocked is set on folds of hosts that the trees scoring them haven't seen, so that this
+    precision holds there. Null urls and labels don't count; repeated rows do, as often as they are there."""
+    rows = bounded(pages.where(F.col("url").isNotNull() & F.col("label").isNotNull()), bound, "url", "page_id").select("url", "label").sort("url", "label").collect()
     blocked = np.array([r.label == BLOCK for r in rows], float)
-    return train([r.url for r in rows], blocked) if 0 < blocked.sum() < len(blocked) else None
+    return fitted([r.url for r in rows], blocked, precision) if 0 < blocked.sum() < len(blocked) else None
+
+
+def fitted(urls: list[str], blocked: np.ndarray, precision: float, folds: int = 3) -> Forest:
+    fold = np.array([zlib.crc32(b"cut" + host_and_path(u)[0].encode()) % folds for u in urls])
+    names, score = np.array(urls, object), np.full(len(urls), 0.5)
+    for k in range(folds):
+        out = fold == k
+        if 0 < blocked[~out].sum() < (~out).sum():
+            score[out] = train(names[~out].tolist(), blocked[~out]).score(names[out].tolist())
+    forest = train(urls, blocked)
+    forest.cut = precise_cut(score, blocked, precision)
+    return forest
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.5) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...], precision: float = 0.9) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (columns page_id, url).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. Its verdict stands. The
-    URLs that rules fit are the labelled ones: trees learn from a bounded sample of them and judge the others (score is
-    the chance of block, also where a rule stands; block from threshold on). Without trees (one label only) the others are
+    URLs that rules fit are the labelled ones: trees learn from a bounded sample of them and judge the others. score is the
+    chance of block, also where a rule stands; others are blocked from the score on that keeps this precision on hosts
+    that the trees haven't seen, and allowed below. Without trees (one label only) the others are
     allowed. A null url has an empty host and path. Hosts keep other characters than A-Z as they are. One row out per row
     in; an empty table gives no rows; other columns are ignored. No shuffle.
     """
@@ -170,7 +213,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.5) ->
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fit")) if rules else F.lit(None).cast("string")
     rows = rows.withColumns({"rule": pick([r.host + r.path for r in rules]), "label": pick([r.verdict for r in rules])})
-    forest = learned(rows)
+    forest = learned(rows, precision=precision)
 
     def score(batches):
         for batch in batches:
@@ -178,5 +221,5 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.5) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "label")), pa.array(p, pa.float64())], ["page_id", "host", "path", "rule", "label", "score"])
 
     out = rows.select("page_id", "url", "host", "path", "rule", "label").mapInArrow(score, "page_id long, host string, path string, rule string, label string, score double")
-    own = F.when(F.col("score") >= threshold, BLOCK).otherwise(ALLOW)
+    own = F.when(F.col("score") >= (forest.cut if forest else 1.1), BLOCK).otherwise(ALLOW)
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "score")
