@@ -72,40 +72,47 @@ def pooled(net: Network, windows: np.ndarray, tables: dict[int, list[np.ndarray]
     return np.concatenate(values, axis=1), places
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean softmax cross-entropy of windows x with labels y, and its gradients in the order of weights()."""
+    z, places = pooled(net, x, net.tables())
+    pre = z + net.bias
+    h = np.maximum(pre, 0)
+    p = softmax(h @ net.out + net.out_bias)
+    loss = float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-30)).mean())
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = (p @ net.out.T) * (pre > 0)
+    of_byte, of_filters = np.zeros_like(net.byte), []
+    for k, w in enumerate(WIDTHS):
+        g = back[:, k * FILTERS : (k + 1) * FILTERS]
+        mine = np.zeros_like(net.filters[w])
+        for j in range(w):
+            seen = np.take_along_axis(x, places[w] + j, axis=1).astype(np.int64)
+            table = np.bincount((seen * FILTERS + np.arange(FILTERS)).ravel(), weights=g.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
+            mine[j] = net.byte.T @ table
+            of_byte += table @ net.filters[w][j].T
+        of_filters.append(mine)
+    return loss, [of_byte, *of_filters, back.sum(axis=0), h.T @ p, p.sum(axis=0)]
+
+
+def weights_of(net: Network) -> list[np.ndarray]:
+    return [net.byte, *net.filters.values(), net.bias, net.out, net.out_bias]
+
+
 def train(windows: np.ndarray, label: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Softmax cross-entropy by stochastic gradient descent with Adam's step sizes."""
+    """Stochastic gradient descent with Adam's step sizes."""
     net = blank(languages, seed)
     rng = np.random.default_rng(seed + 1)
-    weights = [net.byte, *net.filters.values(), net.bias, net.out, net.out_bias]
+    weights = weights_of(net)
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     total = max(1, epochs * -(-len(windows) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x, y = windows[pick], label[pick]
-            tables = net.tables()
-            z, places = pooled(net, x, tables)
-            pre = z + net.bias
-            h = np.maximum(pre, 0)
-            p = softmax(h @ net.out + net.out_bias)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ net.out.T) * (pre > 0)
-            grads = {"out": h.T @ p, "out_bias": p.sum(axis=0), "bias": back.sum(axis=0)}
-            of_byte, of_filters = np.zeros_like(net.byte), []
-            for k, w in enumerate(WIDTHS):
-                g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                mine = np.zeros_like(net.filters[w])
-                for j in range(w):
-                    seen = np.take_along_axis(x, places[w] + j, axis=1).astype(np.int64)
-                    table = np.bincount((seen * FILTERS + np.arange(FILTERS)).ravel(), weights=g.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
-                    mine[j] = net.byte.T @ table
-                    of_byte += table @ net.filters[w][j].T
-                of_filters.append(mine)
             step += 1
             now = rate * (1 - step / (total + 1))
-            for k, g in enumerate([of_byte, *of_filters, grads["bias"], grads["out"], grads["out_bias"]]):
+            for k, g in enumerate(gradients(net, windows[pick], label[pick])[1]):
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
                 weights[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -142,19 +149,18 @@ class Reader:
         return softmax(np.maximum(high + self.net.bias, 0) @ self.net.out + self.net.out_bias)
 
 
-def learned(docs: DataFrame, fold: int, out_rest: int, per_language: int = 500, per_text: int = 8) -> Network | None:
-    """A network from a bounded sample: about per_language labelled texts of each language, of each up to per_text windows
-    spread over the whole text. Rows whose crc32(doc_id as text) modulo fold is out_rest, or without lang, don't count."""
+def learned(docs: DataFrame, fold: int, out_rest: int, per_language: int = 300) -> Network | None:
+    """A network from about per_language labelled texts of each language (see sample.bounded()), of each its whole text.
+
+    Rows whose crc32(doc_id as text) modulo fold is out_rest, with a null doc_id or without lang or text don't count;
+    repeated rows count as often as they are there, and an id with two languages for both. None without any row."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~crc_rest(fold).isin(out_rest, -1))
-    taken = bounded(labelled.select("doc_id", "lang", "text"), per_language, "doc_id", by="lang").select("lang", "text")
+    taken = bounded(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), per_language, "doc_id", by="lang").select("lang", "text")
 
     def cut(batches):
         for batch in parts(batches, 4 << 20):
             windows, row, _ = windows_of(*utf8(batch.column("text")))
-            many = np.bincount(row, minlength=batch.num_rows)
-            base = np.cumsum(many) - many
-            pick = np.concatenate([b + np.unique(np.linspace(0, n - 1, min(n, per_text)).astype(int)) for b, n in zip(base, many, strict=True) if n] or [np.zeros(0, int)])
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row[pick])), pa.array([w.tobytes() for w in windows[pick]], pa.binary())], ["lang", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row)), pa.array([w.tobytes() for w in windows], pa.binary())], ["lang", "window"])
 
     rows = taken.mapInArrow(cut, "lang string, window binary").sort("lang", "window").toArrow()
     if not rows.num_rows:
@@ -201,7 +207,9 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def known_rows(docs: DataFrame, net: Network | None, least_score: float) -> DataFrame:
-    """The rows of docs (with all their columns) whose prediction is a language, of least_score at least, judged in place."""
+    """The rows of docs (with all their columns) whose prediction is a language, of least_score at least, judged in place,
+    each by its own text: a null doc_id and repeated rows change nothing, null texts and those without letters go, and all
+    go without a network. An empty table gives no rows."""
     readers: list[Reader] = []
 
     def judge(batch):

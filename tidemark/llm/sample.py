@@ -11,16 +11,17 @@ def unit(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
 
 
-def bounded(rows: DataFrame, bound: int, *columns: str, by: str | None = None) -> DataFrame:
+def bounded(rows: DataFrame, bound: int, *columns: str, by: str | None = None, most: int = 1000) -> DataFrame:
     """About bound rows (for each value of by) with the smallest hashes of columns; all of them if there are fewer.
 
-    Values of by are counted first: one small row for each. Which rows are taken depends on their own columns only.
-    """
+    Which rows are taken depends on their own columns only; equal rows are taken all or not at all. Of by, the most common
+    values (most at most, ties by value) are counted first, one small row for each; rows of other values, and of null, are
+    left out. An empty table gives no rows."""
     if by is None:
         n = rows.count()
         return rows.where(unit(*columns) < bound / max(n, 1))
-    shares = {r[0]: bound / r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}
-    if not shares:
+    common = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
+    if not common:
         return rows.where(F.lit(False))
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    share = F.create_map(*[F.lit(x) for r in common for x in (r[0], bound / r[1])])
     return rows.where(unit(*columns) < F.element_at(share, F.col(by)))
