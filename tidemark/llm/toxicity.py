@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from math import lgamma
 
 import ahocorasick
 import numpy as np
@@ -31,12 +30,14 @@ BREAKS = ".-_*~^'"
 #: Log probabilities of the channel: a letter as itself, a sign for a letter, a break dropped, a letter's copy dropped,
 #: a star for any letter, a sign that stands for nothing.
 PLAIN, SIGN, BREAK, COPY, STAR, LOST = -0.01, -1.0, -0.7, -2.0, -2.0, -12.0
-#: Letters of a lattice; a longer word is read piece by piece.
-LATTICE = 48
 #: Lengths of word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 5, 6)
-#: Letters of a word that is looked for in spaced-out letters.
+#: Letters of a word that is looked for as a whole in spaced-out letters; a longer one is found by its beginning.
 SPACED = 16
+#: Folds of the labelled sample; the weight of the squared weights, and rounds of training.
+FOLDS, RIDGE, ROUNDS = 5, 1.0, 300
+#: Copies of a sample's text with the features of one word only (see single_words()).
+COPIES_EACH = 2
 #: A letter three times in a row; a sign more than twice in a row; a letter and its copies.
 THRICE, MANY, COPIES = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}", re.DOTALL), re.compile(r"([a-z])\1+")
 PART_BYTES = 1 << 20
@@ -129,24 +130,37 @@ def readings(word: str, fixed: int | None = None) -> list[list[tuple[int, float]
     return out
 
 
+def without_end(word: str) -> str:
+    """A word without the signs at its end."""
+    n = len(word)
+    while n and not word[n - 1].isalnum():
+        n -= 1
+    return word[:n]
+
+
 def restored(word: str, model: list | np.ndarray, fixed: int | None = None) -> str:
-    """The most likely letters behind a word, between spaces. A word of more than LATTICE characters is read in pieces.
-    Signs at the end stand for nothing, or, from fixed on, for letters."""
-    while fixed is None and word and not word[-1].isalnum():
-        word = word.rstrip(word[-1])
-    if len(word) > LATTICE:
-        return "".join(restored(word[i : i + LATTICE], model, None if fixed is None else max(0, fixed - i)) for i in range(0, len(word), LATTICE))
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely letters behind a word, between spaces: one pass over it, with a back pointer for each pair of last
+    letters (28 x 28 at most) at each character. Signs at the end stand for nothing, or, from fixed on, for letters."""
+    word = without_end(word) if fixed is None else word
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], int]]] = []
     for options in readings(word, fixed):
-        then: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        then: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], int]] = {}
+        for (a, b), score in best.items():
             for k, cost in options:
-                to, now, more = ((a, b), score + cost, text) if k < 0 else ((b, k), score + cost + model[a][b][k], text + chr(PRINT[k]))
-                if to not in then or now > then[to][0]:
-                    then[to] = (now, more)
-        paths = then
-    ends = [(score + model[a][b][0], text) for (a, b), (score, text) in paths.items()]
-    return max(ends)[1]
+                to, now = ((a, b), score + cost) if k < 0 else ((b, k), score + cost + model[a][b][k])
+                if to not in then or now > then[to]:
+                    then[to], back[to] = now, ((a, b), k)
+        best = then
+        steps.append(back)
+    state = max(best, key=lambda s: (best[s] + model[s[0]][s[1]][0], s))
+    letters = []
+    for back in reversed(steps):
+        state, k = back[state]
+        if k >= 0:
+            letters.append(chr(PRINT[k]))
+    return "".join(reversed(letters))
 
 
 def plain(word: str) -> bool:
@@ -157,17 +171,16 @@ def plain(word: str) -> bool:
 def candidates(word: str) -> list[tuple[str, int | None]]:
     """The ways to read a word: without signs at its end; without those at its beginning as well; with one, two and so on
     of the signs at its end as letters; with each star as a letter. With each the place from which on signs are letters."""
-    core = word
-    while core and not core[-1].isalnum():
-        core = core.rstrip(core[-1])
+    core = without_end(word)
     found: list[tuple[str, int | None]] = [(core, None)]
     first = next((k for k, c in enumerate(core) if c.isalnum()), 0)
     if first:
         found.append((core[first:], None))
-    for k, c in enumerate(MANY.sub(r"\1\1", word[len(core) :])[:SPACED]):
+    end = MANY.sub(r"\1\1", word[len(core) :])[:SPACED]
+    for k, c in enumerate(end):
         if c not in SIGNS and c != "*":
             break
-        found.append((core + MANY.sub(r"\1\1", word[len(core) :])[: k + 1], len(core)))
+        found.append((core + end[: k + 1], len(core)))
     if "*" in core:
         found.append((core, 0))
     return found
@@ -317,118 +330,198 @@ def features(text: str) -> set[str]:
 
 
 @dataclass
-class Lexicon:
-    """Features that mark toxic texts, with the chance that a text with one is toxic; that of a text without any; and the
-    chance from which on a text counts as toxic."""
+class Scorer:
+    """Weights of features under a logistic regression, its bias, and the log odds from which on a text counts as toxic."""
 
-    chance: dict[str, float]
-    base: float
+    weights: dict[str, float]
+    bias: float
     cut: float
     model: np.ndarray
 
 
-def tail(n: int, k: int, p: float) -> float:
-    """The chance of k or more of n at rate p, from above."""
-    if k <= n * p:
-        return 1.0
-    p = min(max(p, 1e-9), 1 - 1e-9)
-    first = np.exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * np.log(p) + (n - k) * np.log(1 - p))
-    ratio = (n - k) / (k + 1) * p / (1 - p)
-    return float(first / max(1e-9, 1 - ratio))
-
-
-def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 20_000, least: int = 4, precision: float = 0.7, false_rate: float = 0.05) -> Lexicon:
-    """A lexicon from about bound labelled documents in all, none of the fold that is held out.
-
-    A feature is taken if least toxic texts have it, precision of the texts with it are toxic, and so many would be so by
-    chance for false_rate features in all at most. Words of one toxic text and its copies still pass; so the cut is set
-    where the sample's labels part best. The character model counts all texts."""
+def regression(row: np.ndarray, at: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features: text row[i] has feature at[i] of size. Gradient descent with Adam's steps."""
+    w, n, first, second = np.zeros(size + 1), len(label), np.zeros(size + 1), np.zeros(size + 1)
+    w[size] = np.log((label.sum() + 1) / (n - label.sum() + 1))
+    for step in range(1, ROUNDS + 1):
+        z = np.bincount(row, weights=w[at], minlength=n) + w[size]
+        error = 1 / (1 + np.exp(-z)) - label
+        g = np.append(np.bincount(at, weights=error[row], minlength=size) + RIDGE * w[:size], error.sum())
+        first += 0.1 * (g - first)
+        second += 0.001 * (g * g - second)
+        w -= 0.1 * (1 - step / (ROUNDS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+    return w[:size], float(w[size])
+
+
+def single_words(row: np.ndarray, at: np.ndarray, group: np.ndarray, label: np.ndarray, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts, and of each one with more than one group of features this many copies that keep one group only, in turn.
+
+    Toxic texts mostly hold several of their words. Without such copies each word would get a part of their weight, and a
+    text with one of them alone would pass."""
+    rows, ats, labels = [row], [at], [label]
+    n, own = len(label), group[at]
+    pair = np.unique(np.stack([row, own], axis=1), axis=0)
+    first = np.searchsorted(pair[:, 0], np.arange(n + 1))
+    many = np.diff(first)
+    for c in range(copies):
+        take = np.flatnonzero(many > c if c else many > 1)
+        kept = np.full(n, -1)
+        kept[take] = pair[first[take] + (c * 7919 + take) % many[take], 1] if len(take) else 0
+        keep = kept[row] == own
+        number = np.full(n, -1)
+        number[take] = np.arange(len(take)) + sum(map(len, labels))
+        rows.append(number[row[keep]])
+        ats.append(at[keep])
+        labels.append(label[take])
+    return np.concatenate(rows), np.concatenate(ats), np.concatenate(labels)
+
+
+def telling(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, least: int, deviations: float) -> np.ndarray:
+    """Which features least toxic texts have, at more than twice the rate of clean texts, and so many standard deviations
+    over what toxic texts would have by chance."""
+    rate = n_toxic / max(1, n_clean + n_toxic)
+    chance = (clean + toxic) * rate
+    over = toxic - chance > deviations * np.sqrt(chance * (1 - rate) + 1e-9)
+    return (toxic >= least) & over & (toxic * max(1, n_clean) > 2 * (clean + 1) * max(1, n_toxic))
+
+
+def fit(names: list[str], counts: np.ndarray, totals: np.ndarray, row: np.ndarray, at: np.ndarray, label: np.ndarray, fold: np.ndarray, least: int, deviations: float, alarms: float) -> tuple[dict[str, float], float, float]:
+    """Weights, bias and cut. counts: texts with each name by fold and label (clean, toxic); totals: texts by fold and label;
+    text row[i] has feature names[at[i]]; label and fold of each text.
+
+    Each fold's texts are scored by features and weights from the other folds; the cut lets through the part alarms of
+    clean texts as false alarms at most."""
+
+    def part(out: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        own = np.arange(FOLDS) != (-1 if out is None else out)
+        taken = np.flatnonzero(telling(*counts[:, own].sum(axis=1).T, *totals[own].sum(axis=0), least, deviations))
+        place = np.full(len(names), -1)
+        place[taken] = np.arange(len(taken))
+        use = (place[at] >= 0) & own[fold[row]]
+        texts = np.flatnonzero(own[fold])
+        number = np.full(len(label), -1)
+        number[texts] = np.arange(len(texts))
+        more = single_words(number[row[use]], place[at[use]], group[taken], label[texts].astype(float), COPIES_EACH)
+        return taken, *regression(*more, len(taken))
+
+    group = np.unique([f.strip(" ~")[: BEGINNINGS[0]] for f in names], return_inverse=True)[1]
+    z = np.zeros(len(label))
+    for k in range(FOLDS):
+        taken, w, bias = part(k)
+        weight = np.zeros(len(names))
+        weight[taken] = w
+        z[fold == k] = (np.bincount(row, weights=weight[at], minlength=len(label)) + bias)[fold == k]
+    taken, w, bias = part(None)
+    return dict(zip([names[k] for k in taken], w.tolist(), strict=True)), bias, lowest_cut(z, label, alarms)
+
+
+def lowest_cut(z: np.ndarray, label: np.ndarray, alarms: float) -> float:
+    """The least log odds, none under those of one in five, over which at most the part alarms of clean texts lie."""
+    clean = np.sort(z[label == 0])
+    if not len(clean):
+        return 0.0
+    edge = clean[max(0, len(clean) - 1 - int(alarms * len(clean)))]
+    return float(max(edge + 1e-6, logit(0.2)))
+
+
+def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 20_000, least: int = 4, deviations: float = 6.0, alarms: float = 0.01) -> Scorer:
+    """A scorer from about bound labelled documents in all, none of the fold that is held out.
+
+    Texts with each feature are counted in Spark by label and fold of the sample; telling() ones and the sample's texts as
+    lists of them go to the driver, where fit() trains. A doc_id with two labels or texts counts with each; null ids,
+    texts and labels don't count. The character model counts all texts. Without toxic or without clean texts no feature
+    is taken."""
     model = language_model(trigram_counts(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~crc_rest(fold).isin(out_rest, -1))
-    taken = texts_of(docs).join(F.broadcast(bounded(known, bound, "doc_id")), "doc_id")
+    own = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    taken = texts_of(docs).where("text is not null").join(F.broadcast(bounded(known, bound, "doc_id")), "doc_id").select("text", "label", own)
+    names = [f"n{k}" for k in range(2 * FOLDS)]
 
     def count(batches):
         restorer = Restorer(model)
         for batch in parts(batches, 4 << 20):
-            n: dict[str, list[int]] = {}
-            label = batch.column("label").to_pylist()
-            for text, y in zip(restorer.texts(batch.column("text").to_pylist()), label, strict=True):
+            n: dict[str, list[int]] = {"": [0] * (2 * FOLDS)}
+            cells = (2 * batch.column("fold").to_numpy() + batch.column("label").to_numpy()).tolist()
+            for text, k in zip(restorer.texts(batch.column("text").to_pylist()), cells, strict=True):
+                n[""][k] += 1
                 for f in features(text):
-                    n.setdefault(f, [0, 0])[y] += 1
-            rows = [("", label.count(0), label.count(1)), *((f, a, b) for f, (a, b) in n.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["feature", "clean", "toxic"])
-
-    sums = taken.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = sums.where(F.col("feature").eqNullSafe("") | ((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("clean") + F.col("toxic"))))).collect()
-    clean, toxic = next(((r.clean, r.toxic) for r in rows if not r.feature), (0, 0))
-    rate = toxic / max(1, clean + toxic)
-    rows = [r for r in rows if r.feature]
-    limit = false_rate / max(1, 20 * (clean + toxic))  # a text brings some 20 new features that others share
-    good = {r.feature: (r.toxic, r.clean) for r in rows if tail(r.clean + r.toxic, r.toxic, rate) <= limit}
-    base = min(0.49, 0.5 * rate)
-
-    def judge(batches):  # each text by the others' counts
-        restorer = Restorer(model)
+                    n.setdefault(f, [0] * (2 * FOLDS))[k] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), *(pa.array(c) for c in zip(*n.values(), strict=True))], ["feature", *names])
+
+    kinds = ", ".join(f"{c} long" for c in names)
+    sums = taken.mapInArrow(count, f"feature string, {kinds}").groupBy("feature").agg(*[F.sum(c).alias(c) for c in names])
+    toxic = sum(F.col(f"n{2 * k + 1}") for k in range(FOLDS))
+    clean = sum(F.col(f"n{2 * k}") for k in range(FOLDS))
+    rows = sums.where(F.col("feature").eqNullSafe("") | ((toxic >= least) & (toxic > 0.02 * clean))).toArrow()
+    found = rows.column("feature").to_pylist()
+    counts = np.stack([rows.column(c).to_numpy() for c in names], axis=1).reshape(-1, FOLDS, 2) if found else np.zeros((0, FOLDS, 2), np.int64)
+    at_all = [k for k, f in enumerate(found) if f == ""]
+    totals = counts[at_all].sum(axis=0)
+    # a feature that is telling without one fold, or by all
+    some = telling(*counts.sum(axis=1).T, *totals.sum(axis=0), least, deviations)
+    for k in range(FOLDS):
+        own_ = np.arange(FOLDS) != k
+        some |= telling(*counts[:, own_].sum(axis=1).T, *totals[own_].sum(axis=0), least, deviations)
+    some[at_all] = False
+    order = sorted(np.flatnonzero(some).tolist(), key=lambda k: found[k])
+    chosen, counts = [found[k] for k in order], counts[order]
+    if not chosen:
+        rate = (totals[:, 1].sum() + 1) / (totals.sum() + 2)
+        return Scorer({}, float(logit(min(rate, 0.4))), 0.0, model)
+
+    def lists(batches):
+        restorer, find = Restorer(model), Finder({f: k for k, f in enumerate(chosen)})
         for batch in parts(batches, 4 << 20):
-            label = batch.column("label").to_pylist()
-            texts = restorer.texts(batch.column("text").to_pylist())
-            best = [max((chance(good[f][0] - y, good[f][1] - 1 + y, rate) for f in features(t) if f in good), default=base) for t, y in zip(texts, label, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(best, pa.float64())], ["label", "best"])
+            hits = [sorted(find(t)) for t in restorer.texts(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(hits, pa.list_(pa.int32()))], ["label", "fold", "at"])
 
-    known = taken.mapInArrow(judge, "label int, best double").toArrow()
-    return Lexicon({f: chance(t, c, rate) for f, (t, c) in good.items()}, base, cut(known.column("best").to_numpy(), known.column("label").to_numpy()), model)
+    sample = taken.mapInArrow(lists, "label int, fold int, at array<int>").sort("at", "label", "fold").toArrow()
+    lengths = np.array([len(x) for x in sample.column("at").to_pylist()], np.int64)
+    row = np.repeat(np.arange(sample.num_rows), lengths)
+    at = sample.column("at").combine_chunks().flatten().to_numpy().astype(np.int64)
+    weights, bias, cut = fit(chosen, counts, totals, row, at, sample.column("label").to_numpy(), sample.column("fold").to_numpy(), least, deviations, alarms)
+    return Scorer(weights, bias, cut, model)
 
 
-def chance(toxic: int, clean: int, rate: float) -> float:
-    return (toxic + rate) / (toxic + clean + 1)
+def logit(p):
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
 
 
-def cut(best: np.ndarray, label: np.ndarray) -> float:
-    """The lowest chance that parts the labels with fewest errors, give or take their standard error: the middle of its range
-    on the logit scale."""
-    values, place = np.unique(best, return_inverse=True)
-    if len(values) < 2 or not 0 < label.sum() < len(label):
-        return 0.5
-    toxic, clean = np.bincount(place, weights=label), np.bincount(place, weights=1 - label)
-    errors = np.cumsum(toxic)[:-1] + clean.sum() - np.cumsum(clean)[:-1]  # with the cut after each value but the last
-    first = int(np.flatnonzero(errors <= errors.min() + errors.min() ** 0.5)[0])
-    last = first
-    while last + 1 < len(errors) and errors[last + 1] == errors[first]:
-        last += 1
-    return float(1 / (1 + np.exp(-(logit(values[first]) + logit(values[last + 1])) / 2)))
+class Finder:
+    """Values of the features that a folded text has, each once."""
 
+    def __init__(self, values: dict[str, object]):
+        self.find = ahocorasick.Automaton()
+        for f, v in values.items():
+            self.find.add_word(f, (f, v))
+        if values:
+            self.find.make_automaton()
 
-def logit(p):
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.log(p / (1 - p))
+    def __call__(self, text: str) -> list:
+        return list({f: v for _, (f, v) in self.find.iter(text)}.values()) if len(self.find) else []
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score (0 to 1, higher: toxic likelier) and predicted (1 if score >= 0.5) of every row of docs.
 
-    The score comes from the highest chance among the lexicon's features in the whole restored text, shifted on the logit
-    scale so that the lexicon's cut is 0.5; a text without any (also a null or empty one) counts with half the rate of
-    toxic texts. Words without a letter, or disguised in a way that disguised(), spaced() and single_copies() don't name,
-    are read as they are. One row out per row in; an empty table gives no
-    rows; other columns are ignored. No shuffle.
+    The score is the logistic function of the summed weights of all features in the whole restored text, shifted so that
+    the scorer's cut is 0.5; a text without any (also a null or empty one) has the score of the bias. Words without a
+    letter, or disguised in a way that disguised(), spaced() and single_copies() don't name, are read as they are. One row
+    out per row in, also of repeated rows and null ids; an empty table gives no rows; other columns are ignored. No shuffle.
     """
 
     def rows(batches):
-        restorer, find = Restorer(lexicon.model), ahocorasick.Automaton()
-        for f, p in lexicon.chance.items():
-            find.add_word(f, p)
-        if len(find):
-            find.make_automaton()
+        restorer, find = Restorer(scorer.model), Finder(scorer.weights)
         for batch in parts(batches, PART_BYTES):
-            texts = restorer.texts(batch.column("text").to_pylist())
-            score = np.array([max((p for _, p in find.iter(t)), default=lexicon.base) if len(find) else lexicon.base for t in texts], float)
-            score = 1 / (1 + np.exp(logit(lexicon.cut) - logit(score)))
+            z = np.array([sum(find(t)) for t in restorer.texts(batch.column("text").to_pylist())], float) + scorer.bias - scorer.cut
+            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return texts_of(docs).mapInArrow(rows, "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, out_rest: int = 0) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row: scored() by a lexicon learned() from labels.toxic of other folds."""
+    """doc_id, held_out, score and predicted of every row: scored() by a scorer learned() from labels.toxic of other folds."""
     found = scored(docs, learned(docs, labels, fold, out_rest))
     return found.select("doc_id", (crc_rest(fold) == out_rest).alias("held_out"), "score", "predicted")
