@@ -1,5 +1,7 @@
 """Learned operators by held-out accuracy, and edge cases of every operator."""
 
+import itertools
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -26,6 +28,70 @@ def test_language(docs):
     assert got.score.between(0, 1).all()
 
 
+def test_gradients_are_those_of_the_loss():
+    """By differences, at weights of every layer."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(97, 110, (12, language.WINDOW)).astype(np.uint8), rng.integers(0, 3, 12)
+    net = language.blank(["a", "b", "c"], 5)
+    net.byte, net.filters = net.byte.astype(np.float64), {w: f.astype(np.float64) for w, f in net.filters.items()}
+    net.bias, net.out, net.out_bias = net.bias.astype(np.float64) + 0.1, net.out.astype(np.float64), net.out_bias.astype(np.float64)
+    _, grads = language.gradients(net, x, y)
+    checked = 0
+    for w, g in zip(language.weights_of(net), grads, strict=True):
+        flat, own = w.reshape(-1), g.reshape(-1)
+        for k in np.argsort(-np.abs(own))[:8]:
+            was, step = flat[k], 1e-6
+            flat[k] = was + step
+            up = language.gradients(net, x, y)[0]
+            flat[k] = was - step
+            down = language.gradients(net, x, y)[0]
+            flat[k] = was
+            assert own[k] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-7)
+            checked += 1
+    assert checked >= 40
+
+
+def test_lattice_by_enumeration():
+    """The restored form is the best of all ways through a small lattice."""
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
+    for word in ("1d1ot", "a$$", "s.t.u", "b*d", "aab", "h3||0", "x(!)", "no", "0", "t--o", "s$5s"):
+        for fixed in (None, 0, 1):
+            if fixed is None and not any(c.isalnum() for c in word):
+                continue
+            core = toxicity.without_end(word) if fixed is None else word
+            best = []
+            for way in itertools.product(*toxicity.readings(core, fixed)):
+                a = b = 0
+                score, text = 0.0, ""
+                for k, cost in way:
+                    score += cost
+                    if k >= 0:
+                        score, text, a, b = score + model[a][b][k], text + chr(toxicity.PRINT[k]), b, k
+                best.append((score + model[a][b][0], text))
+            top = max(best)[0]
+            assert toxicity.restored(word, model, fixed) in {t for v, t in best if v > top - 1e-9}, word
+
+
+def test_long_words_are_restored_whole():
+    """In one pass, however long: nothing is cut, and time is in proportion."""
+    model = np.log(np.full((toxicity.SIZE,) * 3, 1 / toxicity.SIZE)).tolist()
+    assert toxicity.restored("1d1ot" * 2000, model).count("d") == 2000
+    assert toxicity.candidates("a" + "!?" * 200_000)[0] == ("a", None)
+
+
+def test_regression_and_cut():
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 2, 600)
+    has = np.stack([np.where(rng.random(600) < 0.9, label, 1 - label), rng.integers(0, 2, 600)], axis=1)
+    row, at = np.nonzero(has)
+    w, bias = toxicity.regression(row, at, label.astype(float), 2)
+    assert w[0] > 2 and abs(w[1]) < 0.5 and bias < 0
+    z = np.arange(1000) / 100.0
+    assert (z[:500] >= toxicity.lowest_cut(z[:500], np.zeros(500), 0.01)).sum() == 5
+    assert toxicity.lowest_cut(np.array([-9.0, 3.0]), np.array([0, 1]), 0.01) == pytest.approx(np.log(0.25))
+
+
 def test_language_gradients():
     """The network's steps lower the loss, and the reader of whole texts agrees with the trained layers."""
     rng = np.random.default_rng(0)
