@@ -263,6 +263,33 @@ def test_large_group_of_near_copies(spark, base_inside):
     assert 10 < len(set(want.values())) < len(rows)
 
 
+def test_rows_that_share_an_id(spark):
+    """Two texts under one doc_id are two nodes: a link of the one is no link of the other; null ids are kept, repeats linked."""
+    say = lambda k, n=60: [f"w{k}x{i}" for i in range(n)]
+    rows = [(7, say(1)), (7, say(2)), (7, say(2)), (3, [*say(2), "x"]), (9, [*say(1), "y"]), (11, say(1)), (None, say(1)), (None, None), (12, None), (12, say(4)), (13, say(4))]
+    docs = spark.createDataFrame([(k, " ".join(t) if t else None) for k, t in rows], "doc_id long, text string")
+    got = Counter(map(tuple, minhash.near_duplicates(docs, 85).collect()))
+    want = Counter([(7, 56, 7, True), (7, 56, 3, False), (7, 56, 3, False), (3, 57, 3, True), (9, 57, 7, False), (11, 56, 7, False), (None, 56, None, True), (None, 0, None, True), (12, 0, 12, True), (12, 56, 12, True), (13, 56, 12, False)])
+    assert got == want
+
+
+def test_hot_keys_are_dealt_to_several_parts(spark, docs, texts, monkeypatch):
+    """With every list, head and component of three rows hot, the result is the same."""
+    monkeypatch.setattr(common, "FEW", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    want = brute({d: shingles(t) for d, t in texts.items()}, 80)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 80).collect()} == want
+
+
+def test_tables_in_between_are_deleted(spark, docs):
+    folder = common.shared_folder(spark)
+    before = {f for f in os.listdir(folder) if f.startswith("tables-")}
+    got = minhash.near_duplicates(docs.limit(50), 85)
+    new = {f for f in os.listdir(folder) if f.startswith("tables-")} - before
+    assert len(new) == 1 and len([f for f in os.listdir(f"{folder}/{new.pop()}") if not f.startswith(".")]) == 1
+    assert got.count() == 50
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 200), (300, 200), (500, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

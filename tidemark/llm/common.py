@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +30,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, so that its lineage ends there and a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only a local session without one (tests) gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-    The folder is spark.checkpoint.dir; only a local session without one (tests) gets a temporary folder.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, so that its lineage ends there and a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Workspace:
+    """Tables of one computation in a folder of its own below the shared one: lineage ends with each, as with checkpoints,
+    and those that are no longer needed are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def mark(self) -> int:
+        """A place in time, for drop()."""
+        return len(self.paths)
+
+    def drop(self, since: int, to: int | None = None) -> None:
+        """Deletes the tables that were kept from one place in time to another, or to now."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths[since:to]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """The two columns that the operators read, whatever else docs has: doc_id as long and text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -155,6 +185,24 @@ def running(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows of one key that one task may get, at least, and keys that may have more.
+FEW, HOT_KEYS = 1000, 10_000
+
+
+def beside(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with side, which has one row for each key, without a hot key in one task.
+
+    counts: key and n, its number of rows (or more); total: the sum of these. Keys of more rows than FEW and than one in
+    HOT_KEYS of all are hot: there are HOT_KEYS at most, so that they can be broadcast. Their rows are dealt to several
+    parts by a hash of another column, and side's row is sent to each part."""
+    limit = max(FEW, total // HOT_KEYS)
+    other = next(c for c in rows.columns if c != key)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_fan")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.hash(other), F.col("_fan")), F.lit(0))).drop("_fan")
+    sent = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
+    return dealt.join(sent, [key, "_salt"]).drop("_salt")
+
+
 def windows(row_of_word: np.ndarray, size: int) -> np.ndarray:
     """First words of all windows of size words inside one row."""
     n = len(row_of_word) - size + 1

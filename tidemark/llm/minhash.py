@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, checkpointed, mixed, parts, texts_of, utf8, window_hashes, windows, word_hashes, words
+from tidemark.llm.common import LOWER, Workspace, beside, mixed, parts, texts_of, utf8, window_hashes, windows, word_hashes, words
 from tidemark.llm.components import components
 
 #: Bytes of text whose shingles are held at once; a longer text alone.
@@ -49,7 +49,8 @@ def shingle_sets(batch: pa.RecordBatch, size: int):
 
 
 def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit fingerprint (fa, fb) and its MinHash signature, for every row."""
+    """doc_id, mark, n_shingles, the set's 128-bit fingerprint (fa, fb) and its MinHash signature, for every row (columns
+    doc_id, mark, text)."""
     seeds = mixed(np.arange(1, 2 * coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     masks, factors = seeds[:coordinates, None], seeds[coordinates:, None] | np.uint64(1)
 
@@ -66,20 +67,20 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
             mark = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
             flat = pa.array(np.concatenate(sigs))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * coordinates), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), lists], ["doc_id", "n_shingles", "fa", "fb", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]), lists], ["doc_id", "mark", "n_shingles", "fa", "fb", "sig"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, fa long, fb long, sig array<int>")
+    return docs.mapInArrow(rows, "doc_id long, mark long, n_shingles long, fa long, fb long, sig array<int>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and shingles (array<long>, distinct) of every row."""
+    """node, copies and shingles (array<long>, distinct) of every row (columns node, copies, text)."""
 
     def rows(batches):
         for batch in parts(batches, PART_BYTES):
             found = [x.view(np.int64) for x in shingle_sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(found, pa.list_(pa.int64()))], ["node", "copies", "shingles"])
 
-    return docs.mapInArrow(rows, "doc_id long, shingles array<long>")
+    return docs.select("node", "copies", "text").mapInArrow(rows, "node long, copies long, shingles array<long>")
 
 
 def marked(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -117,77 +118,109 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinat
 
     Two rows are linked if 100 * intersection >= percent * union of their shingle sets (size words each; a shorter text is
     one shingle, one without words has none and no links). component_id is the smallest doc_id reachable over links.
-    Rows of equal sets form a class, of which the smallest doc_id takes part in the search:
+    Rows of equal sets form a class, one node of the search:
 
     1. it is posted under each (coordinate, value) of its signature; values posted once are dropped;
-    2. a document with fewer shared coordinates than the match threshold t can have no partner and is dropped; of k shared
-       ones, rarest first, only the first k - t + 1 stay (two documents with t equal values share one of these);
-    3. each list has a head, the document with the most company in all its lists; the others are paired with it. Pairs
-       with t equal coordinates are confirmed on whole sets, and components of these links are found;
-    4. lists whose documents are all in one component by then are skipped. In the others pairs come from what documents
-       have against the head (see _across), which leaves out pairs that can be links only if both go with the head.
+    2. a node with fewer shared lists than the match threshold t can have no partner and is dropped; of k shared ones,
+       rarest first, the first k - t + 1 are merged (two nodes with t equal values share one of these), the others skipped;
+    3. each merged list has a head, the node with the most company in all its lists. Joining nodes with the heads of their
+       lists and counting gives collisions of node and head; skipped lists are only probed for these pairs. Pairs with t
+       collisions are confirmed on whole sets;
+    4. a list whose nodes all hang together by these links is done. In the others pairs come from what nodes have against
+       the head (see _across), which leaves out pairs that can be links only if both go with the head.
 
     A pair at the limit is missed with probability 1e-7 at most, from the choice of t; nothing else is left out. A null
-    doc_id has a null component and is kept. Rows that share a doc_id have each the shingles of
-    its own text; but if that doc_id is the smallest of two sets, a link of one set counts for the other too. An empty
-    table gives no rows; other columns are ignored.
+    doc_id has a null component and is kept. Rows that share a doc_id are judged each by its own text. An empty table
+    gives no rows; other columns are ignored. Lists, heads and sets that many nodes meet are dealt to several tasks (see
+    common.beside()). Tables in between are written below spark.checkpoint.dir and deleted; the result's stays.
     """
     return judged(docs, percent, size, coordinates).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def judged(docs: DataFrame, percent: int = 80, size: int = 5, coordinates: int = 48) -> DataFrame:
     """near_duplicates() with the fingerprint (fa, fb) of each row's shingle set."""
-    source = texts_of(docs)
-    base = checkpointed(signatures(source, size, coordinates))
+    source, space = texts_of(docs).withColumn("mark", F.xxhash64("text")), Workspace(docs.sparkSession)
+    base = space.keep(signatures(source, size, coordinates))
     able = base.where("doc_id is not null and n_shingles > 0")
-    classes = checkpointed(able.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    first_row = F.min(F.struct("doc_id", "mark"))  # of all rows of a class: the smallest doc_id, and which text of it
+    classes = able.groupBy("fa", "fb").agg(first_row.alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = space.keep(classes.select("fa", "fb", "rep.doc_id", "rep.mark", "sig", "n", F.monotonically_increasing_id().alias("node")))
     least = least_matches(coordinates, percent / 100)
 
     key = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", key.alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum("df").alias("company")).where(F.size("keys") >= least)
-    prefix = checkpointed(ranked.select("rep", "company", F.explode(F.expr(f"slice(keys, 1, size(keys) - {least} + 1).key")).alias("key")))
-    signed = classes.select("rep", "sig", "n")
-    held = checkpointed(sets(source.join(prefix.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), size))
+    posts = classes.select("node", "n", F.posexplode("sig").alias("at", "value")).select("node", "n", key.alias("key"))
+    shared = space.keep(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    found = beside(posts, shared, "key", shared.select("key", F.col("df").alias("n")), classes.count() * coordinates)
+    lists = found.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum("df").alias("company")).where(F.size("keys") >= least)
+    lists = space.keep(lists.select("node", "n", "company", F.transform("keys", lambda k: k["key"]).alias("keys")))
+    merged = lists.select("node", "company", F.explode(F.expr(f"slice(keys, 1, size(keys) - {least} + 1)")).alias("key"))
+    heads = merged.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("top"), F.count("*").alias("n"))
+    heads = space.keep(heads.select("key", (-F.col("top.node")).alias("head"), "n"))
+    n_merged = heads.agg(F.sum("n")).first()[0] or 0
+    placed = space.keep(beside(merged.select("node", "key"), heads.select("key", "head"), "key", heads.select("key", "n"), n_merged))
+
+    # the set of a class is made from its first row; if that is there several times, one set is kept
+    asked = classes.join(lists.select("node"), "node", "left_semi").select("doc_id", "mark", "node")
+    copies = able.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
+    made = space.keep(sets(source.join(asked.join(copies, ["doc_id", "mark"]), ["doc_id", "mark"]), size))
+    held = made.where("copies = 1").unionByName(made.where("copies > 1").dropDuplicates(["node"])).drop("copies")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
-        return pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        """pairs (a, b and others; a table) with both sets, x and y."""
+        own = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        return beside(own, held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b", counts, pairs.count())
+
+    def collided(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, met: the lists in which they were counted; a table) whose collisions in all lists reach the threshold."""
+        own = pairs.join(lists.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("n").alias("n_a")), "a")
+        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        both = beside(own, lists.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("n").alias("n_b")), "b", counts, pairs.count())
+        probed = F.size(F.array_intersect(F.array_except("keys_a", "met"), "keys_b"))
+        likely = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        return both.where(likely & (F.size("met") + probed >= least)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are links."""
-        equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        of = lambda c: signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-        likely = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        near = pairs.join(of("a"), "a").join(of("b"), "b").where(likely & (equal >= least)).select("a", "b").distinct()
+        """Those pairs (a, b; a table) that are links."""
         both = F.size(F.array_intersect("x", "y"))
-        return with_sets(near).where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct()
-
-    heads = prefix.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("head"))
-    placed = checkpointed(prefix.join(heads, "key").select("key", "rep", "head"))
-    links = checkpointed(confirmed(placed.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()))
-    known = checkpointed(components(links))
-
-    owned = placed.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("own"))
-    open_lists = owned.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key")
-    unsure = owned.join(open_lists, "key", "left_semi").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"), "own").distinct()
-    final = components(links.union(checkpointed(confirmed(_across(with_sets(unsure), percent)))))
-
-    named = classes.select("fa", "fb", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("component", "rep").alias("found"))
-    out = base.drop("sig").join(named, ["fa", "fb"], "left")
+        return with_sets(pairs).where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+
+    met = placed.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.collect_list("key").alias("met"))
+    links = space.keep(confirmed(space.keep(collided(space.keep(met)))))
+
+    # what hangs together by one or two steps over heads, which is enough to skip nearly all lists
+    first = links.groupBy("a").agg(F.min("b").alias("own"))
+    of_head = links.select("b").distinct().join(first.select(F.col("a").alias("b"), "own"), "b", "left").select("b", F.least("b", "own").alias("own"))
+    named = links.join(of_head, "b").select("a", "own").union(of_head.select("b", "own")).groupBy("a").agg(F.min("own").alias("own"))
+    known = space.keep(named.select(F.col("a").alias("node"), "own"))
+    owned = space.keep(placed.join(known, "node", "left").select("key", "node", "head", F.coalesce("own", "node").alias("own")))
+    open_lists = space.keep(owned.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    unsure = beside(owned.where("node <> head"), open_lists.select("key"), "key", open_lists, n_merged).select(F.col("node").alias("a"), F.col("head").alias("b"), "own").distinct()
+    across = space.keep(_across(with_sets(space.keep(unsure)), percent, space).withColumn("met", F.array().cast("array<bigint>")))
+    more = confirmed(space.keep(collided(across)))
+    final = components(links.union(more), space)
+
+    owner = space.keep(classes.select("fa", "fb", "doc_id", "node").join(final, "node", "left").select("fa", "fb", "doc_id", F.coalesce("component", "node").alias("component")))
+    sizes = space.keep(owner.groupBy("component").agg(F.min("doc_id").alias("found"), F.count("*").alias("n")))
+    whose = beside(owner.select("fa", "fb", "component"), sizes.select("component", "found"), "component", sizes.select("component", "n"), owner.count()).select("fa", "fb", "found")
+    out = base.drop("sig", "mark").join(whose, ["fa", "fb"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "fa", "fb").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "fa", "fb").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    last = space.mark()
+    out = space.keep(out)
+    space.drop(0, last)
+    return out
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of one head that may be links; rows: a, b (the head), own (a's component), sets x and y.
+def _across(rows: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Pairs (a, b) of nodes of one head that may be links; rows: a, b (the head), own (what a hangs with), sets x and y.
 
-    Against the head h, a document z has extra shingles U and lacks shingles D; together they are its difference. For two
-    documents let o be the size of the common part of their differences.
+    Against the head h, a node z has extra shingles U and lacks shingles D; together they are its difference. For two
+    nodes let o be the size of the common part of their differences.
     - If o is at most m = min(|U|, |D|) of the one, their union is no smaller than that of h and the other, and their
       intersection no larger than that of h and the other: if they are linked, so is the other to h. So a link of a
-      document w that is not linked to h has o > m of its partner z. If neither is linked to h, o exceeds both: then z is
+      node w that is not linked to h has o > m of its partner z. If neither is linked to h, o exceeds both: then z is
       the one with the larger m, so that each pair is looked for once.
     - A link also needs o >= |difference| - |z| (100 - percent) / percent for both, by the size of what sets a link apart.
     Of a difference, rarest shingles first, a prefix is enough for either bound; a pair needs a common shingle in the
@@ -199,13 +232,13 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     m, total = F.least(F.size("u"), F.size("d")), F.size("u") + F.size("d")
     need = total - F.floor(F.col("n") * (100 - percent) / percent).cast("int")
     diffs = diffs.select("a", "h", "own", "n", linked.alias("linked"), m.alias("m"), F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
-    diffs = checkpointed(diffs)
+    diffs = space.keep(diffs)
     parts_ = diffs.select("a", "h", F.explode("diff").alias("e"))
     df = parts_.groupBy("h", "e").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one document only take places of a prefix, but post nothing
+    # shingles of one node only take places of a prefix, but post nothing
     shared = parts_.join(df, ["h", "e"]).groupBy("a", "h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("keys"))
     posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", "n", "linked", "m", (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
-    posts = checkpointed(posts.select("a", "h", "own", "n", "linked", "m", "short", F.posexplode("keys.e").alias("at", "e")))
+    posts = space.keep(posts.select("a", "h", "own", "n", "linked", "m", "short", F.posexplode("keys.e").alias("at", "e")))
     other = posts.where("not linked").select("h", "e", *[F.col(c).alias(f"{c}_w") for c in ("a", "own", "n", "m")])
     once = F.col("linked") | (F.struct("m", "a") > F.struct("m_w", "a_w"))
     sizes = F.least("n", "n_w") * 100 >= F.greatest("n", "n_w") * percent
