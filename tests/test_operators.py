@@ -123,23 +123,106 @@ def test_extract():
     assert extract.extract(None, "")["word_count"] == 0
 
 
+DOC = "doc_id string, page_id string, url string, website_id string, field string, section_key string, text string"
+CHECK = "check_id string, page_id string, website_id string, field string, section_key string, text string"
+SENTENCE = "the quick brown fox jumps over the lazy dog while seven wizards brew strong tea"
+
+
+def page(k, text, field="SECTION_TEXT", key=None):
+    return (f"{k}:{field}", str(k), f"u{k}", "w", field, key, text)
+
+
+def assess(spark, checks, docs):
+    found = overlap.assessed(spark.createDataFrame(checks, CHECK), spark.createDataFrame(docs, DOC), OverlapConfig())
+    return {r.check_id: r for r in found.collect()}
+
+
 def test_overlap(spark):
-    sentence = "the quick brown fox jumps over the lazy dog while seven wizards brew strong tea"
-    docs = spark.createDataFrame([("1:T", "1", "u1", "w", "SECTION_TEXT", None, f"Intro here. {sentence}. And more."), ("2:T", "2", "u2", "w", "TITLE", None, "Exactly this title")], "doc_id string, page_id string, url string, website_id string, field string, section_key string, text string")
-    checks = [("copy", "9", sentence.upper()), ("edit", "9", sentence.replace("lazy", "sleepy")), ("quoted", "9", f'According to them, "{sentence}"'), ("same", "1", sentence), ("title", "9", "exactly THIS title"), ("none", "9", "nothing of the kind")]
-    checks = spark.createDataFrame([(c, p, "w", "H1", None, t) for c, p, t in checks], "check_id string, page_id string, website_id string, field string, section_key string, text string")
-    got = {r.check_id: r for r in overlap.matches(checks, docs, OverlapConfig()).collect()}
-    assert {k: (r.kind, r.severity) for k, r in got.items()} == {"copy": ("EXACT", "SIGNIFICANT"), "edit": ("NEAR_VERBATIM", "SIGNIFICANT"), "quoted": ("EXACT", "MINOR"), "same": ("EXACT", "INFO"), "title": ("DUPLICATE_FIELD", "SIGNIFICANT")}
-    assert got["copy"].overlap_ratio == 1.0 and got["same"].overlap_ratio == 0.0
-
-
-def test_wording():
-    assert wording.numbers("1,200 and 7.5, 24 and 24") == ["1200", "7.5", "24"]
-    assert wording.names("We use Cuplock. The H-frame is here, from MS Steel.") == ["cuplock", "h-frame", "ms", "steel"]
-    assert wording.edit_distance("a b c".split(), "a x c d".split()) == 2
-    assert wording.forbidden("This is guaranteed to work") and not wording.forbidden("Results are not guaranteed")
-    assert any("numbers" in x for x in wording.body_issues("It holds 24 tons at most. " * 5, "It holds 30 tons at most. " * 5, ""))
-    assert wording.unsupported("Best price 5", "a price of 15") == ['number "5" does not appear on the page', 'claim "Best" is not supported by the page content']
+    fillers = [page(f"f{k}", f"unrelated page number {k} about ladders and nets") for k in range(8)]
+    docs = [page(1, f"Intro here. {SENTENCE}. And more."), page(2, "Exactly this title", "TITLE"), page(3, "own words of this page that nobody else on the whole site has", "H1"), *fillers]
+    checks = [
+        ("copy", "9", SENTENCE.upper()), ("edit", "9", SENTENCE.replace("lazy", "sleepy")), ("quoted", "9", f'As they put it, "{SENTENCE}"'), ("cited", "9", f"According to the wizards, {SENTENCE}"), ("same", "1", SENTENCE), ("title", "9", "exactly - THIS title!"),
+        ("none", "9", "nothing of the kind is said on any page here"), ("empty", "9", " ... "), ("short", "9", "a brown fox jumps over the lazy dog or two of them at the end of a rather long text with other words in it"), ("replaced", "3", "own words of this page that nobody else on the whole site has"),
+    ]
+    got = assess(spark, [(c, p, "w", "H1", None, t) for c, p, t in checks], docs)
+    first = {k: (r.matches[0].kind, r.matches[0].severity) if r.matches else None for k, r in got.items()}
+    assert first == {"copy": ("EXACT", "SIGNIFICANT"), "edit": ("NEAR_VERBATIM", "SIGNIFICANT"), "quoted": ("EXACT", "MINOR"), "cited": ("EXACT", "MINOR"), "same": ("EXACT", "INFO"), "title": ("DUPLICATE_FIELD", "SIGNIFICANT"), "none": None, "empty": None, "short": ("EXACT", "MINOR"), "replaced": None}
+    assert {k: r.assessment for k, r in got.items() if not r.matches} == dict.fromkeys(("none", "empty", "replaced"), "NO_MATCHES")
+    assert got["copy"].overlap_ratio == 1.0 and got["same"].overlap_ratio == 0.0 and got["empty"].overlap_ratio == 0.0
+    assert got["same"].assessment == "INFORMATIONAL_MATCHES" and got["quoted"].assessment == "MINOR_MATCHES"
+    m = got["quoted"].matches[0]
+    assert m.attributed and m.passage == SENTENCE and m.longest_run == 15
+
+
+def test_overlap_over_pages(spark):
+    """Common phrases don't count; one passage on several pages is one match that names the others; runs keep their order."""
+    common = "ask our friendly team for a quote today"
+    docs = [page(k, f"page {k} says. {common}.") for k in range(6)] + [page(f"x{k}", f"{k} more. {SENTENCE}.") for k in range(2)] + [page(f"f{k}", f"number {k} of other things") for k in range(12)]
+    swapped = " ".join([*SENTENCE.split()[8:], *SENTENCE.split()[:8]])
+    got = assess(spark, [("common", "9", "w", "H1", None, f"New words. {common}."), ("twice", "9", "w", "H1", None, SENTENCE), ("swapped", "9", "w", "H1", None, swapped)], docs)
+    assert got["common"].assessment == "NO_MATCHES"
+    assert len(got["twice"].matches) == 1 and got["twice"].matches[0].also_found_in == ["ux1#SECTION_TEXT"]
+    assert [(m.kind, m.d_start, m.d_end) for m in got["swapped"].matches] == [("EXACT", 0, 7), ("EXACT", 7, 15)]
+
+
+def test_overlap_commonness_leaves_the_replaced_field_out(spark):
+    """An n-gram is common from max(3, 30 % of pages) on, counted without a page that has only the replaced field."""
+    fields = [page(k, f"{k} x {SENTENCE}") for k in range(3)] + [page(k, f"page {k} alone has these words", "TITLE") for k in range(3, 10)] + [page("own", SENTENCE, "H1")]
+    limits = {r.check_id: r.most for r in overlap.common_limits(spark.createDataFrame([("a", "own", "w", "H1", None, SENTENCE), ("b", "zz", "w", "H1", None, SENTENCE)], CHECK), spark.createDataFrame(fields, DOC), OverlapConfig())[0].collect()}
+    assert limits == {"a": 3, "b": 4}
+
+
+def test_passages_are_cut_from_the_text_as_written(spark):
+    """Places count in the folded text, where a ligature is two letters; passages come from the text as it is."""
+    got = assess(spark, [("c", "9", "w", "H1", None, f"\ufb01rst. {SENTENCE} end")], [page(1, f"so {SENTENCE} now")])
+    m = got["c"].matches[0]
+    assert (m.start, m.passage) == (7, f"\ufb01rst. {SENTENCE} end"[m.start : m.end])
+
+
+def test_facts_of_texts(spark):
+    fold = wording.folded(F.col("t"))
+    assert one(spark, wording.numbers_of(fold), t="From 1,200 units in 7.5 days, 24 and 24 hours") == ["1200", "7.5", "24"]
+    assert one(spark, wording.names_of(fold), t="We use Ravenna. The K-beam is here, from AB Iron: Not this; but Ravenna") == ["ravenna", "k-beam", "ab", "iron"]
+    assert one(spark, wording.word_distance(F.split("a", " "), F.split("b", " ")), a="a b c", b="a x c d") == 2
+    assert one(spark, wording.words_of(fold), t="Don’t re-use \ufb01ne O'Neil's") == ["don't", "re-use", "fine", "o'neil's"]
+
+
+@pytest.mark.parametrize("text, want", [("This is guaranteed to work", True), ("Results are not guaranteed", False), ("There's no guarantee", False), ("cannot be a guaranteed result, we guarantee", True), ("It will boost sales", True), ("It may improve sales", False), ("certainly is", True), ("", False)])
+def test_forbidden(spark, text, want):
+    assert one(spark, wording.forbidden(F.col("t")), t=text) == want
+
+
+ORIGINAL = "Rent a lifting frame by the week or month. Delivery depends on the quantity and on where you are. We lend only K-beam and Ravenna frames, and delivery to Lyon may take 2 days. Fees are not fixed; they may change with distance and crew."
+REWRITE = "Lifting frames can be rented weekly or monthly. Delivery depends on the quantity and your location. We lend only K-beam and Ravenna frames; delivery to Lyon may take 2 days. Fees are not fixed and may change with distance and crew."
+
+
+@pytest.mark.parametrize(
+    "draft, want",
+    [
+        (REWRITE, None), (f"{REWRITE} Fees start at 500 a day.", "adds numbers not in the section: 500"), (REWRITE.replace("to Lyon", "to Lyon and Nantes"), "adds names not on the page: nantes"), (REWRITE.replace("2 days", "two days"), "drops or changes material numbers: 2"),
+        (REWRITE.replace(" and Ravenna", ""), "drops material names: ravenna"), (REWRITE.replace("Fees are not fixed and may change", "Fees change"), 'negation caveat from the original (e.g. "not")'), (REWRITE.replace("depends on", "covers"), "condition caveat"), (REWRITE.replace("lend only", "lend"), "limitation caveat"),
+        (REWRITE.replace("may ", "will "), "hedge caveat"), (f"{REWRITE}\n\n{REWRITE}", "expands the original too much"), ("Frames for rent.", "minimum is 15"), ("Every shift begins with a check of ropes and hooks by someone trained for it, and rain makes platforms slippery, so look again after storms.", "keeps too few"),
+        (f"<p>{REWRITE}</p>", "plain text"), (f"**{REWRITE}**", "plain text"), ("   ", "draft is empty"),
+    ],
+)
+def test_body_checks(spark, draft, want):
+    rows = spark.createDataFrame([(ORIGINAL, draft, "The page also names Paris.")], "o string, d string, p string")
+    rows = rows.withColumn("r", wording.rewrite(F.col("o"), F.col("d"), F.col("p"))).withColumn("m", wording.body_metrics(F.col("r")))
+    got = rows.select(wording.body_issues(F.col("r"), F.col("m")).alias("x"), "m").first()
+    assert got.x == [] if want is None else any(want in x for x in got.x), got.x
+    if want is None:
+        assert got.m.fact_preservation == 1 and got.m.paragraphs == 1 and got.m.change_ratio < 0.6
+
+
+def test_unsupported_claims(spark):
+    page_text, queries = "A fern guide.\n Daily rates start at 500 for accurate notes", "ferns in Porto"
+    issues = lambda d, p=page_text: one(spark, wording.unsupported(F.col("d"), F.col("p"), F.lit(queries)), d=d, p=p)
+    assert issues("Fern guide with daily rates from 500") == [] and issues("A guide for readers in Porto") == []
+    assert issues("Fern guide with 50 notes") == ['number "50" does not appear on the page']
+    assert issues("Certified fern guide for ₹9") == ['number "9" does not appear on the page', 'claim "Certified" is not supported by the page content', 'claim "₹" is not supported by the page content']
+    assert issues("A fern guide from Nantes") == ['name "Nantes" does not appear on the page or in its queries']
+    rows = spark.createDataFrame([("x", None)], "d string, p string")
+    assert rows.select(wording.unsupported(F.col("d"), F.col("p"), F.lit("")).alias("x")).first().x == ["no crawled page content to ground the draft in"]
 
 
 def test_lifecycle_is_idempotent(spark, small):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,21 +59,20 @@ def current_value(target: Column, section: Column, version: Column) -> Column:
 
 
 def checked(drafts: DataFrame) -> DataFrame:
-    """drafts (target, value, current, page_text, queries) with issues, and value null where there are any (five are kept)."""
-
-    def batch(target: pd.Series, value: pd.Series, current: pd.Series, page: pd.Series, queries: pd.Series) -> pd.Series:
-        def one(t, v, c, p, q):
-            if v is None:
-                return []
-            if t not in LENGTHS:
-                return ["this recommendation may not carry a draft"]
-            issues = wording.draft_issues(v, c, p, q or "", *LENGTHS[t], single_line=t not in MULTILINE)
-            return issues + (wording.body_issues(c or "", v, p or "") if t == "SECTION_BODY" else [])
-
-        return pd.Series([one(*x) for x in zip(target, value, current, page, queries, strict=True)])
-
-    rows = drafts.withColumn("issues", F.slice(F.pandas_udf(batch, "array<string>")("target", "value", "current", "page_text", "queries"), 1, 5))
-    return rows.withColumn("value", F.when((F.size("issues") == 0) & F.col("value").isNotNull(), F.when(F.col("target").isin(*MULTILINE), F.trim("value")).otherwise(wording.folded_space(F.col("value")))))
+    """drafts (target, value, current, page_text, queries) with issues, and value null where there are any (five are kept).
+
+    A draft of a section's body is held against the section as a rewrite as well."""
+    lengths = F.create_map(*[x for k, (low, high) in LENGTHS.items() for x in (F.lit(k), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))])
+    limits, single = lengths[F.col("target")], ~F.col("target").isin(*MULTILINE)
+    rows = drafts.withColumn("_r", wording.rewrite(F.col("current"), F.col("value"), F.col("page_text"))).withColumn("_m", wording.body_metrics(F.col("_r")))
+    own = wording.draft_issues(F.col("value"), F.col("current"), F.col("page_text"), F.col("queries"), F.col("target"), limits["low"], limits["high"], single)
+    none = F.array().cast("array<string>")
+    body = F.when(F.col("target") == "SECTION_BODY", wording.body_issues(F.col("_r"), F.col("_m"))).otherwise(none)
+    barred = F.array(F.lit("this recommendation may not carry a draft"))
+    issues = F.when(F.col("value").isNull(), none).when(limits.isNull(), barred).otherwise(F.concat(body, own))
+    rows = rows.withColumn("issues", F.slice(issues, 1, 5)).drop("_r", "_m")
+    tidy = F.when(single, wording.folded_space(F.col("value"))).otherwise(wording.stripped(F.col("value")))
+    return rows.withColumn("value", F.when((F.size("issues") == 0) & F.col("value").isNotNull(), tidy))
 
 
 def novel(drafts: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -75,51 +75,112 @@ def page_status_update(spark, sf):
     return content.status_update(pages, seen)
 
 
-WORDS = r"list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), lambda x: replace(x, '’', ''''))"
-GRAMS = f"""d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+WORDS = r"list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*'), lambda x: replace(x, '’', ''''))"
+GRAMS = f"""d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), b AS (SELECT item_id, text, {WORDS.format("text")} AS w FROM benchmark),
 bg AS (SELECT item_id, i - 1 AS d, array_to_string(w[i:i + 5], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b)),
 dg AS (SELECT doc_id, i - 1 AS s, array_to_string(w[i:i + 5], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d)),
 asked AS (SELECT dg.* FROM dg SEMI JOIN bg USING (gram)),
 df AS (SELECT gram, count(DISTINCT doc_id) AS pages FROM asked GROUP BY gram)"""
-HITS = f"""{GRAMS}, lim AS (SELECT greatest(3, ceil(0.3 * count(*))) AS most FROM documents),
+RUNS = f"""{GRAMS}, lim AS (SELECT greatest(3, ceil(0.3 * count(*))) AS most FROM documents),
 hits AS (SELECT item_id, doc_id, d, s FROM bg JOIN asked USING (gram) JOIN df USING (gram), lim WHERE pages < most),
-isl AS (SELECT *, d - row_number() OVER (PARTITION BY item_id, doc_id, s - d ORDER BY d) AS island FROM hits)"""
+isl AS (SELECT *, d - row_number() OVER (PARTITION BY item_id, doc_id, s - d ORDER BY d) AS island FROM hits),
+runs AS (SELECT item_id, doc_id, CAST(min(d) AS INTEGER) AS ds, CAST(max(d) + 6 AS INTEGER) AS de, CAST(min(s) AS INTEGER) AS ss, CAST(max(s) + 6 AS INTEGER) AS se FROM isl GROUP BY item_id, doc_id, s - d, island)"""
+#: The fold of runs into chains, run by run, and of matches into stronger ones, match by match, as recursive SQL; places of
+#: words come from a walk over each text.
+MATCHES = f"""WITH RECURSIVE {RUNS},
+seq AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY ds, ss, de, se) AS k FROM runs),
+walk AS (
+  SELECT item_id, doc_id, k, 1 AS grp, ds, de, ss, se, de - ds AS matched, de - ds AS longest, false AS joined FROM seq WHERE k = 1
+  UNION ALL
+  SELECT w.item_id, w.doc_id, r.k, CASE WHEN follows OR clash THEN grp ELSE grp + 1 END, CASE WHEN follows OR clash THEN w.ds ELSE r.ds END,
+    CASE WHEN follows THEN greatest(w.de, r.de) WHEN clash THEN w.de ELSE r.de END, CASE WHEN follows OR clash THEN w.ss ELSE r.ss END,
+    CASE WHEN follows THEN greatest(w.se, r.se) WHEN clash THEN w.se ELSE r.se END,
+    CASE WHEN follows THEN matched + greatest(0, r.de - greatest(w.de, r.ds)) WHEN clash THEN matched ELSE r.de - r.ds END,
+    CASE WHEN follows THEN greatest(longest, r.de - r.ds) WHEN clash THEN longest ELSE r.de - r.ds END, CASE WHEN follows THEN joined OR r.ds > w.de OR r.ss > w.se WHEN clash THEN joined ELSE false END
+  FROM (SELECT w.*, r.k AS rk, r.ss >= w.ss AND r.ds - w.de <= 3 AND r.ss - w.se <= 3 AS follows, r.ds < w.de AND NOT (r.ss >= w.ss AND r.ds - w.de <= 3 AND r.ss - w.se <= 3) AS clash
+    FROM walk w JOIN seq r ON r.item_id = w.item_id AND r.doc_id = w.doc_id AND r.k = w.k + 1) w JOIN seq r ON r.item_id = w.item_id AND r.doc_id = w.doc_id AND r.k = w.rk),
+chains AS (SELECT item_id, doc_id, ds, de, ss, se, matched, longest, joined FROM walk QUALIFY row_number() OVER (PARTITION BY item_id, doc_id, grp ORDER BY k DESC) = 1
+  UNION ALL SELECT b.item_id, d.doc_id, 0, len(b.w), 0, len(b.w), len(b.w), len(b.w), false FROM b JOIN d ON b.w = d.w WHERE len(b.w) >= 3),
+place AS (
+  SELECT item_id, text, w, 1 AS k, strpos(lower(text), w[1]) AS a FROM b WHERE len(w) > 0
+  UNION ALL SELECT item_id, text, w, k + 1, a + length(w[k]) - 1 + strpos(substr(lower(text), a + length(w[k])), w[k + 1]) FROM place WHERE k < len(w)),
+spot AS (SELECT item_id, k, a - 1 AS a, a - 1 + length(w[k]) AS z FROM place),
+m AS (SELECT c.*, b.text, len(b.w) AS size, s.a AS "start", e.z AS "end", de - ds AS words, floor((de - ds) / len(b.w) * 1000 + 0.5) / 1000 AS coverage,
+    CASE WHEN ds = 0 AND de = len(b.w) AND len(d.w) = len(b.w) AND matched = len(b.w) THEN 'DUPLICATE_FIELD' WHEN joined THEN 'NEAR_VERBATIM' ELSE 'EXACT' END AS kind
+  FROM chains c JOIN b USING (item_id) JOIN d USING (doc_id) JOIN spot s ON s.item_id = c.item_id AND s.k = ds + 1 JOIN spot e ON e.item_id = c.item_id AND e.k = de),
+g AS (SELECT *, (regexp_matches(substr(text, CAST(greatest("start" - 3, 0) + 1 AS BIGINT), least("start", 3)), '["“«'']\\s*$') AND regexp_matches(substr(text, CAST("end" + 1 AS BIGINT), 3), '^\\s*[.,;:!?]?["”»'']'))
+    OR regexp_matches(substr(text, CAST(greatest("start" - 80, 0) + 1 AS BIGINT), least("start", 80)), '(?i)\\b(?:according to|as stated (?:by|in|on)|source:|quoted from|via)\\b[^.!?]{{0,60}}$') AS attributed FROM m),
+ranked AS (SELECT *, CASE WHEN attributed OR NOT (kind = 'DUPLICATE_FIELD' OR longest >= 12 OR (coverage >= 0.5 AND words >= least(6, size))) THEN 2 ELSE 3 END AS rank FROM g),
+line AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank DESC, words DESC, "start", CAST(doc_id AS VARCHAR), ds) AS k FROM ranked),
+fold AS (
+  SELECT item_id, k, [{{'a': "start", 'z': "end", 'k': k}}] AS held, true AS new, CAST(NULL AS BIGINT) AS host, doc_id FROM line WHERE k = 1
+  UNION ALL
+  SELECT f.item_id, l.k, CASE WHEN len(over) = 0 THEN list_append(held, {{'a': l."start", 'z': l."end", 'k': l.k}}) ELSE held END, len(over) = 0, over[1].k, l.doc_id
+  FROM (SELECT f.*, list_filter(held, lambda x: (least(x.z, l."end") - greatest(x.a, l."start")) * 2 > l."end" - l."start") AS over FROM fold f JOIN line l ON l.item_id = f.item_id AND l.k = f.k + 1) f
+  JOIN line l ON l.item_id = f.item_id AND l.k = f.k + 1),
+others AS (SELECT item_id, host AS k, least(count(DISTINCT doc_id), 5) AS n_others FROM fold WHERE NOT new GROUP BY ALL),
+kept AS (SELECT l.* FROM line l JOIN fold f ON f.item_id = l.item_id AND f.k = l.k WHERE f.new),
+told AS (SELECT item_id, max(size) AS size, count(DISTINCT i) AS n, max(rank) AS worst FROM (SELECT item_id, size, rank, unnest(range(ds, de)) AS i FROM kept) GROUP BY item_id)"""
 
 
 def checks_and_docs(spark, sf):
     """Benchmark items as checked texts, documents as pages of one text field each."""
-    checks = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("check_id"), F.lit(-1).cast("long").alias("page_id"), F.lit("w").alias("website_id"), F.lit("SECTION_TEXT").alias("field"), F.lit(None).cast("string").alias("section_key"), "text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"), F.lit("w").alias("website_id"), F.lit("SECTION_TEXT").alias("field"), F.lit(None).cast("string").alias("section_key"), "text")
+    none = F.lit(None).cast("string").alias("section_key")
+    field = [F.lit("w").alias("website_id"), F.lit("SECTION_TEXT").alias("field"), none, "text"]
+    checks = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("check_id"), F.lit(-1).cast("long").alias("page_id"), *field)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"), *field)
     return checks, docs
 
 
 @query(f"WITH {GRAMS} SELECT gram, pages FROM df")
 def gram_document_frequency(spark, sf):
-    checks, docs = (x.withColumn("tokens", wording.tokens(F.col("text"))) for x in checks_and_docs(spark, sf))
-    asked = overlap.grams(docs, 6, "page_id").join(overlap.grams(checks, 6, "check_id").select("gram").distinct(), "gram", "left_semi")
+    _, asked = overlap.checked_and_asked(*checks_and_docs(spark, sf), 6)
     return overlap.document_frequency(asked)
 
 
-@query(f"WITH {HITS} SELECT CAST(item_id AS VARCHAR) AS check_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(min(d) AS INTEGER) AS d_start, CAST(max(d) + 6 AS INTEGER) AS d_end, CAST(min(s) AS INTEGER) AS s_start, CAST(max(s) + 6 AS INTEGER) AS s_end FROM isl GROUP BY item_id, doc_id, s - d, island")
+@query(f"WITH {RUNS} SELECT CAST(item_id AS VARCHAR) AS check_id, CAST(doc_id AS VARCHAR) AS doc_id, ds AS d_start, de AS d_end, ss AS s_start, se AS s_end FROM runs")
 def overlap_runs(spark, sf):
-    checks, docs = (x.withColumn("tokens", wording.tokens(F.col("text"))) for x in checks_and_docs(spark, sf))
-    return overlap.runs(overlap.hits(checks, docs, OverlapConfig()), 6).drop("matched")
+    checks, docs = checks_and_docs(spark, sf)
+    limits = overlap.common_limits(checks, docs, OverlapConfig())
+    return overlap.runs(overlap.hits(*overlap.checked_and_asked(checks, docs, 6), *limits), 6).drop("matched")
 
 
-@query()
+@query(f"""{MATCHES} SELECT CAST(l.item_id AS VARCHAR) AS check_id, kind, CASE rank WHEN 3 THEN 'SIGNIFICANT' ELSE 'MINOR' END AS severity, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end",
+substr(text, CAST("start" + 1 AS BIGINT), CAST("end" - "start" AS BIGINT)) AS passage, CAST(doc_id AS VARCHAR) AS doc_id, CAST(words AS INTEGER) AS words, CAST(least(longest, words) AS INTEGER) AS longest_run, coverage, attributed,
+CAST(ds AS INTEGER) AS d_start, CAST(de AS INTEGER) AS d_end, CAST(ss AS INTEGER) AS s_start, CAST(se AS INTEGER) AS s_end, CAST(coalesce(n_others, 0) AS INTEGER) AS n_others, floor(n / t.size * 1000 + 0.5) / 1000 AS overlap_ratio,
+CASE worst WHEN 3 THEN 'SIGNIFICANT_MATCHES' ELSE 'MINOR_MATCHES' END AS assessment
+FROM kept l JOIN told t USING (item_id) LEFT JOIN others o ON o.item_id = l.item_id AND o.k = l.k QUALIFY row_number() OVER (PARTITION BY l.item_id ORDER BY "start", rank DESC, words DESC) <= 25""")
 def overlap_matches(spark, sf):
-    return overlap.matches(*checks_and_docs(spark, sf), OverlapConfig())
+    found = overlap.matches(*checks_and_docs(spark, sf), OverlapConfig()).withColumn("n_others", F.size("also_found_in"))
+    return found.drop("page_id", "url", "field", "section_key", "same_page", "same_website", "also_found_in")
 
 
-@query(f"""WITH {GRAMS} SELECT CAST(b.item_id AS VARCHAR) AS check_id, CAST(d.doc_id AS VARCHAR) AS doc_id FROM b JOIN d ON array_to_string(b.w, ' ') = array_to_string(d.w, ' ') WHERE len(b.w) >= 3""")
+@query(f"""WITH b AS (SELECT item_id, {WORDS.format("text")} AS w FROM benchmark), d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {WORDS.format("text")} AS w FROM documents
+UNION ALL SELECT 'again:' || item_id, {WORDS.format("'«' || replace(text, ' ', ' - ') || '!»'")} FROM benchmark)
+SELECT CAST(b.item_id AS VARCHAR) AS check_id, d.doc_id FROM b JOIN d ON b.w = d.w WHERE len(b.w) >= 3""")
 def duplicate_fields(spark, sf):
-    checks, docs = (x.withColumn("tokens", wording.tokens(F.col("text"))) for x in checks_and_docs(spark, sf))
-    return overlap.duplicates(checks, docs).select("check_id", "doc_id")
+    """Each benchmark item is there again, as a page of its own, with other signs between its words."""
+    checks, docs = checks_and_docs(spark, sf)
+    again = checks.select(F.concat(F.lit("again:"), "check_id").alias("doc_id"), (F.lit(10**9) + F.col("check_id").cast("long")).alias("page_id"), F.lit("again").alias("url"), "website_id", "field", "section_key", F.concat(F.lit("«"), F.replace("text", F.lit(" "), F.lit(" - ")), F.lit("!»")).alias("text"))
+    checked, asked = overlap.checked_and_asked(checks, docs.unionByName(again), 6)
+    return overlap.duplicates(checked, asked).select("check_id", "doc_id")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT CAST(item_id AS VARCHAR) AS check_id, CAST(greatest(3, ceil(0.3 * n)) AS INTEGER) AS most FROM benchmark, n
+UNION ALL SELECT 'own:' || doc_id, CAST(greatest(3, ceil(0.3 * (n - 1))) AS INTEGER) FROM documents, n""")
+def overlap_common_limits(spark, sf):
+    """From how many pages on an n-gram is common for each check: the check of a page's only field leaves its page out."""
+    checks, docs = checks_and_docs(spark, sf)
+    own = docs.select(F.concat(F.lit("own:"), "doc_id").alias("check_id"), "page_id", "website_id", "field", "section_key", "text")
+    return overlap.common_limits(checks.unionByName(own), docs, OverlapConfig())[0]
+
+
+NUMBERS = r"list_transform(regexp_extract_all({0}, '\d+(?:[.,]\d+)*'), lambda x: replace(x, ',', ''))"
 
 
-@query(r"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda x: replace(x, ',', '')))) AS INTEGER) AS n_numbers FROM documents")
+@query(f"WITH n AS (SELECT doc_id, {NUMBERS.format('text')} AS x FROM documents) SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ') AS numbers FROM n")
 def text_numbers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(wording.numbers_column(F.col("text"))).alias("n_numbers"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(wording.numbers_of(wording.folded(F.col("text"))), " ").alias("numbers"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')) AS INTEGER) AS words FROM documents")
@@ -133,28 +194,88 @@ def folded_text_hash(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", folded.alias("folded"), F.sha2(folded, 256).alias("hash"))
 
 
-@query()
+NAMES = r"""(SELECT list_filter(y, lambda v, i: list_position(y, v) = i) FROM (SELECT list_transform(list_filter(t, lambda v, i: i > 1 AND regexp_matches(v, '^\p{Lu}') AND NOT regexp_matches(t[i - 1], '^[.!?:;\n•]$')), lambda v: lower(v)) AS y
+FROM (SELECT regexp_extract_all(TEXT, '[\p{L}\p{N}][\p{L}\p{N}''’-]*|[.!?:;\n•]') AS t)))"""
+
+
+@query(f"SELECT conv_id, turn, array_to_string({NAMES.replace('TEXT', 'text')}, ' ') AS names FROM conversations")
 def text_names(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", wording.names_column(F.col("text")).alias("names"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(wording.names_of(wording.folded(F.col("text"))), " ").alias("names"))
+
+
+#: Each turn with a sentence that promises, disclaims or says nothing of the kind, by turn.
+SAID = ("", " It will improve results.", " This is guaranteed.", " Results are not guaranteed.", " There is no guarantee; we guarantee it.", " We cannot be guaranteed any.", " It definitely is.", " This is the reason.")
+SAID_SQL = "['" + "', '".join(SAID) + "'][(conv_id + turn) % 8 + 1]"
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '(?i)\\bwill (?:increase|improve|boost|raise|grow|lift|double|fix)\\b|\\bwill result in\\b|\\bdefinitely\\b|\\bcertain to\\b') AS forbidden FROM conversations")
+@query(f"""WITH t AS (SELECT conv_id, turn, text || {SAID_SQL} AS text FROM conversations)
+SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(?:will (?:increase|improve|boost|raise|grow|lift|double|fix)|will result in|definitely|certain to|certainly (?:will|is|caused)|this is (?:the|why) (?:reason|cause))\\b')
+ OR regexp_matches(regexp_replace(text, '\\b(not|no|never|cannot|can''t|can not|without|isn''t|aren''t|won''t|doesn''t|don''t)(\\s+(a|an|be|been|any))?\\s+guarantee[sd]?\\b', '', 'gi'), '(?i)\\bguarantee[sd]?\\b') AS forbidden FROM t""")
 def forbidden_wording(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", wording.forbidden_column(F.col("text")).alias("forbidden"))
+    more = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", wording.forbidden(F.concat("text", more)).alias("forbidden"))
+
+
+#: What some turns say besides, by conversation and turn, so that facts and caveats come and go.
+FACTS_SAID = ("", " We ship 1,200 parts to Berlin unless it rains.", " We ship 1,200 parts to Berlin, at least 7.5 tons.", " It may not suit Anna.")
+FACTS_SQL = "['" + "', '".join(FACTS_SAID) + "'][(conv_id * 3 + turn) % 4 + 1]"
 
 
 def rewrites(spark, sf):
-    """Each turn as a rewrite of the turn before it."""
-    t = table(spark, sf, "conversations")
+    """Each turn, with a sentence of facts, as a rewrite of the turn before it."""
+    more = F.element_at(F.array(*map(F.lit, FACTS_SAID)), ((F.col("conv_id") * 3 + F.col("turn")) % 4 + 1).cast("int"))
+    t = table(spark, sf, "conversations").withColumn("text", F.concat("text", more))
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("original"))
-    return t.join(before, ["conv_id", "turn"])
+    rows = t.join(before, ["conv_id", "turn"]).withColumn("r", wording.rewrite(F.col("original"), F.col("text"), F.col("original")))
+    return rows.withColumn("m", wording.body_metrics(F.col("r")))
+
+
+BODY_WORDS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*'), lambda x: replace(lower(x), '’', ''''))"
+FILLERS_SQL = "['" + "', '".join(wording.FILLERS) + "']"
+TERMS = "list_distinct(list_filter({0}, lambda x: length(x) >= 4 AND NOT list_contains(" + FILLERS_SQL + ", x) AND NOT regexp_matches(x, '^[0-9]')))"
+ROUND3 = "floor({0} * 1000 + 0.5) / 1000"
+#: Word distance by recursion over the words of the original, one row of the table at a time.
+REWRITES = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, text || {FACTS_SQL} AS text FROM conversations),
+t AS (SELECT c.conv_id, c.turn, o.text AS original, c.text AS draft FROM c JOIN c o ON o.conv_id = c.conv_id AND o.turn = c.turn - 1),
+w AS (SELECT *, {BODY_WORDS.format("original")} AS ow, {BODY_WORDS.format("draft")} AS dw, list_distinct({NUMBERS.format("original")}) AS onum, list_distinct({NUMBERS.format("draft")}) AS dnum,
+  {NAMES.replace("TEXT", "original")} AS onam, {NAMES.replace("TEXT", "draft")} AS dnam FROM t),
+dist AS (SELECT conv_id, turn, ow, dw, 0 AS i, range(0, len(dw) + 1) AS prev FROM w
+  UNION ALL SELECT conv_id, turn, ow, dw, i + 1, list_reduce(range(1, len(dw) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, prev[j + 1] + 1, prev[j] + CASE WHEN ow[i + 1] = dw[j] THEN 0 ELSE 1 END)), [i + 1]) FROM dist WHERE i < len(ow)),
+ends AS (SELECT conv_id, turn, prev[len(dw) + 1] AS distance FROM dist WHERE i = len(ow)),
+lists AS (SELECT *, {TERMS.format("ow")} AS ot, {TERMS.format("dw")} AS dt, list_filter(onum, lambda x: NOT list_contains(dnum, x)) AS lost_num, list_filter(onam, lambda x: NOT list_contains(dw, x)) AS lost_nam,
+  list_filter(dnum, lambda x: NOT list_contains(onum, x)) AS new_num, list_filter(dnam, lambda x: NOT list_contains(ow, x)) AS new_nam FROM w JOIN ends USING (conv_id, turn)),
+m AS (SELECT *, len(ow) AS n, len(dw) AS k, {ROUND3.format("((len(dw) - len(ow)) / len(ow))")} AS length_change, {ROUND3.format("(distance / greatest(len(ow), len(dw)))")} AS change_ratio,
+  CASE WHEN len(ot) = 0 THEN 1.0 ELSE {ROUND3.format("(len(list_intersect(ot, dt)) / len(ot))")} END AS term_overlap,
+  CASE WHEN len(onum) + len(onam) = 0 THEN 1.0 ELSE {ROUND3.format("((len(onum) + len(onam) - len(lost_num) - len(lost_nam)) / (len(onum) + len(onam)))")} END AS fact_preservation FROM lists)"""
+
+
+@query(f"{REWRITES} SELECT conv_id, turn, CAST(n AS INTEGER) AS original_words, CAST(k AS INTEGER) AS draft_words, length_change, change_ratio, CAST(term_overlap AS DOUBLE) AS term_overlap, CAST(fact_preservation AS DOUBLE) AS fact_preservation, 1 AS paragraphs FROM m")
+def body_metrics(spark, sf):
+    return rewrites(spark, sf).select("conv_id", "turn", "m.*")
 
 
-@query()
-def body_metrics(spark, sf):
-    return rewrites(spark, sf).select("conv_id", "turn", wording.body_metrics_column(F.col("original"), F.col("text")).alias("m")).select("conv_id", "turn", "m.*")
+def issue(condition: str, text: str) -> str:
+    return f"CASE WHEN {condition} THEN {text} END"
 
 
-@query()
+def _caveat(name: str, pattern: str) -> str:
+    p = pattern.replace("'", "''")
+    return issue(f"regexp_matches(original, '{p}') AND NOT regexp_matches(draft, '{p}')", f"""'draft removes a {name} caveat from the original (e.g. "' || regexp_extract(original, '{p}') || '")'""")
+
+
+BODY_CHECKS = ",\n".join([
+    issue("k < 15", "'draft has ' || k || ' words; the minimum is 15'"), issue("k > 800", "'draft has ' || k || ' words; the maximum is 800'"),
+    issue("k < floor(n * 0.6::DOUBLE)", "'draft is too much shorter than the original (' || k || ' vs ' || n || ' words; at least ' || CAST(floor(n * 0.6::DOUBLE) AS INTEGER) || ')'"),
+    issue("k > greatest(ceil(n * 1.5::DOUBLE), n + 25)", "'draft expands the original too much (' || k || ' vs ' || n || ' words; at most ' || CAST(greatest(ceil(n * 1.5::DOUBLE), n + 25) AS INTEGER) || ')'"),
+    issue("change_ratio > 0.85", "'draft changes too much of the original (change ratio ' || regexp_replace(printf('%.3f', change_ratio), '\\.?0+$', '') || ' > 0.85)'"),
+    issue("term_overlap < 0.4", "'draft keeps too few of the original''s key terms (' || CAST(floor(term_overlap * 100 + 0.5) AS INTEGER) || '% < 40%)'"),
+    issue("fact_preservation < 1 AND len(lost_num) > 0", "'draft drops or changes material numbers: ' || array_to_string(list_sort(lost_num[1:5]), ', ')"),
+    issue("fact_preservation < 1 AND len(lost_nam) > 0", "'draft drops material names: ' || array_to_string(lost_nam[1:5], ', ')"),
+    *[_caveat(name, pattern) for name, pattern in wording.CAVEATS.items()],
+    issue("len(new_num) > 0", "'draft adds numbers not in the section: ' || array_to_string(list_sort(new_num[1:5]), ', ')"), issue("len(new_nam) > 0", "'draft adds names not on the page: ' || array_to_string(new_nam[1:5], ', ')"),
+])
+
+
+@query(f"{REWRITES} SELECT conv_id, turn, array_to_string(list_filter([{BODY_CHECKS}], lambda x: x IS NOT NULL), '; ') AS issues FROM m")
 def body_checks(spark, sf):
-    return rewrites(spark, sf).select("conv_id", "turn", wording.body_issues_column(F.col("original"), F.col("text"), F.col("original")).alias("issues"))
+    return rewrites(spark, sf).select("conv_id", "turn", F.array_join(wording.body_issues(F.col("r"), F.col("m")), "; ").alias("issues"))

@@ -22,9 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="shared-")
+    folder = tempfile.mkdtemp(prefix="shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that it is computed once and its lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def scoped(df: DataFrame, org_id: str, project_id: str, property_id: str | None = None, page: str | None = None, start=None, end=None, grain: str | None = None) -> DataFrame:
