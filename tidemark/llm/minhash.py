@@ -223,24 +223,29 @@ def _across(rows: DataFrame, percent: int, space: Workspace) -> DataFrame:
       node w that is not linked to h has o > m of its partner z. If neither is linked to h, o exceeds both: then z is
       the one with the larger m, so that each pair is looked for once.
     - A link also needs o >= |difference| - |z| (100 - percent) / percent for both, by the size of what sets a link apart.
-    Of a difference, rarest shingles first, a prefix is enough for either bound; a pair needs a common shingle in the
-    shorter prefix of z and the longer of w. Copies edited in places of their own share next to nothing.
+    - The intersection of z and w is |h| - |D of z| - |D of w| + o, so that a link of these two needs an o of their own. At a
+      common shingle no more can be common than what either has from there on, which rules most pairs out at once.
+    Of a difference, rarest shingles first, a prefix is enough for either of the first bounds; a pair needs a common shingle
+    in the shorter prefix of z and the longer of w. Copies edited in places of their own share next to nothing.
     """
     extra, lacking = F.array_except("x", "y"), F.array_except("y", "x")
     diffs = rows.select("a", F.col("b").alias("h"), "own", F.size("x").alias("n"), F.size("y").alias("n_h"), extra.alias("u"), lacking.alias("d"))
     linked = (F.col("n") - F.size("u")) * 100 >= (F.col("n_h") + F.size("u")) * percent
     m, total = F.least(F.size("u"), F.size("d")), F.size("u") + F.size("d")
     need = total - F.floor(F.col("n") * (100 - percent) / percent).cast("int")
-    diffs = diffs.select("a", "h", "own", "n", linked.alias("linked"), m.alias("m"), F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
+    diffs = diffs.select("a", "h", "own", "n", linked.alias("linked"), (F.col("n") - F.size("u")).alias("both"), F.col("n_h"), m.alias("m"), F.concat("u", "d").alias("diff"), (total - F.greatest(m + 1, need) + 1).alias("short"), (total - F.greatest(F.lit(1), need) + 1).alias("long")).where("long > 0")
     diffs = space.keep(diffs)
     parts_ = diffs.select("a", "h", F.explode("diff").alias("e"))
     df = parts_.groupBy("h", "e").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one node only take places of a prefix, but post nothing
     shared = parts_.join(df, ["h", "e"]).groupBy("a", "h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("keys"))
-    posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", "n", "linked", "m", (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
-    posts = space.keep(posts.select("a", "h", "own", "n", "linked", "m", "short", F.posexplode("keys.e").alias("at", "e")))
-    other = posts.where("not linked").select("h", "e", *[F.col(c).alias(f"{c}_w") for c in ("a", "own", "n", "m")])
+    posts = diffs.join(shared, ["a", "h"]).select("a", "h", "own", "n", "linked", "both", "n_h", "m", F.size("keys").alias("k"), (F.col("short") - F.size("diff") + F.size("keys")).alias("short"), F.expr("slice(keys, 1, greatest(0, long - size(diff) + size(keys)))").alias("keys"))
+    posts = space.keep(posts.select("a", "h", "own", "n", "linked", "both", "n_h", "m", "k", "short", F.posexplode("keys.e").alias("at", "e")))
+    other = posts.where("not linked").select("h", "e", *[F.col(c).alias(f"{c}_w") for c in ("a", "own", "n", "m", "both", "k", "at")])
     once = F.col("linked") | (F.struct("m", "a") > F.struct("m_w", "a_w"))
     sizes = F.least("n", "n_w") * 100 >= F.greatest("n", "n_w") * percent
-    pairs = posts.where("at < short").join(other, ["h", "e"]).where((F.col("own") != F.col("own_w")) & once & sizes)
+    # both is |h| - |D|: the intersection is both + both_w - |h| + o
+    in_common = F.least(F.col("k") - F.col("at"), F.col("k_w") - F.col("at_w")) + F.col("both") + F.col("both_w") - F.col("n_h")
+    able = in_common * (100 + percent) >= (F.col("n") + F.col("n_w")) * percent
+    pairs = posts.where("at < short").join(other, ["h", "e"]).where((F.col("own") != F.col("own_w")) & once & sizes & able)
     return pairs.select(F.greatest("a", "a_w").alias("a"), F.least("a", "a_w").alias("b")).distinct()
