@@ -42,6 +42,31 @@ def lacking(terms: list[str], structure: str) -> list[str]:
     return [t for t in terms if stem(t) not in stems and not (len(stem(t)) >= PREFIX and stem(t)[:PREFIX] in heads)]
 
 
+def tokens_column(text):
+    """tokens() as a column."""
+
+    def batch(rows: pd.Series) -> pd.Series:
+        return rows.map(tokens)
+
+    return F.pandas_udf(batch, "array<string>")(text)
+
+
+def stem_column(token):
+    def batch(rows: pd.Series) -> pd.Series:
+        return rows.map(stem)
+
+    return F.pandas_udf(batch, "string")(token)
+
+
+def lacking_column(terms, structure):
+    """lacking() as a column: terms of an array that no token of a text matches."""
+
+    def batch(asked: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([lacking(list(a) if a is not None else [], t or "") for a, t in zip(asked, texts, strict=True)])
+
+    return F.pandas_udf(batch, "array<string>")(terms, structure)
+
+
 GAP = "array<struct<query:string,impressions:bigint,clicks:bigint,position:double,terms:array<string>,missing_terms:array<string>,ratio:double>>"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query parameters that only track visits.
@@ -69,3 +69,9 @@ def crawlable(url: Column, hostname: Column, prefix: Column | None = None) -> Co
         return ok
     trimmed = F.regexp_replace(prefix, "/+$", "")
     return ok & (prefix.isNull() | (trimmed == "") | (path == trimmed) | path.startswith(F.concat(trimmed, F.lit("/"))))
+
+
+def first_seen(found: DataFrame, hostname: Column, prefix: Column | None = None) -> DataFrame:
+    """url (canonical) and at, the first place it was met, of found (at, url): crawl candidates of the site only."""
+    rows = found.select(canonical(F.col("url")).alias("url"), "at").where(F.col("url").isNotNull() & crawlable(F.col("url"), hostname, prefix))
+    return rows.groupBy("url").agg(F.min("at").alias("at"))

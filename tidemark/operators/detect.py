@@ -148,3 +148,22 @@ def primary_texts(found: DataFrame) -> DataFrame:
 def listed(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """By score, impressions and clicks, each descending, then page and type."""
     return found.orderBy(F.desc("score"), F.desc("impressions"), F.desc("clicks"), "page_id", "type").offset(offset).limit(limit)
+
+
+def per_page(found: DataFrame) -> DataFrame:
+    """Each page's opportunities (types) by score, heaviest first; ties keep the order of the rules."""
+    item = F.struct((-F.col("score")).alias("weight"), "rule", "type")
+    rows = found.groupBy(*TENANT, "page_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return rows.withColumn("types", F.transform("items", lambda x: x["type"])).drop("items")
+
+
+def listed_with_total(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """listed() with the number of all rows beside each of its few."""
+    total = found.agg(F.count("*").alias("total"))
+    # one row of one count: broadcast by construction
+    return listed(found, limit, offset).join(F.broadcast(total))
+
+
+def batch(candidates: DataFrame, number: int, size: int = 200) -> DataFrame:
+    """One batch of candidates by impressions (null as 0), descending, then page."""
+    return candidates.orderBy(F.desc(F.coalesce("c_impressions", F.lit(0))), "page_id").offset(number * size).limit(size)

@@ -155,3 +155,11 @@ def closed(opportunities: DataFrame, proposals: DataFrame, ids: DataFrame) -> tu
 def appended(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """target with those rows whose keys it doesn't have yet."""
     return target.unionByName(rows.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti"))
+
+
+def property_switched(facts: DataFrame, states: DataFrame, property_id: str) -> tuple[DataFrame, DataFrame]:
+    """After another property was chosen for a website: facts without the old one's, and its sync state (property_id,
+    last_synced, sync_status, sync_error) as before any sync."""
+    hit = F.col("property_id") == property_id
+    clear = {"last_synced": F.when(~hit, F.col("last_synced")), "sync_status": F.when(hit, "IDLE").otherwise(F.col("sync_status")), "sync_error": F.when(~hit, F.col("sync_error"))}
+    return facts.where(~hit), states.withColumns(clear)

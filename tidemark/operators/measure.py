@@ -53,12 +53,14 @@ def baselines(facts: DataFrame, requests: DataFrame, window_days: int = 28, lag:
     span = facts.where(of_grain("page")).groupBy("property_id").agg(F.min("date").alias("first_day"))
     end = F.least("last_synced", F.date_sub("as_of", lag), F.date_sub("as_of", 1))
     rows = requests.join(span, "property_id", "left").withColumn("window_end", F.when(F.col("last_synced").isNotNull(), end)).withColumn("window_start", F.date_sub("window_end", window_days - 1))
-    daily = facts.where(of_grain("page")).select("property_id", "page", "date", "clicks", "impressions", "position")
-    day = F.col("date").between(F.col("window_start"), F.col("window_end"))
-    joined = rows.join(daily, ["property_id", "page"], "left")
-    inside = lambda c: F.when(day, F.col(c))
+    # only days of some window are read at all, and each request meets those of its own
+    bounds = rows.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi")).first()
+    daily = facts.where(of_grain("page") & F.col("date").between(F.lit(bounds.lo), F.lit(bounds.hi)))
+    daily = daily.select(F.col("property_id").alias("_s"), F.col("page").alias("_p"), "date", "clicks", "impressions", "position")
+    joined = rows.join(daily, (F.col("property_id") == F.col("_s")) & (F.col("page") == F.col("_p")) & F.col("date").between(F.col("window_start"), F.col("window_end")), "left")
     keys = ["property_id", "page", "last_synced", "as_of", "first_day", "window_start", "window_end"]
-    out = joined.groupBy(*keys).agg(F.coalesce(F.sum(inside("clicks")), F.lit(0)).alias("clicks"), F.coalesce(F.sum(inside("impressions")), F.lit(0)).alias("impressions"), half_up(weighted_position(F.col("position"), F.col("impressions"), day), 2).alias("position"), F.count(F.when(day, 1)).alias("days_with_data"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("clicks", "impressions")]
+    out = joined.groupBy(*keys).agg(*sums, half_up(weighted_position(F.col("position"), F.col("impressions")), 2).alias("position"), F.count("date").alias("days_with_data"))
     limitation = F.when(F.col("property_id").isNull(), "NO_GSC_PROPERTY").when(F.col("last_synced").isNull(), "GSC_NOT_SYNCED").when(F.col("first_day").isNull(), "NO_GSC_DATA")
     out = out.withColumns({"ctr": ratio(F.col("clicks"), F.col("impressions")), "data_complete": F.coalesce(F.col("first_day") <= F.col("window_start"), F.lit(False)), "limitation": limitation})
     return out.drop("first_day", "last_synced", "as_of")

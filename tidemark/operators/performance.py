@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up, ratio, weighted_position
@@ -74,3 +74,30 @@ def query_shares(lists: DataFrame, low: float = 4, high: float = 20) -> DataFram
     total = F.aggregate("queries", F.lit(0).cast("long"), lambda s, q: s + q["impressions"])
     good = F.aggregate(F.filter("queries", lambda q: q["position"].between(low, high)), F.lit(0).cast("long"), lambda s, q: s + q["impressions"])
     return lists.withColumn("query_impressions", total).withColumn("improvable_share", ratio(good, F.col("query_impressions"))).withColumn("top_share", ratio(F.coalesce(F.get("queries", F.lit(0))["impressions"], F.lit(0)), F.col("query_impressions")))
+
+
+def of_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts of the given pages (tenant keys, page) only."""
+    return facts.join(pages.select(*TENANT, "page"), [*TENANT, "page"], "left_semi")
+
+
+def walked(rows: Column) -> Column:
+    """Totals of an array of rows (clicks, impressions, position), one after the other: what rollups are held against."""
+    start = F.struct(F.lit(0).cast("long").alias("clicks"), F.lit(0).cast("long").alias("impressions"), F.lit(0.0).alias("weight"))
+
+    def step(s: Column, r: Column) -> Column:
+        return F.struct((s["clicks"] + r["clicks"]).alias("clicks"), (s["impressions"] + r["impressions"]).alias("impressions"), (s["weight"] + r["position"] * r["impressions"]).alias("weight"))
+
+    def finish(s: Column) -> Column:
+        place = F.when(s["impressions"] > 0, half_up(s["weight"] / s["impressions"], 2))
+        return F.struct(s["clicks"].alias("clicks"), s["impressions"].alias("impressions"), ratio(s["clicks"], s["impressions"]).alias("ctr"), place.alias("position"))
+
+    return F.aggregate(rows, start, step, finish)
+
+
+def keyset(rows: DataFrame, key: str, after, limit: int) -> DataFrame:
+    """The limit rows after a key, in its order, with has_more: one more is read, and only these few are counted."""
+    few = rows.where(F.col(key) > after).orderBy(key).limit(limit + 1)
+    # one row of one flag: broadcast by construction
+    more = few.agg((F.count("*") > limit).alias("has_more"))
+    return few.orderBy(key).limit(limit).join(F.broadcast(more))

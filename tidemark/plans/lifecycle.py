@@ -162,7 +162,7 @@ SELECT p.property_id, p.page, e - 13 AS window_start, e AS window_end, CAST(coal
  {ROUND.format("(sum(position * impressions) / nullif(sum(impressions), 0))")} AS position, count(f.date) AS days_with_data, coalesce(sum(clicks)::DOUBLE / nullif(sum(impressions), 0), 0) AS ctr, first_day <= e - 13 AS data_complete
 FROM p JOIN w USING (property_id) LEFT JOIN facts f ON f.property_id = p.property_id AND f.page = p.page AND f.query = '' AND f.date BETWEEN e - 13 AND e GROUP BY ALL""")
 def baseline(spark, sf):
-    facts = tables.facts(spark, sf)
+    facts = tables.kept(tables.facts(spark, sf))
     asked = facts.select("property_id", "page").distinct().select("*", F.lit("2024-01-30").cast("date").alias("last_synced"), F.lit("2024-01-30").cast("date").alias("as_of"))
     return measure.baselines(facts, asked, 14).drop("limitation")
 
@@ -170,7 +170,7 @@ def baseline(spark, sf):
 @query(f"""WITH {FACTS}, q AS (SELECT property_id, page, query, {SUMS} FROM facts WHERE query <> '' AND date BETWEEN DATE '2024-01-14' AND DATE '2024-01-27' GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY property_id, page ORDER BY impressions DESC, query) AS INTEGER) AS rn FROM q QUALIFY rn <= 20""")
 def baseline_top_queries(spark, sf):
-    facts = tables.facts(spark, sf)
+    facts = tables.kept(tables.facts(spark, sf))
     windows = facts.select("property_id", "page").distinct().select("*", F.lit("2024-01-14").cast("date").alias("window_start"), F.lit("2024-01-27").cast("date").alias("window_end"))
     return measure.baseline_queries(facts, windows)
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import CTR_CURVE, WEIGHTS, DetectionConfig
-from tidemark.functions import urls
+from tidemark.functions import terms, urls
 from tidemark.functions.numeric import expected_ctr, half_up
-from tidemark.operators import detect, performance
+from tidemark.operators import detect, lifecycle, performance
 from tidemark.operators.performance import TENANT
 from tidemark.sources import tables
 
@@ -110,7 +110,8 @@ ALL = f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND}, {RANKED}, {SHARES}, {SCO
 
 
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    facts = tables.facts(spark, sf)
+    """Facts, written once as they are read for windows, pairs and queries, and the windows of each property."""
+    facts = tables.kept(tables.facts(spark, sf))
     return facts, tables.property_windows(facts, CFG.window_days)
 
 
@@ -154,8 +155,8 @@ def perf_page_window_pair(spark, sf):
     return performance.window_pair(*inputs(spark, sf)).drop("org_id", "project_id")
 
 
-def candidates(spark, sf):
-    facts, windows = inputs(spark, sf)
+def candidates(spark, sf, given=None):
+    facts, windows = given or inputs(spark, sf)
     return performance.page_candidates(facts, windows, tables.content_pages(spark, sf), CFG.min_impressions)
 
 
@@ -189,14 +190,14 @@ def half_up_rounding(spark, sf):
 
 def scored(spark, sf):
     facts, windows = inputs(spark, sf)
-    return detect.opportunities(candidates(spark, sf), performance.ranked_queries(facts, windows, CFG.top_queries_limit), CFG)
+    return detect.opportunities(candidates(spark, sf, (facts, windows)), performance.ranked_queries(facts, windows, CFG.top_queries_limit), CFG)
 
 
 @query(f"{ALL} SELECT property_id, page_id, {', '.join(f'floor(s_{x} * 1000 + 0.5) / 1000 AS s_{x}' for x in ('impressions', 'ctr', 'position', 'trend', 'query', 'coverage'))} FROM parts")
 def score_components(spark, sf):
     facts, windows = inputs(spark, sf)
     lists = performance.query_lists(performance.ranked_queries(facts, windows, CFG.top_queries_limit))
-    rows = detect.with_components(detect.with_facts(candidates(spark, sf).join(lists, [*TENANT, "url"], "left"), CFG), CFG)
+    rows = detect.with_components(detect.with_facts(candidates(spark, sf, (facts, windows)).join(lists, [*TENANT, "url"], "left"), CFG), CFG)
     return rows.select("property_id", "page_id", *[half_up(F.col(f"s_{x}"), 3).alias(f"s_{x}") for x in ("impressions", "ctr", "position", "trend", "query", "coverage")])
 
 
@@ -215,16 +216,11 @@ def opportunities_by_type(spark, sf):
     return scored(spark, sf).groupBy("type").agg(F.count("*").alias("n"), F.sum("impressions").alias("impressions"))
 
 
-@query()
-def opportunity_evidence(spark, sf):
-    return scored(spark, sf).select("page_id", "type", "summary", F.explode("evidence").alias("e")).select("page_id", "type", "summary", "e.*")
-
-
 @query(f"{ALL} SELECT c.page_id, r.query, r.impressions, r.clicks, r.position FROM cand c JOIN ranked r ON r.page = c.page AND r.property_id = c.property_id WHERE r.rn <= 5 AND r.impressions >= 4")
 def coverage_gaps(spark, sf):
     facts, windows = inputs(spark, sf)
     lists = performance.query_lists(performance.ranked_queries(facts, windows, CFG.top_queries_limit))
-    rows = detect.with_facts(candidates(spark, sf).join(lists, [*TENANT, "url"], "left"), CFG)
+    rows = detect.with_facts(candidates(spark, sf, (facts, windows)).join(lists, [*TENANT, "url"], "left"), CFG)
     return rows.select("page_id", F.explode("gaps").alias("g")).select("page_id", "g.query", "g.impressions", "g.clicks", "g.position")
 
 
@@ -241,10 +237,10 @@ def property_covers_host(spark, sf):
     return hosts.withColumn("domain", F.explode(urls.host_suffixes(F.col("host")))).join(props, "domain").select("page_id", "host", "domain")
 
 
-@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\\.', '') = 'tionsh.example.net' AS same_site, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\\.', '') = 'tionsh.example.net' AND regexp_extract(url, '://[^/]+([^?#]*)', 1) LIKE '/en/%' AS crawlable FROM pages")
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\\.', '') = 'blog.tionsh.example.net' AS same_site, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\\.', '') = 'blog.tionsh.example.net' AND regexp_extract(url, '://[^/]+([^?#]*)', 1) LIKE '/es/%' AS crawlable FROM pages")
 def crawl_candidates(spark, sf):
-    url, site = F.col("url"), F.lit("tionsh.example.net")
-    return tables.table(spark, sf, "pages").select("page_id", urls.same_site(url, site).alias("same_site"), urls.crawlable(url, site, F.lit("/en/")).alias("crawlable"))
+    url, site = F.col("url"), F.lit("blog.tionsh.example.net")
+    return tables.table(spark, sf, "pages").select("page_id", urls.same_site(url, site).alias("same_site"), urls.crawlable(url, site, F.lit("/es/")).alias("crawlable"))
 
 
 @query(f"WITH {DIM} SELECT status, count(*) AS n FROM dim GROUP BY status")
@@ -259,6 +255,178 @@ def page_search(spark, sf):
     return tables.content_pages(spark, sf).where(F.lower("url").contains(needle) | F.lower("title").contains(needle)).select("page_id", "url")
 
 
-@query("SELECT page_id FROM pages WHERE page_id > 100 ORDER BY page_id LIMIT 21")
+# Evidence as SQL: facts of a page with their texts, primary ones by type, and the facts that no primary one stands for.
+_N = "printf('%d', CAST({0} AS BIGINT))"
+_PCT = "printf('%.1f%%', floor({0} * 1000 + 0.5) / 10)"
+_POS = "printf('%.1f', floor({0} * 10 + 0.5) / 10)"
+_R2 = "floor({0} * 10000 + 0.5) / 100"
+
+
+def _fact(name: str, when: str, kind: str, metric: str, value: str, threshold: str, text: str, query: str = "NULL") -> str:
+    return f"SELECT page_id, '{name}' AS fact, '{kind}' AS e_type, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, CAST({threshold} AS DOUBLE) AS threshold, CAST({query} AS VARCHAR) AS query, {text} AS text FROM told WHERE {when}"
+
+
+_FACTS = " UNION ALL ".join([
+    _fact("high", "c_impressions >= 30", "HIGH_IMPRESSIONS", "impressions", "c_impressions", "30", f"'The page received ' || {_N.format('c_impressions')} || ' impressions between ' || cur_start || ' and ' || cur_end || ' (threshold: 30).'"),
+    _fact("low", "c_impressions >= 15 AND c_position <= 20 AND c_ctr < lim", "LOW_CTR", "ctr", _R2.format("c_ctr"), _R2.format("lim"), f"'CTR was ' || {_PCT.format('c_ctr')} || ' at an average position of ' || {_POS.format('c_position')} || ', below the ' || {_PCT.format('lim')} || ' threshold (60% of the ≈' || {_PCT.format('expected_ctr')} || ' typical for that position).'"),
+    _fact("one", "c_position BETWEEN 4 AND 10", "PAGE_ONE_RANKING", "position", "c_position", "4", f"'Average position was ' || {_POS.format('c_position')} || ', within the 4–10 range on page one.'"),
+    _fact("clicks", "p_clicks >= 1 AND click_change <= -25", "CLICK_DECLINE", "clicks", "c_clicks", "-25", f"'Clicks went from ' || p_clicks || ' (' || prev_start || ' to ' || prev_end || ') to ' || c_clicks || ' (' || cur_start || ' to ' || cur_end || '), a ' || {_POS.format('abs(click_change)')} || '% decrease (threshold: 25%).'"),
+    _fact("ctr", "p_impressions >= 10 AND c_impressions >= 10 AND ctr_change <= -25", "CTR_DECLINE", "ctr", _R2.format("c_ctr"), "-25", f"'CTR went from ' || {_PCT.format('p_ctr')} || ' to ' || {_PCT.format('c_ctr')} || ' between the two periods, a ' || {_POS.format('abs(ctr_change)')} || '% relative decrease.'"),
+    _fact("moved", "p_impressions > 0 AND c_position - p_position >= 1", "POSITION_CHANGE", "position", "c_position", "1", f"'Average position moved from ' || {_POS.format('p_position')} || ' to ' || {_POS.format('c_position')} || ' (a higher number is further down the results).'"),
+    _fact("top", "t_impressions >= 4", "HIGH_QUERY_IMPRESSIONS", "impressions", "t_impressions", "4", f"'Top query \"' || t_query || '\": ' || t_impressions || ' impressions, ' || t_clicks || ' clicks, CTR ' || {_PCT.format('t_ctr')} || ', average position ' || {_POS.format('t_position')} || '.'", "t_query"),
+    _fact("share", "t_query IS NOT NULL AND top_share >= 0.5 AND query_count > 1", "QUERY_CONCENTRATION", "top_query_share", _R2.format("top_share"), "50", f"'\"' || t_query || '\" accounts for ' || {_PCT.format('top_share')} || ' of the impressions attributed to individual queries.'", "t_query"),
+    "SELECT t.page_id, 'gap', 'CONTENT_COVERAGE_SIGNAL', 'covered_term_ratio', 0.0, 50.0, r.query, 'The query \"' || r.query || '\" had ' || r.impressions || ' impressions, but the page title, H1 and headings do not contain \"' || r.query || '\". The page may not cover this query in a dedicated section.' FROM told t JOIN ranked r ON r.page = t.page AND r.property_id = t.property_id WHERE r.rn <= 5 AND r.impressions >= 4",
+])
+_PRIMARY = {"LOW_CTR": "fact = 'low'", "PAGE_ONE_NEAR_TOP": "fact = 'one'", "HIGH_IMPRESSIONS_LOW_CLICKS": "fact = 'high'", "PERFORMANCE_DECLINE": "fact IN ('clicks', 'ctr')", "CONTENT_COVERAGE_SIGNAL": "fact = 'gap'"}
+EVIDENCE = f"""{ALL}, told AS (SELECT p.*, expected_ctr * 0.6::DOUBLE AS lim, r.query AS t_query, r.impressions AS t_impressions, r.clicks AS t_clicks, r.ctr AS t_ctr, r.position AS t_position
+  FROM parts p LEFT JOIN ranked r ON r.page = p.page AND r.property_id = p.property_id AND r.rn = 1),
+known AS ({_FACTS}),
+prim AS ({" UNION ALL ".join(f"SELECT f.type, k.* FROM found f JOIN known k ON k.page_id = f.page_id WHERE f.type = '{t}' AND {w}" for t, w in _PRIMARY.items())}
+  UNION ALL SELECT f.type, t.page_id, 'absolute', 'LOW_CTR', 'ctr', {_R2.format("t.c_ctr")}, 5.0, NULL, 'Only ' || c_clicks || ' clicks from ' || c_impressions || ' impressions: a CTR of ' || {_PCT.format("t.c_ctr")} || ', below 5.0%.' FROM found f JOIN told t ON t.page_id = f.page_id WHERE f.type = 'HIGH_IMPRESSIONS_LOW_CLICKS'),
+evidence AS (SELECT *, true AS is_primary FROM prim UNION ALL SELECT f.type, k.*, false FROM found f JOIN known k ON k.page_id = f.page_id
+  WHERE NOT EXISTS (SELECT 1 FROM prim p WHERE p.type = f.type AND p.page_id = f.page_id AND p.e_type = k.e_type AND p.metric = k.metric AND coalesce(p.query, '') = coalesce(k.query, '')))"""
+
+
+@query(f"{EVIDENCE} SELECT page_id, type, e_type AS evidence_type, is_primary, metric, value, threshold, query, text FROM evidence")
+def opportunity_evidence(spark, sf):
+    rows = scored(spark, sf).select("page_id", "type", F.explode("evidence").alias("e"))
+    return rows.select("page_id", "type", F.col("e.type").alias("evidence_type"), F.col("e.primary").alias("is_primary"), "e.metric", "e.value", "e.threshold", "e.query", "e.text")
+
+
+@query(f"{EVIDENCE} SELECT page_id, type, string_agg(text, ' | ' ORDER BY text) AS texts FROM evidence WHERE is_primary GROUP BY ALL")
+def opportunity_primary_texts(spark, sf):
+    rows = detect.primary_texts(scored(spark, sf))
+    return rows.select("page_id", "type", F.array_join(F.array_sort("evidence_texts"), " | ").alias("texts"))
+
+
+_POINTS = " UNION ALL ".join(
+    f"SELECT page_id, '{k}' AS type, CAST({n} AS INTEGER) AS place, '{x}' AS component, floor(s_{x} * 1000 + 0.5) / 1000 AS value, {WEIGHTS[k][x]} AS weight, floor(s_{x} * {WEIGHTS[k][x]} * 10 + 0.5) / 10 AS points FROM parts WHERE {FIRES[k]}"
+    for k in FIRES for n, x in enumerate(sorted((x for x in WEIGHTS[k] if WEIGHTS[k][x]), key=lambda x: -WEIGHTS[k][x]))
+)
+
+
+@query(f"{ALL} {_POINTS}")
+def score_breakdown(spark, sf):
+    rows = scored(spark, sf).select("page_id", "type", F.posexplode("score_breakdown").alias("place", "b"))
+    return rows.select("page_id", "type", "place", "b.component", "b.value", "b.weight", "b.points")
+
+
+_ORDER = "CASE type " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(FIRES)) + " END"
+
+
+@query(f"{ALL} SELECT page_id, string_agg(type, ',' ORDER BY score DESC, {_ORDER}) AS types FROM found GROUP BY page_id")
+def opportunities_per_page(spark, sf):
+    return detect.per_page(scored(spark, sf)).select("page_id", F.array_join("types", ",").alias("types"))
+
+
+@query(f"{ALL} SELECT page_id, type, score, count(*) OVER () AS total FROM found ORDER BY score DESC, impressions DESC, clicks DESC, page_id, type LIMIT 20")
+def opportunities_page_total(spark, sf):
+    return detect.listed_with_total(scored(spark, sf), 20).select("page_id", "type", "score", "total")
+
+
+@query(f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND} SELECT page_id, c_impressions FROM cand ORDER BY coalesce(c_impressions, 0) DESC, page_id LIMIT 40 OFFSET 40")
+def detection_batch(spark, sf):
+    return detect.batch(candidates(spark, sf), 1, 40).select("page_id", "c_impressions")
+
+
+@query(f"WITH {FACTS}, {WINDOWS}, {RANKED}, {PAIR}, {DIM}, {CAND} SELECT r.property_id, r.page, query, r.impressions, CAST(rn AS INTEGER) AS rn FROM ranked r SEMI JOIN cand c ON c.page = r.page AND c.property_id = r.property_id WHERE rn <= 25")
+def selected_page_queries(spark, sf):
+    """Queries of the pages that are candidates only: other pages go before any rank is taken."""
+    facts, windows = inputs(spark, sf)
+    chosen = performance.page_candidates(facts, windows, tables.content_pages(spark, sf), CFG.min_impressions).withColumnRenamed("url", "page")
+    return performance.ranked_queries(performance.of_pages(facts, chosen), windows, CFG.top_queries_limit).select("property_id", "page", "query", "impressions", "rn")
+
+
+@query(f"WITH {FACTS}, {WINDOWS}, {PAIR} SELECT property_id, page, c_clicks, c_impressions, c_position, p_clicks, p_impressions, p_position FROM pair WHERE page = (SELECT max(page) FROM facts WHERE query = '')")
+def one_page_window_pair(spark, sf):
+    facts, windows = inputs(spark, sf)
+    page = facts.where("query = ''").agg(F.max("page")).first()[0]
+    rows = performance.window_pair(tables.scoped(facts, tables.ORG, tables.PROJECT, page=page), windows)
+    return rows.select("property_id", "page", *[f"{w}_{x}" for w in "cp" for x in ("clicks", "impressions", "position")])
+
+
+@query(f"WITH {FACTS} SELECT property_id, count(*) AS n FROM facts GROUP BY property_id")
+def property_row_counts(spark, sf):
+    return tables.row_counts(tables.facts(spark, sf))
+
+
+@query(f"WITH {FACTS} SELECT page, {SUMS} FROM facts WHERE query = '' GROUP BY page")
+def row_level_totals(spark, sf):
+    """Each page's totals by a walk over its rows, against which the rollups are held in tests."""
+    rows = tables.facts(spark, sf).where("query = ''").groupBy("page").agg(F.collect_list(F.struct("clicks", "impressions", "position")).alias("rows"))
+    return rows.select("page", performance.walked(F.col("rows")).alias("t")).select("page", "t.*")
+
+
+@query(f"WITH {FACTS} SELECT date, property_id, query, impressions FROM facts WHERE property_id <> 'net'")
+def property_switch(spark, sf):
+    """Another site is chosen for a website: the facts of its old property go, and its sync state starts anew."""
+    rows, _ = lifecycle.property_switched(tables.facts(spark, sf), property_states(spark, sf), "net")
+    return rows.select("date", "property_id", "query", "impressions")
+
+
+def property_states(spark, sf):
+    rows = tables.facts(spark, sf).where("query = ''").groupBy("property_id").agg(F.max("date").alias("last_synced"))
+    return rows.withColumns({"sync_status": F.lit("DONE"), "sync_error": F.lit(None).cast("string")})
+
+
+@query(f"WITH {FACTS} SELECT property_id, CASE WHEN property_id <> 'net' THEN max(date) END AS last_synced, CASE WHEN property_id = 'net' THEN 'IDLE' ELSE 'DONE' END AS sync_status FROM facts WHERE query = '' GROUP BY property_id")
+def property_switch_state(spark, sf):
+    return lifecycle.property_switched(tables.facts(spark, sf), property_states(spark, sf), "net")[1].select("property_id", "last_synced", "sync_status")
+
+
+@query("SELECT page_id, count(*) OVER () > 20 AS has_more FROM (SELECT page_id FROM pages WHERE page_id > 10 ORDER BY page_id LIMIT 21) LIMIT 20")
 def page_keyset(spark, sf):
-    return tables.table(spark, sf, "pages").where("page_id > 100").orderBy("page_id").limit(21).select("page_id")
+    return performance.keyset(tables.table(spark, sf, "pages").select("page_id"), "page_id", 10, 20)
+
+
+_STEM = """CASE WHEN length(t) <= 4 THEN t WHEN regexp_matches(t, 'ations?$') THEN regexp_replace(t, 'ations?$', '') WHEN regexp_matches(t, 'ings?$') THEN regexp_replace(t, 'ings?$', '')
+ WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(ch|sh|ss|x|z)es$') THEN regexp_replace(t, 'es$', '') WHEN regexp_matches(t, 'ed$') THEN regexp_replace(t, 'ed$', '')
+ WHEN regexp_matches(t, '[^s]s$') THEN regexp_replace(t, 's$', '') ELSE t END"""
+_STOPS = "['" + "', '".join(sorted(terms.STOP_WORDS)) + "']"
+_TOKENS = "list_filter(regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND NOT list_contains(" + _STOPS + ", x))"
+_TOKENS = "list_filter(" + _TOKENS + ", lambda t: NOT list_contains(" + _STOPS + ", " + _STEM + "))"
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS t FROM conversations), s AS (SELECT t AS term, {_STEM} AS stem FROM w) SELECT * FROM s WHERE NOT list_contains({_STOPS}, stem)")
+def query_terms(spark, sf):
+    words = tables.table(spark, sf, "conversations").select(F.explode(terms.tokens_column(F.col("text"))).alias("term")).distinct()
+    return words.select("term", terms.stem_column(F.col("term")).alias("stem"))
+
+
+@query(f"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title FROM pages),
+q AS (SELECT page_id, title, list_transform({_TOKENS.format("title")}, lambda w: CASE page_id % 4 WHEN 0 THEN w || 's' WHEN 1 THEN w || 'ing' WHEN 2 THEN substr(w, 1, 5) || 'xx' ELSE 'zz' || w END) AS asked FROM p),
+a AS (SELECT page_id, unnest(list_distinct(asked)) AS t FROM q), ast AS (SELECT page_id, t, {_STEM} AS stem FROM a WHERE NOT list_contains({_STOPS}, t)),
+b AS (SELECT page_id, unnest({_TOKENS.format("title")}) AS t FROM p), bst AS (SELECT page_id, {_STEM} AS stem FROM b),
+f AS (SELECT page_id, t, bool_or(a.stem = b.stem OR (length(a.stem) >= 5 AND length(b.stem) >= 5 AND substr(a.stem, 1, 5) = substr(b.stem, 1, 5))) AS known FROM ast a LEFT JOIN bst b USING (page_id) WHERE NOT list_contains({_STOPS}, a.stem) GROUP BY ALL)
+SELECT page_id, t AS term, coalesce(known, false) AS covered FROM f""")
+def fuzzy_terms(spark, sf):
+    """Whether a page's title covers terms made from its own words: with other endings, cut and lengthened, or with a new beginning."""
+    rows = tables.content_pages(spark, sf).select("page_id", "title", terms.tokens_column(F.col("title")).alias("own"))
+    kind = F.col("page_id") % 4
+    asked = F.transform("own", lambda w: F.when(kind == 0, F.concat(w, F.lit("s"))).when(kind == 1, F.concat(w, F.lit("ing"))).when(kind == 2, F.concat(F.substring(w, 1, 5), F.lit("xx"))).otherwise(F.concat(F.lit("zz"), w)))
+    rows = rows.select("page_id", "title", terms.tokens_column(F.array_join(asked, " ")).alias("asked"))
+    rows = rows.select("page_id", F.array_distinct("asked").alias("asked"), terms.lacking_column(F.col("asked"), F.col("title")).alias("lacking"))
+    return rows.select("page_id", F.explode("asked").alias("term"), "lacking").select("page_id", "term", (~F.array_contains("lacking", F.col("term"))).alias("covered"))
+
+
+_BASES = ("https://Example.com/x", "http://example.com:80/", "https://example.com:8443/", "https://user:pw@example.com/", "https://localhost/", "https://10.0.0.1/", "ftp://example.com/", "https://shop.example.co.uk/a?b", "https://intranet.local/", "nonsense")
+
+
+@query("SELECT page_id, ['https://example.com', 'http://example.com', NULL, NULL, NULL, NULL, NULL, 'https://shop.example.co.uk', NULL, NULL][page_id % 10 + 1] AS base FROM pages")
+def base_urls(spark, sf):
+    given = F.element_at(F.array(*map(F.lit, _BASES)), (F.col("page_id") % 10 + 1).cast("int"))
+    return tables.table(spark, sf, "pages").select("page_id", urls.base_url(given).alias("base"))
+
+
+@query("""WITH u AS (SELECT page_id, 'https://www.site.com' || regexp_extract(url, '://[^/?#]+(.*)', 1) AS url FROM pages),
+c AS (SELECT page_id AS place, url FROM u UNION ALL SELECT page_id + 1000000, url FROM u UNION ALL SELECT 2000000 + page_id, 'mailto:a@b.c' FROM u UNION ALL SELECT page_id, 'https://www.site.com/' || page_id || '.pdf' FROM u UNION ALL SELECT page_id, 'https://other.com/' FROM u),
+n AS (SELECT """ + CANON.format("url") + """ AS url, place FROM c WHERE url LIKE 'https://www.site.com/%' AND url NOT LIKE '%.pdf') SELECT url, min(place) AS place FROM n GROUP BY url""")
+def first_seen_urls(spark, sf):
+    """Candidates of a crawl of one site in the order they were met first: each is there twice, and some are no pages of it."""
+    rest = F.regexp_extract("url", "://[^/?#]+(.*)", 1)
+    rows = tables.table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("at"), F.concat(F.lit("https://www.site.com"), rest).alias("url"))
+    odd = [rows.select((F.col("at") + 2_000_000).alias("at"), F.lit("mailto:a@b.c").alias("url")), rows.select("at", F.concat(F.lit("https://www.site.com/"), "at", F.lit(".pdf")).alias("url")), rows.select("at", F.lit("https://other.com/").alias("url"))]
+    found = rows.unionByName(rows.withColumn("at", F.col("at") + 1_000_000))
+    for more in odd:
+        found = found.unionByName(more)
+    return urls.first_seen(found, F.lit("site.com")).withColumnRenamed("at", "place")

@@ -117,3 +117,8 @@ def property_windows(facts_: DataFrame, window_days: int, as_of: Column | None =
     out = facts_.where(of_grain("page")).groupBy("org_id", "project_id", "property_id").agg(end.alias("cur_end"))
     out = out.withColumn("cur_start", F.date_sub("cur_end", window_days - 1)).withColumn("prev_end", F.date_sub("cur_start", 1))
     return out.withColumn("prev_start", F.date_sub("prev_end", window_days - 1))
+
+
+def row_counts(facts_: DataFrame) -> DataFrame:
+    """Stored rows of each property."""
+    return facts_.groupBy("property_id").agg(F.count("*").alias("n"))
