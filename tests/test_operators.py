@@ -1,6 +1,7 @@
 """Operators on small inputs with known results."""
 
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,9 +253,16 @@ def test_discovery(spark):
     index = b"<?xml version='1.0'?><sitemapindex><sitemap><loc>https://s.com/a.xml</loc></sitemap></sitemapindex>"
     urlset = b"<urlset><url><loc>https://s.com/p</loc><lastmod>2026-01-01</lastmod></url><url><loc></loc></url></urlset>"
     assert discovery.parse_sitemap(b"https://s.com/1\nx")["kind"] == "text" and discovery.parse_sitemap(b"junk")["kind"] == "unknown"
-    files = spark.createDataFrame([("https://s.com/i.xml", bytearray(index), ""), ("https://s.com/a.xml", bytearray(urlset), "")], "url string, body binary, content_type string")
-    got = discovery.discover(spark.createDataFrame([("https://s.com/i.xml",)], "url string"), files).collect()
-    assert [(r.url, r.lastmod) for r in got] == [("https://s.com/p", "2026-01-01")]
+    index = index.replace(b"</sitemapindex>", b"".join(b"<sitemap><loc>https://%s</loc></sitemap>" % x for x in (b"s.com/a.xml", b"www.s.com/b.txt", b"s.com/gone.xml", b"s.com/junk.xml", b"other.com/c.xml", b"s.com/i.xml")) + b"</sitemapindex>")
+    files = [("https://s.com/i.xml", 200, index), ("https://s.com/a.xml", 200, gzip.compress(urlset)), ("https://www.s.com/b.txt", 200, b"https://s.com/q\nhttps://s.com/p"), ("https://s.com/gone.xml", 404, b""), ("https://s.com/junk.xml", 200, b"<html/>"), ("https://other.com/c.xml", 200, urlset)]
+    files = spark.createDataFrame([(u, c, bytearray(b), "") for u, c, b in files], "url string, status int, body binary, content_type string")
+    start = spark.createDataFrame([("https://s.com/i.xml",)], "url string")
+    got = discovery.discover(start, files, "s.com")
+    assert [(r.url, r.lastmod, r.file) for r in got.entries.collect()] == [("https://s.com/p", "2026-01-01", "https://s.com/a.xml"), ("https://s.com/q", None, "https://www.s.com/b.txt"), ("https://s.com/p", None, "https://www.s.com/b.txt")]
+    assert {(r.url[-8:], r.error) for r in got.files.where("error is not null").collect()} == {("gone.xml", "HTTP 404"), ("junk.xml", "Not a sitemap")} and got.files.count() == 5 and not got.truncated
+    few = discovery.discover(start, files, "s.com", most_files=2)
+    assert few.truncated and few.entries.count() == 1 and few.files.count() == 2
+    assert discovery.discover(start, files, "s.com", most_urls=2).truncated
     robots = discovery.parse_robots("User-agent: *\nDisallow: /\n\nUser-agent: mybot\nDisallow: /private\nAllow: /private/ok$\nCrawl-delay: 99\nSitemap: https://s.com/i.xml", "MyBot/1.0")
     assert [robots.allows(p) for p in ("/", "/private/x", "/private/ok", "/private/ok2")] == [True, False, True, False]
     assert robots.delay == 10.0 and robots.sitemaps == ("https://s.com/i.xml",)

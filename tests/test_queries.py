@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return None
     if isinstance(value, float):
         return float(f"{value:.9g}")

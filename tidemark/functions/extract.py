@@ -52,6 +52,15 @@ def slug(text: str) -> str:
     return "-".join(parts)[:60] or "section"
 
 
+def slug_column(text):
+    """slug() as a column; null is empty."""
+
+    def batch(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: slug(t or ""))
+
+    return F.pandas_udf(batch, "string")(text)
+
+
 def absolute(raw: str | None, base: str) -> str | None:
     value = (raw or "").strip()
     if not value or value.startswith("#") or _SKIPPED.match(value):

@@ -55,3 +55,41 @@ def crawl_summary(results: DataFrame) -> DataFrame:
     rows = results.groupBy("job_id").agg(count("CREATED", "UPDATED", "UNCHANGED").alias("ok"), count("FAILED").alias("failed"), count("SKIPPED").alias("skipped"), F.bool_or("error").alias("error"), F.bool_or("cancelled").alias("cancelled"), F.bool_or("limit_hit").alias("limit_hit"))
     status = F.when(F.col("error") | ((F.col("ok") == 0) & (F.col("failed") > 0)), "FAILED").when(F.col("cancelled"), "CANCELLED").when((F.col("failed") > 0) | F.col("limit_hit"), "PARTIAL").otherwise("COMPLETED")
     return rows.withColumn("status", status)
+
+
+def identified(results: DataFrame) -> DataFrame:
+    """Crawl results (url, at, http_status, final_url) with identity, status and outcome: content belongs to the canonical
+    final URL, which the first result that leads there stores; later ones are DUPLICATE, pages that led elsewhere REDIRECTED."""
+    url, final = urls.canonical(F.col("url")), F.coalesce(urls.canonical(F.col("final_url")), urls.canonical(F.col("url")))
+    rows = results.withColumns({"url": url, "identity": final, "good": F.col("http_status").between(200, 299)})
+    first = rows.where("good").groupBy("identity").agg(F.min("at").alias("_first"))
+    rows = rows.join(first, "identity", "left")
+    moved = F.col("url") != F.col("identity")
+    status = page_status(F.col("http_status"), F.lit(False), F.col("good") & moved)
+    outcome = F.when(~F.col("good"), "FAILED").when(F.col("at") > F.col("_first"), "DUPLICATE").otherwise("STORED")
+    return rows.select("url", "at", F.when(F.col("good"), F.col("identity")).alias("identity"), status.alias("status"), outcome.alias("outcome"))
+
+
+def new_children(extracted_: DataFrame, outcomes: DataFrame, array: str) -> DataFrame:
+    """A child table of those pages only that have a new version (outcomes: page_id, outcome, version_no)."""
+    fresh = outcomes.where(F.col("outcome").isin("CREATED", "UPDATED")).select("page_id", "version_no")
+    return child(extracted_.join(fresh, "page_id"), array, "page_id", "version_no")
+
+
+def with_current(pages: DataFrame, versions: DataFrame) -> DataFrame:
+    """pages with the fields (v_*) of the version that each points to by current_version_id, null without one."""
+    own = versions.select(*[F.col(c).alias(f"v_{c}") for c in versions.columns])
+    return pages.join(own, (F.col("page_id") == F.col("v_page_id")) & (F.col("current_version_id") == F.col("v_version_id")), "left").drop("v_page_id", "v_version_id")
+
+
+def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """parents with an array of their children (structs of all other columns), in order; empty without any."""
+    rest = [c for c in children.columns if c not in (key, order)]
+    rows = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+    return parents.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+
+
+def structured_facts(rows: DataFrame) -> DataFrame:
+    """page_id, the distinct types of all JSON-LD blocks in order of appearance, and images without an alt text."""
+    types = F.array_distinct(F.flatten(F.transform("json_ld", lambda b: b["types"])))
+    return rows.select("page_id", types.alias("types"), F.size(F.filter("images", lambda i: i["alt"].isNull())).alias("images_missing_alt"))

@@ -15,13 +15,35 @@ MULTILINE = ("INTRODUCTION", "SECTION_BODY")
 
 def html_content(content_type: Column) -> Column:
     """Whether a response is a page: HTML, XHTML or without a type."""
-    return F.coalesce(content_type, F.lit("")).rlike(r"(?i)^\s*($|text/html|application/xhtml\+xml)")
+    return F.coalesce(content_type, F.lit("")).rlike(r"(?i)^\s*($|(text/html|application/xhtml\+xml)\b)")
 
 
 def answer(text: Column) -> Column:
     """The model's JSON without its code fence, as ANSWER_DDL; null for anything invalid."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, ANSWER_DDL))
+    return F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(bare, ANSWER_DDL))
+
+
+#: Bounds of an answer: characters of texts, and how many items there may be.
+SUMMARY, TOPIC, RATIONALE, VALUE = 1200, 200, 800, 20_000
+MOST = {"search_intent": 15, "content_gaps": 10, "recommendations": 10, "related_queries": 10}
+#: Kinds of recommendations.
+KINDS = ("TITLE", "META_DESCRIPTION", "HEADING", "SECTION_EXPANSION", "MISSING_TOPIC", "CLARIFICATION", "INTERNAL_LINK", "INTRODUCTION")
+
+
+def answer_problems(parsed: Column) -> Column:
+    """Which bounds an answer() breaks; one that could not be read has no answer at all."""
+    size = lambda name: F.coalesce(F.size(parsed[name]), F.lit(0))
+    any_of = lambda name, test: F.coalesce(F.exists(parsed[name], test), F.lit(False))
+    queries = lambda g: F.coalesce(F.size(g["related_queries"]), F.lit(0))
+    checks = [
+        (F.length(parsed["summary"]) > SUMMARY, F.lit("summary too long")), (parsed["summary"].isNull(), F.lit("no summary")),
+        *[(size(n) > MOST[n], F.lit(f"too many {n}")) for n in ("search_intent", "content_gaps", "recommendations")],
+        (any_of("content_gaps", lambda g: queries(g) == 0), F.lit("empty related_queries")), (any_of("content_gaps", lambda g: queries(g) > MOST["related_queries"]), F.lit("too many related_queries")),
+        (any_of("content_gaps", lambda g: F.length(g["topic"]) > TOPIC), F.lit("topic too long")), (any_of("recommendations", lambda r: ~r["type"].isin(*KINDS)), F.lit("unknown type")),
+        (any_of("recommendations", lambda r: F.length(r["rationale"]) > RATIONALE), F.lit("rationale too long")), (any_of("recommendations", lambda r: F.length(r["suggested_value"]) > VALUE), F.lit("suggested_value too long")),
+    ]
+    return F.when(parsed.isNull(), F.array(F.lit("no answer"))).otherwise(wording.listed(checks))
 
 
 def asked(query: Column) -> Column:

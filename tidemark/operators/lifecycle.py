@@ -163,3 +163,67 @@ def property_switched(facts: DataFrame, states: DataFrame, property_id: str) ->
     hit = F.col("property_id") == property_id
     clear = {"last_synced": F.when(~hit, F.col("last_synced")), "sync_status": F.when(hit, "IDLE").otherwise(F.col("sync_status")), "sync_error": F.when(~hit, F.col("sync_error"))}
     return facts.where(~hit), states.withColumns(clear)
+
+
+def value_sources(proposals: DataFrame, drafts: DataFrame) -> DataFrame:
+    """proposals (review_id, change_type, target_section, value, edited) with value_source, draft_id and draft_revision.
+
+    drafts (review_id, draft_id, revision, change_type, target_section, value): those that were offered and not edited. A
+    value that one of them has (the newest, if several) is AI_DRAFT; other values are HUMAN_EDITED where the recommendation
+    was edited or has drafts, else AI_RECOMMENDATION. Values are compared with white space folded."""
+    fold = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
+    keys = ["review_id", "change_type", "_section", "_value"]
+    keyed = lambda rows: rows.withColumns({"_section": F.coalesce("target_section", F.lit("")), "_value": fold("value")})
+    newest = keyed(drafts).groupBy(*keys).agg(F.max(F.struct("revision", "draft_id")).alias("d"))
+    some = drafts.groupBy("review_id").agg(F.count("*").alias("_n"))
+    rows = keyed(proposals).join(newest, keys, "left").join(some, "review_id", "left")
+    source = F.when(F.col("d").isNotNull(), "AI_DRAFT").when(F.col("edited") | F.col("_n").isNotNull(), "HUMAN_EDITED").otherwise("AI_RECOMMENDATION")
+    return rows.withColumns({"value_source": source, "draft_id": F.col("d.draft_id"), "draft_revision": F.col("d.revision")}).drop("_section", "_value", "d", "_n")
+
+
+def regenerated(drafts: DataFrame, requests: DataFrame, most: int = 5) -> DataFrame:
+    """requests (review_id, value, issues, analysis_version, current_version) with revision and outcome.
+
+    STALE where the page has another version than the analysis; CAPPED where the review has most drafts already; INVALID
+    with issues; REPEATED where a draft of the review says the same; else STORED with the next revision. One request for
+    each review at a time; nothing but STORED ones may be appended, and the text of others isn't kept."""
+    fold = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
+    known = drafts.groupBy("review_id").agg(F.count("*").alias("_n"), F.max("revision").alias("_top"), F.collect_set(fold("value")).alias("_said"))
+    rows = requests.join(known, "review_id", "left")
+    outcome = (
+        F.when(~F.col("analysis_version").eqNullSafe(F.col("current_version")), "STALE").when(F.coalesce("_n", F.lit(0)) >= most, "CAPPED").when(F.size("issues") > 0, "INVALID")
+        .when(F.coalesce(F.array_contains("_said", fold("value")), F.lit(False)), "REPEATED").otherwise("STORED")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    stored = F.col("outcome") == "STORED"
+    return rows.withColumns({"revision": F.when(stored, F.coalesce("_top", F.lit(0)) + 1).cast("int"), "value": F.when(stored, fold("value"))}).drop("_n", "_top", "_said")
+
+
+def still_current(proposals: DataFrame, pages: DataFrame) -> DataFrame:
+    """proposals (page_id, page_version_id) with current_version_id of their page and matches, whether that is the version
+    that they were approved against; a page that is gone never matches."""
+    now = pages.select("page_id", "current_version_id")
+    return proposals.join(now, "page_id", "left").withColumn("matches", F.coalesce(F.col("current_version_id") == F.col("page_version_id"), F.lit(False)))
+
+
+def run_advanced(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Detection runs (run_id, website_id, status) after events (run_id, kind: claim, complete, fail): a queued run is claimed,
+    a running one ends; other events change nothing."""
+    got = events.groupBy("run_id").agg(F.bool_or(F.col("kind") == "claim").alias("_claim"), F.bool_or(F.col("kind") == "complete").alias("_done"), F.bool_or(F.col("kind") == "fail").alias("_fail"))
+    rows = runs.join(got, "run_id", "left")
+    running = F.when((F.col("status") == "QUEUED") & F.col("_claim"), "RUNNING").otherwise(F.col("status"))
+    ended = F.when((running == "RUNNING") & F.col("_fail"), "FAILED").when((running == "RUNNING") & F.col("_done"), "COMPLETED").otherwise(running)
+    return rows.withColumn("status", ended).drop("_claim", "_done", "_fail")
+
+
+def run_requested(runs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (website_id) with the run that serves each: the website's queued one absorbs it, else a new one is made."""
+    queued = runs.where(F.col("status") == "QUEUED").groupBy("website_id").agg(F.min("run_id").alias("run_id"))
+    rows = requests.select("website_id").distinct().join(queued, "website_id", "left")
+    return rows.withColumns({"absorbed": F.col("run_id").isNotNull(), "run_id": F.coalesce(F.col("run_id").cast("string"), F.concat(F.lit("new-"), "website_id"))})
+
+
+def accessible(projects: DataFrame, memberships: DataFrame, user_id) -> DataFrame:
+    """Projects of organizations that the user is a member of."""
+    mine = memberships.where(F.col("user_id") == user_id).select("org_id")
+    return projects.join(mine, "org_id", "left_semi")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up, ratio, weighted_position
-from tidemark.functions.wording import composed, folded_space
+from tidemark.functions.wording import composed, folded_space, stripped
 from tidemark.operators.performance import measures
 from tidemark.sources.tables import of_grain
 
@@ -36,10 +36,26 @@ def verified(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"result": result, "live_value": F.when(F.col("_at.value").isNotNull(), now), "live_section": F.col("_at.section_key")}).drop("_at")
 
 
-def proposal_problem(value: Column, current: Column, most: int, single_line: bool = True) -> Column:
-    """Why a proposed value can't be taken, or null."""
-    clean = folded_space(value) if single_line else F.trim(value)
-    return F.when(F.coalesce(clean, F.lit("")) == "", "empty").when(F.length(clean) > most, "too long").when(clean.rlike(r"(?i)<\s*script"), "script").when(clean == (folded_space(current) if single_line else F.trim(F.coalesce(current, F.lit("")))), "identical")
+#: The longest proposed value of each kind of change.
+LONGEST = {"TITLE": 200, "META_DESCRIPTION": 400, "H1": 200, "SECTION_HEADING": 200, "SECTION_CONTENT": 20_000}
+
+
+def proposals_built(rows: DataFrame) -> DataFrame:
+    """rows (change_type, target_section, proposed_value, version: title, meta_description, h1, sections) with current_value,
+    proposed_value tidied, and problem: why it can't be taken, or null."""
+    section = F.col("change_type").isin("SECTION_HEADING", "SECTION_CONTENT")
+    own = F.get(F.filter("version.sections", lambda s: s["key"] == F.col("target_section")), F.lit(0))
+    kind = F.col("change_type")
+    current = F.when(kind == "TITLE", F.col("version.title")).when(kind == "META_DESCRIPTION", F.col("version.meta_description")).when(kind == "H1", F.col("version.h1")).when(kind == "SECTION_HEADING", own["heading"]).when(kind == "SECTION_CONTENT", own["text"])
+    tidy = F.when(kind == "SECTION_CONTENT", stripped(F.col("proposed_value"))).otherwise(folded_space(F.col("proposed_value")))
+    most = F.create_map(*[F.lit(x) for pair in LONGEST.items() for x in pair])[kind]
+    rows = rows.withColumns({"current_value": current, "proposed_value": tidy, "_own": own})
+    value = F.col("proposed_value")
+    problem = (
+        F.when(section & F.col("target_section").isNull(), "no section").when(section & F.col("_own").isNull(), "unknown section").when(value == "", "empty").when(F.length(value) > most, "too long")
+        .when(value.rlike(r"(?i)<\s*(script|iframe|style)\b"), "markup").when(stripped(F.col("current_value")) == value, "identical")
+    )
+    return rows.withColumn("problem", problem).drop("_own")
 
 
 def change_fingerprint(*fields: str) -> Column:
@@ -68,8 +84,6 @@ def baselines(facts: DataFrame, requests: DataFrame, window_days: int = 28, lag:
 
 def baseline_queries(facts: DataFrame, windows: DataFrame, limit: int = 20) -> DataFrame:
     """The top queries of each page in its window (property_id, page, window_start, window_end)."""
-    from pyspark.sql import Window
-
     rows = facts.where(of_grain("query")).join(windows, ["property_id", "page"]).where(F.col("date").between(F.col("window_start"), F.col("window_end")))
     out = rows.groupBy("property_id", "page", "query").agg(*measures())
     rank = F.row_number().over(Window.partitionBy("property_id", "page").orderBy(F.desc("impressions"), "query"))
@@ -85,8 +99,6 @@ def measured_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def clipped_sections(sections: DataFrame, per_section: int = 4000, in_all: int = 40_000) -> DataFrame:
     """sections (page_id, order, text) with kept, the characters of each that fit a running budget, and truncated."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("page_id").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     own = F.least(F.length("text"), F.lit(per_section))
     rows = sections.withColumn("_own", own).withColumn("_sum", F.sum("_own").over(order))

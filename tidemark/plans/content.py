@@ -31,11 +31,6 @@ def page_structure(spark, sf):
     return content.extracted(table(spark, sf, "pages")).select("page_id", "url", "title", "language", "h1", "noindex")
 
 
-@query()
-def page_sections(spark, sf):
-    return content.child(content.extracted(table(spark, sf, "pages")), "sections", "page_id").drop("blocks", "at")
-
-
 @query(f"""WITH n AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages),
 x AS (SELECT page_id, url, unnest(h) AS href, unnest(t) AS anchor FROM n)
 SELECT DISTINCT page_id, CASE WHEN href LIKE 'http%' THEN {CANON.format("href")} ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS target, trim(anchor) AS anchor FROM x WHERE href NOT LIKE '#%'""")
@@ -43,11 +38,6 @@ def page_links(spark, sf):
     return content.child(content.extracted(table(spark, sf, "pages")), "links", "page_id").select("page_id", "target", "anchor").distinct()
 
 
-@query()
-def page_quality(spark, sf):
-    return content.extracted(table(spark, sf, "pages")).select("page_id", "container", "word_count", "app_shell", "sufficient", "reason", "content_hash")
-
-
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'UPDATED' WHEN 2 THEN 'CREATED' ELSE 'UNCHANGED' END AS outcome, CASE page_id % 4 WHEN 0 THEN 4 WHEN 2 THEN 1 ELSE 3 END AS version_no FROM pages
 UNION ALL SELECT 1000000, 'KEPT', 3""")
 def content_versions(spark, sf):

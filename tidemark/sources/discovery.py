@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import re
@@ -12,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls
+from tidemark.sources.tables import kept
+
 SITEMAP_DDL = "struct<kind:string,entries:array<struct<url:string,lastmod:string>>>"
 LARGEST = 50 << 20
 
@@ -26,6 +30,15 @@ def decode(body: bytes, content_type: str = "") -> str:
         return body.decode("utf-8", "replace")
 
 
+def decoded(body, content_type):
+    """decode() as a column."""
+
+    def batch(data: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([decode(b or b"", k or "") for b, k in zip(data, kind, strict=True)])
+
+    return F.pandas_udf(batch, "string")(body, content_type)
+
+
 def parse_sitemap(body: bytes | None, content_type: str = "") -> dict:
     """kind (urlset, index, text or unknown) and entries of a sitemap, gzipped or not."""
     try:
@@ -37,8 +50,8 @@ def parse_sitemap(body: bytes | None, content_type: str = "") -> dict:
                 return {"kind": "unknown", "entries": []}
         text = decode(body, content_type).strip().lstrip("﻿")
         if not text.startswith("<"):
-            urls = [x for line in text.splitlines() if re.match(r"(?i)https?://", x := line.strip())]
-            return {"kind": "text" if urls else "unknown", "entries": [{"url": u, "lastmod": None} for u in urls]}
+            lines = [x for line in text.splitlines() if re.match(r"(?i)https?://", x := line.strip())]
+            return {"kind": "text" if lines else "unknown", "entries": [{"url": u, "lastmod": None} for u in lines]}
         if "<!DOCTYPE" in text[:2048].upper():
             return {"kind": "unknown", "entries": []}
         root = ElementTree.fromstring(re.sub(r"^<\?xml[^>]*\?>", "", text))
@@ -55,32 +68,58 @@ def parse_sitemap(body: bytes | None, content_type: str = "") -> dict:
 
 
 def sitemaps(files: DataFrame) -> DataFrame:
-    """files (url, body, content_type) with kind and entries."""
+    """files (url, status, body, content_type) with kind and entries."""
+
     def batch(body: pd.Series, kind: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_sitemap(b, k or "") for b, k in zip(body, kind, strict=True)], columns=["kind", "entries"])
 
-    return files.withColumn("p", F.pandas_udf(batch, SITEMAP_DDL)("body", "content_type")).select("url", "p.*")
-
-
-def discover(start: DataFrame, files: DataFrame, most_files: int = 50, most_urls: int = 50_000) -> DataFrame:
-    """Entries (url, lastmod) reachable from start (url) over fetched files, breadth first; one join per level of indexes.
-
-    Same-site scoping is the caller's (see functions.urls.same_site); most_files bounds the files read, most_urls the rows."""
-    parsed = sitemaps(files).cache()
-    seen = start.select("url").distinct()
-    frontier, pages, read = seen, None, 0
-    while read < most_files:
-        level = parsed.join(frontier, "url", "left_semi").orderBy("url").limit(most_files - read)
-        found = level.select("kind", F.explode("entries").alias("e")).select("kind", "e.url", "e.lastmod")
-        own = found.where(F.col("kind") != "index").select("url", "lastmod")
-        pages = own if pages is None else pages.unionByName(own)
-        n = level.count()
-        read += n
-        frontier = found.where(F.col("kind") == "index").select("url").distinct().join(seen, "url", "left_anti")
-        seen = seen.unionByName(frontier)
-        if not n or frontier.isEmpty():
+    return files.withColumn("p", F.pandas_udf(batch, SITEMAP_DDL)("body", "content_type")).select("url", "status", "p.*")
+
+
+@dataclass
+class Discovery:
+    """entries (url, lastmod, file, place) in the order they were found, repeated ones too; files (url, kind, error) that were
+    met, with what stood against those not read; truncated, whether a limit cut any of this short."""
+
+    entries: DataFrame
+    files: DataFrame
+    truncated: bool
+
+
+def discover(start: DataFrame, files: DataFrame, hostname: str, most_files: int = 50, most_urls: int = 50_000) -> Discovery:
+    """Entries reachable from start (url) over fetched files (url, status, body, content_type), breadth first: one join for each
+    level of indexes. Only files of the site (ignoring www.) are read; one that is missing, failed or no sitemap is an error
+    and counts as read only if it came. Within a level, files are in the order of their parents, and of places there."""
+    parsed = kept(sitemaps(files))
+    own_site = urls.same_site(F.col("url"), F.lit(hostname))
+    frontier = start.where(own_site).groupBy("url").agg(F.lpad(F.min("url"), 200, " ").alias("ord"))
+    seen = frontier.select("url")
+    log, pages, room, level, truncated = [], [], most_files, 0, False
+    while True:
+        met = kept(frontier.join(parsed, "url", "left"))
+        came = met.where("status between 200 and 299")
+        taken = kept(came.orderBy("ord").limit(room))
+        n, last = taken.agg(F.count("*"), F.max("ord")).first()
+        cut = n == room and came.count() > n or n == room and room == 0
+        # beyond the last file read nothing was tried
+        tried = met if not cut else met.where(F.col("ord") <= F.lit(last)) if n else met.where(F.lit(False))
+        bad = tried.where(F.coalesce(~F.col("status").between(200, 299), F.lit(True))).select("url", F.lit(None).cast("string").alias("kind"), F.coalesce(F.format_string("HTTP %d", F.col("status")), F.lit("not fetched")).alias("error"))
+        log += [bad, taken.select("url", "kind", F.when(F.col("kind") == "unknown", "Not a sitemap").alias("error"))]
+        items = taken.select("kind", "ord", F.col("url").alias("file"), F.posexplode("entries").alias("place", "e")).select("kind", "ord", "file", "place", "e.url", "e.lastmod")
+        pages.append(items.where(F.col("kind") != "index").withColumn("level", F.lit(level)))
+        room, truncated = room - n, truncated or cut
+        below = items.where((F.col("kind") == "index") & own_site)
+        path = F.concat("ord", F.lit("/"), F.lpad(F.col("place").cast("string"), 9, "0"))
+        frontier = kept(below.groupBy("url").agg(F.min(path).alias("ord")).join(seen, "url", "left_anti"))
+        if frontier.isEmpty():
+            break
+        if cut or not room:
+            truncated = True
             break
-    return pages.limit(most_urls)
+        seen, level = seen.unionByName(frontier.select("url")), level + 1
+    found = kept(functools.reduce(DataFrame.unionByName, pages))
+    few = found.orderBy("level", "ord", "place").limit(most_urls).select("url", "lastmod", "file", "place")
+    return Discovery(few, functools.reduce(DataFrame.unionByName, log), truncated or found.count() > most_urls)
 
 
 @dataclass(frozen=True)
@@ -132,11 +171,11 @@ def parse_robots(text: str, agent: str, status: int = 200) -> Robots:
     return Robots(tuple(rules), delay, tuple(maps))
 
 
-def allowed(urls: DataFrame, robots: Robots) -> DataFrame:
-    """Rows of urls (url) that the rules allow; rules become one native condition, the longest pattern first."""
+def allowed(rows: DataFrame, robots: Robots) -> DataFrame:
+    """Rows (url) that the rules allow; rules become one native condition, the longest pattern first."""
     path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^#]*)", 1)
     path = F.when(path == "", "/").otherwise(path)
     ok = F.lit(not robots.refuse)
     for allow, rule in sorted(robots.rules, key=lambda r: (len(r[1]), r[0])):
         ok = F.when(path.rlike("^" + pattern(rule).replace(r"\-", "-").replace(r"\/", "/")), F.lit(allow)).otherwise(ok)
-    return urls.where(ok & F.lit(not robots.refuse))
+    return rows.where(ok & F.lit(not robots.refuse))
