@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.htmltree import Node, count_words, parse, squeezed
+from tidemark.functions.urls import TRACKING
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = frozenset(("p", "ul", "ol", "blockquote", "table", "pre", "dl", "figure"))
@@ -28,13 +29,13 @@ CHROME_CLASSES = frozenset(("share", "sharing", "social", "related", "related-po
 CONTENT_CLASSES = ("entry-content", "post-content", "article-content", "article-body", "post-body", "blog-post", "single-post", "post")
 SHELL_IDS = frozenset(("root", "__next", "app", "___gatsby", "__nuxt"))
 KEPT_ROOTS = frozenset(("html", "body", "main", "article"))
-#: Limits of what one page may bring.
+#: Limits of what one page may bring.
 MOST_LINKS, MOST_IMAGES, MOST_JSON, LONGEST_JSON = 2000, 500, 20, 200_000
 
 _SKIPPED = re.compile(r"(?i)^(javascript|mailto|tel|data|sms|about|blob):")
 _BAD_INDEX = re.compile(r"(?i)\b(noindex|none)\b")
 _ASKS_JS = re.compile(r"(?i)enable javascript|requires javascript|javascript is (disabled|required)")
-_TRACK = re.compile(r"(?i)^(utm_[a-z]+|gclid|fbclid|msclkid|mc_[a-z]+|_ga|ref)$")
+_TRACK = re.compile(TRACKING)
 
 BLOCK_DDL = "array<struct<type:string,text:string,items:array<string>,src:string,alt:string>>"
 PAGE_DDL = (
@@ -320,10 +321,15 @@ def content_hash(page: dict) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _pages(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(h, u or "") for h, u in zip(html, url, strict=True)], columns=[x.split()[0] for x in re.split(r", (?=\w+ (?:string|int|boolean|map|array))", PAGE_DDL)])
+FIELDS = dict(re.findall(r"(\w+) ((?:\w+<.*?>)(?=, \w+ (?:string|int|boolean|array|map)|$)|\w+)(?:, |$)", PAGE_DDL))
 
 
-def page_struct(html, url):
-    """The page as a struct (PAGE_DDL), one pandas UDF call per batch of rows."""
-    return F.pandas_udf(_pages, PAGE_DDL)(html, url)
+def page_struct(html, url, *fields: str):
+    """The page as a struct of the given fields, or of all (PAGE_DDL), one pandas UDF call per batch of rows."""
+    names = list(fields or FIELDS)
+
+    def pages(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        found = [extract(h, u or "") for h, u in zip(texts, places, strict=True)]
+        return pd.DataFrame([[page[n] for n in names] for page in found], columns=names)
+
+    return F.pandas_udf(pages, ", ".join(f"{n} {FIELDS[n]}" for n in names))(html, url)

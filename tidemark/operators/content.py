@@ -9,19 +9,23 @@ from tidemark.functions import urls
 from tidemark.functions.extract import page_struct
 
 
-def extracted(pages: DataFrame, min_words: int = 50) -> DataFrame:
-    """page_id, url (canonical) and every field of the page's structure, with the verdict in words.
+def extracted(pages: DataFrame, *fields: str, min_words: int = 50) -> DataFrame:
+    """page_id, url (canonical) and the given fields of the page's structure, or all of them, with the verdict in words.
 
     Wide rows: persist or write this once, then take child tables from it."""
-    rows = pages.select("page_id", "url", page_struct(F.col("html"), F.col("url")).alias("p")).select("page_id", urls.canonical(F.col("url")).alias("url"), "p.*")
+    verdict = ("word_count", "app_shell")
+    wanted = [*fields, *(f for f in verdict if f not in fields)] if fields else []
+    rows = pages.select("page_id", "url", page_struct(F.col("html"), F.col("url"), *wanted).alias("p")).select("page_id", urls.canonical(F.col("url")).alias("url"), "p.*")
     enough = ~F.col("app_shell") & (F.col("word_count") >= min_words)
     reason = F.when(enough, None).when(F.col("app_shell"), "Page looks like a JavaScript application shell").otherwise(F.format_string("Only %d words of content found", "word_count"))
     return rows.withColumn("sufficient", enough).withColumn("reason", reason)
 
 
 def child(rows: DataFrame, array: str, *keys: str) -> DataFrame:
-    """A child table: one row per element, with its place, from the given rows only."""
-    return rows.select(*keys, F.posexplode(array).alias("at", "x")).select(*keys, "at", "x.*")
+    """A child table: one row per element, with its place, from the given rows only.
+
+    Outer, then without the rows of empty arrays: a filter on the array itself would have pages extracted twice."""
+    return rows.select(*keys, F.posexplode_outer(array).alias("at", "x")).where("at is not null").select(*keys, "at", "x.*")
 
 
 def better(rendered: Column, fetched: Column) -> Column:

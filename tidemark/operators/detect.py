@@ -53,21 +53,96 @@ def with_facts(rows: DataFrame, cfg: DetectionConfig) -> DataFrame:
         "gaps": coverage_gaps(c("queries"), c("title"), c("h1"), c("headings"), cfg.min_query_impressions, cfg.coverage_max_queries, cfg.coverage_min_term_ratio),
     })
     rows = rows.withColumn("uncovered_share", ratio(F.aggregate("gaps", F.lit(0).cast("long"), lambda s, g: s + g["impressions"]), c("query_impressions")))
-    period = F.concat(F.lit("between "), c("cur_start"), F.lit(" and "), c("cur_end"))
-    top, limit = c("top_query"), c("expected_ctr") * cfg.low_ctr_ratio
-    facts = {
-        "high_impressions": evidence(c("c_impressions") >= cfg.high_impressions, F.concat(F.lit("The page received "), count_text(c("c_impressions")), F.lit(" impressions "), period, F.lit(" (threshold: "), count_text(F.lit(cfg.high_impressions)), F.lit(").")), type="HIGH_IMPRESSIONS", metric="impressions", unit="count", value=c("c_impressions"), threshold=cfg.high_impressions, comparison=">="),
-        "low_ctr": evidence(c("c_position").isNotNull() & (c("c_impressions") >= cfg.low_ctr_min_impressions) & (c("c_position") <= cfg.low_ctr_max_position) & (c("c_ctr") < limit), F.concat(F.lit("CTR was "), percent_text(c("c_ctr")), F.lit(" at an average position of "), place_text(c("c_position")), F.lit(", below the "), percent_text(limit), F.lit(f" threshold ({int(cfg.low_ctr_ratio * 100 + 0.5)}% of the ≈"), percent_text(c("expected_ctr")), F.lit(" typical for that position).")), type="LOW_CTR", metric="ctr", unit="percent", value=as_percent(c("c_ctr")), threshold=as_percent(limit), comparison="<"),
-        "page_one": evidence(c("c_position").between(cfg.page_one_min_position, cfg.page_one_max_position), F.concat(F.lit("Average position was "), place_text(c("c_position")), F.lit(f", within the {cfg.page_one_min_position:g}–{cfg.page_one_max_position:g} range on page one.")), type="PAGE_ONE_RANKING", metric="position", unit="position", value=half_up(c("c_position"), 2), threshold=cfg.page_one_min_position, threshold_max=cfg.page_one_max_position, comparison="between"),
-        "click_decline": evidence((c("p_clicks") >= cfg.decline_min_previous_clicks) & (c("click_change") <= -cfg.min_decline_percent), F.concat(F.lit("Clicks went from "), count_text(c("p_clicks")), F.lit(" ("), c("prev_start"), F.lit(" to "), c("prev_end"), F.lit(") to "), count_text(c("c_clicks")), F.lit(" ("), c("cur_start"), F.lit(" to "), c("cur_end"), F.lit("), a "), place_text(F.abs(c("click_change"))), F.lit(f"% decrease (threshold: {cfg.min_decline_percent:g}%).")), type="CLICK_DECLINE", metric="clicks", unit="count", value=c("c_clicks"), previous_value=c("p_clicks"), threshold=-cfg.min_decline_percent, comparison="<"),
-        "ctr_decline": evidence((c("p_impressions") >= cfg.decline_min_previous_impressions) & (c("c_impressions") >= cfg.min_impressions) & (c("ctr_change") <= -cfg.min_decline_percent), F.concat(F.lit("CTR went from "), percent_text(c("p_ctr")), F.lit(" to "), percent_text(c("c_ctr")), F.lit(" between the two periods, a "), place_text(F.abs(c("ctr_change"))), F.lit("% relative decrease.")), type="CTR_DECLINE", metric="ctr", unit="percent", value=as_percent(c("c_ctr")), previous_value=as_percent(c("p_ctr")), threshold=-cfg.min_decline_percent, comparison="<"),
-        "position_change": evidence((c("p_impressions") > 0) & (c("c_position") - c("p_position") >= cfg.position_change_min), F.concat(F.lit("Average position moved from "), place_text(c("p_position")), F.lit(" to "), place_text(c("c_position")), F.lit(" (a higher number is further down the results).")), type="POSITION_CHANGE", metric="position", unit="position", value=half_up(c("c_position"), 2), previous_value=half_up(c("p_position"), 2), threshold=cfg.position_change_min, comparison=">="),
-        "top_query_fact": evidence(top["impressions"] >= cfg.min_query_impressions, F.concat(F.lit('Top query "'), top["query"], F.lit('": '), count_text(top["impressions"]), F.lit(" impressions, "), count_text(top["clicks"]), F.lit(" clicks, CTR "), percent_text(top["ctr"]), F.when(top["position"].isNotNull(), F.concat(F.lit(", average position "), place_text(top["position"]))).otherwise(F.lit("")), F.lit(".")), type="HIGH_QUERY_IMPRESSIONS", metric="impressions", unit="count", value=top["impressions"], threshold=cfg.min_query_impressions, comparison=">=", query=top["query"]),
-        "concentration": evidence(top.isNotNull() & (c("query_impressions") > 0) & (c("top_share") >= cfg.query_concentration_share) & (c("query_count") > 1), F.concat(F.lit('"'), top["query"], F.lit('" accounts for '), percent_text(c("top_share")), F.lit(" of the impressions attributed to individual queries.")), type="QUERY_CONCENTRATION", metric="top_query_share", unit="percent", value=as_percent(c("top_share")), threshold=as_percent(F.lit(cfg.query_concentration_share)), comparison=">=", query=top["query"]),
-    }
-    gap = lambda g: evidence(F.lit(True), F.concat(F.lit('The query "'), g["query"], F.lit('" had '), count_text(g["impressions"]), F.lit(" impressions, but the page title, H1 and headings do not contain "), F.array_join(F.transform(g["missing_terms"], lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", "), F.lit(". The page may not cover this query in a dedicated section.")), type="CONTENT_COVERAGE_SIGNAL", metric="covered_term_ratio", unit="percent", value=as_percent(g["ratio"]), threshold=as_percent(F.lit(cfg.coverage_min_term_ratio)), comparison="<", query=g["query"], missing_terms=g["missing_terms"])
-    rows = rows.withColumns(facts).withColumn("gap_facts", F.transform("gaps", gap))
-    return rows.withColumn("facts", F.concat(F.filter(F.array(*facts), lambda e: e.isNotNull()), "gap_facts"))
+    found = {
+        "high_impressions": high_impressions(cfg), "low_ctr": low_ctr(cfg), "page_one": page_one(cfg), "click_decline": click_decline(cfg), "ctr_decline": ctr_decline(cfg),
+        "position_change": position_change(cfg), "top_query_fact": top_query(cfg), "concentration": concentration(cfg),
+    }
+    rows = rows.withColumns(found).withColumn("gap_facts", F.transform("gaps", lambda g: gap_fact(g, cfg)))
+    return rows.withColumn("facts", F.concat(F.filter(F.array(*found), lambda e: e.isNotNull()), "gap_facts"))
+
+
+def said(*parts: Column | str) -> Column:
+    """A text of literal and computed parts."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def high_impressions(cfg: DetectionConfig) -> Column:
+    n = F.col("c_impressions")
+    text = said("The page received ", count_text(n), " impressions between ", F.col("cur_start"), " and ", F.col("cur_end"), " (threshold: ", count_text(F.lit(cfg.high_impressions)), ").")
+    return evidence(n >= cfg.high_impressions, text, type="HIGH_IMPRESSIONS", metric="impressions", unit="count", value=n, threshold=cfg.high_impressions, comparison=">=")
+
+
+def low_ctr(cfg: DetectionConfig) -> Column:
+    ctr, place, limit = F.col("c_ctr"), F.col("c_position"), F.col("expected_ctr") * cfg.low_ctr_ratio
+    share = f" threshold ({int(cfg.low_ctr_ratio * 100 + 0.5)}% of the ≈"
+    text = said("CTR was ", percent_text(ctr), " at an average position of ", place_text(place), ", below the ", percent_text(limit), share, percent_text(F.col("expected_ctr")), " typical for that position).")
+    fires = place.isNotNull() & (F.col("c_impressions") >= cfg.low_ctr_min_impressions) & (place <= cfg.low_ctr_max_position) & (ctr < limit)
+    return evidence(fires, text, type="LOW_CTR", metric="ctr", unit="percent", value=as_percent(ctr), threshold=as_percent(limit), comparison="<")
+
+
+def absolute_ctr(cfg: DetectionConfig) -> Column:
+    """The low click-through rate of a page with many impressions, at any position."""
+    ctr, limit = F.col("c_ctr"), F.lit(cfg.high_impressions_max_ctr)
+    text = said("Only ", count_text(F.col("c_clicks")), " clicks from ", count_text(F.col("c_impressions")), " impressions: a CTR of ", percent_text(ctr), ", below ", percent_text(limit), ".")
+    return evidence(F.lit(True), text, type="LOW_CTR", primary=True, metric="ctr", unit="percent", value=as_percent(ctr), threshold=as_percent(limit), comparison="<")
+
+
+def page_one(cfg: DetectionConfig) -> Column:
+    place, low, high = F.col("c_position"), cfg.page_one_min_position, cfg.page_one_max_position
+    text = said("Average position was ", place_text(place), f", within the {low:g}–{high:g} range on page one.")
+    return evidence(place.between(low, high), text, type="PAGE_ONE_RANKING", metric="position", unit="position", value=half_up(place, 2), threshold=low, threshold_max=high, comparison="between")
+
+
+def click_decline(cfg: DetectionConfig) -> Column:
+    before, now, change = F.col("p_clicks"), F.col("c_clicks"), F.col("click_change")
+    was = said("Clicks went from ", count_text(before), " (", F.col("prev_start"), " to ", F.col("prev_end"), ")")
+    text = said(was, " to ", count_text(now), " (", F.col("cur_start"), " to ", F.col("cur_end"), "), a ", place_text(F.abs(change)), f"% decrease (threshold: {cfg.min_decline_percent:g}%).")
+    fires = (before >= cfg.decline_min_previous_clicks) & (change <= -cfg.min_decline_percent)
+    return evidence(fires, text, type="CLICK_DECLINE", metric="clicks", unit="count", value=now, previous_value=before, threshold=-cfg.min_decline_percent, comparison="<")
+
+
+def ctr_decline(cfg: DetectionConfig) -> Column:
+    before, now, change = F.col("p_ctr"), F.col("c_ctr"), F.col("ctr_change")
+    text = said("CTR went from ", percent_text(before), " to ", percent_text(now), " between the two periods, a ", place_text(F.abs(change)), "% relative decrease.")
+    fires = (F.col("p_impressions") >= cfg.decline_min_previous_impressions) & (F.col("c_impressions") >= cfg.min_impressions) & (change <= -cfg.min_decline_percent)
+    return evidence(fires, text, type="CTR_DECLINE", metric="ctr", unit="percent", value=as_percent(now), previous_value=as_percent(before), threshold=-cfg.min_decline_percent, comparison="<")
+
+
+def position_change(cfg: DetectionConfig) -> Column:
+    before, now = F.col("p_position"), F.col("c_position")
+    text = said("Average position moved from ", place_text(before), " to ", place_text(now), " (a higher number is further down the results).")
+    fires = (F.col("p_impressions") > 0) & (now - before >= cfg.position_change_min)
+    return evidence(fires, text, type="POSITION_CHANGE", metric="position", unit="position", value=half_up(now, 2), previous_value=half_up(before, 2), threshold=cfg.position_change_min, comparison=">=")
+
+
+def top_query(cfg: DetectionConfig) -> Column:
+    top = F.col("top_query")
+    place = F.when(top["position"].isNotNull(), said(", average position ", place_text(top["position"]))).otherwise(F.lit(""))
+    text = said('Top query "', top["query"], '": ', count_text(top["impressions"]), " impressions, ", count_text(top["clicks"]), " clicks, CTR ", percent_text(top["ctr"]), place, ".")
+    return evidence(top["impressions"] >= cfg.min_query_impressions, text, type="HIGH_QUERY_IMPRESSIONS", metric="impressions", unit="count", value=top["impressions"], threshold=cfg.min_query_impressions, comparison=">=", query=top["query"])
+
+
+def concentration(cfg: DetectionConfig) -> Column:
+    top, share = F.col("top_query"), F.col("top_share")
+    text = said('"', top["query"], '" accounts for ', percent_text(share), " of the impressions attributed to individual queries.")
+    fires = top.isNotNull() & (F.col("query_impressions") > 0) & (share >= cfg.query_concentration_share) & (F.col("query_count") > 1)
+    return evidence(fires, text, type="QUERY_CONCENTRATION", metric="top_query_share", unit="percent", value=as_percent(share), threshold=as_percent(F.lit(cfg.query_concentration_share)), comparison=">=", query=top["query"])
+
+
+def gap_fact(gap: Column, cfg: DetectionConfig) -> Column:
+    terms = F.array_join(F.transform(gap["missing_terms"], lambda t: said('"', t, '"')), ", ")
+    text = said('The query "', gap["query"], '" had ', count_text(gap["impressions"]), " impressions, but the page title, H1 and headings do not contain ", terms, ". The page may not cover this query in a dedicated section.")
+    return evidence(
+        F.lit(True), text, type="CONTENT_COVERAGE_SIGNAL", metric="covered_term_ratio", unit="percent", value=as_percent(gap["ratio"]), threshold=as_percent(F.lit(cfg.coverage_min_term_ratio)), comparison="<",
+        query=gap["query"], missing_terms=gap["missing_terms"],
+    )
+
+
+def summary_text() -> Column:
+    place = F.when(F.col("c_position").isNotNull(), said(" and an average position of ", place_text(F.col("c_position")))).otherwise(F.lit(""))
+    window = said(" between ", F.col("cur_start"), " and ", F.col("cur_end"), ", with a CTR of ", percent_text(F.col("c_ctr")), place)
+    end = ". It shows a measurable optimization opportunity based on its current Search Console performance."
+    return said("This page received ", count_text(F.col("c_impressions")), " impressions and ", count_text(F.col("c_clicks")), " clicks", window, end)
 
 
 def with_components(rows: DataFrame, cfg: DetectionConfig) -> DataFrame:
@@ -98,11 +173,10 @@ def rule_evidence(kind: str, cfg: DetectionConfig) -> Column:
     """The primary evidence of a type, or an empty array where its rule doesn't fire."""
     c = F.col
     some = lambda *names: F.filter(F.array(*names), lambda e: e.isNotNull())
-    absolute = evidence(F.lit(True), F.concat(F.lit("Only "), count_text(c("c_clicks")), F.lit(" clicks from "), count_text(c("c_impressions")), F.lit(" impressions: a CTR of "), percent_text(c("c_ctr")), F.lit(", below "), percent_text(F.lit(cfg.high_impressions_max_ctr)), F.lit(".")), type="LOW_CTR", primary=True, metric="ctr", unit="percent", value=as_percent(c("c_ctr")), threshold=as_percent(F.lit(cfg.high_impressions_max_ctr)), comparison="<")
     return {
         "LOW_CTR": some("low_ctr"),
         "PAGE_ONE_NEAR_TOP": F.when(c("c_impressions") >= cfg.page_one_min_impressions, some("page_one")).otherwise(some(F.lit(None).cast(F_STRUCT))),
-        "HIGH_IMPRESSIONS_LOW_CLICKS": F.when(c("high_impressions").isNotNull() & (c("c_ctr") < cfg.high_impressions_max_ctr), F.array("high_impressions", absolute)).otherwise(some(F.lit(None).cast(F_STRUCT))),
+        "HIGH_IMPRESSIONS_LOW_CLICKS": F.when(c("high_impressions").isNotNull() & (c("c_ctr") < cfg.high_impressions_max_ctr), F.array("high_impressions", absolute_ctr(cfg))).otherwise(some(F.lit(None).cast(F_STRUCT))),
         "PERFORMANCE_DECLINE": some("click_decline", "ctr_decline"),
         "CONTENT_COVERAGE_SIGNAL": c("gap_facts"),
     }[kind]
@@ -130,13 +204,12 @@ def opportunities(candidates: DataFrame, ranked: DataFrame, cfg: DetectionConfig
         primary, points = rule_evidence(kind, cfg), breakdown(kind)
         found.append(F.when(F.size(primary) > 0, F.struct(F.lit(kind).alias("type"), F.lit(k).alias("rule"), primary.alias("primary"), points.alias("score_breakdown"))))
     moved = F.when(F.col("p_impressions") > 0, half_up(F.col("c_position") - F.col("p_position"), 2))
-    summary = F.concat(F.lit("This page received "), count_text(F.col("c_impressions")), F.lit(" impressions and "), count_text(F.col("c_clicks")), F.lit(" clicks between "), F.col("cur_start"), F.lit(" and "), F.col("cur_end"), F.lit(", with a CTR of "), percent_text(F.col("c_ctr")), F.when(F.col("c_position").isNotNull(), F.concat(F.lit(" and an average position of "), place_text(F.col("c_position")))).otherwise(F.lit("")), F.lit(". It shows a measurable optimization opportunity based on its current Search Console performance."))
     rows = rows.withColumn("found", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
     return rows.select(
         *TENANT, "page_id", "url", "title", "found.type", "found.rule", total(F.col("found.score_breakdown")).alias("score"), "found.score_breakdown", merged_evidence(F.col("found.primary"), F.col("facts")).alias("evidence"), F.col("cur_start").alias("date_start"), F.col("cur_end").alias("date_end"),
         F.col("c_clicks").alias("clicks"), F.col("c_impressions").alias("impressions"), F.col("c_ctr").alias("ctr"), F.col("c_position").alias("position"),
         "expected_ctr", "query_count", half_up(F.col("click_change"), 1).alias("click_change"), half_up(F.col("ctr_change"), 1).alias("ctr_change"), moved.alias("position_change"),
-        F.transform("gaps", lambda g: g.withField("ratio", half_up(g["ratio"], 2))).alias("coverage_gaps"), summary.alias("summary"), F.col("queries").alias("top_queries"),
+        F.transform("gaps", lambda g: g.withField("ratio", half_up(g["ratio"], 2))).alias("coverage_gaps"), summary_text().alias("summary"), F.col("queries").alias("top_queries"),
     )
 
 

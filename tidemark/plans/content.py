@@ -8,7 +8,7 @@ from tidemark.config import OverlapConfig
 from tidemark.functions import wording
 from tidemark.operators import content, overlap
 from tidemark.plans.performance import CANON
-from tidemark.sources.tables import table
+from tidemark.sources.tables import kept, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,20 +28,20 @@ TEXT = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s){
 
 @query(f"SELECT page_id, {CANON.format('url')} AS url, nullif({TEXT.format('<title>(.*?)</title>')}, '') AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, nullif({TEXT.format('<h1>(.*?)</h1>')}, '') AS h1, false AS noindex FROM pages")
 def page_structure(spark, sf):
-    return content.extracted(table(spark, sf, "pages")).select("page_id", "url", "title", "language", "h1", "noindex")
+    return content.extracted(table(spark, sf, "pages"), "title", "language", "h1", "noindex").select("page_id", "url", "title", "language", "h1", "noindex")
 
 
 @query(f"""WITH n AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages),
 x AS (SELECT page_id, url, unnest(h) AS href, unnest(t) AS anchor FROM n)
 SELECT DISTINCT page_id, CASE WHEN href LIKE 'http%' THEN {CANON.format("href")} ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS target, trim(anchor) AS anchor FROM x WHERE href NOT LIKE '#%'""")
 def page_links(spark, sf):
-    return content.child(content.extracted(table(spark, sf, "pages")), "links", "page_id").select("page_id", "target", "anchor").distinct()
+    return content.child(content.extracted(table(spark, sf, "pages"), "links"), "links", "page_id").select("page_id", "target", "anchor").distinct()
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'UPDATED' WHEN 2 THEN 'CREATED' ELSE 'UNCHANGED' END AS outcome, CASE page_id % 4 WHEN 0 THEN 4 WHEN 2 THEN 1 ELSE 3 END AS version_no FROM pages
 UNION ALL SELECT 1000000, 'KEPT', 3""")
 def content_versions(spark, sf):
-    rows = content.extracted(table(spark, sf, "pages")).select("page_id", "content_hash")
+    rows = kept(content.extracted(table(spark, sf, "pages"), "content_hash").select("page_id", "content_hash"))
     before = rows.where("page_id % 4 <> 2").select("page_id", F.lit(3).alias("version_no"), F.when(F.col("page_id") % 4 == 0, "another").otherwise(F.col("content_hash")).alias("content_hash"))
     before = before.union(spark.range(1).select(F.lit(1_000_000).cast("long"), F.lit(3), F.lit("gone")))
     return content.versioned(before, rows).select("page_id", "outcome", "version_no")

@@ -10,7 +10,7 @@ from tidemark.operators import lifecycle, measure
 from tidemark.plans.performance import FACTS, ROUND, SUMS
 from tidemark.sources import tables
 from tidemark.sources.tables import table
-from tidemark.streaming.daily import daily_stream
+from tidemark.streaming.daily import append_final_days
 
 QUERIES, ORACLES = {}, {}
 NOW = "2024-02-01 00:00:00"
@@ -175,6 +175,19 @@ def baseline_top_queries(spark, sf):
     return measure.baseline_queries(facts, windows)
 
 
+@query(f"""WITH {FACTS}, p AS (SELECT DISTINCT property_id, page FROM facts)
+SELECT p.property_id, p.page, CAST(coalesce(sum(clicks) FILTER (date >= DATE '2024-01-17'), 0) - coalesce(sum(clicks) FILTER (date <= DATE '2024-01-14'), 0) AS BIGINT) AS clicks_change,
+ CAST(coalesce(sum(impressions) FILTER (date >= DATE '2024-01-17'), 0) - coalesce(sum(impressions) FILTER (date <= DATE '2024-01-14'), 0) AS BIGINT) AS impressions_change
+FROM p LEFT JOIN facts f ON f.property_id = p.property_id AND f.page = p.page AND f.query = '' AND (f.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-14' OR f.date BETWEEN DATE '2024-01-17' AND DATE '2024-01-30') GROUP BY ALL""")
+def post_change_measurement(spark, sf):
+    """An extension: totals of two weeks after a change against those of the two weeks before it."""
+    facts = tables.kept(tables.facts(spark, sf))
+    day = lambda d: F.lit(d).cast("date")
+    asked = lambda last, as_of: facts.select("property_id", "page").distinct().select("*", day(last).alias("last_synced"), day(as_of).alias("as_of"))
+    before, after = measure.baselines(facts, asked("2024-01-14", "2024-01-30"), 14), measure.baselines(facts, asked("2024-01-30", "2024-02-10"), 14)
+    return measure.measured_change(before, after).select("property_id", "page", "clicks_change", "impressions_change")
+
+
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'CONFLICT' ELSE 'TARGET_MISSING' END AS result, CASE WHEN c_custkey % 4 < 3 THEN trim(CASE c_custkey % 4 WHEN 0 THEN 'New ' || c_name WHEN 1 THEN c_name ELSE 'Other' END) END AS live_value FROM customer""")
 def verify_change(spark, sf):
     k = F.col("c_custkey") % 4
@@ -197,8 +210,8 @@ def stream_daily(spark, sf):
     """An extension: the days that are final when the stream of events has been read."""
     import uuid
 
-    name = f"daily_{uuid.uuid4().hex}"
+    folder = f"{tables.shared_folder(spark)}/daily-{uuid.uuid4().hex}"
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    run = daily_stream(events).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tables.shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).withColumn("value", half_up(F.col("value"), 2))
+    append_final_days(events, f"{folder}/days", f"{folder}/checkpoint")
+    days = spark.read.schema("date date, event_type string, n long, value double").parquet(f"{folder}/days")
+    return days.withColumn("value", half_up(F.col("value"), 2))

@@ -324,9 +324,9 @@ def opportunities_page_total(spark, sf):
     return detect.listed_with_total(scored(spark, sf), 20).select("page_id", "type", "score", "total")
 
 
-@query(f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND} SELECT page_id, c_impressions FROM cand ORDER BY coalesce(c_impressions, 0) DESC, page_id LIMIT 40 OFFSET 40")
+@query(f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND} SELECT page_id, c_impressions FROM cand ORDER BY coalesce(c_impressions, 0) DESC, page_id LIMIT 10 OFFSET 10")
 def detection_batch(spark, sf):
-    return detect.batch(candidates(spark, sf), 1, 40).select("page_id", "c_impressions")
+    return detect.batch(candidates(spark, sf), 1, 10).select("page_id", "c_impressions")
 
 
 @query(f"WITH {FACTS}, {WINDOWS}, {RANKED}, {PAIR}, {DIM}, {CAND} SELECT r.property_id, r.page, query, r.impressions, CAST(rn AS INTEGER) AS rn FROM ranked r SEMI JOIN cand c ON c.page = r.page AND c.property_id = r.property_id WHERE rn <= 25")

@@ -32,14 +32,15 @@ def pick_sql(values, number: str) -> str:
     return f"[{cells}][({number}) % {len(values)} + 1]"
 
 
-K = F.col("o_orderkey")
+def order_key():
+    return F.col("o_orderkey")
 
 # --- access and listings
 
 
 @query("SELECT o_orderkey AS project_id, o_custkey % 25 AS org_id FROM orders WHERE o_custkey % 25 IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 7)")
 def accessible_projects(spark, sf):
-    projects = table(spark, sf, "orders").select(K.alias("project_id"), (F.col("o_custkey") % 25).alias("org_id"))
+    projects = table(spark, sf, "orders").select(order_key().alias("project_id"), (F.col("o_custkey") % 25).alias("org_id"))
     members = table(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("user_id"), F.col("c_nationkey").cast("long").alias("org_id"))
     return lifecycle.accessible(projects, members, 7)
 
@@ -63,7 +64,7 @@ def newest_checks_per_review(spark, sf):
     from pyspark.sql import Window
 
     order = Window.partitionBy("review_id").orderBy(F.desc("o_orderdate"), F.desc("check_id"))
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("review_id"), K.alias("check_id"), "o_orderdate")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("review_id"), order_key().alias("check_id"), "o_orderdate")
     return rows.withColumn("rn", F.row_number().over(order)).where("rn <= 5").drop("o_orderdate").withColumn("rn", F.col("rn").cast("long"))
 
 
@@ -96,7 +97,7 @@ def current_versions(spark, sf):
 @query(f"WITH {CURRENT_SQL} SELECT o_orderkey AS opportunity_id, coalesce(p.page_id, -1) AS page_id, p.url, v.title FROM orders LEFT JOIN p ON p.page_id = o_custkey LEFT JOIN v ON v.page_id = p.page_id AND v.version_id = p.current_version_id")
 def opportunity_with_page(spark, sf):
     """Each opportunity with its page and that page's current version; some have no page."""
-    found = table(spark, sf, "orders").select(K.alias("opportunity_id"), F.col("o_custkey").alias("page_id"))
+    found = table(spark, sf, "orders").select(order_key().alias("opportunity_id"), F.col("o_custkey").alias("page_id"))
     pages = content.with_current(current_pages(spark, sf), versions(spark, sf))
     return found.withColumnRenamed("page_id", "k").join(pages, F.col("k") == F.col("page_id"), "left").select("opportunity_id", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "url", F.col("v_title").alias("title"))
 
@@ -110,7 +111,7 @@ def ordered_children(spark, sf):
 
 @query("SELECT o_orderkey AS proposal_id, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey || '-2' END AS current_version_id, o_custkey % 5 <> 0 AND o_orderkey % 2 = 0 AS matches FROM orders")
 def proposal_still_current(spark, sf):
-    proposals = table(spark, sf, "orders").select(K.alias("proposal_id"), F.col("o_custkey").alias("page_id"), F.concat("o_custkey", F.lit("-"), F.when(K % 2 == 0, 2).otherwise(1)).alias("page_version_id"))
+    proposals = table(spark, sf, "orders").select(order_key().alias("proposal_id"), F.col("o_custkey").alias("page_id"), F.concat("o_custkey", F.lit("-"), F.when(order_key() % 2 == 0, 2).otherwise(1)).alias("page_version_id"))
     pages = table(spark, sf, "orders").select(F.col("o_custkey").alias("page_id")).distinct().where("page_id % 5 <> 0").withColumn("current_version_id", F.concat("page_id", F.lit("-2")))
     return lifecycle.still_current(proposals, pages).select("proposal_id", "current_version_id", "matches")
 
@@ -153,42 +154,44 @@ def made(body, head=None):
     return F.concat(F.lit('<!doctype html><html lang="en"><head>'), *map(part, head or []), F.lit("</head><body>"), *map(part, body), F.lit("</body></html>"))
 
 
-def structured(spark, sf, body, head=None):
+def structured(spark, sf, body, head, *fields):
     rows = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://s.com/blog/p"), "page_id").alias("url"), made(body, head).alias("html"))
-    return content.extracted(rows)
+    return content.extracted(rows, *fields)
+
+
+def page_id():
+    return F.col("page_id")
 
 
-I = F.col("page_id")
 SAY = "Ten words of plain content that fill this one paragraph. "
 
 
-@query("""SELECT page_id, 'Title & ' || page_id AS title, 'About ' || page_id AS meta_description, 'https://s.com/canonical/' || page_id AS canonical_url, 'noindex' || page_id % 2 || ', follow' AS robots, page_id % 2 = 0 AS noindex,
+@query("""SELECT page_id, 'Title & ' || page_id AS title, 'About ' || page_id AS meta_description, 'https://s.com/canonical/' || page_id AS canonical_url, CASE WHEN page_id % 2 = 0 THEN 'noindex' ELSE 'index' END AS robots, page_id % 2 = 0 AS noindex,
 'Open ' || page_id AS og_title, 'https://s.com/img/' || page_id || '.png' AS og_image, 'summary' AS twitter_card, 'utf-8' AS charset FROM pages""")
 def page_metadata(spark, sf):
-    index = F.when(I % 2 == 0, "noindex").otherwise("index")
-    head = ["<title>  Title &amp;\n ", I, '</title><meta name="Description" content=" About  ', I, ' "><link rel="x canonical" href="/canonical/', I, '#top"><meta name="robots" content="', index, '"><meta name="robots" content="nofollow">',
-            '<meta property="og:title" content="Open ', I, '"><meta property="og:image" content="/img/', I, '.png"><meta name="twitter:card" content="summary"><meta charset="UTF-8">']
-    rows = structured(spark, sf, [f"<article><h1>Head</h1><p>{SAY * 6}</p></article>"], head)
-    robots = F.concat(F.lit("noindex"), I % 2, F.lit(", follow"))
-    return rows.select("page_id", "title", "meta_description", "canonical_url", robots.alias("robots"), "noindex", F.col("og.title").alias("og_title"), F.col("og.image").alias("og_image"), F.col("twitter.card").alias("twitter_card"), "charset")
+    index = F.when(page_id() % 2 == 0, "noindex").otherwise("index")
+    head = ["<title>  Title &amp;\n ", page_id(), '</title><meta name="Description" content=" About  ', page_id(), ' "><link rel="x canonical" href="/canonical/', page_id(), '#top"><meta name="robots" content="', index, '"><meta name="robots" content="nofollow">',
+            '<meta property="og:title" content="Open ', page_id(), '"><meta property="og:image" content="/img/', page_id(), '.png"><meta name="twitter:card" content="summary"><meta charset="UTF-8">']
+    rows = structured(spark, sf, [f"<article><h1>Head</h1><p>{SAY * 6}</p></article>"], head, "title", "meta_description", "canonical_url", "robots", "noindex", "og", "twitter", "charset")
+    return rows.select("page_id", "title", "meta_description", "canonical_url", "robots", "noindex", F.col("og.title").alias("og_title"), F.col("og.image").alias("og_image"), F.col("twitter.card").alias("twitter_card"), "charset")
 
 
 @query("""SELECT page_id, 'https://s.com/i/' || page_id || '.png' AS src, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'a picture' END AS alt, page_id % 900 AS width, true AS in_content FROM pages
 UNION ALL SELECT page_id, 'https://s.com/blog/lazy.png', 'lazy', -1, true FROM pages UNION ALL SELECT page_id, 'https://cdn.com/a.png', NULL, -1, true FROM pages UNION ALL SELECT page_id, 'https://s.com/logo.png', 'logo', -1, false FROM pages""")
 def page_images(spark, sf):
-    alt = F.when(I % 3 == 0, "").when(I % 3 == 1, ' alt=""').otherwise(' alt=" a  picture "')
-    picture = F.concat(F.lit('<img src="/i/'), I, F.lit('.png"'), alt, F.lit(' width="'), I % 900, F.lit('">'))
+    alt = F.when(page_id() % 3 == 0, "").when(page_id() % 3 == 1, ' alt=""').otherwise(' alt=" a  picture "')
+    picture = F.concat(F.lit('<img src="/i/'), page_id(), F.lit('.png"'), alt, F.lit(' width="'), page_id() % 900, F.lit('">'))
     body = ['<header><img src="/logo.png" alt="logo"></header><article><h1>Head</h1><p>', SAY * 6, "</p>", picture, picture, '<img data-src="lazy.png" alt="lazy"><img srcset="https://cdn.com/a.png 1x, https://cdn.com/b.png 2x"><img src="data:image/png;base64,xx"></article>']
-    return content.child(structured(spark, sf, body), "images", "page_id").select("page_id", "src", "alt", F.coalesce(F.col("width").cast("long"), F.lit(-1)).alias("width"), "in_content")
+    return content.child(structured(spark, sf, body, None, "images"), "images", "page_id").select("page_id", "src", "alt", F.coalesce(F.col("width").cast("long"), F.lit(-1)).alias("width"), "in_content")
 
 
 @query("SELECT page_id, 'Article,FAQPage' || CASE WHEN page_id % 2 = 0 THEN ',Thing' ELSE '' END AS types, 1 AS invalid_json_ld, CAST(1 + page_id % 2 AS INTEGER) AS images_missing_alt FROM pages")
 def structured_data(spark, sf):
     block = '<script type="application/ld+json">{}</script>'
-    more = F.when(I % 2 == 0, block.format('[{"@type": "Thing"}, {"@type": "Article"}]')).otherwise("")
-    picture = F.when(I % 2 == 1, '<img src="/b.png">').otherwise('<img src="/b.png" alt="b">')
+    more = F.when(page_id() % 2 == 0, block.format('[{"@type": "Thing"}, {"@type": "Article"}]')).otherwise("")
+    picture = F.when(page_id() % 2 == 1, '<img src="/b.png">').otherwise('<img src="/b.png" alt="b">')
     head = [block.format('{"@graph": [{"@type": "Article"}, {"@type": ["FAQPage", "Article"]}]}'), block.format("{bad"), more]
-    rows = structured(spark, sf, [f"<article><h1>Head</h1><p>{SAY * 6}</p>", '<img src="/a.png">', picture, "</article>"], head)
+    rows = structured(spark, sf, [f"<article><h1>Head</h1><p>{SAY * 6}</p>", '<img src="/a.png">', picture, "</article>"], head, "json_ld", "images", "invalid_json_ld")
     out = content.structured_facts(rows).join(rows.select("page_id", "invalid_json_ld"), "page_id")
     return out.select("page_id", F.array_join("types", ",").alias("types"), "invalid_json_ld", "images_missing_alt")
 
@@ -199,11 +202,11 @@ UNION ALL SELECT page_id, 's2-other-parts', 2, 'Other parts', 3, 'blockquote,pre
 SELECT page_id, key, "order", heading, level, kinds, replace(text, E'\\na | b', E'\\n\\na | b') AS text FROM s""")
 def page_sections(spark, sf):
     body = [
-        '<nav><a href="/x">Menu</a></nav><div class="cookie-note">Accept all the cookies of this site now</div><article><h1>Top ', I, "</h1><p>Opening words of <b>page ", I, '.</b><aside>Not this aside</aside><div class="share related">Share this</div>',
-        "<h2>Lists &amp; tables</h2><ul><li>first<li>second</ul><table><tr><th>a<th>b<tr><td>", I, "<td>d</table><h3>Other parts</h3><blockquote>Quoted  words</blockquote><pre>x  =  1</pre>",
+        '<nav><a href="/x">Menu</a></nav><div class="cookie-note">Accept all the cookies of this site now</div><article><h1>Top ', page_id(), "</h1><p>Opening words of <b>page ", page_id(), '.</b><aside>Not this aside</aside><div class="share related">Share this</div>',
+        "<h2>Lists &amp; tables</h2><ul><li>first<li>second</ul><table><tr><th>a<th>b<tr><td>", page_id(), "<td>d</table><h3>Other parts</h3><blockquote>Quoted  words</blockquote><pre>x  =  1</pre>",
         '<figure><img src="/f.png" alt="f"><figcaption>A caption</figcaption></figure>Loose text of some words<div>Leaf of a div</div> two words <script>var hidden = 1</script></article><footer>The end of it</footer>',
     ]
-    rows = content.child(structured(spark, sf, body), "sections", "page_id")
+    rows = content.child(structured(spark, sf, body, None, "sections"), "sections", "page_id")
     return rows.select("page_id", "key", "order", "heading", "level", F.array_join(F.transform("blocks", lambda b: b["type"]), ",").alias("kinds"), "text")
 
 
@@ -214,23 +217,23 @@ def page_quality(spark, sf):
     few = "<p>Ten words of plain content that fill this one paragraph.</p>"
     listing = "".join(f"<article><h2>Post {k}</h2><p>{SAY * 2}</p></article>" for k in range(5))
     bodies = [f"<article><h1>A head</h1>{text}</article><main>{SAY}</main>", f"<main><h1>A head</h1>{text}</main>", f'<div class="post-content"><h1>A head</h1>{text}</div>', f"<h1>A head</h1>{listing}", f"<article><h1>A head</h1>{few}</article>", '<div id="root"></div><noscript>Please enable JavaScript</noscript>']
-    rows = structured(spark, sf, [pick(bodies, I)])
+    rows = structured(spark, sf, [pick(bodies, page_id())], None, "container")
     return rows.select("page_id", "container", "app_shell", "sufficient", "reason")
 
 
 @query("SELECT a.page_id, (a.page_id % 10 = b.page_id % 10) AS same_content FROM pages a JOIN pages b ON b.page_id = a.page_id + 10 UNION ALL SELECT a.page_id, false FROM pages a JOIN pages b ON b.page_id = a.page_id + 3")
 def content_hashes(spark, sf):
     """Pages ten apart have the same content in other scripts, classes and menus, those three apart another heading."""
-    body = ["<nav>Menu ", I, '</nav><script>var x = "', I, '"</script><article class="c', I, '"><h1>Head ', I % 10, f"</h1><p>{SAY * 6}</p></article>"]
-    rows = structured(spark, sf, body).select("page_id", "content_hash")
-    far = lambda n: rows.join(rows.select((I - n).alias("page_id"), F.col("content_hash").alias("other")), "page_id").select("page_id", (F.col("content_hash") == F.col("other")).alias("same_content"))
+    body = ["<nav>Menu ", page_id(), '</nav><script>var x = "', page_id(), '"</script><article class="c', page_id(), '"><h1>Head ', page_id() % 10, f"</h1><p>{SAY * 6}</p></article>"]
+    rows = structured(spark, sf, body, None, "content_hash").select("page_id", "content_hash")
+    far = lambda n: rows.join(rows.select((page_id() - n).alias("page_id"), F.col("content_hash").alias("other")), "page_id").select("page_id", (F.col("content_hash") == F.col("other")).alias("same_content"))
     return far(10).unionByName(far(3))
 
 
 @query("SELECT page_id, 'SECTION_TEXT' AS field, 's1-more' AS section_key, 'The more of it' AS text FROM pages UNION ALL SELECT page_id, 'SECTION_HEADING', 's1-more', 'More' FROM pages UNION ALL SELECT page_id, 'SECTION_HEADING', 's0-head', 'Head' FROM pages UNION ALL SELECT page_id, 'SECTION_TEXT', 's0-head', 'Words of page ' || page_id FROM pages UNION ALL SELECT page_id, 'H1', NULL, 'Head' FROM pages UNION ALL SELECT page_id, 'TITLE', NULL, 'Title ' || page_id FROM pages")
 def overlap_corpus(spark, sf):
     """The fields of pages as documents; without a description there are two fields and two of each section."""
-    rows = structured(spark, sf, ["<article><h1>Head</h1><p>Words of page ", I, "</p><h2>More</h2><p>The more of it</p></article>"], ["<title>Title ", I, "</title>"])
+    rows = structured(spark, sf, ["<article><h1>Head</h1><p>Words of page ", page_id(), "</p><h2>More</h2><p>The more of it</p></article>"], ["<title>Title ", page_id(), "</title>"], "title", "meta_description", "h1", "sections")
     return overlap.corpus(rows.withColumn("website_id", F.lit("w"))).select("page_id", "field", "section_key", "text")
 
 
@@ -240,7 +243,7 @@ _SLUGS = ("hello-world", "e-te-a-paris", "section", "a-b-c", "c-c", "x" * 60, "g
 
 @query(f"SELECT page_id, {pick_sql(_SLUGS, 'page_id')} AS slug FROM pages")
 def slugs(spark, sf):
-    return table(spark, sf, "pages").select("page_id", extract.slug_column(pick(_HEADINGS, I)).alias("slug"))
+    return table(spark, sf, "pages").select("page_id", extract.slug_column(pick(_HEADINGS, page_id())).alias("slug"))
 
 
 # --- sitemaps and robots rules
@@ -249,7 +252,7 @@ def slugs(spark, sf):
 @query("SELECT url, '2026-01-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') AS lastmod, 'https://s.com/map' || page_id % 5 || '.xml' AS file FROM pages WHERE page_id % 5 < 3 UNION ALL SELECT url, NULL, 'https://s.com/list.txt' FROM pages WHERE page_id % 5 = 3")
 def sitemap_entries(spark, sf):
     """An index of three sitemaps, one of them behind a second index, a list in plain text, a missing file and one of another site."""
-    rows = table(spark, sf, "pages").select("page_id", "url", (I % 5).alias("m"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("loc"), F.concat(F.lit("2026-01-"), F.lpad((1 + I % 28).cast("string"), 2, "0")).alias("lastmod"))
+    rows = table(spark, sf, "pages").select("page_id", "url", (page_id() % 5).alias("m"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("loc"), F.concat(F.lit("2026-01-"), F.lpad((1 + page_id() % 28).cast("string"), 2, "0")).alias("lastmod"))
     item = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc><lastmod>"), "lastmod", F.lit("</lastmod></url>"))
     maps = rows.where("m < 3").groupBy(F.concat(F.lit("https://s.com/map"), "m", F.lit(".xml")).alias("url")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://x/">'), F.array_join(F.collect_list(item), ""), F.lit("</urlset>")).alias("body"))
     plain = rows.where("m = 3").groupBy(F.lit("https://s.com/list.txt").alias("url")).agg(F.array_join(F.collect_list("url"), "\n").alias("body"))
@@ -275,7 +278,7 @@ _TYPES = ("text/html", "Text/HTML; charset=utf-8", None, "", "application/xhtml+
 
 @query(f"SELECT page_id, {pick_sql((1, 1, 1, 1, 1, 0, 0, 0), 'page_id')} = 1 AS is_page FROM pages")
 def html_content_types(spark, sf):
-    return table(spark, sf, "pages").select("page_id", drafts.html_content(pick(_TYPES, I)).alias("is_page"))
+    return table(spark, sf, "pages").select("page_id", drafts.html_content(pick(_TYPES, page_id())).alias("is_page"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -302,7 +305,7 @@ _ANSWERS = (
 
 @query(f"SELECT o_orderkey, {pick_sql(('', 'unknown query: zz; unknown query: yy; unknown section: s9', None, ''), 'o_orderkey')} AS issues FROM orders")
 def answer_grounding(spark, sf):
-    parsed = drafts.answer(pick(_ANSWERS, K))
+    parsed = drafts.answer(pick(_ANSWERS, order_key()))
     rows = table(spark, sf, "orders").select("o_orderkey", parsed.alias("a"))
     issues = drafts.ungrounded(F.col("a"), F.array(F.lit("k1"), F.lit(" K2 ")), F.array(F.lit("s0"), F.lit("s1")))
     return rows.select("o_orderkey", F.when(F.col("a").isNotNull(), F.array_join(issues, "; ")).alias("issues"))
@@ -316,7 +319,7 @@ def answer_bounds(spark, sf):
     base = '{{"summary": "{0}", "search_intent": [], "content_gaps": [{1}], "evidence_sufficient": true, "recommendations": [{2}]}}'
     one = '{"type": "TITLE", "target_section": null, "suggested_value": "x", "rationale": "r"}'
     given = [base.format("s", "", one), base.format("s" * 1201, "", one), base.format("s", "", ", ".join([one] * 11)), base.format("s", '{"topic": "t", "related_queries": []}', one), base.format("s", "", one.replace("TITLE", "POEM")), "{}x"]
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(drafts.answer_problems(drafts.answer(pick(given, K))), "; ").alias("problem"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(drafts.answer_problems(drafts.answer(pick(given, order_key()))), "; ").alias("problem"))
 
 
 @query(f"SELECT o_orderkey, {pick_sql(('TITLE', 'META_DESCRIPTION', 'H1', 'SECTION_HEADING', 'INTRODUCTION', None, 'SECTION_BODY', 'SECTION_BODY', None, None), 'o_orderkey')} AS target, {pick_sql(('t', 'm', 'h', 'Head', 'intro', None, 'text', 'intro', None, None), 'o_orderkey')} AS current FROM orders")
@@ -326,7 +329,7 @@ def draft_targets(spark, sf):
     section = lambda key, head, text: F.struct(F.lit(key).alias("key"), F.lit(head).cast("string").alias("heading"), F.lit(text).alias("text"))
     all_ = F.array(section("s0", None, "intro"), section("s1", "Head", "text"))
     version = F.struct(F.lit("t").alias("title"), F.lit("m").alias("meta_description"), F.lit("h").alias("h1"), all_.alias("sections"))
-    rows = table(spark, sf, "orders").select("o_orderkey", pick(kinds, K).alias("kind"), pick(sections, K).alias("section"), version.alias("v"))
+    rows = table(spark, sf, "orders").select("o_orderkey", pick(kinds, order_key()).alias("kind"), pick(sections, order_key()).alias("section"), version.alias("v"))
     rows = rows.withColumn("target", drafts.draft_target(F.col("kind"), F.col("section"), F.col("v.sections")))
     return rows.select("o_orderkey", "target", drafts.current_value(F.col("target"), F.col("section"), F.col("v")).alias("current"))
 
@@ -340,7 +343,7 @@ _DRAFT_ISSUES = (
 
 @query(f"SELECT o_orderkey, {pick_sql(('A fern guide for shady gardens', None, None, None, None, None, None, None), 'o_orderkey')} AS value, {pick_sql(_DRAFT_ISSUES, 'o_orderkey')} AS issues FROM orders")
 def draft_checks(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("TITLE").alias("target"), pick(_DRAFTS, K).alias("value"), F.lit("An old title  of the page").alias("current"), F.lit("A fern guide for gardens: notes on sales and the old title of the page").alias("page_text"), F.lit("ferns shady").alias("queries"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("TITLE").alias("target"), pick(_DRAFTS, order_key()).alias("value"), F.lit("An old title  of the page").alias("current"), F.lit("A fern guide for gardens: notes on sales and the old title of the page").alias("page_text"), F.lit("ferns shady").alias("queries"))
     return drafts.checked(rows).select("o_orderkey", "value", F.array_join("issues", "; ").alias("issues"))
 
 
@@ -350,7 +353,7 @@ _CLAIM_ISSUES = ('number "1999" does not appear on the page; claim "Trusted" is
 
 @query(f"SELECT o_orderkey, {pick_sql(_CLAIM_ISSUES, 'o_orderkey')} AS issues FROM orders")
 def unsupported_claims(spark, sf):
-    found = wording.unsupported(pick(_CLAIMED, K), F.lit("A guide in 2 parts, from 500 accurate notes"), F.lit("builders pune"))
+    found = wording.unsupported(pick(_CLAIMED, order_key()), F.lit("A guide in 2 parts, from 500 accurate notes"), F.lit("builders pune"))
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(found, "; ").alias("issues"))
 
 
@@ -362,7 +365,7 @@ def query_grounding_form(spark, sf):
 @query("SELECT o_orderkey AS draft, o_custkey AS review_id FROM orders WHERE o_orderkey % 3 <> 0")
 def novel_drafts(spark, sf):
     """A third of the drafts says what an earlier draft of the review said, with other spaces."""
-    rows = table(spark, sf, "orders").select(K.alias("draft"), F.col("o_custkey").alias("review_id"), F.concat(F.lit(" draft  "), K).alias("value"))
+    rows = table(spark, sf, "orders").select(order_key().alias("draft"), F.col("o_custkey").alias("review_id"), F.concat(F.lit(" draft  "), order_key()).alias("value"))
     return drafts.novel(rows, rows.where("draft % 3 = 0").select("review_id", F.trim(F.replace("value", F.lit("  "), F.lit(" "))).alias("value"))).select("draft", "review_id")
 
 
@@ -379,13 +382,13 @@ _TIDY = ("New title", "New description", "h", "New head", "New text", "x", "y",
 def proposal_build(spark, sf):
     section = F.struct(F.lit("s1").alias("key"), F.lit("Head").alias("heading"), F.lit("text").alias("text"))
     version = F.struct(F.lit("t").alias("title"), F.lit("m").alias("meta_description"), F.lit("h").alias("h1"), F.array(section).alias("sections"))
-    rows = table(spark, sf, "orders").select("o_orderkey", pick(_CHANGES, K).alias("change_type"), pick((None, None, None, "s1", "s1", "s9", None, None, None, None), K).alias("target_section"), pick(_VALUES, K).alias("proposed_value"), version.alias("version"))
+    rows = table(spark, sf, "orders").select("o_orderkey", pick(_CHANGES, order_key()).alias("change_type"), pick((None, None, None, "s1", "s1", "s9", None, None, None, None), order_key()).alias("target_section"), pick(_VALUES, order_key()).alias("proposed_value"), version.alias("version"))
     return measure.proposals_built(rows).select("o_orderkey", "current_value", "proposed_value", "problem")
 
 
 @query("""SELECT o_orderkey, sha256('["TITLE",' || CASE WHEN o_orderkey % 2 = 0 THEN '"s1"' ELSE 'null' END || ',"' || o_custkey || '"]') AS hash FROM orders""")
 def change_fingerprints(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("TITLE").alias("t"), F.when(K % 2 == 0, "s1").alias("s"), F.col("o_custkey").alias("c"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("TITLE").alias("t"), F.when(order_key() % 2 == 0, "s1").alias("s"), F.col("o_custkey").alias("c"))
     return rows.select("o_orderkey", measure.change_fingerprint("t", "s", "c").alias("hash"))
 
 
@@ -416,7 +419,7 @@ def closed_proposals(spark, sf):
 
 def _closed(spark, sf):
     status = F.when(F.col("o_orderstatus") == "O", "AWAITING_APPROVAL").when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("APPLIED")
-    proposals = table(spark, sf, "orders").select(F.col("o_custkey").alias("opportunity_id"), K.alias("proposal_id"), status.alias("status"))
+    proposals = table(spark, sf, "orders").select(F.col("o_custkey").alias("opportunity_id"), order_key().alias("proposal_id"), status.alias("status"))
     found = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("PROPOSED").alias("status"))
     return lifecycle.closed(found, proposals, found.where("id % 2 = 0").select("id"))
 
@@ -424,7 +427,7 @@ def _closed(spark, sf):
 @query("""SELECT o_orderkey AS review_id, CASE o_orderkey % 4 WHEN 0 THEN 'AI_DRAFT' WHEN 1 THEN 'HUMAN_EDITED' WHEN 2 THEN 'HUMAN_EDITED' ELSE 'AI_RECOMMENDATION' END AS value_source, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS draft_revision FROM orders""")
 def value_sources(spark, sf):
     """The newest of two equal drafts, another value than the draft, an edited recommendation, and neither."""
-    rows = table(spark, sf, "orders").select(K.alias("review_id"), F.lit("TITLE").alias("change_type"), F.lit(None).cast("string").alias("target_section"))
+    rows = table(spark, sf, "orders").select(order_key().alias("review_id"), F.lit("TITLE").alias("change_type"), F.lit(None).cast("string").alias("target_section"))
     proposals = rows.withColumns({"value": F.when(F.col("review_id") % 4 == 1, F.lit("own words")).otherwise(F.lit("new  title")), "edited": F.col("review_id") % 4 == 2})
     offered = rows.where("review_id % 4 < 2").withColumns({"value": F.lit("new title"), "revision": F.explode(F.array(F.lit(1), F.lit(2)))}).withColumn("draft_id", F.concat("review_id", F.lit("-"), "revision"))
     return lifecycle.value_sources(proposals, offered).select("review_id", "value_source", F.coalesce("draft_revision", F.lit(0)).alias("draft_revision"))
@@ -432,7 +435,7 @@ def value_sources(spark, sf):
 
 @query("""SELECT o_orderkey AS review_id, ['STORED', 'STALE', 'CAPPED', 'INVALID', 'REPEATED'][o_orderkey % 5 + 1] AS outcome, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END AS revision, CASE WHEN o_orderkey % 5 = 0 THEN 'a new draft' END AS value FROM orders""")
 def draft_regeneration(spark, sf):
-    rows = table(spark, sf, "orders").select(K.alias("review_id"))
+    rows = table(spark, sf, "orders").select(order_key().alias("review_id"))
     k = F.col("review_id") % 5
     earlier = rows.withColumn("revision", F.explode(F.sequence(F.lit(1), F.when(k == 2, 5).otherwise(2)))).withColumn("value", F.when(k == 4, F.lit("a new  draft")).otherwise(F.concat(F.lit("draft "), "revision")))
     asked = rows.withColumns({"value": F.lit(" a  new draft "), "issues": F.when(k == 3, F.array(F.lit("too short"))).otherwise(F.array().cast("array<string>")), "analysis_version": F.lit("v1"), "current_version": F.when(k == 1, "v2").otherwise("v1")})
@@ -453,7 +456,7 @@ def reusable_checks(spark, sf):
 
 @query(f"SELECT o_orderkey, {pick_sql(('allowed', 'allowed', 'warn', 'warn'), 'o_orderkey')} AS warn, {pick_sql(('allowed', 'allowed', 'acknowledge', 'acknowledge'), 'o_orderkey')} AS require_ack, {pick_sql(('allowed', 'allowed', 'blocked', 'blocked'), 'o_orderkey')} AS block, 'allowed' AS off FROM orders")
 def approval_policies(spark, sf):
-    verdict = pick(("NO_MATCHES", "MINOR_MATCHES", "SIGNIFICANT_MATCHES", None), K)
+    verdict = pick(("NO_MATCHES", "MINOR_MATCHES", "SIGNIFICANT_MATCHES", None), order_key())
     return table(spark, sf, "orders").select("o_orderkey", *[overlap.approval(verdict, p).alias(p) for p in ("warn", "require_ack", "block", "off")])
 
 
@@ -462,9 +465,9 @@ _RUN_STATES = ("QUEUED", "QUEUED", "RUNNING", "RUNNING", "COMPLETED")
 
 @query(f"SELECT o_orderkey AS run_id, {pick_sql(('RUNNING', 'COMPLETED', 'FAILED', 'RUNNING', 'COMPLETED'), 'o_orderkey')} AS status FROM orders")
 def detection_run_states(spark, sf):
-    runs = table(spark, sf, "orders").select(K.alias("run_id"), F.lit(1).alias("website_id"), pick(_RUN_STATES, K).alias("status"))
-    kinds = F.when(K % 5 == 0, F.array(F.lit("claim"))).when(K % 5 == 1, F.array(F.lit("complete"), F.lit("claim"))).when(K % 5 == 3, F.array(F.lit("claim"))).otherwise(F.array(F.lit("fail")))
-    events = table(spark, sf, "orders").select(K.alias("run_id"), F.explode(kinds).alias("kind"))
+    runs = table(spark, sf, "orders").select(order_key().alias("run_id"), F.lit(1).alias("website_id"), pick(_RUN_STATES, order_key()).alias("status"))
+    kinds = F.when(order_key() % 5 == 0, F.array(F.lit("claim"))).when(order_key() % 5 == 1, F.array(F.lit("complete"), F.lit("claim"))).when(order_key() % 5 == 3, F.array(F.lit("claim"))).otherwise(F.array(F.lit("fail")))
+    events = table(spark, sf, "orders").select(order_key().alias("run_id"), F.explode(kinds).alias("kind"))
     return lifecycle.run_advanced(runs, events).select("run_id", "status")
 
 
@@ -488,14 +491,14 @@ def verify_sections(spark, sf):
     def version(key, title, heading, text, extra=False):
         cell = lambda n, k, h, t: F.struct(k.alias("key"), F.lit(n).alias("order"), F.lit(2).alias("level"), h.alias("heading"), t.alias("text"))
         one, two = cell(1, key, heading, text), cell(2, F.lit("s2"), F.lit("More"), F.lit("more"))
-        sections = F.when(K % 8 == 5, F.array(one, two)).otherwise(F.array(one)) if extra else F.array(one)
+        sections = F.when(order_key() % 8 == 5, F.array(one, two)).otherwise(F.array(one)) if extra else F.array(one)
         return F.struct(title.alias("title"), F.lit("m").alias("meta_description"), F.lit("h").alias("h1"), sections.cast(array).alias("sections"))
 
     # the live key is another where a heading changed, and where the section is gone
-    live_key = F.when(K % 8 == 3, F.lit("s1-other")).otherwise(F.lit("s1-new"))
-    live = version(live_key, F.when(K % 8 == 6, F.lit("Café")).otherwise(F.lit("t")), F.when(K % 8 == 4, F.lit("New  head")).otherwise(F.lit("Head")), pick(("New\n text", "text", "Else", "x"), K % 4), True)
+    live_key = F.when(order_key() % 8 == 3, F.lit("s1-other")).otherwise(F.lit("s1-new"))
+    live = version(live_key, F.when(order_key() % 8 == 6, F.lit("Café")).otherwise(F.lit("t")), F.when(order_key() % 8 == 4, F.lit("New  head")).otherwise(F.lit("Head")), pick(("New\n text", "text", "Else", "x"), order_key() % 4), True)
     rows = table(spark, sf, "orders").select(
-        "o_orderkey", pick(kinds, K).alias("change_type"), F.when(K % 8 < 6, F.lit("s1-new")).alias("target_section"), pick(("text", "text", "text", "text", "Head", "Head", "t", "m"), K).alias("current_value"),
-        pick(("New text", "New text", "New text", "New text", "New head", "New head", "Café", "New"), K).alias("proposed_value"), version(F.lit("s1-new"), F.lit("t"), F.lit("Head"), F.lit("text")).alias("approved"), live.alias("live"),
+        "o_orderkey", pick(kinds, order_key()).alias("change_type"), F.when(order_key() % 8 < 6, F.lit("s1-new")).alias("target_section"), pick(("text", "text", "text", "text", "Head", "Head", "t", "m"), order_key()).alias("current_value"),
+        pick(("New text", "New text", "New text", "New text", "New head", "New head", "Café", "New"), order_key()).alias("proposed_value"), version(F.lit("s1-new"), F.lit("t"), F.lit("Head"), F.lit("text")).alias("approved"), live.alias("live"),
     )
     return measure.verified(rows).select("o_orderkey", "result", "live_value", "live_section")

@@ -5,33 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import kept
+
 
 def replace_days(facts: DataFrame, path: str, days: DataFrame | None = None) -> None:
     """Writes facts by property and date, replacing exactly those days; days (property_id, date) that were fetched and brought
-    no rows are deleted, which dynamic overwrite alone would leave as they were."""
+    no rows are deleted, which dynamic overwrite alone would leave as they were. Facts are computed once."""
     spark = facts.sparkSession
+    facts = kept(facts)
     facts.repartition("property_id", "date").sortWithinPartitions("query", "page").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("property_id", "date").parquet(path)
     if days is None:
         return
-    empty = days.select("property_id", F.col("date").cast("string").alias("date")).distinct().join(facts.select("property_id", F.col("date").cast("string").alias("date")).distinct(), ["property_id", "date"], "left_anti")
-    jvm = spark.sparkContext._jvm
-    for r in empty.toLocalIterator():  # one small row for each empty day of a sync
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/property_id={r.property_id}/date={r.date}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    name = lambda rows: rows.select("property_id", F.col("date").cast("string").alias("date")).distinct()
+    for r in name(days).join(name(facts), ["property_id", "date"], "left_anti").toLocalIterator():  # one small row for each empty day
+        at = _path(spark, f"{path}/property_id={r.property_id}/date={r.date}")
+        _files(spark, at).delete(at, True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, at):
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def swap_snapshot(rows: DataFrame, path: str) -> None:
-    """Writes rows beside path, then puts them in its place; readers see the old or the new snapshot."""
+def swap_snapshot(rows: DataFrame, path: str) -> str:
+    """Writes rows as a new version below path, then makes a pointer name it; gives the version's folder.
+
+    The pointer is an empty file whose name holds the version's number: it appears at once, so that readers (see
+    snapshot()) find the old or the new version, whole. The version before stays for those who still read it; older ones
+    and their pointers are deleted. One writer at a time."""
     spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old, here = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ".old", ""))
-    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(path + ".new")
-    files.delete(old, True)
-    if files.exists(here):
-        files.rename(here, old)
-    files.rename(new, here)
-    files.delete(old, True)
+    last = _versions(spark, path)
+    number = (last[-1] if last else 0) + 1
+    rows.write.mode("overwrite").parquet(f"{path}/v={number:09d}")
+    at = _path(spark, f"{path}/_current-{number:09d}")
+    _files(spark, at).create(at, True).close()
+    for old in last[:-1]:
+        for name in (f"_current-{old:09d}", f"v={old:09d}"):
+            gone = _path(spark, f"{path}/{name}")
+            _files(spark, gone).delete(gone, True)
+    return f"{path}/v={number:09d}"
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version that swap_snapshot() wrote."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/v={found[-1]:09d}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = _path(spark, path)
+    files = _files(spark, at)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("_current-")) for n in names if n.startswith("_current-"))
 
 
 def append_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
