@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -221,6 +222,44 @@ def test_pipeline_ids(spark):
     assert last.where("piece = 0").count() == passed.count()
 
 
+STAGE_ROWS = [
+    (None, None, None, None, None), (None, "", "en", "s", 0), (1, None, None, "s", 0), (2, "12345 !!", None, "s", 0), (3, "x y", "en", "s", 3), (3, "x y", "en", "s", 3), (4, "word " * 40_000, "en", "s", 9), (5, "漢字 " * 50, "zh", "s", 9),
+    *[(k, " ".join(f"w{k % 3}x{i} of the" for i in range(30)), "en", "s", 1) for k in range(6, 12)],
+]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, stage):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.createDataFrame(STAGE_ROWS, DOCS).select("*", *[F.lit(1).alias(c) for c in ("score", "kept", "node", "label", "_id", "_fa", "component_id", "rep", "mark", "n", "length")])
+    got = run(spark, docs, SF)
+    rows = got.collect()
+    if stage == "packing":
+        assert sum(r.piece == 0 for r in rows) == len(STAGE_ROWS)
+    else:
+        assert got.columns == docs.columns
+        texts = [r.text for r in rows]
+        if stage == "language_id":
+            assert not {None, "", "12345 !!"} & set(texts)
+        elif stage == "quality_rules":
+            assert len(rows) == 6 and all(t and t.startswith("w") for t in texts)
+        else:
+            assert len(rows) == len(STAGE_ROWS) - 1 - 3  # one repeated row, and three of six that say the same
+    assert run(spark, docs.where("false"), SF).count() == 0
+
+
+def test_queries_in_sql(spark, small):
+    """The queries that SQL can express, over whole tables."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, small).toPandas(), con.sql(sql).df()
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns
+        assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist())), name
+
+
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_dedup", "packing"]

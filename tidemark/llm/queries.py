@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, tokens, toxicity, urls
 from tidemark.llm.common import table
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op5_quality_classifier, op6_url_filters, op7_best_fit_packing, op8_language_id, op9_fingerprints, op10_toxicity)}
-ORACLES: dict[str, str] = {}
