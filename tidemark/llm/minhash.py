@@ -83,34 +83,32 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "copies", "text").mapInArrow(rows, "node long, copies long, shingles array<long>")
 
 
-def marked(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs (columns doc_id, text and others) with _fa and _fb, the fingerprint of each row's shingle set."""
-    at_text = next(k for k, n in enumerate(docs.columns) if n.lower() == "text")
+def marked(rows: DataFrame, text: str, size: int = 5) -> DataFrame:
+    """rows (one column, row: a struct with a field of this name for the text) with fa and fb, the fingerprint of each row's
+    shingle set."""
 
-    def rows(batches):
+    def mark(batches):
         for batch in batches:
-            at, text = 0, pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])
-            for part in parts(iter([text]), PART_BYTES):
+            at, own = 0, pa.RecordBatch.from_arrays([batch.column("row").field(text)], ["text"])
+            for part in parts(iter([own]), PART_BYTES):
                 found = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(part, size))
-                mark = np.frombuffer(found, "<i8").reshape(-1, 2)
-                own = batch.slice(at, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(mark[:, 0]), pa.array(mark[:, 1])], [*own.schema.names, "_fa", "_fb"])
+                marks = np.frombuffer(found, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, part.num_rows), pa.array(marks[:, 0]), pa.array(marks[:, 1])], ["row", "fa", "fb"])
                 at += part.num_rows
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rows, f"{kinds}, _fa long, _fb long")
+    return rows.mapInArrow(mark, f"row {rows.schema['row'].dataType.simpleString()}, fa long, fb long")
 
 
 def kept_rows(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() keeps, by doc_id and shingle set: one row
     of those that share both doc_id and shingle set (by a hash of all columns), and every row with a null doc_id."""
-    names = docs.columns
-    key = ["_id", "_fa", "_fb"]
-    kept = judged(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb")).distinct()
-    known = marked(docs.where("doc_id is not null"), size).withColumn("_id", F.col("doc_id").cast("long"))
-    row = F.struct(*[F.col(n) for n in names])
-    one = known.join(kept, key, "left_semi").groupBy(*key).agg(F.min_by(row, F.xxhash64(*names)).alias("_row"))
-    return one.select(*[F.col("_row").getField(n).alias(n) for n in names]).unionByName(docs.where("doc_id is null"))
+    own = {n.lower(): n for n in docs.columns}
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    key = ["id", "fa", "fb"]
+    kept = judged(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), "fa", "fb").distinct()
+    known = marked(docs.where("doc_id is not null").select(row), own["text"], size).withColumn("id", F.col("row")[own["doc_id"]].cast("long"))
+    one = known.join(kept, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, coordinates: int = 48) -> DataFrame:
