@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_rest, kept_beside, parts, texts_of, utf8
-from tidemark.llm.sample import bounded
+from tidemark.llm.sample import bounded, within
 
 #: Bytes of a window, widths of the filters, filters of each width, numbers that stand for a byte.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 6, 8
@@ -149,13 +149,15 @@ class Reader:
         return softmax(np.maximum(high + self.net.bias, 0) @ self.net.out + self.net.out_bias)
 
 
-def learned(docs: DataFrame, fold: int, out_rest: int, per_language: int = 300) -> Network | None:
-    """A network from about per_language labelled texts of each language (see sample.bounded()), of each its whole text.
+def learned(docs: DataFrame, fold: int, out_rest: int, per_language: int = 300, most_bytes: int = 8 << 20) -> Network | None:
+    """A network from about per_language labelled texts of each language (see sample.bounded()), of each its whole text,
+    of most_bytes bytes in all.
 
     Rows whose crc32(doc_id as text) modulo fold is out_rest, with a null doc_id or without lang or text don't count;
     repeated rows count as often as they are there, and an id with two languages for both. None without any row."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~crc_rest(fold).isin(out_rest, -1))
-    taken = bounded(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), per_language, "doc_id", by="lang").select("lang", "text")
+    taken = bounded(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), per_language, "doc_id", by="lang")
+    taken = within(taken, most_bytes, "doc_id").select("lang", "text")
 
     def cut(batches):
         for batch in parts(batches, 4 << 20):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, SPACE, crc_rest, parts, texts_of, utf8, word_hashes, words
-from tidemark.llm.sample import bounded
+from tidemark.llm.sample import bounded, within
 
 #: Vectors of words, of 3- and of 4-byte n-grams, each in a table of 2^BITS rows of DIM numbers; the last row: a repeated word.
 BITS, DIM = 15, 8
@@ -75,10 +75,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate:
     return Model(vectors, out, bias)
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str, fold: int, out_rest: int, bound: int = 2000) -> Model | None:
-    """A model from about bound labelled documents (for each label at most), none of them in the fold that is held out."""
+def learned(docs: DataFrame, labels: DataFrame, label: str, fold: int, out_rest: int, bound: int = 2000, most_bytes: int = 32 << 20) -> Model | None:
+    """A model from about bound labelled documents (for each label at most) of most_bytes bytes in all, none of them in the
+    fold that is held out. Null ids and labels don't count, repeated rows do, and an id with two labels or texts counts for
+    each; a null text has no features. None without any row."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~crc_rest(fold).isin(out_rest, -1))
     taken = texts_of(docs).join(F.broadcast(bounded(known, bound, "doc_id", by="label")), "doc_id")
+    taken = within(taken, most_bytes, "doc_id")
 
     def count(batches):
         for batch in parts(batches, PART_BYTES):

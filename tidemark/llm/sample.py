@@ -25,3 +25,10 @@ def bounded(rows: DataFrame, bound: int, *columns: str, by: str | None = None, m
         return rows.where(F.lit(False))
     share = F.create_map(*[F.lit(x) for r in common for x in (r[0], bound / r[1])])
     return rows.where(unit(*columns) < F.element_at(share, F.col(by)))
+
+
+def within(rows: DataFrame, most_bytes: int, *columns: str) -> DataFrame:
+    """rows (with text), or, if their texts have more than most_bytes bytes, the part of them that has about so many: what
+    the driver trains on is bounded however long the texts are. Rows are chosen by another hash of columns, whole."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows if total <= most_bytes else rows.where(unit(*columns, F.lit("bytes")) < most_bytes / total)
