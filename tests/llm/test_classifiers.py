@@ -56,7 +56,7 @@ def test_lattice_by_enumeration():
     """The restored form is the best of all ways through a small lattice."""
     rng = np.random.default_rng(2)
     model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
-    for word in ("1d1ot", "a$$", "s.t.u", "b*d", "aab", "h3||0", "x(!)", "no", "0", "t--o", "s$5s"):
+    for word in ("1d1ot", "a$$", "s.t.u", "b*d", "aab", "h3||0", "x(!)", "no", "0", "t--o", "s$5s", "b**", "*a*"):
         for fixed in (None, 0, 1):
             if fixed is None and not any(c.isalnum() for c in word):
                 continue
@@ -71,7 +71,8 @@ def test_lattice_by_enumeration():
                         score, text, a, b = score + model[a][b][k], text + chr(toxicity.PRINT[k]), b, k
                 best.append((score + model[a][b][0], text))
             top = max(best)[0]
-            assert toxicity.restored(word, model, fixed) in {t for v, t in best if v > top - 1e-9}, word
+            for tails in (None, {}):
+                assert toxicity.restored(word, model, fixed, None, tails) in {t for v, t in best if v > top - 1e-9}, word
 
 
 def test_long_words_are_restored_whole():

@@ -138,29 +138,92 @@ def without_end(word: str) -> str:
     return word[:n]
 
 
-def restored(word: str, model: list | np.ndarray, fixed: int | None = None) -> str:
+def restored(word: str, model: list | np.ndarray, fixed: int | None = None, dense: np.ndarray | None = None, tails: dict | None = None) -> str:
     """The most likely letters behind a word, between spaces: one pass over it, with a back pointer for each pair of last
-    letters (28 x 28 at most) at each character. Signs at the end stand for nothing, or, from fixed on, for letters."""
+    letters (28 x 28 at most) at each character. Signs at the end stand for nothing, or, from fixed on, for letters.
+
+    Pairs are few until a star stands for any letter; from there on all are held in arrays (dense: the model as one). Where
+    all ways meet in one pair at fixed, what follows depends on that pair alone and is kept in tails."""
     word = without_end(word) if fixed is None else word
-    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
-    steps: list[dict[tuple[int, int], tuple[tuple[int, int], int]]] = []
-    for options in readings(word, fixed):
+    options = readings(word, fixed)
+    cut = fixed or 0
+    best, steps = forward({(0, 0): 0.0}, options[:cut], model) if cut and tails is not None else ({(0, 0): 0.0}, [])
+    if steps and len(best) == 1:
+        pair = next(iter(best))
+        if (pair, word[cut:]) not in tails:
+            tails[pair, word[cut:]] = read({pair: 0.0}, options[cut:], model, dense)[1]
+        letters = tails[pair, word[cut:]] + backward(steps, pair)[1]
+    else:
+        letters = read({(0, 0): 0.0}, options, model, dense)[1]
+    return PRINT[letters[::-1]].tobytes().decode("ascii") if letters else ""
+
+
+def forward(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: list | np.ndarray) -> tuple[dict, list[dict]]:
+    """The best score of each pair after these characters, and back pointers for each of them."""
+    steps = []
+    for choices in options:
         then: dict[tuple[int, int], float] = {}
         back: dict[tuple[int, int], tuple[tuple[int, int], int]] = {}
-        for (a, b), score in best.items():
-            for k, cost in options:
-                to, now = ((a, b), score + cost) if k < 0 else ((b, k), score + cost + model[a][b][k])
+        for state, score in best.items():
+            row = model[state[0]][state[1]]
+            for k, cost in choices:
+                to, now = (state, score + cost) if k < 0 else ((state[1], k), score + cost + row[k])
                 if to not in then or now > then[to]:
-                    then[to], back[to] = now, ((a, b), k)
+                    then[to], back[to] = now, (state, k)
         best = then
         steps.append(back)
-    state = max(best, key=lambda s: (best[s] + model[s[0]][s[1]][0], s))
-    letters = []
+    return best, steps
+
+
+def backward(steps: list[dict], pair: tuple[int, int]) -> tuple[tuple[int, int], list[int]]:
+    """The pair before these steps on the way to a pair after them, and the way's letters, last first."""
+    found = []
     for back in reversed(steps):
-        state, k = back[state]
+        pair, k = back[pair]
         if k >= 0:
-            letters.append(chr(PRINT[k]))
-    return "".join(reversed(letters))
+            found.append(k)
+    return pair, found
+
+
+def read(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: list | np.ndarray, dense: np.ndarray | None) -> tuple[tuple[int, int], list[int]]:
+    """The pair that the best way begins with, and its letters, last first."""
+    first = next((k for k, o in enumerate(options) if len(o) > 20), len(options))
+    best, steps = forward(best, options[:first], model)
+    if first < len(options):
+        pair, found = starred(best, options[first:], np.asarray(model) if dense is None else dense)
+    else:
+        pair, found = max((score + model[a][b][0], (a, b)) for (a, b), score in best.items())[1], []
+    pair, before = backward(steps, pair)
+    return pair, found + before
+
+
+def starred(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: np.ndarray) -> tuple[tuple[int, int], list[int]]:
+    """The pass goes on from these pairs over the other characters: the pair that the best way has at their beginning, and
+    the letters of that way, last first."""
+    score = np.full((SIZE, SIZE), -np.inf)
+    for pair, value in best.items():
+        score[pair] = value
+    backs = []
+    for choices in options:
+        now = score + max((cost for k, cost in choices if k < 0), default=-np.inf)
+        back = np.full((SIZE, SIZE), -1)
+        letters, costs = (np.array(x) for x in zip(*((k, cost) for k, cost in choices if k >= 0), strict=True)) if any(k >= 0 for k, _ in choices) else (np.zeros(0, int), np.zeros(0))
+        ways = score[:, :, None] + model[:, :, letters]
+        before = ways.argmax(axis=0)
+        value = np.take_along_axis(ways, before[None], axis=0)[0] + costs
+        better = value > now[:, letters]
+        now[:, letters] = np.where(better, value, now[:, letters])
+        back[:, letters] = np.where(better, before, back[:, letters])
+        score = now
+        backs.append(back)
+    at = np.unravel_index(int((score + model[:, :, 0]).argmax()), score.shape)
+    pair, found = (int(at[0]), int(at[1])), []
+    for back in reversed(backs):
+        before = int(back[pair])
+        if before >= 0:
+            found.append(pair[1])
+            pair = (before, pair[0])
+    return pair, found
 
 
 def plain(word: str) -> bool:
@@ -255,19 +318,20 @@ class Restorer:
     with doubled letters once; keeps the forms it has found."""
 
     def __init__(self, model: np.ndarray, most: int = 50_000):
-        self.model, self.known, self.most = model.tolist(), {}, most
+        self.model, self.dense, self.known, self.tails, self.most = model.tolist(), model, {}, {}, most
 
     def forms(self, word: str) -> tuple[str, ...]:
         if word not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
+                self.tails.clear()
             self.known[word] = tuple(dict.fromkeys(f for w, fixed in candidates(word) if (f := self.form(w, fixed))))
         return self.known[word]
 
     def form(self, word: str, fixed: int | None) -> str:
         if plain(word):
             return "".join(chr(PRINT[LETTERS[min(ord(c), TABLE)]]) for c in word)
-        return restored(word, self.model, fixed)
+        return restored(word, self.model, fixed, self.dense, self.tails)
 
     def joined(self, singles: list[str], gaps: list[int], before: str, after: str) -> list[str]:
         """Forms of characters spaced out: a word may begin at any of them, and end at the last one or at a wider gap; the
