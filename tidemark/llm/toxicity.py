@@ -539,11 +539,13 @@ def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound:
             hits = [sorted(find(t)) for t in restorer.texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(hits, pa.list_(pa.int32()))], ["label", "fold", "at"])
 
-    sample = taken.mapInArrow(lists, "label int, fold int, at array<int>").sort("at", "label", "fold").toArrow()
-    lengths = np.array([len(x) for x in sample.column("at").to_pylist()], np.int64)
-    row = np.repeat(np.arange(sample.num_rows), lengths)
-    at = sample.column("at").combine_chunks().flatten().to_numpy().astype(np.int64)
-    weights, bias, cut = fit(chosen, counts, totals, row, at, sample.column("label").to_numpy(), sample.column("fold").to_numpy(), least, deviations, alarms)
+    # the sample is on the driver anyway: put in order there, many texts without any feature don't meet in one task
+    found_ = taken.mapInArrow(lists, "label int, fold int, at array<int>").toArrow()
+    sample = sorted(zip(found_.column("at").to_pylist(), found_.column("label").to_pylist(), found_.column("fold").to_pylist(), strict=True))
+    row = np.repeat(np.arange(len(sample)), [len(x) for x, _, _ in sample])
+    at = np.array([f for x, _, _ in sample for f in x], np.int64)
+    label_, fold_ = (np.array([x[k] for x in sample], np.int64) for k in (1, 2))
+    weights, bias, cut = fit(chosen, counts, totals, row, at, label_, fold_, least, deviations, alarms)
     return Scorer(weights, bias, cut, model)
 
 
