@@ -30,4 +30,22 @@ o AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(chars, 0) AS
   FROM d LEFT JOIN tot USING (r) LEFT JOIN rep USING (r) LEFT JOIN bad USING (r) LEFT JOIN ls USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR own_failed) AS kept FROM o"""
 
-ORACLES = {"op2_minhash_near_dedup": NEAR_DUPLICATES, "op4_quality_rules": QUALITY_RULES}
+#: Vector codes: every part against every entry in every round; {from} and {to} are the rounds.
+_KEPT = """SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_ROUND = """a{to} AS MATERIALIZED (SELECT r, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (SELECT r, p, e, list_sum(list_transform(list_zip(parts.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM parts JOIN b{from} b USING (p)) GROUP BY r, p),
+m{to} AS (SELECT p, e, list(c ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c FROM (SELECT a{to}.p, e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{to} JOIN parts USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+b{to} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{from} b LEFT JOIN m{to} m USING (p, e)),"""
+VECTOR_CODES = (
+    f"WITH k AS MATERIALIZED ({_KEPT}),\n"
+    "parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM k, range(4) t(p)),\n"
+    "b0 AS (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 256),\n"
+    + "\n".join(_ROUND.replace("{from}", str(k)).replace("{to}", str(k + 1)) for k in range(5))
+    + """
+o AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a5 GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), s"""
+)
+
+ORACLES = {"op2_minhash_near_dedup": NEAR_DUPLICATES, "op4_quality_rules": QUALITY_RULES, "op13_vector_codes": VECTOR_CODES}

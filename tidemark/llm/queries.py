@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers_at
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, simhash, tokens, toxicity, urls
+from tidemark.llm import fingerprints, language, minhash, packing, quality, rules, simhash, tokens, toxicity, urls, variants, vectors
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 
@@ -69,8 +69,16 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_token_counts, op2_minhash_near_dedup, op3_byte_bpe, op4_quality_rules, op5_quality_classifier, op6_url_filters, op7_best_fit_packing,
-    op8_language_id, op9_fingerprints, op10_toxicity, op11_simhash_near_dedup,
+    op8_language_id, op9_fingerprints, op10_toxicity, op11_simhash_near_dedup, op12_spelling_variants, op13_vector_codes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
