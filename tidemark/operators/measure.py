@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import half_up, ratio, weighted_position
 from tidemark.functions.wording import composed, folded_space, stripped
 from tidemark.operators.performance import measures
-from tidemark.sources.tables import of_grain
+from tidemark.sources.tables import only
 
 
 def located(change: Column, target: Column, approved: Column, live: Column) -> Column:
@@ -66,12 +66,12 @@ def change_fingerprint(*fields: str) -> Column:
 def baselines(facts: DataFrame, requests: DataFrame, window_days: int = 28, lag: int = 3) -> DataFrame:
     """For requests (property_id, page, last_synced, as_of) the totals of the window that ends at the latest day that is
     synced, final and before as_of; days_with_data, data_complete, or a limitation instead of numbers."""
-    span = facts.where(of_grain("page")).groupBy("property_id").agg(F.min("date").alias("first_day"))
+    span = only(facts, "page").groupBy("property_id").agg(F.min("date").alias("first_day"))
     end = F.least("last_synced", F.date_sub("as_of", lag), F.date_sub("as_of", 1))
     rows = requests.join(span, "property_id", "left").withColumn("window_end", F.when(F.col("last_synced").isNotNull(), end)).withColumn("window_start", F.date_sub("window_end", window_days - 1))
     # only days of some window are read at all, and each request meets those of its own
     bounds = rows.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi")).first()
-    daily = facts.where(of_grain("page") & F.col("date").between(F.lit(bounds.lo), F.lit(bounds.hi)))
+    daily = only(facts, "page").where(F.col("date").between(F.lit(bounds.lo), F.lit(bounds.hi)))
     daily = daily.select(F.col("property_id").alias("_s"), F.col("page").alias("_p"), "date", "clicks", "impressions", "position")
     joined = rows.join(daily, (F.col("property_id") == F.col("_s")) & (F.col("page") == F.col("_p")) & F.col("date").between(F.col("window_start"), F.col("window_end")), "left")
     keys = ["property_id", "page", "last_synced", "as_of", "first_day", "window_start", "window_end"]
@@ -84,7 +84,7 @@ def baselines(facts: DataFrame, requests: DataFrame, window_days: int = 28, lag:
 
 def baseline_queries(facts: DataFrame, windows: DataFrame, limit: int = 20) -> DataFrame:
     """The top queries of each page in its window (property_id, page, window_start, window_end)."""
-    rows = facts.where(of_grain("query")).join(windows, ["property_id", "page"]).where(F.col("date").between(F.col("window_start"), F.col("window_end")))
+    rows = only(facts, "query").join(windows, ["property_id", "page"]).where(F.col("date").between(F.col("window_start"), F.col("window_end")))
     out = rows.groupBy("property_id", "page", "query").agg(*measures())
     rank = F.row_number().over(Window.partitionBy("property_id", "page").orderBy(F.desc("impressions"), "query"))
     return out.withColumn("rn", rank).where(F.col("rn") <= limit)

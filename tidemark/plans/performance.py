@@ -10,7 +10,7 @@ from tidemark.functions import terms, urls
 from tidemark.functions.numeric import expected_ctr, half_up
 from tidemark.operators import detect, lifecycle, performance
 from tidemark.operators.performance import TENANT
-from tidemark.sources import tables
+from tidemark.sources import store, tables
 
 CFG = DetectionConfig().scaled()
 
@@ -110,9 +110,10 @@ ALL = f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND}, {RANKED}, {SHARES}, {SCO
 
 
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Facts, written once as they are read for windows, pairs and queries, and the windows of each property."""
-    facts = tables.kept(tables.facts(spark, sf))
-    return facts, tables.property_windows(facts, CFG.window_days)
+    """Facts, written once by grain, property and day as they are read for windows, pairs and queries, and the windows of each
+    property, which come from the names of folders."""
+    facts = store.temporary(tables.facts(spark, sf))
+    return facts, tables.kept(tables.property_windows(facts, CFG.window_days))
 
 
 @query(f"WITH {FACTS} SELECT property_id, date, page, query, clicks, impressions, ctr, position FROM facts")

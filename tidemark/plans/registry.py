@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import content, lifecycle, performance, review
+from tidemark.plans import content, history, lifecycle, performance, review
 
-MODULES = (performance, content, lifecycle, review)
+MODULES = (performance, content, lifecycle, review, history)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -92,7 +92,7 @@ def discover(start: DataFrame, files: DataFrame, hostname: str, most_files: int
     and counts as read only if it came. Within a level, files are in the order of their parents, and of places there."""
     parsed = kept(sitemaps(files))
     own_site = urls.same_site(F.col("url"), F.lit(hostname))
-    frontier = start.where(own_site).groupBy("url").agg(F.lpad(F.min("url"), 200, " ").alias("ord"))
+    frontier = start.where(own_site).groupBy("url").agg(F.array(F.min("url")).alias("ord"))
     seen = frontier.select("url")
     log, pages, room, level, truncated = [], [], most_files, 0, False
     while True:
@@ -109,7 +109,7 @@ def discover(start: DataFrame, files: DataFrame, hostname: str, most_files: int
         pages.append(items.where(F.col("kind") != "index").withColumn("level", F.lit(level)))
         room, truncated = room - n, truncated or cut
         below = items.where((F.col("kind") == "index") & own_site)
-        path = F.concat("ord", F.lit("/"), F.lpad(F.col("place").cast("string"), 9, "0"))
+        path = F.concat("ord", F.array(F.lpad(F.col("place").cast("string"), 9, "0")))
         frontier = kept(below.groupBy("url").agg(F.min(path).alias("ord")).join(seen, "url", "left_anti"))
         if frontier.isEmpty():
             break

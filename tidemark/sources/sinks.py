@@ -18,8 +18,19 @@ def replace_days(facts: DataFrame, path: str, days: DataFrame | None = None) ->
         return
     name = lambda rows: rows.select("property_id", F.col("date").cast("string").alias("date")).distinct()
     for r in name(days).join(name(facts), ["property_id", "date"], "left_anti").toLocalIterator():  # one small row for each empty day
-        at = _path(spark, f"{path}/property_id={r.property_id}/date={r.date}")
-        _files(spark, at).delete(at, True)
+        delete(spark, partition_folder(spark, path, property_id=r.property_id, date=r.date))
+
+
+def partition_folder(spark: SparkSession, path: str, **values: str) -> str:
+    """The folder of a partition below path, its values written as Spark writes them (a colon as %3A)."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join([path, *(f"{k}={escape(v)}" for k, v in values.items())])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder with all below it; one that isn't there is none."""
+    at = _path(spark, path)
+    _files(spark, at).delete(at, True)
 
 
 def _path(spark: SparkSession, path: str):
@@ -44,8 +55,7 @@ def swap_snapshot(rows: DataFrame, path: str) -> str:
     _files(spark, at).create(at, True).close()
     for old in last[:-1]:
         for name in (f"_current-{old:09d}", f"v={old:09d}"):
-            gone = _path(spark, f"{path}/{name}")
-            _files(spark, gone).delete(gone, True)
+            delete(spark, f"{path}/{name}")
     return f"{path}/v={number:09d}"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which is deleted when the session's process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that it is computed once and its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder, in columns, so that it is computed once and its lineage ends there."""
+    path = own_folder(df.sparkSession, "kept")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scoped(df: DataFrame, org_id: str, project_id: str, property_id: str | None = None, page: str | None = None, start=None, end=None, grain: str | None = None) -> DataFrame:
@@ -49,9 +59,8 @@ def scoped(df: DataFrame, org_id: str, project_id: str, property_id: str | None
         keep &= F.col("date") >= F.lit(start).cast("date")
     if end is not None:
         keep &= F.col("date") <= F.lit(end).cast("date")
-    if grain is not None:
-        keep &= of_grain(grain)
-    return df.where(keep)
+    df = df.where(keep)
+    return df if grain is None else only(df, grain)
 
 
 def of_grain(grain: str) -> Column:
@@ -59,6 +68,11 @@ def of_grain(grain: str) -> Column:
     return (F.col("query") == "") if grain == "page" else (F.col("query") != "")
 
 
+def only(facts_: DataFrame, grain: str) -> DataFrame:
+    """Rows of one grain; a store's rows of the other one aren't read at all."""
+    return facts_.where(F.col("grain") == grain if "grain" in facts_.columns else of_grain(grain))
+
+
 def merged_variants(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows (page, query, clicks, impressions, position, and keys) with canonical pages, one for each page and query.
 
@@ -71,6 +85,11 @@ def merged_variants(rows: DataFrame, *keys: str) -> DataFrame:
     return out.select(*by, "clicks", "impressions", ratio(F.col("clicks"), F.col("impressions")).alias("ctr"), (F.col("_p") / F.greatest("impressions", F.lit(1))).alias("position"))
 
 
+def property_of(url: Column) -> Column:
+    """The property of an address: its top-level domain."""
+    return F.regexp_extract(url, r"://[^/?#]*\.([a-z]+)(?:[/?#]|$)", 1)
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows per raw page URL and query, as a search console would deliver them, from events and pages.
 
@@ -87,7 +106,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # both grains in one pass: each event counts for its page, and for its query unless it is an error
     grains = F.when(F.col("event_type") == "error", F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.concat(F.lit("k"), (F.col("k") % 7).cast("string"))))
     rows = rows.withColumn("query", F.explode(grains))
-    return rows.groupBy(F.regexp_extract("url", r"://[^/?#]*\.([a-z]+)(?:[/?#]|$)", 1).alias("property_id"), "date", F.col("url").alias("page"), "query").agg(*measures)
+    return rows.groupBy(property_of(F.col("url")).alias("property_id"), "date", F.col("url").alias("page"), "query").agg(*measures)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +120,7 @@ def content_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     return table(spark, sf_dir, "pages").select(
         F.lit(ORG).alias("org_id"), F.lit(PROJECT).alias("project_id"),
-        F.regexp_extract("url", r"://[^/?#]*\.([a-z]+)(?:[/?#]|$)", 1).alias("property_id"),
+        property_of(F.col("url")).alias("property_id"),
         F.col("page_id").cast("long").alias("page_id"), urls.canonical(F.col("url")).alias("url"),
         F.when(F.col("page_id") % 10 == 3, F.lit("GONE")).otherwise(F.lit("ACTIVE")).alias("status"),
         F.trim(F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1)).alias("title"),
@@ -115,7 +134,7 @@ def property_windows(facts_: DataFrame, window_days: int, as_of: Column | None =
     end = F.max("date")
     if as_of is not None:
         end = F.least(end, F.date_sub(as_of, final_lag_days))
-    out = facts_.where(of_grain("page")).groupBy("org_id", "project_id", "property_id").agg(end.alias("cur_end"))
+    out = only(facts_, "page").groupBy("org_id", "project_id", "property_id").agg(end.alias("cur_end"))
     out = out.withColumn("cur_start", F.date_sub("cur_end", window_days - 1)).withColumn("prev_end", F.date_sub("cur_start", 1))
     return out.withColumn("prev_start", F.date_sub("prev_end", window_days - 1))
 
