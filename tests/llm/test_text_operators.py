@@ -110,6 +110,28 @@ def test_packing_of_equal_rows(spark):
     assert all(sorted(g.offset) == list(range(100)) for _, g in got.groupby("sequence_id"))
 
 
+@pytest.mark.parametrize("lo, hi, shard", [(900, 1150, 100), (300, 700, 150), (1, 2049, 100)])
+def test_packing_of_many_part_empty_sequences(spark, lo, hi, shard):
+    """However many sequences are part-empty, what shards leave is packed again while that wins something."""
+    lengths = np.random.default_rng(lo).integers(lo, hi, 2000)
+    rows = spark.createDataFrame([(int(k), 0, int(n)) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    got = packing.packed(rows, 2048, shard).toPandas()
+    assert sorted(got.length) == sorted(lengths)
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g.offset == np.r_[0, np.cumsum(g.length)[:-1]]).all() and g.length.sum() <= 2048
+    once = sum(packing.place(lengths[np.arange(2000) % 20 == k], 2048)[0].max() + 1 for k in range(20))
+    assert got.sequence_id.nunique() <= once + 20
+
+
+def test_dedup_of_rows_with_maps(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text, {"a": 1}, [{"x": None}]), (1, text, {"b": 2}, None), (2, text, None, None), (None, text, {"c": 3}, None)], "doc_id long, text string, tags map<string,int>, more array<map<string,int>>")
+    got = minhash.kept_rows(docs).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id))] == [1, None]
+    assert docs.columns == minhash.kept_rows(docs).columns
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300)

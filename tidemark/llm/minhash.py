@@ -107,7 +107,9 @@ def kept_rows(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     key = ["id", "fa", "fb"]
     kept = judged(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), "fa", "fb").distinct()
     known = marked(docs.where("doc_id is not null").select(row), own["text"], size).withColumn("id", F.col("row")[own["doc_id"]].cast("long"))
-    one = known.join(kept, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    # maps have no hash
+    text = F.to_json("row") if "map<" in known.schema["row"].dataType.simpleString() else F.col("row")
+    one = known.join(kept, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64(text)).alias("row"))
     return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 

@@ -50,8 +50,8 @@ def packed(pieces: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataF
 
     Pieces are dealt by their place in the written table into shards of about shard pieces, each packed on its own in one
     task. What lies in sequences that are part-empty then is dealt and packed again, together with that of all other
-    shards, until one shard holds it or nothing more is won: so shards don't each leave a remainder of their own. Equal rows
-    (whatever their doc_id) are dealt apart. Sequence ids of shards and rounds don't meet. Offsets are gapless from 0
+    shards, as long as that makes their number smaller by one in a thousand or one shard holds it: so shards don't each
+    leave a remainder of their own. A round that wins less is not used. Equal rows (whatever their doc_id) are dealt apart. Sequence ids of shards and rounds don't meet. Offsets are gapless from 0
     within a sequence. Null doc_ids and repeated rows are pieces like any other; an empty table gives no rows. Columns named
     sequence_id or offset are replaced.
     """
@@ -71,17 +71,24 @@ def packed(pieces: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataF
 
         return pack
 
+    held, n_held = None, 0  # the pieces in part-empty sequences as the last round packed them, and the number of these sequences
     while True:
         shards = max(1, -(-count // shard))
         # places in a checkpoint are the same whenever they are read again
         dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
         found = checkpointed(dealt.groupBy("_shard").applyInArrow(packer(turn), f"{kinds}, sequence_id long, offset long, _full boolean"))
-        rest = found.where("not _full").count() if shards > 1 else 0
-        if not rest or rest > count // 2:
-            done.append(found.drop("_full"))
+        part = found.where("not _full")
+        # a sequence has one piece at 0
+        seen = found.agg(F.count_if(F.col("offset") == 0).alias("all"), F.count_if((F.col("offset") == 0) & ~F.col("_full")).alias("part"), F.count_if(~F.col("_full")).alias("rest")).first()
+        if held is not None and seen["all"] >= n_held - n_held // 1000:
+            done.append(held)
             break
         done.append(found.where("_full").drop("_full"))
-        rows, count, turn = found.where("not _full").select(*names), rest, turn + 1
+        if shards == 1 or not seen["rest"]:
+            done.append(part.drop("_full"))
+            break
+        held, n_held = part.drop("_full"), seen["part"]
+        rows, count, turn = part.select(*names), seen["rest"], turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
