@@ -18,6 +18,33 @@ def test_paged_source(spark):
     assert got == {(d, q): (n, 4 * n) for d in ("2026-01-01", "2026-01-02") for q, n in (("", 7), ("q", 3))}
 
 
+def paged(spark):
+    spark.dataSource.register(PagedSearch)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return lambda start: start.option("client", "tests.test_sources:fetch").option("start", "2026-01-01").option("rowsPerPage", "3").option("arguments", '{"n": 4}')
+
+
+def test_filters_choose_slices(spark):
+    rows = paged(spark)(spark.read.format("paged_search")).option("end", "2026-12-31").option("filters", "true").load()
+    two = rows.where("date >= '2026-02-03' and date < '2026-02-05'")
+    assert two.rdd.getNumPartitions() == 4 and two.count() == 2 * 10
+    assert rows.where("date = '2026-02-03' and query <> ''").rdd.getNumPartitions() == 1
+    some = rows.where("date in ('2026-02-03', '2026-03-03', '2027-01-01') and query = ''")
+    assert some.rdd.getNumPartitions() == 4 and some.count() == 14
+    assert rows.where("date is null").count() == 0
+    assert rows.where("date > '2026-12-30' and clicks = 1").count() == 10
+
+
+def test_stream_of_days(spark, tmp_path):
+    """Days that became final since the last run, each once."""
+    for end, want in (("2026-01-02", 20), ("2026-01-02", 20), ("2026-01-05", 50)):
+        stream = paged(spark)(spark.readStream.format("paged_search")).option("end", end).load()
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        out = spark.read.parquet(str(tmp_path / "out"))
+        assert out.count() == want and out.select("date").distinct().count() == want // 10
+
+
 def test_answers(spark):
     good = '```json\n{"summary": "s", "search_intent": [{"query": "A  b", "intent": "x"}, {"query": "zz", "intent": "y"}], "content_gaps": [], "recommendations": [{"type": "TITLE", "target_section": "s9"}]}\n```'
     rows = spark.createDataFrame([(good,), ("nonsense",), (None,)], "t string").withColumn("a", drafts.answer(F.col("t")))
