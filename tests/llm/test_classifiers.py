@@ -1,6 +1,9 @@
 """Learned operators by held-out accuracy, and edge cases of every operator."""
 
 import itertools
+import math
+import re
+import resource
 
 import duckdb
 import numpy as np
@@ -82,6 +85,58 @@ def test_long_words_are_restored_whole():
     assert toxicity.candidates("a" + "!?" * 200_000)[0] == ("a", None)
 
 
+def test_a_long_word_with_stars_takes_little_memory():
+    """A megabyte with a star in its middle, and thousands of stars, are restored letter by letter."""
+    model = np.log(np.full((toxicity.SIZE,) * 3, 1 / toxicity.SIZE))
+    restorer = toxicity.Restorer(model)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    word = "abc" * 170_000 + "*" + "xyz" * 170_000
+    assert {len(f) for f in restorer.forms(word)} == {len(word) - 1, len(word)}
+    assert all(f.startswith("abc" * 170_000) and f.endswith("xyz" * 170_000) for f in restorer.forms(word))
+    assert {len(f) for f in restorer.forms("a*" * 1500)} >= {3000 - 1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_stretches_change_nothing(monkeypatch):
+    """The way back through many short stretches is the way back through one."""
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
+    words = ["".join(rng.choice(list("ab1$*.'o0||"), 40)) + "a" for _ in range(30)]
+    whole = [toxicity.restored(w, model, f) for w in words for f in (None, 3)]
+    for size in (1, 7):
+        monkeypatch.setattr(toxicity, "STRETCH", size)
+        assert [toxicity.restored(w, model, f) for w in words for f in (None, 3)] == whole
+
+
+def in_disguise(word):
+    """The rule of disguised(), sign by sign."""
+    kind = [int(toxicity.KINDS[min(ord(c), toxicity.TABLE)]) for c in word]
+    fold = [int(toxicity.LETTERS[min(ord(c), toxicity.TABLE)]) for c in word]
+    letters = [k for k, x in enumerate(kind) if x == 1]
+    beside = any((kind[k] == 2 or c == "*") and any(0 <= j < len(word) and kind[j] == 1 for j in (k - 1, k + 1)) for k, c in enumerate(word))
+    between = [word[a + 1 : b] for a, b in zip(letters, letters[1:], strict=False) if b > a + 1]
+    thrice = any(kind[k] == 1 and fold[k] == fold[k + 1] == fold[k + 2] != toxicity.OTHER for k in range(len(word) - 2))
+    return bool(letters) and (beside or thrice or any(x != "'" for x in between) or sum(x == "'" for x in between) > 1)
+
+
+def test_disguised_by_definition():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("aabé'.-1$*三 \t"), rng.integers(0, 40)))
+        codes, _ = toxicity.points([text])
+        want = [(m.start() + 1, m.end() + 1) for m in re.finditer(r"\S+", text) if in_disguise(m.group())]
+        assert toxicity.disguised(codes) == want, text
+
+
+def test_telling_by_definition():
+    rng = np.random.default_rng(7)
+    clean, toxic = rng.integers(0, 60, 400), rng.integers(0, 30, 400)
+    got = toxicity.telling(clean, toxic, 900, 100, 4, 3.0)
+    for c, t, own in zip(clean.tolist(), toxic.tolist(), got.tolist(), strict=True):
+        chance = (c + t) * 0.1
+        assert own == (t >= 4 and t - chance > 3 * math.sqrt(chance * 0.9 + 1e-9) and t / 100 > 2 * (c + 1) / 900)
+
+
 def test_regression_and_cut():
     rng = np.random.default_rng(3)
     label = rng.integers(0, 2, 600)

@@ -8,6 +8,7 @@ of a second copy of the text, whose words are features of their own.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_rest, parts, texts_of
-from tidemark.llm.sample import bounded
+from tidemark.llm.common import Workspace, crc_rest, parts, texts_of
+from tidemark.llm.sample import bounded, within
 
 SIZE, OTHER = 28, 27
 SPACE_CODE = 0
@@ -34,10 +35,12 @@ PLAIN, SIGN, BREAK, COPY, STAR, LOST = -0.01, -1.0, -0.7, -2.0, -2.0, -12.0
 BEGINNINGS = (4, 5, 6)
 #: Letters of a word that is looked for as a whole in spaced-out letters; a longer one is found by its beginning.
 SPACED = 16
+#: Characters of a word whose back pointers are held at once.
+STRETCH = 4096
 #: Folds of the labelled sample; the weight of the squared weights, and rounds of training.
-FOLDS, RIDGE, ROUNDS = 5, 1.0, 300
+FOLDS, RIDGE, ROUNDS = 5, 3.0, 300
 #: Copies of a sample's text with the features of one word only (see single_words()).
-COPIES_EACH = 2
+COPIES_EACH = 4
 #: A letter three times in a row; a sign more than twice in a row; a letter and its copies.
 THRICE, MANY, COPIES = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}", re.DOTALL), re.compile(r"([a-z])\1+")
 PART_BYTES = 1 << 20
@@ -109,25 +112,27 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
+@functools.lru_cache(4096)
+def options_of(c: str, again: bool, must: bool) -> list[tuple[int, float]]:
+    """What a character may stand for, with log probabilities; -1 is nothing at all. again: it follows itself; must: a sign or
+    a star has to be a letter. One list for all places of a text, which nobody changes."""
+    k = int(LETTERS[min(ord(c), TABLE)])
+    if k:
+        return [(k, PLAIN)] + ([(-1, COPY)] if again else [])
+    if c in SIGNS:
+        own = [(ord(x) - 96, SIGN) for x in SIGNS[c]] + [(-1, BREAK if c in BREAKS else LOST)]
+    elif c == "*":
+        own = [(-1, BREAK)] + [(x, STAR) for x in range(1, 27)]
+    else:
+        own = [(-1, BREAK)]
+    return [(x, cost) for x, cost in own if x >= 0] if must and (c in SIGNS or c == "*") else own
+
+
 def readings(word: str, fixed: int | None = None) -> list[list[tuple[int, float]]]:
-    """For each character of a word, what it may stand for, with log probabilities; -1 is nothing at all. From fixed on
-    signs and stars stand for letters."""
-    out, before = [], ""
-    for at, c in enumerate(word.lower()):
-        k = int(LETTERS[min(ord(c), TABLE)])
-        if k:
-            own = [(k, PLAIN)] + ([(-1, COPY)] if c == before else [])
-        elif c in SIGNS:
-            own = [(ord(x) - 96, SIGN) for x in SIGNS[c]] + [(-1, BREAK if c in BREAKS else LOST)]
-        elif c == "*":
-            own = [(-1, BREAK)] + [(x, STAR) for x in range(1, 27)]
-        else:
-            own = [(-1, BREAK)]
-        if fixed is not None and at >= fixed and (c in SIGNS or c == "*"):
-            own = [(x, cost) for x, cost in own if x >= 0]
-        out.append(own)
-        before = c
-    return out
+    """options_of() each character of a word. From fixed on signs and stars stand for letters."""
+    low = word.lower()
+    from_ = len(low) if fixed is None else fixed
+    return [options_of(c, c == before, at >= from_) for at, (c, before) in enumerate(zip(low, " " + low, strict=False))]
 
 
 def without_end(word: str) -> str:
@@ -139,29 +144,61 @@ def without_end(word: str) -> str:
 
 
 def restored(word: str, model: list | np.ndarray, fixed: int | None = None, dense: np.ndarray | None = None, tails: dict | None = None) -> str:
-    """The most likely letters behind a word, between spaces: one pass over it, with a back pointer for each pair of last
-    letters (28 x 28 at most) at each character. Signs at the end stand for nothing, or, from fixed on, for letters.
-
-    Pairs are few until a star stands for any letter; from there on all are held in arrays (dense: the model as one). Where
-    all ways meet in one pair at fixed, what follows depends on that pair alone and is kept in tails."""
+    """The most likely letters behind a word, between spaces: one pass over it with the best score of each pair of last
+    letters (28 x 28 at most; dense: the model as an array), and one back (see passed()). Signs at the end stand for nothing,
+    or, from fixed on, for letters. Where all ways meet in one pair at fixed, what follows depends on that pair alone and is
+    kept in tails."""
     word = without_end(word) if fixed is None else word
     options = readings(word, fixed)
-    cut = fixed or 0
-    best, steps = forward({(0, 0): 0.0}, options[:cut], model) if cut and tails is not None else ({(0, 0): 0.0}, [])
-    if steps and len(best) == 1:
-        pair = next(iter(best))
+    cut, dense = fixed or 0, np.asarray(model) if dense is None else dense
+    first, before = passed({(0, 0): 0.0}, options[:cut], model, dense)
+
+    def rest(best: dict) -> tuple[tuple[int, int], list[int]]:
+        last, back = passed(best, options[cut:], model, dense)
+        return back(max((score + model[a][b][0], (a, b)) for (a, b), score in last.items())[1])
+
+    if cut and tails is not None and len(first) == 1:
+        pair = next(iter(first))
         if (pair, word[cut:]) not in tails:
-            tails[pair, word[cut:]] = read({pair: 0.0}, options[cut:], model, dense)[1]
-        letters = tails[pair, word[cut:]] + backward(steps, pair)[1]
+            tails[pair, word[cut:]] = rest({pair: 0.0})[1]
+        letters = tails[pair, word[cut:]]
     else:
-        letters = read({(0, 0): 0.0}, options, model, dense)[1]
+        pair, letters = rest(first)
+    letters = letters + before(pair)[1]
     return PRINT[letters[::-1]].tobytes().decode("ascii") if letters else ""
 
 
-def forward(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: list | np.ndarray) -> tuple[dict, list[dict]]:
-    """The best score of each pair after these characters, and back pointers for each of them."""
-    steps = []
+def passed(best: dict[tuple[int, int], float], options: list, model: list | np.ndarray, dense: np.ndarray):
+    """The best score of each pair after these characters, and a function that gives, for one of them, the pair before the first
+    character on the way to it and the way's letters, last first.
+
+    Back pointers are held for STRETCH characters at a time: the pass keeps the scores where each stretch begins, and the
+    way back goes through a stretch again. A word takes memory for its scores, a few numbers in STRETCH characters."""
+    kept, steps = [], []
+    for at in range(0, len(options), STRETCH):
+        kept.append(best)
+        best, steps = forward(best, options[at : at + STRETCH], model, dense)
+
+    def back(pair: tuple[int, int]) -> tuple[tuple[int, int], list[int]]:
+        found: list[int] = []
+        for k in range(len(kept) - 1, -1, -1):
+            own = steps if k == len(kept) - 1 else forward(kept[k], options[k * STRETCH : (k + 1) * STRETCH], model, dense)[1]
+            pair, letters = backward(own, pair)
+            found += letters
+        return pair, found
+
+    return best, back
+
+
+def forward(best: dict[tuple[int, int], float], options: list, model: list | np.ndarray, dense: np.ndarray) -> tuple[dict, list]:
+    """The best score of each pair after these characters, and back pointers for each of them: by pairs while these are few, by
+    arrays (a byte for each pair) at stars, after which any letter may stand."""
+    steps: list = []
     for choices in options:
+        if len(choices) > 20:
+            best, back = starred(best, choices, dense)
+            steps.append(back)
+            continue
         then: dict[tuple[int, int], float] = {}
         back: dict[tuple[int, int], tuple[tuple[int, int], int]] = {}
         for state, score in best.items():
@@ -175,54 +212,37 @@ def forward(best: dict[tuple[int, int], float], options: list[list[tuple[int, fl
     return best, steps
 
 
-def backward(steps: list[dict], pair: tuple[int, int]) -> tuple[tuple[int, int], list[int]]:
+def starred(best: dict[tuple[int, int], float], choices: list[tuple[int, float]], model: np.ndarray) -> tuple[dict, np.ndarray]:
+    """One star: scores of all pairs after it, and for each the letter before the pair that it came from, or -1 where the star is
+    nothing and the pair is the same."""
+    score = np.full((SIZE, SIZE), -np.inf)
+    at = np.array(list(best), np.int64)
+    score[at[:, 0], at[:, 1]] = list(best.values())
+    now = score + max((cost for k, cost in choices if k < 0), default=-np.inf)
+    back = np.full((SIZE, SIZE), -1, np.int8)
+    letters, costs = (np.array(x) for x in zip(*((k, cost) for k, cost in choices if k >= 0), strict=True))
+    used = np.unique(at[:, 0])  # the first letters that any pair has
+    ways = score[used][:, :, None] + model[used][:, :, letters]
+    before = ways.argmax(axis=0)
+    value = np.take_along_axis(ways, before[None], axis=0)[0] + costs
+    better = value > now[:, letters]
+    now[:, letters] = np.where(better, value, now[:, letters])
+    back[:, letters] = np.where(better, used[before], back[:, letters])
+    a, b = np.nonzero(np.isfinite(now))
+    return dict(zip(zip(a.tolist(), b.tolist(), strict=True), now[a, b].tolist(), strict=True)), back
+
+
+def backward(steps: list, pair: tuple[int, int]) -> tuple[tuple[int, int], list[int]]:
     """The pair before these steps on the way to a pair after them, and the way's letters, last first."""
     found = []
     for back in reversed(steps):
-        pair, k = back[pair]
-        if k >= 0:
-            found.append(k)
-    return pair, found
-
-
-def read(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: list | np.ndarray, dense: np.ndarray | None) -> tuple[tuple[int, int], list[int]]:
-    """The pair that the best way begins with, and its letters, last first."""
-    first = next((k for k, o in enumerate(options) if len(o) > 20), len(options))
-    best, steps = forward(best, options[:first], model)
-    if first < len(options):
-        pair, found = starred(best, options[first:], np.asarray(model) if dense is None else dense)
-    else:
-        pair, found = max((score + model[a][b][0], (a, b)) for (a, b), score in best.items())[1], []
-    pair, before = backward(steps, pair)
-    return pair, found + before
-
-
-def starred(best: dict[tuple[int, int], float], options: list[list[tuple[int, float]]], model: np.ndarray) -> tuple[tuple[int, int], list[int]]:
-    """The pass goes on from these pairs over the other characters: the pair that the best way has at their beginning, and
-    the letters of that way, last first."""
-    score = np.full((SIZE, SIZE), -np.inf)
-    for pair, value in best.items():
-        score[pair] = value
-    backs = []
-    for choices in options:
-        now = score + max((cost for k, cost in choices if k < 0), default=-np.inf)
-        back = np.full((SIZE, SIZE), -1)
-        letters, costs = (np.array(x) for x in zip(*((k, cost) for k, cost in choices if k >= 0), strict=True)) if any(k >= 0 for k, _ in choices) else (np.zeros(0, int), np.zeros(0))
-        ways = score[:, :, None] + model[:, :, letters]
-        before = ways.argmax(axis=0)
-        value = np.take_along_axis(ways, before[None], axis=0)[0] + costs
-        better = value > now[:, letters]
-        now[:, letters] = np.where(better, value, now[:, letters])
-        back[:, letters] = np.where(better, before, back[:, letters])
-        score = now
-        backs.append(back)
-    at = np.unravel_index(int((score + model[:, :, 0]).argmax()), score.shape)
-    pair, found = (int(at[0]), int(at[1])), []
-    for back in reversed(backs):
-        before = int(back[pair])
-        if before >= 0:
+        if isinstance(back, dict):
+            pair, k = back[pair]
+            if k >= 0:
+                found.append(k)
+        elif back[pair] >= 0:
             found.append(pair[1])
-            pair = (before, pair[0])
+            pair = (int(back[pair]), pair[0])
     return pair, found
 
 
@@ -488,25 +508,41 @@ def lowest_cut(z: np.ndarray, label: np.ndarray, alarms: float) -> float:
     return float(max(edge + 1e-6, logit(0.2)))
 
 
-def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 20_000, least: int = 4, deviations: float = 6.0, alarms: float = 0.01) -> Scorer:
-    """A scorer from about bound labelled documents in all, none of the fold that is held out.
-
-    Texts with each feature are counted in Spark by label and fold of the sample; telling() ones and the sample's texts as
-    lists of them go to the driver, where fit() trains. A doc_id with two labels or texts counts with each; null ids,
-    texts and labels don't count. The character model counts all texts. Without toxic or without clean texts no feature
-    is taken."""
-    model = language_model(trigram_counts(docs))
+@dataclass
+class Sample:
+    """What training needs of the labelled sample: telling features' names, texts with each by fold and label (clean, toxic),
+    all texts by fold and label; text row[i] has feature at[i]; label and fold of each text."""
+
+    names: list[str]
+    counts: np.ndarray
+    totals: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    label: np.ndarray
+    fold: np.ndarray
+
+
+def sampled(docs: DataFrame, labels: DataFrame, model: np.ndarray, fold: int, out_rest: int, bound: int, most_bytes: int, least: int, deviations: float) -> Sample:
+    """The sample of learned(): restored once and written, then counted and listed from there."""
+    space = Workspace(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~crc_rest(fold).isin(out_rest, -1))
     own = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    taken = texts_of(docs).where("text is not null").join(F.broadcast(bounded(known, bound, "doc_id")), "doc_id").select("text", "label", own)
+    texts = texts_of(docs).where("text is not null").join(F.broadcast(bounded(known, bound, "doc_id")), "doc_id").select("doc_id", "text", "label", own)
     names = [f"n{k}" for k in range(2 * FOLDS)]
 
-    def count(batches):
+    def restore(batches):
         restorer = Restorer(model)
+        for batch in parts(batches, 1 << 20):
+            found = pa.array(restorer.texts(batch.column("text").to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("fold"), found], ["doc_id", "label", "fold", "text"])
+
+    taken = within(space.keep(texts.mapInArrow(restore, "doc_id long, label int, fold int, text string")), most_bytes, "doc_id")
+
+    def count(batches):
         for batch in parts(batches, 4 << 20):
             n: dict[str, list[int]] = {"": [0] * (2 * FOLDS)}
             cells = (2 * batch.column("fold").to_numpy() + batch.column("label").to_numpy()).tolist()
-            for text, k in zip(restorer.texts(batch.column("text").to_pylist()), cells, strict=True):
+            for text, k in zip(batch.column("text").to_pylist(), cells, strict=True):
                 n[""][k] += 1
                 for f in features(text):
                     n.setdefault(f, [0] * (2 * FOLDS))[k] += 1
@@ -529,24 +565,36 @@ def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound:
     some[at_all] = False
     order = sorted(np.flatnonzero(some).tolist(), key=lambda k: found[k])
     chosen, counts = [found[k] for k in order], counts[order]
-    if not chosen:
-        rate = (totals[:, 1].sum() + 1) / (totals.sum() + 2)
-        return Scorer({}, float(logit(min(rate, 0.4))), 0.0, model)
 
     def lists(batches):
-        restorer, find = Restorer(model), Finder({f: k for k, f in enumerate(chosen)})
+        find = Finder({f: k for k, f in enumerate(chosen)})
         for batch in parts(batches, 4 << 20):
-            hits = [sorted(find(t)) for t in restorer.texts(batch.column("text").to_pylist())]
+            hits = [sorted(find(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(hits, pa.list_(pa.int32()))], ["label", "fold", "at"])
 
     # the sample is on the driver anyway: put in order there, many texts without any feature don't meet in one task
     found_ = taken.mapInArrow(lists, "label int, fold int, at array<int>").toArrow()
+    space.drop(0)
     sample = sorted(zip(found_.column("at").to_pylist(), found_.column("label").to_pylist(), found_.column("fold").to_pylist(), strict=True))
     row = np.repeat(np.arange(len(sample)), [len(x) for x, _, _ in sample])
     at = np.array([f for x, _, _ in sample for f in x], np.int64)
-    label_, fold_ = (np.array([x[k] for x in sample], np.int64) for k in (1, 2))
-    weights, bias, cut = fit(chosen, counts, totals, row, at, label_, fold_, least, deviations, alarms)
-    return Scorer(weights, bias, cut, model)
+    return Sample(chosen, counts, totals, row, at, *(np.array([x[k] for x in sample], np.int64) for k in (1, 2)))
+
+
+def learned(docs: DataFrame, labels: DataFrame, fold: int, out_rest: int, bound: int = 20_000, most_bytes: int = 256 << 20, least: int = 4, deviations: float = 6.0, alarms: float = 0.01) -> Scorer:
+    """A scorer from about bound labelled documents in all, of most_bytes bytes of restored text, none of the fold that is
+    held out.
+
+    The sample's texts are restored once. Those with each feature are counted in Spark by label and fold of the sample;
+    telling() features, which lean to toxic texts, and the sample's texts as lists of them go to the driver, where fit()
+    trains. A doc_id with two labels or texts counts with each; null ids, texts and labels don't count. The character model
+    counts all texts. Without toxic or without clean texts no feature is taken."""
+    model = language_model(trigram_counts(docs))
+    s = sampled(docs, labels, model, fold, out_rest, bound, most_bytes, least, deviations)
+    if not s.names:
+        rate = (s.totals[:, 1].sum() + 1) / (s.totals.sum() + 2)
+        return Scorer({}, float(logit(min(rate, 0.4))), 0.0, model)
+    return Scorer(*fit(s.names, s.counts, s.totals, s.row, s.at, s.label, s.fold, least, deviations, alarms), model)
 
 
 def logit(p):
