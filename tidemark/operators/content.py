@@ -86,6 +86,12 @@ def with_current(pages: DataFrame, versions: DataFrame) -> DataFrame:
     return pages.join(own, (F.col("page_id") == F.col("v_page_id")) & (F.col("current_version_id") == F.col("v_version_id")), "left").drop("v_page_id", "v_version_id")
 
 
+def page_contents(pages: DataFrame, versions: DataFrame) -> DataFrame:
+    """pages with title, h1 and headings of their current versions, which detection compares queries with; null without one."""
+    rows = with_current(pages, versions.select("version_id", "page_id", "title", "h1", "headings"))
+    return rows.withColumnsRenamed({f"v_{c}": c for c in ("title", "h1", "headings")})
+
+
 def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """parents with an array of their children (structs of all other columns), in order; empty without any."""
     rest = [c for c in children.columns if c not in (key, order)]

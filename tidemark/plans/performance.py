@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CTR_CURVE, WEIGHTS, DetectionConfig
 from tidemark.functions import terms, urls
 from tidemark.functions.numeric import expected_ctr, half_up
-from tidemark.operators import detect, lifecycle, performance
+from tidemark.operators import content, detect, lifecycle, performance
 from tidemark.operators.performance import TENANT
 from tidemark.sources import store, tables
 
@@ -55,7 +55,7 @@ pair AS (SELECT f.property_id, f.page, w.prev_start, w.prev_end, w.cur_start, w.
   {ROUND.format("(sum(position * impressions) FILTER (date <= prev_end) / nullif(sum(impressions) FILTER (date <= prev_end), 0))")} AS p_position
   FROM facts f JOIN windows w USING (property_id) WHERE query = '' AND date BETWEEN prev_start AND cur_end GROUP BY ALL)"""
 DIM = f"""
-dim AS (SELECT page_id, {TLD.format("url")} AS property_id, {CANON.format("url")} AS url, CASE WHEN page_id % 10 = 3 THEN 'GONE' ELSE 'ACTIVE' END AS status FROM pages)"""
+dim AS (SELECT page_id, {TLD.format("url")} AS property_id, {CANON.format("url")} AS url, CASE WHEN page_id % 10 = 3 THEN 'GONE' WHEN page_id % 20 = 7 THEN 'EXCLUDED' ELSE 'ACTIVE' END AS status FROM pages)"""
 CAND = """
 cand AS (SELECT d.page_id, p.*, coalesce(c_clicks::DOUBLE / nullif(c_impressions, 0), 0) AS c_ctr, coalesce(p_clicks::DOUBLE / nullif(p_impressions, 0), 0) AS p_ctr
   FROM pair p JOIN dim d ON d.url = p.page AND d.property_id = p.property_id AND d.status = 'ACTIVE' WHERE c_impressions >= 10 OR p_impressions >= 10)"""
@@ -66,9 +66,12 @@ ranked AS (SELECT *, count(*) OVER (PARTITION BY property_id, page) AS query_cou
 SHARES = """
 shares AS (SELECT property_id, page, max(query_count) AS query_count, CAST(sum(impressions) AS BIGINT) AS query_impressions,
   coalesce(sum(impressions) FILTER (position BETWEEN 4 AND 20), 0)::DOUBLE / sum(impressions) AS improvable_share,
-  max(impressions)::DOUBLE / sum(impressions) AS top_share,
-  coalesce(sum(impressions) FILTER (impressions >= 4 AND rn <= 5), 0)::DOUBLE / sum(impressions) AS uncovered_share,
-  count(*) FILTER (impressions >= 4 AND rn <= 5) AS n_gaps FROM ranked WHERE rn <= 25 GROUP BY ALL)"""
+  max(impressions)::DOUBLE / sum(impressions) AS top_share FROM ranked WHERE rn <= 25 GROUP BY ALL)"""
+#: One page in four has a current version whose title has the term of one of its queries.
+GAPS = """
+gaps AS (SELECT c.page_id, r.query, r.impressions, r.clicks, r.position FROM cand c JOIN ranked r ON r.page = c.page AND r.property_id = c.property_id
+  WHERE rn <= 5 AND r.impressions >= 4 AND NOT (c.page_id % 4 = 0 AND r.query = 'k3')),
+lacks AS (SELECT page_id, sum(impressions) AS gap_impressions, count(*) AS n_gaps FROM gaps GROUP BY page_id)"""
 
 
 def curve_sql(p: str) -> str:
@@ -81,10 +84,10 @@ def curve_sql(p: str) -> str:
 UNIT = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, {0}))"
 SCORES = f"""
 base AS (SELECT c.*, {curve_sql("c_position")} AS expected_ctr, coalesce(query_count, 0) AS query_count, coalesce(improvable_share, 0) AS improvable_share,
-  coalesce(top_share, 0) AS top_share, coalesce(uncovered_share, 0) AS uncovered_share, coalesce(n_gaps, 0) AS n_gaps,
+  coalesce(top_share, 0) AS top_share, coalesce(gap_impressions::DOUBLE / query_impressions, 0) AS uncovered_share, coalesce(n_gaps, 0) AS n_gaps,
   CASE WHEN p_clicks > 0 THEN (c_clicks - p_clicks)::DOUBLE / p_clicks * 100 END AS click_change,
   CASE WHEN p_ctr > 0 THEN (c_ctr - p_ctr) / p_ctr * 100 END AS ctr_change
-  FROM cand c LEFT JOIN shares s ON s.page = c.page AND s.property_id = c.property_id),
+  FROM cand c LEFT JOIN shares s ON s.page = c.page AND s.property_id = c.property_id LEFT JOIN lacks USING (page_id)),
 parts AS (SELECT *, {UNIT.format("ln(greatest(c_impressions, 1)::DOUBLE / 10) / ln(1000.0::DOUBLE / 10)")} AS s_impressions,
   CASE WHEN expected_ctr > 0 THEN {UNIT.format("(expected_ctr - c_ctr) / expected_ctr")} ELSE 0 END AS s_ctr,
   CASE WHEN c_position < 4 THEN 0.3 WHEN c_position <= 10 THEN 1 - (c_position - 4) * 0.3::DOUBLE / 6 WHEN c_position < 20 THEN (20 - c_position) * 0.7::DOUBLE / 10 ELSE 0 END::DOUBLE AS s_position,
@@ -106,7 +109,7 @@ def points_sql(kind: str) -> str:
 
 
 FOUND = "found AS (" + " UNION ALL ".join(f"SELECT property_id, page_id, page AS url, '{k}' AS type, {points_sql(k)} AS score, c_clicks AS clicks, c_impressions AS impressions, c_ctr AS ctr, c_position AS position, cur_start, cur_end FROM parts WHERE {FIRES[k]}" for k in FIRES) + ")"
-ALL = f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND}, {RANKED}, {SHARES}, {SCORES}, {FOUND}"
+ALL = f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND}, {RANKED}, {SHARES}, {GAPS}, {SCORES}, {FOUND}"
 
 
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +159,21 @@ def perf_page_window_pair(spark, sf):
     return performance.window_pair(*inputs(spark, sf)).drop("org_id", "project_id")
 
 
+def page_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with status, and title, h1 and headings of their current versions. Each page has two: the first has another title;
+    one page in four still points to it. One in ten is gone, one in twenty isn't to be indexed."""
+    i = F.col("page_id")
+    found = tables.content_pages(spark, sf)
+    old = found.select("page_id", F.concat_ws("-", "page_id", F.lit(1)).alias("version_id"), F.lit("All about k3").alias("title"), "h1", "headings")
+    new = found.select("page_id", F.concat_ws("-", "page_id", F.lit(2)).alias("version_id"), "title", "h1", "headings")
+    status = content.page_status(F.when(i % 10 == 3, 404).otherwise(200), i % 20 == 7, F.lit(False))
+    pages = found.drop("title", "h1", "headings", "status").withColumns({"status": status, "current_version_id": F.concat_ws("-", "page_id", F.when(i % 4 == 0, 1).otherwise(2))})
+    return content.page_contents(pages, old.unionByName(new))
+
+
 def candidates(spark, sf, given=None):
     facts, windows = given or inputs(spark, sf)
-    return performance.page_candidates(facts, windows, tables.content_pages(spark, sf), CFG.min_impressions)
+    return performance.page_candidates(facts, windows, page_dimension(spark, sf), CFG.min_impressions)
 
 
 @query(f"WITH {FACTS}, {WINDOWS}, {PAIR}, {DIM}, {CAND} SELECT property_id, page_id, page AS url, c_clicks, c_impressions, c_position, c_ctr, p_clicks, p_impressions, p_position, p_ctr FROM cand")
@@ -217,7 +232,7 @@ def opportunities_by_type(spark, sf):
     return scored(spark, sf).groupBy("type").agg(F.count("*").alias("n"), F.sum("impressions").alias("impressions"))
 
 
-@query(f"{ALL} SELECT c.page_id, r.query, r.impressions, r.clicks, r.position FROM cand c JOIN ranked r ON r.page = c.page AND r.property_id = c.property_id WHERE r.rn <= 5 AND r.impressions >= 4")
+@query(f"{ALL} SELECT * FROM gaps")
 def coverage_gaps(spark, sf):
     facts, windows = inputs(spark, sf)
     lists = performance.query_lists(performance.ranked_queries(facts, windows, CFG.top_queries_limit))
@@ -246,7 +261,7 @@ def crawl_candidates(spark, sf):
 
 @query(f"WITH {DIM} SELECT status, count(*) AS n FROM dim GROUP BY status")
 def pages_by_status(spark, sf):
-    return tables.content_pages(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+    return page_dimension(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT page_id, """ + CANON.format("url") + """ AS url, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title FROM pages)
@@ -276,7 +291,7 @@ _FACTS = " UNION ALL ".join([
     _fact("moved", "p_impressions > 0 AND c_position - p_position >= 1", "POSITION_CHANGE", "position", "c_position", "1", f"'Average position moved from ' || {_POS.format('p_position')} || ' to ' || {_POS.format('c_position')} || ' (a higher number is further down the results).'"),
     _fact("top", "t_impressions >= 4", "HIGH_QUERY_IMPRESSIONS", "impressions", "t_impressions", "4", f"'Top query \"' || t_query || '\": ' || t_impressions || ' impressions, ' || t_clicks || ' clicks, CTR ' || {_PCT.format('t_ctr')} || ', average position ' || {_POS.format('t_position')} || '.'", "t_query"),
     _fact("share", "t_query IS NOT NULL AND top_share >= 0.5 AND query_count > 1", "QUERY_CONCENTRATION", "top_query_share", _R2.format("top_share"), "50", f"'\"' || t_query || '\" accounts for ' || {_PCT.format('top_share')} || ' of the impressions attributed to individual queries.'", "t_query"),
-    "SELECT t.page_id, 'gap', 'CONTENT_COVERAGE_SIGNAL', 'covered_term_ratio', 0.0, 50.0, r.query, 'The query \"' || r.query || '\" had ' || r.impressions || ' impressions, but the page title, H1 and headings do not contain \"' || r.query || '\". The page may not cover this query in a dedicated section.' FROM told t JOIN ranked r ON r.page = t.page AND r.property_id = t.property_id WHERE r.rn <= 5 AND r.impressions >= 4",
+    "SELECT page_id, 'gap', 'CONTENT_COVERAGE_SIGNAL', 'covered_term_ratio', 0.0, 50.0, r.query, 'The query \"' || r.query || '\" had ' || r.impressions || ' impressions, but the page title, H1 and headings do not contain \"' || r.query || '\". The page may not cover this query in a dedicated section.' FROM told t JOIN gaps r USING (page_id)",
 ])
 _PRIMARY = {"LOW_CTR": "fact = 'low'", "PAGE_ONE_NEAR_TOP": "fact = 'one'", "HIGH_IMPRESSIONS_LOW_CLICKS": "fact = 'high'", "PERFORMANCE_DECLINE": "fact IN ('clicks', 'ctr')", "CONTENT_COVERAGE_SIGNAL": "fact = 'gap'"}
 EVIDENCE = f"""{ALL}, told AS (SELECT p.*, expected_ctr * 0.6::DOUBLE AS lim, r.query AS t_query, r.impressions AS t_impressions, r.clicks AS t_clicks, r.ctr AS t_ctr, r.position AS t_position
@@ -334,7 +349,7 @@ def detection_batch(spark, sf):
 def selected_page_queries(spark, sf):
     """Queries of the pages that are candidates only: other pages go before any rank is taken."""
     facts, windows = inputs(spark, sf)
-    chosen = performance.page_candidates(facts, windows, tables.content_pages(spark, sf), CFG.min_impressions).withColumnRenamed("url", "page")
+    chosen = performance.page_candidates(facts, windows, page_dimension(spark, sf), CFG.min_impressions).withColumnRenamed("url", "page")
     return performance.ranked_queries(performance.of_pages(facts, chosen), windows, CFG.top_queries_limit).select("property_id", "page", "query", "impressions", "rn")
 
 
