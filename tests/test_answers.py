@@ -1,10 +1,12 @@
-"""Answers against the rules of their schemas, at the bounds and one beyond."""
+"""Answers against the rules of their schemas, at the bounds and one beyond; hosts and encoding of addresses."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls
 from tidemark.operators import answers
 
 REC = {"type": "TITLE", "recommendation": "r", "rationale": "r", "evidence": ["e"], "targetSection": None, "priority": "HIGH", "suggestedValue": None}
@@ -50,3 +52,29 @@ def test_drafts_and_numbers(spark):
     assert found(spark, answers.DRAFT, {"suggestedValue": None, "note": ""}, {"suggestedValue": "v", "note": "n" * 401}, {"note": None}) == [[], [("note", "too long", 1)], [("suggestedValue", "missing", 1), ("note", "not a text", 1)]]
     rule = [answers.part("confidence")]
     assert found(spark, rule, *({"confidence": x} for x in (0, 1, 0.5, 1.01, -1, "0.5", None, True)), {}) == [[], [], [], *[[("confidence", "out of range", 1)]] * 2, *[[("confidence", "not a number", 1)]] * 4]
+
+
+def test_international_hosts(spark):
+    """Native Punycode against the codec, label by label."""
+    draw = random.Random(1)
+    labels = ["".join(draw.choice("abcxyz-019éüßñ日本語中文אבд😀𝒳") for _ in range(draw.randrange(1, 15))) for _ in range(150)] + ["MÜNCHEN", "bücher", "日本語", "ü"]
+    ascii_ = lambda x: x if x.isascii() else "xn--" + x.encode("punycode").decode()
+    names = [f"{a}.{b}.com" for a, b in zip(labels, labels[1:], strict=False)]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", urls.ascii_host(F.col("name")).alias("got")).collect()
+    assert [r.got for r in rows] == [".".join(ascii_(x) for x in r.name.lower().split(".")) for r in rows]
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("https://MÜNCHEN.de/straße/../x/./y/..", "https://xn--mnchen-3ya.de/x"),
+        ("https://e.com/a b/é?q=x y&z=%C3%A9&b", "https://e.com/a%20b/%C3%A9?b=&q=x+y&z=%C3%A9"),
+        ("https://e.com/a%20b?x=%zz", "https://e.com/a%20b?x=%25zz"),
+        ("https://e.com/%2e%2E/a/.", "https://e.com/a"),
+        ("https://e.com\\x\\y", "https://e.com/x/y"),
+        ("https://e.com/..", "https://e.com/"),
+        ("https://例え.jp", "https://xn--r8jz45g.jp/"),
+    ],
+)
+def test_encoding(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "u string").select(urls.canonical(F.col("u"))).first()[0] == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls
 from tidemark.operators import answers, lifecycle, measure
 from tidemark.plans.performance import FACTS
 from tidemark.sources import tables
@@ -115,3 +116,15 @@ def baseline_limitations(spark, sf):
     asked = table(spark, sf, "pages").select(prop.alias("property_id"), i.cast("string").alias("page"), F.when(i % 4 != 2, day).alias("last_synced"), day.alias("as_of"))
     found = measure.baselines(tables.kept(tables.facts(spark, sf)), asked, 14)
     return found.select(F.col("page").cast("long").alias("page_id"), F.coalesce("limitation", F.lit("none")).alias("limitation"))
+
+
+_WORD = "regexp_replace(string_split(text, ' ')[{0}], '[^\\p{{L}}0-9]', '', 'g')"
+_WORDS = ", ".join(f"coalesce({_WORD.format(k)}, '') AS w{k}" for k in (1, 2, 3))
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {_WORDS} FROM conversations) SELECT conv_id, turn, 'https://example.com/' || url_encode(w1) || '%20' || url_encode(w2) || '?b=x+y&q=' || url_encode(w3) AS url FROM w")
+def encoded_urls(spark, sf):
+    """Addresses with words of any language in path and parameters, which aren't encoded yet."""
+    word = lambda k: F.coalesce(F.regexp_replace(F.get(F.split("text", " "), F.lit(k)), r"[^\p{L}0-9]", ""), F.lit(""))
+    made = F.concat(F.lit("https://Example.com//"), word(0), F.lit(" "), word(1), F.lit("?q="), word(2), F.lit("&utm_source=z&b=x y#part"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", urls.canonical(made).alias("url"))
