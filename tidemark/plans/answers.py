@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import urls
-from tidemark.operators import answers, lifecycle, measure
+from tidemark.functions import extract, urls
+from tidemark.operators import answers, drafts, lifecycle, measure, overlap
+from tidemark.plans import content
 from tidemark.plans.performance import FACTS
 from tidemark.sources import tables
 from tidemark.sources.tables import table
@@ -128,3 +129,76 @@ def encoded_urls(spark, sf):
     word = lambda k: F.coalesce(F.regexp_replace(F.get(F.split("text", " "), F.lit(k)), r"[^\p{L}0-9]", ""), F.lit(""))
     made = F.concat(F.lit("https://Example.com//"), word(0), F.lit(" "), word(1), F.lit("?q="), word(2), F.lit("&utm_source=z&b=x y#part"))
     return table(spark, sf, "conversations").select("conv_id", "turn", urls.canonical(made).alias("url"))
+
+
+# ---- conversations as reviews: assistants' texts are drafts, users' texts are what people wrote
+
+_FOLD = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_REVIEWS = f"""d AS (SELECT conv_id, text, {_FOLD.format('text')} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS revision FROM conversations WHERE role = 'assistant'),
+n AS (SELECT conv_id, count(*) AS n, arg_min(text, revision) AS first, arg_max(text, revision) AS last FROM d GROUP BY conv_id),
+u AS (SELECT conv_id, arg_min(text, turn) AS own FROM conversations GROUP BY conv_id)"""
+
+
+def reviews(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Drafts (review_id, revision, value) and reviews (review_id, own text, first and last draft, null without one)."""
+    rows = table(spark, sf, "conversations").withColumnRenamed("conv_id", "review_id")
+    said = rows.where("role = 'assistant'")
+    order = F.row_number().over(Window.partitionBy("review_id").orderBy("turn"))
+    drafts_ = said.select("review_id", order.alias("revision"), F.col("text").alias("value"))
+    ends = said.groupBy("review_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    return drafts_, rows.groupBy("review_id").agg(F.min_by("text", "turn").alias("own")).join(ends, "review_id", "left")
+
+
+@query(f"""WITH {_REVIEWS}, p AS (SELECT conv_id, coalesce(n, 0) AS n, conv_id % 2 = 0 AS edited, {_FOLD.format("CASE WHEN conv_id % 3 = 0 THEN coalesce(first, own) ELSE own END")} AS value FROM u LEFT JOIN n USING (conv_id)),
+m AS (SELECT p.*, (SELECT max(revision) FROM d WHERE d.conv_id = p.conv_id AND d.said = p.value) AS revision FROM p)
+SELECT conv_id AS review_id, CASE WHEN revision IS NOT NULL THEN 'AI_DRAFT' WHEN edited OR n > 0 THEN 'HUMAN_EDITED' ELSE 'AI_RECOMMENDATION' END AS value_source, CAST(coalesce(revision, 0) AS INTEGER) AS draft_revision FROM m""")
+def value_sources_of_replies(spark, sf):
+    """Where each review's value came from: one in three is its first draft with wider spaces, others are a person's words."""
+    drafts_, found = reviews(spark, sf)
+    where = lambda rows: rows.withColumns({"change_type": F.lit("TITLE"), "target_section": F.lit(None).cast("string")})
+    value = F.replace(F.when(F.col("review_id") % 3 == 0, F.coalesce("first", "own")).otherwise(F.col("own")), F.lit(" "), F.lit("  "))
+    proposals = where(found.select("review_id", value.alias("value"), (F.col("review_id") % 2 == 0).alias("edited")))
+    offered = where(drafts_.withColumn("draft_id", F.concat_ws("-", "review_id", "revision")))
+    return lifecycle.value_sources(proposals, offered).select("review_id", "value_source", F.coalesce("draft_revision", F.lit(0)).alias("draft_revision"))
+
+
+@query(f"""WITH {_REVIEWS}, r AS (SELECT conv_id, coalesce(n, 0) AS n, conv_id % 7 = 0 AS stale, {_FOLD.format("CASE WHEN conv_id % 2 = 0 THEN coalesce(last, own) ELSE own END")} AS value FROM u LEFT JOIN n USING (conv_id)),
+o AS (SELECT *, CASE WHEN stale THEN 'STALE' WHEN n >= 3 THEN 'CAPPED' WHEN length(value) > 600 THEN 'INVALID' WHEN EXISTS (SELECT 1 FROM d WHERE d.conv_id = r.conv_id AND d.said = r.value) THEN 'REPEATED' ELSE 'STORED' END AS outcome FROM r)
+SELECT conv_id AS review_id, outcome, CAST(CASE WHEN outcome = 'STORED' THEN n + 1 ELSE 0 END AS INTEGER) AS revision, CASE WHEN outcome = 'STORED' THEN value ELSE '' END AS value FROM o""")
+def regeneration_of_replies(spark, sf):
+    """What becomes of a new draft for each review: the last one again, or the first text of the conversation."""
+    drafts_, found = reviews(spark, sf)
+    value = F.when(F.col("review_id") % 2 == 0, F.coalesce("last", "own")).otherwise(F.col("own"))
+    long = F.length(F.trim(F.regexp_replace(value, r"\s+", " "))) > 600
+    issues = F.when(long, F.array(F.lit("too long"))).otherwise(F.array().cast("array<string>"))
+    asked = found.select("review_id", value.alias("value"), issues.alias("issues"), F.lit("v1").alias("analysis_version"), F.when(F.col("review_id") % 7 == 0, "v2").otherwise("v1").alias("current_version"))
+    rows = lifecycle.regenerated(drafts_, asked, most=3)
+    return rows.select("review_id", "outcome", F.coalesce("revision", F.lit(0)).alias("revision"), F.coalesce("value", F.lit("")).alias("value"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS asked FROM conversations")
+def asked_forms(spark, sf):
+    """Every text of a conversation in the form in which queries are compared."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", drafts.asked(F.col("text")).alias("asked"))
+
+
+_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+_PARTED = f"array_to_string(list_transform(string_split(lower({_TITLE}), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '-' ELSE c END), '')"
+
+
+@query(f"SELECT page_id, coalesce(nullif(substr(array_to_string(regexp_extract_all({_PARTED}, '[\\p{{L}}\\p{{N}}]+'), '-'), 1, 60), ''), 'section') AS slug FROM pages")
+def title_slugs(spark, sf):
+    """Slugs of all titles; an accent, which is a sign of its own once taken apart, ends a part."""
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return table(spark, sf, "pages").select("page_id", extract.slug_column(title).alias("slug"))
+
+
+def _policy(policy: str, step: str) -> str:
+    return f"CASE WHEN assessment = 'SIGNIFICANT_MATCHES' THEN '{step}' ELSE 'allowed' END AS {policy}"
+
+
+@query(f"""SELECT DISTINCT check_id, assessment, {_policy("warn", "warn")}, {_policy("require_ack", "acknowledge")}, {_policy("block", "blocked")}, 'allowed' AS off FROM ({content.ORACLES["overlap_matches"]})""")
+def approvals_of_matches(spark, sf):
+    """What each policy makes of the checks' own assessments."""
+    rows = content.overlap_matches(spark, sf).select("check_id", "assessment").distinct()
+    return rows.select("check_id", "assessment", *[overlap.approval(F.col("assessment"), p).alias(p) for p in ("warn", "require_ack", "block", "off")])
