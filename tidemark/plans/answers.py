@@ -1,4 +1,5 @@
-"""Queries of model answers, made from conversations, against their schema; and of staleness, sync days and baselines without data."""
+"""Queries of model answers, made from conversations, against their schema; of staleness, sync days and baselines without data; of
+addresses and of a deep tree of sitemaps."""
 
 from __future__ import annotations
 
@@ -6,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import extract, urls
-from tidemark.operators import answers, drafts, lifecycle, measure, overlap
+from tidemark.operators import answers
+from tidemark.operators import content as content_
+from tidemark.operators import drafts, lifecycle, measure, overlap
 from tidemark.plans import content
 from tidemark.plans.performance import FACTS
-from tidemark.sources import tables
+from tidemark.sources import discovery, tables
 from tidemark.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -202,3 +205,37 @@ def approvals_of_matches(spark, sf):
     """What each policy makes of the checks' own assessments."""
     rows = content.overlap_matches(spark, sf).select("check_id", "assessment").distinct()
     return rows.select("check_id", "assessment", *[overlap.approval(F.col("assessment"), p).alias(p) for p in ("warn", "require_ack", "block", "off")])
+
+
+# ---- a tree of sitemaps
+
+
+@query("""WITH RECURSIVE m AS (SELECT max(page_id) AS top, CAST(floor(max(page_id) * 0.6) AS BIGINT) AS files FROM pages),
+tree AS (SELECT 1::BIGINT AS k, 0 AS level UNION ALL SELECT unnest([2 * k, 2 * k + 1]), level + 1 FROM tree, m WHERE 2 * k + 1 <= top),
+met AS (SELECT k, level, row_number() OVER (ORDER BY level, k) AS turn FROM tree),
+leaves AS (SELECT k, url FROM met JOIN pages ON page_id = k, m WHERE turn <= files AND 2 * k + 1 > top)
+SELECT 'https://s.com/n' || k || '.xml' AS file, url, true AS truncated FROM leaves ORDER BY k LIMIT 20""")
+def sitemap_tree(spark, sf):
+    """Indexes of indexes, as deep as the logarithm of the number of pages; three in five files are read, and 20 addresses kept."""
+    k = F.col("page_id").cast("long")
+    pages = table(spark, sf, "pages").where("page_id > 0")
+    top = pages.agg(F.max(k).alias("top")).first()[0]
+    name = lambda i: F.concat(F.lit("https://s.com/n"), i.cast("string"), F.lit(".xml"))
+    inner = F.concat(F.lit("<sitemapindex><sitemap><loc>"), name(2 * k), F.lit("</loc></sitemap><sitemap><loc>"), name(2 * k + 1), F.lit("</loc></sitemap></sitemapindex>"))
+    leaf = F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
+    body = F.when(2 * k + 1 <= top, inner).otherwise(leaf)
+    files = pages.select(name(k).alias("url"), F.lit(200).alias("status"), body.cast("binary").alias("body"), F.lit("").alias("content_type"))
+    start = spark.range(1).select(F.lit("https://s.com/n1.xml").alias("url"))
+    found = discovery.discover(start, files, "s.com", most_files=int(top * 0.6), most_urls=20)
+    return found.entries.select("file", "url", F.lit(found.truncated).alias("truncated"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'UPDATED' ELSE 'UNCHANGED' END AS outcome, CASE WHEN page_id % 4 = 0 THEN 4 ELSE 3 END AS version_no FROM pages")
+def versions_of_edits(spark, sf):
+    """A second crawl of all pages: one in four has a word more in its heading, another one in four only other classes and scripts."""
+    k, html = F.col("page_id") % 4, F.col("html")
+    churned = F.replace(F.replace(html, F.lit("<h1>"), F.lit('<h1 class="c7" data-x="1">')), F.lit("track(0)"), F.lit("track(77)"))
+    edited = F.when(k == 0, F.replace(html, F.lit("<h1>"), F.lit("<h1>Renewed "))).when(k == 1, churned).otherwise(html)
+    pages = table(spark, sf, "pages")
+    before, after = (content_.extracted(rows, "content_hash").select("page_id", "content_hash") for rows in (pages, pages.withColumn("html", edited)))
+    return content_.versioned(before.withColumn("version_no", F.lit(3)), after).select("page_id", "outcome", "version_no")
