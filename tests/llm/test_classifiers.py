@@ -8,11 +8,12 @@ import resource
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import fingerprints, language, minhash, packing, quality, queries, rules, tokens, toxicity, urls
+from tidemark.llm import common, fingerprints, language, minhash, packing, quality, queries, rules, tokens, toxicity, urls
 from tidemark.llm.common import table
 
 from tests.conftest import DATA
@@ -162,6 +163,73 @@ def test_language_gradients():
     assert np.allclose(p, language.softmax(np.maximum(z + net.bias, 0) @ net.out + net.out_bias), atol=1e-4)
 
 
+def quality_rows(text):
+    """Rows of the vector table of a text's features, one by one."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    found, at = [], 0
+    spaces = b" \t\n\x0b\x0c\r"
+    whole = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+    for k, w in enumerate(whole):
+        value = common.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        found.append(int(value) >> (64 - quality.BITS))
+        found += [quality.ROWS - 1] if k and whole[k - 1] == w else []
+    padded = b" " + raw + b"  "
+    for at in range(len(raw)):
+        three = int.from_bytes(padded[at : at + 3], "little")
+        if padded[at + 1] not in spaces:
+            found.append((three * 0x9E3779B1 % 2**32 >> 32 - quality.BITS) + 2**quality.BITS)
+            if padded[at + 2] not in spaces:
+                four = int.from_bytes(padded[at : at + 4], "little")
+                found.append((four * 0x85EBCA6B % 2**32 >> 32 - quality.BITS) + 2 * 2**quality.BITS)
+    return found
+
+
+def test_quality_features_and_scores_by_definition(spark):
+    texts = ["The the cat\tsat  ünder a mat", "", None, "x", "aa aa aa\n b ", "A" * 300 + " é"]
+    rng = np.random.default_rng(8)
+    model = quality.Model(rng.standard_normal((quality.ROWS, quality.DIM)).astype(np.float32), rng.standard_normal((quality.DIM, 2)).astype(np.float32), np.array([0.3, -0.2], np.float32))
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    at, row = (np.concatenate(x) for x in zip(*quality.features(batch), strict=True))
+    for k, text in enumerate(texts):
+        rows = quality_rows(text)
+        assert sorted(at[row == k].tolist()) == sorted(rows), text
+        mean = model.vectors[rows].mean(axis=0) if rows else np.zeros(quality.DIM)
+        z = mean @ model.out + model.bias
+        assert got[k] == pytest.approx(float(np.exp(z[1]) / np.exp(z).sum()), abs=1e-4)
+
+
+def test_a_tree_by_brute_force(monkeypatch):
+    """The first tree's splits and leaves are those with the largest gain of all, looked for one by one."""
+    monkeypatch.setattr(urls, "TREES", 1)
+    rng = np.random.default_rng(9)
+    names = [f"https://h{rng.integers(40)}.{rng.choice(['com', 'net', 'org'])}/" + "/".join(str(x) for x in rng.integers(0, 10 ** int(rng.integers(1, 6)), rng.integers(0, 5))) for _ in range(400)]
+    blocked = np.array([float(rng.random() < (0.8 if len(u) > 30 else 0.2)) for u in names])
+    forest = urls.train(names, blocked)
+    hosts = [urls.host_and_path(u)[0] for u in names]
+    own, _, prior = urls.suffix_rates([urls.suffix(h) for h in hosts], hosts, blocked)
+    x = urls.binned(np.array([urls.lexical(u, r) for u, r in zip(names, own, strict=True)]), forest.edges)
+    weight = np.where(blocked == 1, 0.5 / prior, 0.5 / (1 - prior))
+    g, h = weight * (blocked - 0.5), weight * 0.25
+    feature, split, value = forest.trees[0]
+    value_of = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+    nodes = {0: np.arange(len(names))}
+    for k in range(2**urls.DEPTH - 1):
+        rows = nodes[k]
+        gains = {}
+        for f in range(x.shape[1]):
+            for cut in range(urls.BINS):
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(left), len(right)) >= urls.LEAST:
+                    gains[f, cut] = value_of(left) + value_of(right) - value_of(rows)
+        if gains and max(gains.values()) > 1e-6:
+            assert gains[int(feature[k]), int(split[k])] == pytest.approx(max(gains.values()))
+        nodes[2 * k + 1], nodes[2 * k + 2] = rows[x[rows, feature[k]] <= split[k]], rows[x[rows, feature[k]] > split[k]]
+    for leaf in range(2**urls.DEPTH):
+        rows = nodes[2**urls.DEPTH - 1 + leaf]
+        assert value[leaf] == pytest.approx(urls.RATE * g[rows].sum() / (h[rows].sum() + 1))
+
+
 def test_quality(spark, docs):
     labels = table(spark, SF, "labels")
     got = quality.quality(docs, labels).join(labels, "doc_id").toPandas()
