@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import extract, urls
+from tidemark.functions import extract, urls, wording
 from tidemark.operators import answers
 from tidemark.operators import content as content_
 from tidemark.operators import drafts, lifecycle, measure, overlap
@@ -239,3 +239,18 @@ def versions_of_edits(spark, sf):
     pages = table(spark, sf, "pages")
     before, after = (content_.extracted(rows, "content_hash").select("page_id", "content_hash") for rows in (pages, pages.withColumn("html", edited)))
     return content_.versioned(before.withColumn("version_no", F.lit(3)), after).select("page_id", "outcome", "version_no")
+
+
+_KNOWN = "regexp_matches(page, '(^|[^\\p{L}\\p{N}])' || replace(x, '.', '\\.') || '($|[^\\p{L}\\p{N}])')"
+
+
+@query(f"""WITH p AS (SELECT a.doc_id, a.text, regexp_replace(lower(b.text), '\\s+', ' ', 'g') AS page FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(text, '[0-9][0-9,.]*[0-9]|[0-9]')) AS x FROM p)
+SELECT doc_id, x AS number FROM x WHERE NOT {_KNOWN}""")
+def unsupported_numbers(spark, sf):
+    """Numbers of each document, taken as a draft, that the next document, taken as its page, doesn't have."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    page = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("page"))
+    found = wording.unsupported(F.col("text"), F.col("page"), F.lit(""))
+    rows = docs.join(page, "doc_id").select("doc_id", F.explode(found).alias("issue")).where(F.col("issue").startswith("number "))
+    return rows.select("doc_id", F.regexp_extract("issue", '"(.*)"', 1).alias("number"))
