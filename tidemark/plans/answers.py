@@ -254,3 +254,32 @@ def unsupported_numbers(spark, sf):
     found = wording.unsupported(F.col("text"), F.col("page"), F.lit(""))
     rows = docs.join(page, "doc_id").select("doc_id", F.explode(found).alias("issue")).where(F.col("issue").startswith("number "))
     return rows.select("doc_id", F.regexp_extract("issue", '"(.*)"', 1).alias("number"))
+
+
+@query("""WITH u AS (SELECT user_id AS run_id, user_id % 3 = 0 AS running, bool_or(event_type = 'view') AS claim, bool_or(event_type = 'purchase') AS done, bool_or(event_type = 'error') AS fail FROM events GROUP BY user_id)
+SELECT run_id, CASE WHEN NOT running AND NOT claim THEN 'QUEUED' WHEN fail THEN 'FAILED' WHEN done THEN 'COMPLETED' ELSE 'RUNNING' END AS status FROM u""")
+def run_states_of_events(spark, sf):
+    """Users as detection runs: a view claims a queued one, a purchase completes and an error fails a running one."""
+    events = table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
+    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail")
+    runs = events.select("run_id").distinct().withColumns({"website_id": F.lit(1), "status": F.when(F.col("run_id") % 3 == 0, "RUNNING").otherwise("QUEUED")})
+    return lifecycle.run_advanced(runs, events.select("run_id", kind.alias("kind")).where("kind is not null")).select("run_id", "status")
+
+
+_ASKED = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, role, {_ASKED} AS asked FROM conversations), k AS (SELECT DISTINCT conv_id, asked FROM q WHERE turn % 2 = 0)
+SELECT q.conv_id, count(*) FILTER (role = 'user' AND k.asked IS NULL) AS unknown_queries, bool_or(role = 'assistant') AS unknown_section FROM q LEFT JOIN k ON k.conv_id = q.conv_id AND k.asked = q.asked GROUP BY ALL""")
+def grounding_of_replies(spark, sf):
+    """Answers made of conversations that name queries and sections which weren't supplied: texts of odd turns, and a section."""
+    turn = F.struct("turn", "role", "text")
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    intents = F.transform(F.filter("turns", lambda t: t["role"] == "user"), lambda t: F.struct(t["text"].alias("query"), F.lit("MIXED").alias("intent")))
+    told = F.transform("turns", lambda t: F.struct(F.lit("TITLE").alias("type"), t["role"].alias("target_section")))
+    given = F.to_json(F.struct(F.lit("s").alias("summary"), intents.alias("search_intent"), told.alias("recommendations")))
+    supplied = F.transform(F.filter("turns", lambda t: t["turn"] % 2 == 0), lambda t: t["text"])
+    issues = drafts.ungrounded(drafts.answer(given), supplied, F.array(F.lit("user"), F.lit("system")))
+    rows = rows.select("conv_id", issues.alias("issues"))
+    unknown = F.size(F.filter("issues", lambda x: x.startswith("unknown query: "))).cast("long")
+    return rows.select("conv_id", unknown.alias("unknown_queries"), F.array_contains("issues", F.lit("unknown section: assistant")).alias("unknown_section"))

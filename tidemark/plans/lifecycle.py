@@ -208,9 +208,7 @@ def section_budget(spark, sf):
 @query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS value FROM events WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY ALL")
 def stream_daily(spark, sf):
     """An extension: the days that are final when the stream of events has been read."""
-    import uuid
-
-    folder = f"{tables.shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    folder = tables.own_folder(spark, "daily")
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     append_final_days(events, f"{folder}/days", f"{folder}/checkpoint")
     days = spark.read.schema("date date, event_type string, n long, value double").parquet(f"{folder}/days")
