@@ -10,8 +10,10 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import oracles, queries, simhash, variants, vectors
+from tidemark.llm.common import beside
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, TEXT_2 string, `doc_id.x` int"
 
@@ -94,6 +96,17 @@ def test_simhash_query(spark, small):
     assert found(queries.QUERIES["op11_simhash_near_dedup"](spark, small)) == linked([tuple(r) for r in docs])
 
 
+def test_grid_join_broadcasts_no_exploded_table(spark, tmp_path):
+    spark.range(500).selectExpr("xxhash64(id) AS fp", "id AS grp").write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    there, looks = simhash.cells(prints, 3)
+    counts = there.groupBy("cell").agg(F.count("*").alias("n"))
+    met = beside(there, looks.select("cell", F.col("fp").alias("a"), "same"), "cell", counts, 1000)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2  # the two of the few hot keys
+    assert "Broadcast" not in simhash.one_bit_links(prints)._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_lower_bound():
     """The Manhattan distance of segment counts is never more than the number of differing bits."""
     draw, mask = random.Random(3), simhash.LOW_BITS

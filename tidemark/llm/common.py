@@ -183,13 +183,14 @@ def beside(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, total:
 
     counts: key and n, its number of rows (or more); total: the sum of these. Keys of more rows than FEW and than one in
     HOT_KEYS of all are hot: there are HOT_KEYS at most, so that they can be broadcast. Their rows are dealt to several
-    parts by a hash of another column, and side's row is sent to each part."""
+    parts by a hash of another column, and side's row is sent to each part. Neither table is broadcast: Spark takes an exploded
+    one for as small as the files that it comes from."""
     limit = max(FEW, total // HOT_KEYS)
     other = next(c for c in rows.columns if c != key)
     hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_fan")))
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.hash(other), F.col("_fan")), F.lit(0))).drop("_fan")
     sent = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
-    return dealt.join(sent, [key, "_salt"]).drop("_salt")
+    return dealt.join(sent.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def windows(row_of_word: np.ndarray, size: int) -> np.ndarray:

@@ -96,7 +96,7 @@ def one_bit_links(own: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints that differ by one bit: the one with the bit looks for itself without it. No key has many
     rows, whatever the fingerprints are."""
     fewer = [F.when(F.shiftright("fp", k).bitwiseAND(F.lit(1)) == 1, F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), k))) for k in range(64)]
-    return own.select(F.col("fp").alias("a"), F.explode(F.array_compact(F.array(*fewer))).alias("b")).join(own.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+    return own.select(F.col("fp").alias("a"), F.explode(F.array_compact(F.array(*fewer))).alias("b")).join(own.select(F.col("fp").alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
