@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +216,22 @@ def test_body_checks(spark, draft, want):
         assert got.m.fact_preservation == 1 and got.m.paragraphs == 1 and got.m.change_ratio < 0.6
 
 
+def test_caveats_are_words_of_ascii(spark):
+    """As in SQL and in the reference: a letter with an accent is no part of a word, so that it doesn't hide one before it."""
+    rows = spark.createDataFrame([(f"No\u00f6 {ORIGINAL.replace('not ', '')}", ORIGINAL.replace("not ", ""))], "o string, d string")
+    rows = rows.withColumn("r", wording.rewrite(F.col("o"), F.col("d"), F.col("o"))).withColumn("m", wording.body_metrics(F.col("r")))
+    assert any('negation caveat from the original (e.g. "No")' in x for x in rows.select(wording.body_issues(F.col("r"), F.col("m")).alias("x")).first().x)
+
+
+def test_percent_texts_are_scaled_once(spark):
+    """0.0905 stands for 9.1 %, though 0.0905 * 100 is a little less than 9.05."""
+    from tidemark.operators import detect
+
+    values = [x / 10_000 for x in range(10_000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", detect.percent_text(F.col("x")).alias("t"), detect.as_percent(F.col("x") / 3).alias("p")).collect()
+    assert all(r.t == f"{math.floor(r.x * 1000 + 0.5) / 10:.1f}%" and r.p == math.floor(r.x / 3 * 10_000 + 0.5) / 100 for r in rows)
+
+
 def test_unsupported_claims(spark):
     page_text, queries = "A fern guide.\n Daily rates start at 500 for accurate notes", "ferns in Porto"
     issues = lambda d, p=page_text: one(spark, wording.unsupported(F.col("d"), F.col("p"), F.lit(queries)), d=d, p=p)
@@ -283,6 +300,8 @@ def test_discovery(spark):
     few = discovery.discover(start, files, "s.com", most_files=2)
     assert few.truncated and few.entries.count() == 1 and few.files.count() == 2
     assert discovery.discover(start, files, "s.com", most_urls=2).truncated
+    whole = discovery.discover(start, files, "s.com", most_urls=None)
+    assert not whole.truncated and whole.entries.count() == 3
     robots = discovery.parse_robots("User-agent: *\nDisallow: /\n\nUser-agent: mybot\nDisallow: /private\nAllow: /private/ok$\nCrawl-delay: 99\nSitemap: https://s.com/i.xml", "MyBot/1.0")
     assert [robots.allows(p) for p in ("/", "/private/x", "/private/ok", "/private/ok2")] == [True, False, True, False]
     assert robots.delay == 10.0 and robots.sitemaps == ("https://s.com/i.xml",)
