@@ -19,7 +19,7 @@ def count_text(x: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.format_string("%.1f%%", half_up(x * 100.0, 1))
+    return F.format_string("%.1f%%", F.floor(x * 1000.0 + 0.5) / 10.0)  # scaled once: a second product could round again
 
 
 def place_text(x: Column) -> Column:
@@ -28,7 +28,7 @@ def place_text(x: Column) -> Column:
 
 def as_percent(x: Column) -> Column:
     """A ratio as a percentage with two digits."""
-    return half_up(x * 100.0, 2)
+    return F.floor(x * 10_000.0 + 0.5).cast("double") / 100.0
 
 
 def evidence(when: Column, text: Column, **fields: Column | str | float) -> Column:
