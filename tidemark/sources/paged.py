@@ -122,15 +122,31 @@ class PagedSearch(DataSource):
         return PagedStream(self.options)
 
 
-def folder_client(arguments: dict, day: str, dimensions: list[str], size: int, at: int) -> list[dict]:
-    """A client that answers from a folder of rows by day and dimensions (arguments: path, which the executors share), in order of
-    their keys, as an API would from its own tables."""
+_held: dict[tuple, object] = {}
+
+
+def sorted_slice(uri: str, day: str, dimensions: tuple[str, ...], first: bool):
+    """The rows of a slice in order of their keys. The last slice is held from its first page to its end, so that further pages
+    don't read and sort it again; another slice, or a first page, reads anew."""
+    import pyarrow as pa
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    files, path = fs.FileSystem.from_uri(arguments["path"])
-    path = f"{path}/dimensions={len(dimensions)}/date={day}"
-    if files.get_file_info(path).type == fs.FileType.NotFound:
-        return []
-    table = ds.dataset(path, filesystem=files, format="parquet").to_table().sort_by([(c, "ascending") for c in dimensions]).slice(at, size)
+    key = (uri, day, dimensions)
+    if first or key not in _held:
+        _held.clear()
+        files, path = fs.FileSystem.from_uri(uri)
+        path = f"{path}/dimensions={len(dimensions)}/date={day}"
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            return pa.table({c: [] for c in (*dimensions, "clicks", "impressions", "position")})
+        _held[key] = ds.dataset(path, filesystem=files, format="parquet").to_table().sort_by([(c, "ascending") for c in dimensions])
+    return _held[key]
+
+
+def folder_client(arguments: dict, day: str, dimensions: list[str], size: int, at: int) -> list[dict]:
+    """A client that answers from a folder of rows by day and dimensions (arguments: path, which the executors share), in order of
+    their keys, as an API would from its own tables."""
+    table = sorted_slice(arguments["path"], day, tuple(dimensions), at == 0).slice(at, size)
+    if table.num_rows < size:
+        _held.clear()
     return [{"keys": [r[c] for c in dimensions], **{c: r[c] for c in ("clicks", "impressions", "position")}} for r in table.to_pylist()]
