@@ -87,3 +87,20 @@ def test_a_life_in_order():
     for at, kind, who in ((0, "detected", None), (day, "detected", None), (day, "reviewed", None), (5 * day, "dismissed", "u"), (6 * day, "detected", None), (34 * day, "detected", None), (36 * day, "detected", None)):
         life.event(at, kind, f"run-{at // day}", 1.0, who, None)
     assert [(c[9], c[6].value // 10**6 // day) for c in life.changes] == [("created", 0), ("updated", 1), ("reviewed", 1), ("dismissed", 5), ("created", 34), ("cleared", 35), ("created", 36)]
+
+
+def test_events_of_a_frame():
+    import pandas as pd
+
+    frame = pd.DataFrame({"at": pd.to_datetime(["2026-01-02 00:00:00.5", "2026-01-01 00:00:00.0"]), "kind": ["detected", "dismissed"], "run_id": ["r", None], "score": [1.5, float("nan")], "user_id": [None, "u"], "reason": [None, None]})
+    assert [r[1:] for r in detections.rows_of(frame)] == [("detected", "r", 1.5, None, None), ("dismissed", None, None, "u", None)]
+    assert [r[0] for r in detections.rows_of(frame)] == [1767312000500, 1767225600000]
+
+
+def test_stream_inputs_are_not_written_by_one_task(spark, small, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    import __spark_entry__
+
+    monkeypatch.setattr(DataFrame, "coalesce", None)
+    assert __spark_entry__.queries()["detection_stream"](spark, small).count() > 0

@@ -63,7 +63,7 @@ def late_days_synced(spark, sf):
     folder = tables.own_folder(spark, "sync")
     waves = fetched(spark, sf)
     for rows in [waves[0], *waves]:
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.write.mode("append").parquet(f"{folder}/in")
         sync.run_sync(spark.readStream.schema(sync.ROWS).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
     return sync.stored_facts(spark, f"{folder}/out").select("property_id", "date", "page", "query", "clicks", "impressions")
 
@@ -107,7 +107,7 @@ def detection_stream(spark, sf):
     """The state of every page and type after a stream of a month, read in three runs."""
     folder, events = tables.own_folder(spark, "detections"), tables.kept(detection_events(spark, sf))
     for lo, hi in ((1, 9), (10, 20), (21, 31)):
-        events.where(F.day("at").between(lo, hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        events.where(F.day("at").between(lo, hi)).write.mode("append").parquet(f"{folder}/in")
         detections.run_changes(spark.readStream.schema(detections.EVENTS).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", snooze_days=7)
     found = spark.read.schema(detections.CHANGES).parquet(f"{folder}/out")
     noon = events.agg(F.date_trunc("day", F.max("at")) + F.expr("INTERVAL 12 HOURS")).first()[0]

@@ -66,6 +66,15 @@ class Life:
 _NAMES = [x.split()[0] for x in CHANGES.split(", ")]
 
 
+def rows_of(frame: pd.DataFrame) -> Iterator[tuple]:
+    """The events of a frame as time in milliseconds, kind, run, score, user and reason, missing values as None. Most keys have
+    a few events each, so that work by columns would cost more than the events."""
+    cells = [frame["at"].to_numpy("datetime64[ms]").astype("int64").tolist()]
+    for name in ("kind", "run_id", "score", "user_id", "reason"):
+        cells.append([None if x is None or x != x else x for x in frame[name].tolist()])
+    return zip(*cells, strict=True)
+
+
 def changes(events: DataFrame, period_days: float = 1, snooze_days: float = 28, delay: str = "0 seconds") -> DataFrame:
     """Changes (see CHANGES) of a stream of events (see EVENTS), in order for each page and type.
 
@@ -80,16 +89,14 @@ def changes(events: DataFrame, period_days: float = 1, snooze_days: float = 28,
         if state.hasTimedOut:
             life.until(state.getCurrentWatermarkMs())
         else:
-            rows = pd.concat(list(frames))
-            at = (rows["at"].astype("datetime64[ms]")).astype("int64")
-            rows = rows.assign(_at=at).sort_values(["_at", "kind", "run_id", "user_id"], kind="stable")
-            rows = rows.astype(object).where(rows.notna(), None)
-            for r in rows[["_at", "kind", "run_id", "score", "user_id", "reason"]].itertuples(index=False):
+            rows = [r for frame in frames for r in rows_of(frame)]
+            for r in sorted(rows, key=lambda r: (r[0], *((x is None, x or "") for x in (r[1], r[2], r[4])))):
                 life.event(*r)
         state.update(life.held())
         if life.due() is not None:
             state.setTimeoutTimestamp(max(life.due(), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(life.changes, columns=_NAMES)
+        if life.changes:
+            yield pd.DataFrame(dict(zip(_NAMES, zip(*life.changes, strict=True), strict=True)))
 
     whole = events.where("at is not null and page_id is not null and type is not null").withWatermark("at", delay)
     return whole.groupBy("page_id", "type").applyInPandasWithState(fold, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
