@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.functions.extract import page_struct
+from tidemark.sources.tables import spread
 
 
 def extracted(pages: DataFrame, *fields: str, min_words: int = 50) -> DataFrame:
@@ -15,7 +16,7 @@ def extracted(pages: DataFrame, *fields: str, min_words: int = 50) -> DataFrame:
     Wide rows: persist or write this once, then take child tables from it."""
     verdict = ("word_count", "app_shell")
     wanted = [*fields, *(f for f in verdict if f not in fields)] if fields else []
-    rows = pages.select("page_id", "url", page_struct(F.col("html"), F.col("url"), *wanted).alias("p")).select("page_id", urls.canonical(F.col("url")).alias("url"), "p.*")
+    rows = spread(pages.select("page_id", "url", "html")).select("page_id", "url", page_struct(F.col("html"), F.col("url"), *wanted).alias("p")).select("page_id", urls.canonical(F.col("url")).alias("url"), "p.*")
     enough = ~F.col("app_shell") & (F.col("word_count") >= min_words)
     reason = F.when(enough, None).when(F.col("app_shell"), "Page looks like a JavaScript application shell").otherwise(F.format_string("Only %d words of content found", "word_count"))
     return rows.withColumn("sufficient", enough).withColumn("reason", reason)
