@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import drafts
-from tidemark.sources import paged
+from tidemark.sources import paged as paged_source
 from tidemark.sources.paged import PagedSearch
 
 
@@ -78,7 +78,7 @@ def test_a_slice_is_read_once_for_all_its_pages(tmp_path, monkeypatch):
     pq.write_table(pa.table({"page": [f"p{9 - k}" for k in range(10)], "clicks": [1] * 10, "impressions": [2] * 10, "position": [1.0] * 10}), folder / "x.parquet")
     read, times = ds.dataset, []
     monkeypatch.setattr(ds, "dataset", lambda *a, **k: times.append(1) or read(*a, **k))
-    page = lambda at: [r["keys"][0] for r in paged.folder_client({"path": tmp_path.as_uri()}, "2024-01-01", ["page"], 4, at)]
+    page = lambda at: [r["keys"][0] for r in paged_source.folder_client({"path": tmp_path.as_uri()}, "2024-01-01", ["page"], 4, at)]
     assert [page(at) for at in (0, 4, 8)] == [["p0", "p1", "p2", "p3"], ["p4", "p5", "p6", "p7"], ["p8", "p9"]] and len(times) == 1
     assert page(0)[0] == "p0" and len(times) == 2  # a first page reads anew
-    assert paged.folder_client({"path": tmp_path.as_uri()}, "2024-01-02", ["page"], 4, 0) == []
+    assert paged_source.folder_client({"path": tmp_path.as_uri()}, "2024-01-02", ["page"], 4, 0) == []
