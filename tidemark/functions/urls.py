@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.wording import bound
+
 #: Query parameters that only track visits.
 TRACKING = r"(?i)^(utm_[a-z]+|gclid|fbclid|msclkid|mc_[a-z]+|_ga|ref)$"
 #: Path endings of files that aren't pages.
@@ -52,8 +54,11 @@ def encoded_path(path: Column) -> Column:
     """A path with what may not stand in it percent-encoded as UTF-8, and without segments of one or two dots."""
     code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
     bad = r"[^\x21-\x7E]|[\"<>`{}]"
-    clean = F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(bad), code(c)).otherwise(c)), "")
-    path = F.when(path.rlike(bad), clean).otherwise(path)
+    clean = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(bad), code(c)).otherwise(c)), "")
+    return bound(bound(path, lambda p: F.when(p.rlike(bad), clean(p)).otherwise(p)), _without_dots)
+
+
+def _without_dots(path: Column) -> Column:
     up, here = r"(?i)^(?:\.|%2e){2}$", r"(?i)^(?:\.|%2e)$"
     segments = F.split(F.regexp_replace(path, r"(?i)/((?:\.|%2e){1,2})$", "/$1/"), "/")
     left = F.aggregate(segments, F.array().cast("array<string>"), lambda out, x: F.when(x.rlike(here), out).when(x.rlike(up), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x))))
@@ -67,7 +72,7 @@ def form_encoded(text: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, international labels in ASCII form, or an empty string."""
-    return F.coalesce(ascii_host(_part(url, 2)), F.lit(""))
+    return F.coalesce(bound(_part(url, 2), ascii_host), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
@@ -75,19 +80,29 @@ def canonical(url: Column) -> Column:
     slashes, no slash at the end but for the root. Null for anything that is no http(s) URL.
 
     International labels of the host are in ASCII form (xn--); paths are percent-encoded where they have to be, and parameters
-    as forms are; escapes that are there already stay."""
-    scheme, port, path, query = F.lower(_part(url, 1)), _part(url, 3), _part(url, 4), _part(url, 5)
+    as forms are; escapes that are there already stay. Each part is computed once, as later ones name it several times over."""
+    parts = F.struct(F.lower(_part(url, 1)).alias("scheme"), host(url).alias("host"), _part(url, 3).alias("port"), _path(_part(url, 4)).alias("path"), _part(url, 5).alias("query"))
+    return bound(parts, _built)
+
+
+def _path(path: Column) -> Column:
+    clean = lambda p: F.regexp_replace(encoded_path(p), "/{2,}", "/")
+    trimmed = lambda p: F.when(p == "", F.lit("/")).when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
+    return bound(bound(F.replace(path, F.lit("\\"), F.lit("/")), clean), trimmed)
+
+
+def _built(of: Column) -> Column:
+    scheme, port = of["scheme"], of["port"]
     default = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")) | (port == "")
-    path = F.regexp_replace(encoded_path(F.replace(path, F.lit("\\"), F.lit("/"))), "/{2,}", "/")
-    path = F.when(path == "", F.lit("/")).when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
     name = lambda p: F.regexp_extract(p, "^([^=]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).rlike(TRACKING))
+    kept = F.filter(F.split(of["query"], "&"), lambda p: (p != "") & ~name(p).rlike(TRACKING))
     pair = lambda p: F.concat(form_encoded(name(p)), F.lit("="), form_encoded(F.regexp_replace(p, "^[^=]*=?", "")))
     # sorted by name alone and stable: the place within the URL breaks ties
     keyed = F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("name"), i.alias("at"), pair(p).alias("pair"))))
     pairs = F.array_join(F.transform(keyed, lambda x: x["pair"]), "&")
-    built = F.concat(scheme, F.lit("://"), host(url), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(F.lit("")))
-    return F.when(host(url) != "", built)
+    asked = bound(pairs, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(F.lit("")))
+    built = F.concat(scheme, F.lit("://"), of["host"], F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), of["path"], F.when(of["query"] != "", asked).otherwise(F.lit("")))
+    return F.when(of["host"] != "", built)
 
 
 def without_www(name: Column) -> Column:
