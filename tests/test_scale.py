@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
+from tidemark.operators import asof
+from tidemark.plans import history
 from tidemark.sources import tables
 
 
@@ -22,3 +24,16 @@ def test_facts_make_addresses_canonical_once_a_page(spark, small):
     merged = tables.merged_variants(tables.raw_rows(spark, small), "property_id", "date")
     cut = lambda df: sorted((r.property_id, str(r.date), r.page, r.query, r.clicks, r.impressions, round(r.position, 9)) for r in df.collect())
     assert cut(facts) == cut(merged)
+
+
+def test_versions_make_addresses_canonical_once_a_page(spark, small):
+    assert "regexp" not in plan(history.page_versions(spark, small))
+
+
+def test_version_performance_takes_page_totals_alone(spark, small, monkeypatch):
+    """Rows of queries don't go through the as-of join, as none of them counts."""
+    taken = []
+    as_of = asof.as_of
+    monkeypatch.setattr(asof, "as_of", lambda facts, *a, **k: taken.append(facts) or as_of(facts, *a, **k))
+    history.version_performance(spark, small)
+    assert [f.where("query <> ''").count() for f in taken] == [0]

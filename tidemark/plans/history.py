@@ -38,15 +38,12 @@ held AS (SELECT f.property_id, f.page, f.date, f.query, f.clicks, f.impressions,
   FROM facts f ASOF LEFT JOIN vers v ON f.property_id = v.property_id AND f.page = v.page AND f.date >= v.date)"""
 
 
-def page_versions(spark: SparkSession, sf: str) -> DataFrame:
+def page_versions(spark: SparkSession, sf: str, addresses: DataFrame | None = None) -> DataFrame:
     """Versions of pages from crawls: a signup stands for a crawl, k % 3 for what it found; the last crawl of a day counts."""
-    pages = tables.table(spark, sf, "pages").select("page_id", "url")
-    n = pages.agg(F.count("*").alias("n_pages"))
     events = tables.table(spark, sf, "events").where("event_type = 'signup'")
-    # one row of one count: broadcast by construction
-    crawls = events.join(F.broadcast(n)).withColumn("page_id", F.col("user_id") % F.col("n_pages")).join(pages, "page_id")
+    crawls = tables.of_pages(events, addresses or tables.page_addresses(spark, sf))
     found = F.get_json_object("props", "$.k").cast("int") % 3
-    rows = crawls.select(tables.property_of(F.col("url")).alias("property_id"), tables.urls.canonical(F.col("url")).alias("page"), F.to_date("ts").alias("date"), found.alias("content"), F.struct("ts", "event_id").alias("at"))
+    rows = crawls.select(*KEYS, F.to_date("ts").alias("date"), found.alias("content"), F.struct("ts", "event_id").alias("at"))
     last = rows.where("page is not null").groupBy(*KEYS, "date").agg(F.max_by("content", "at").alias("content"))
     return asof.version_history(last, KEYS, "date", "content")
 
@@ -56,9 +53,12 @@ def version_intervals(spark, sf):
     return asof.validity(page_versions(spark, sf), KEYS, "date").select(*KEYS, "version_no", "content", "valid_from", "valid_to")
 
 
-def held_facts(spark, sf):
-    facts = tables.kept(tables.facts(spark, sf).select(*KEYS, "date", "query", "clicks", "impressions", "position"))
-    versions = page_versions(spark, sf).withColumnRenamed("date", "valid_from")
+def held_facts(spark, sf, grain=None):
+    """Facts, of one grain if it is given, with the version in force."""
+    addresses = tables.page_addresses(spark, sf)
+    facts = tables.facts(spark, sf, addresses)
+    facts = tables.kept((facts if grain is None else tables.only(facts, grain)).select(*KEYS, "date", "query", "clicks", "impressions", "position"))
+    versions = page_versions(spark, sf, addresses).withColumnRenamed("date", "valid_from")
     return asof.as_of(facts, tables.kept(versions), KEYS, "date", "valid_from", days=8)
 
 
@@ -70,7 +70,7 @@ def facts_by_version_in_force(spark, sf):
 
 @query(f"{IN_FORCE} SELECT property_id, page, coalesce(version_no, 0) AS version_no, min(date) AS first_day, max(date) AS last_day, count(DISTINCT date) AS days, {SUMS} FROM held WHERE query = '' GROUP BY ALL")
 def version_performance(spark, sf):
-    return asof.by_version(held_facts(spark, sf).where("query = ''"), KEYS).fillna(0, "version_no")
+    return asof.by_version(held_facts(spark, sf, "page"), KEYS).fillna(0, "version_no")
 
 
 # ---- sketches
