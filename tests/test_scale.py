@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.functions import urls
+from tidemark.functions import terms, urls
 from tidemark.operators import asof, overlap
 from tidemark.plans import history
 from tidemark.sources import tables
@@ -67,3 +68,16 @@ def test_documents_are_cut_once(spark, monkeypatch):
     assert sorted((r.doc_id, r.at, r.words) for r in asked.collect()) == [("a", -1, 7), ("a", 0, 7), ("a", 1, 7), ("d", 1, 8), ("d", 2, 8)]
     cut = overlap.grams(docs, "doc_id", 6, overlap.bitmap_of(told[0]))
     assert {r.doc_id for r in cut.where("at < 0").collect()} == {"a"}
+
+
+def test_gaps_hold_few_pages_at_once(monkeypatch):
+    """A batch of pages becomes Python objects in parts, and a page's structure is cut once for all its queries."""
+    cut = []
+    told_by = terms.told_by
+    monkeypatch.setattr(terms, "told_by", lambda x: cut.append(x) or told_by(x))
+    monkeypatch.setattr(terms, "PAGES_AT_ONCE", 2)
+    query = lambda text: {"query": text, "impressions": 9, "clicks": 1, "position": 2.0}
+    queries = pa.array([[query("react hooks"), query("vue slots")], None, [], [query("vue slots")], [query("the")]])
+    got = terms._gaps(queries, pa.array(["React hooks", "x", "y", None, "z"]), pa.array([0.5] * 5)).to_pylist()
+    assert [[(g["query"], g["missing_terms"], g["ratio"]) for g in page] for page in got] == [[("vue slots", ["vue", "slots"], 0.0)], [], [], [], []]
+    assert cut == ["React hooks", "z"]

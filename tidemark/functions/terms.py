@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Words that carry no search intent.
@@ -35,13 +36,21 @@ def tokens(text: str | None) -> list[str]:
     return [t for t in _RUN.findall(plain) if len(t) >= 2 and t not in STOP_WORDS and stem(t) not in STOP_WORDS]
 
 
-def lacking(terms: list[str], structure: str) -> list[str]:
-    """Terms that no token of the structure matches: equal stems, or two long stems of one beginning."""
+def told_by(structure: str) -> tuple[set[str], set[str]]:
+    """The stems of a structure's tokens, and the beginnings of the long ones."""
     stems = set(map(stem, tokens(structure)))
-    heads = {s[:PREFIX] for s in stems if len(s) >= PREFIX}
+    return stems, {s[:PREFIX] for s in stems if len(s) >= PREFIX}
+
+
+def untold(terms: list[str], stems: set[str], heads: set[str]) -> list[str]:
     return [t for t in terms if stem(t) not in stems and not (len(stem(t)) >= PREFIX and stem(t)[:PREFIX] in heads)]
 
 
+def lacking(terms: list[str], structure: str) -> list[str]:
+    """Terms that no token of the structure matches: equal stems, or two long stems of one beginning."""
+    return untold(terms, *told_by(structure))
+
+
 def tokens_column(text):
     """tokens() as a column."""
 
@@ -68,28 +77,35 @@ def lacking_column(terms, structure):
 
 
 GAP = "array<struct<query:string,impressions:bigint,clicks:bigint,position:double,terms:array<string>,missing_terms:array<string>,ratio:double>>"
+_GAPS = pa.list_(pa.struct([("query", pa.string()), ("impressions", pa.int64()), ("clicks", pa.int64()), ("position", pa.float64()), ("terms", pa.list_(pa.string())), ("missing_terms", pa.list_(pa.string())), ("ratio", pa.float64())]))
+#: Pages whose queries are held as Python objects at once.
+PAGES_AT_ONCE = 256
 
 
-
-def _gaps(queries: pd.Series, structure: pd.Series, ratio: pd.Series) -> pd.Series:
+def _gaps(queries: pa.Array, structure: pa.Array, ratio: pa.Array) -> pa.Array:
     def one(rows, text, least):
-        out = []
-        for q in rows if rows is not None else ():
+        out, told = [], told_by(text) if rows and text is not None else None
+        for q in rows or ():
             terms = list(dict.fromkeys(tokens(q["query"])))
-            if terms and text is not None:
-                missing = lacking(terms, text)
+            if terms and told is not None:
+                missing = untold(terms, *told)
                 share = (len(terms) - len(missing)) / len(terms)
                 if share < least:
                     out.append({"query": q["query"], "impressions": q["impressions"], "clicks": q["clicks"], "position": q["position"], "terms": terms, "missing_terms": missing, "ratio": share})
         return out
 
-    return pd.Series([one(*x) for x in zip(queries, structure, ratio, strict=True)])
+    def part(at: int) -> pa.Array:
+        few = [x.slice(at, PAGES_AT_ONCE).to_pylist() for x in (queries, structure, ratio)]
+        return pa.array([one(*x) for x in zip(*few, strict=True)], _GAPS)
+
+    return pa.concat_arrays([part(at) for at in range(0, len(queries), PAGES_AT_ONCE)] or [pa.array([], _GAPS)])
 
 
 def coverage_gaps(queries, title, h1, headings, min_impressions: int, most: int, least_ratio: float):
     """Gaps among the first most queries with min_impressions: their terms are mostly absent from title, h1 and headings.
 
-    Queries without terms keep their place among the most. Only those few queries go through Python."""
+    Queries without terms keep their place among the most. Only those few queries go through Python, and of a batch few pages
+    are Python objects at a time: what a task holds goes by PAGES_AT_ONCE, not by how many pages there are."""
     few = F.slice(F.filter(queries, lambda q: q["impressions"] >= min_impressions), 1, most)
     structure = F.when(title.isNotNull() | h1.isNotNull() | headings.isNotNull(), F.concat_ws(" ", title, h1, headings))
-    return F.pandas_udf(_gaps, GAP)(few, structure, F.lit(float(least_ratio)))
+    return F.arrow_udf(_gaps, GAP)(few, structure, F.lit(float(least_ratio)))
