@@ -345,3 +345,28 @@ def test_pages_in_parts(spark):
     for k in (0, 63, 64, 149):
         want = extract.extract(html[k], "https://s.com/a")
         assert (got[k].title, got[k].og, got[k].content_hash, got[k].links[0].target) == (f"T{k}", {"type": f"x{k}"}, want["content_hash"], "https://s.com/b")
+
+
+def test_all_that_a_page_brings(spark, tmp_path):
+    """Each of many links with its whole text, through the query and its SQL, and each image and block of structured data."""
+    import duckdb
+
+    from tidemark.plans import registry
+
+    links = "".join(f'<a href="/l{k}">text {k}</a>' for k in range(2600)) + "".join(f'<a href="/long">{"w" * 600}{k}</a>' for k in range(2))
+    html = f"<html><body>{links}</body></html>"
+    spark.createDataFrame([(1, "https://s.com/a", html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["page_links"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert len(got) == 2602 and got == set(con.sql(registry.ORACLES["page_links"]).fetchall())
+
+    data = "".join(f'<script type="application/ld+json">{{"@type": "T{k}"}}</script>' for k in range(25)) + f'<script type="application/ld+json">{{"@type": "Long", "x": "{"y" * 250_000}"}}</script>'
+    p = extract.extract(f"<html><head>{data}</head><body>{''.join(f'<img src=/i{k}.png>' for k in range(700))}</body></html>", "https://s.com/a")
+    assert (len(p["images"]), len(p["json_ld"]), p["invalid_json_ld"]) == (700, 26, 0)
+
+
+def test_a_link_ends_where_the_next_begins():
+    """Links that are never closed don't hold all links after them: anchors together are no longer than the page."""
+    p = extract.extract("<html><body>" + "".join(f"<a href='/{k}'>t{k} " for k in range(3000)) + "<a href='/i'><img src='i.png' alt='picture'></a><a href='/n' title='named'></a></body></html>", "https://s.com/a")
+    assert [x["anchor"] for x in p["links"]] == [*(f"t{k}" for k in range(3000)), "picture", "named"]
