@@ -104,3 +104,32 @@ def test_stream_inputs_are_not_written_by_one_task(spark, small, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "coalesce", None)
     assert __spark_entry__.queries()["detection_stream"](spark, small).count() > 0
+
+
+def test_lives_of_neighbours_are_one_row_of_state(spark, tmp_path):
+    """Some hundred pages in three runs: the changes of each page's own life, whatever its neighbours have, and few rows of state."""
+    import random
+
+    rng, day, pages = random.Random(5), detections.DAY, range(-40, 700)
+    time = lambda at: dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=at)
+    told = []
+    for p in pages:
+        for d in (d for d in range(9) if rng.random() < 0.4):
+            kind = rng.choices(("detected", "reviewed", "dismissed"), (6, 1, 2))[0]
+            told.append((d * day + (0 if kind == "detected" else day // 2), p, kind, f"run-{d}" if kind == "detected" else None, float(p + d) if kind == "detected" else None, "u" if kind == "dismissed" else None))
+    for run in range(3):
+        rows = [(time(at), p, "x", kind, run_id, score, who, None) for at, p, kind, run_id, score, who in told if at // day // 3 == run]
+        spark.createDataFrame(rows, detections.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        detections.run_changes(spark.readStream.schema(detections.EVENTS).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint"), snooze_days=2)
+    want = []
+    for p in pages:
+        life = detections.Life(p, "x", None, day, 2 * day)
+        for at, _, kind, run_id, score, who in sorted((r for r in told if r[1] == p), key=lambda r: r[0]):
+            life.event(at, kind, run_id, score, who, None)
+        life.until(max(r[0] for r in told))
+        want += [(c[0], c[2], c[3], c[4], c[5], c[6].value // 10**6, c[7], c[8], c[9]) for c in life.changes]
+    start = dt.datetime(2026, 1, 1)
+    got = spark.read.schema(detections.CHANGES).parquet(str(tmp_path / "out")).collect()
+    got = [(r.page_id, r.id, r.status, r.score, r.run_id, (r.at - start) // dt.timedelta(milliseconds=1), r.dismissed_by, r.reason, r.action) for r in got]
+    assert len(got) > 1000 and sorted(map(str, got)) == sorted(map(str, want))
+    assert spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() < 10

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,11 @@ DAY = 86_400_000
 #: kind: detected (run_id, score), reviewed, or dismissed (user_id, reason).
 EVENTS = "at timestamp, page_id long, type string, kind string, run_id string, score double, user_id string, reason string"
 CHANGES = "page_id long, type string, id string, status string, score double, run_id string, at timestamp, dismissed_by string, reason string, action string"
-_STATE = "id string, status string, score double, run_id string, seen long, barred long"
+#: Of pages whose lives are held together, in columns: each page's id, then what Life.held() gives.
+_STATE = "page_ids array<long>, ids array<string>, statuses array<string>, scores array<double>, run_ids array<string>, seen array<long>, barred array<long>"
+#: Neighbouring page ids of one row of state: a call of Python costs far more than the events of one page, and a row stays small
+#: however many pages there are.
+PAGES_TOGETHER = 256
 OPEN = ("DETECTED", "REVIEWED")
 
 
@@ -81,25 +86,36 @@ def changes(events: DataFrame, period_days: float = 1, snooze_days: float = 28,
     A detection refreshes an open opportunity or makes a new one, unless a user dismissed the last within snooze_days; one that
     is still DETECTED and not seen again within period_days is cleared, by a timer of event time. Events of a batch are taken in
     order of time; those older than the watermark (delay) are dropped, as they could change what was already told. The state of
-    a page and type is one row. With null keys or times an event counts for nothing."""
+    PAGES_TOGETHER pages of one type is one row. With null keys or times an event counts for nothing."""
     period, snooze = round(period_days * DAY), round(snooze_days * DAY)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        life = Life(key[0], key[1], state.get if state.exists else None, period, snooze)
-        if state.hasTimedOut:
-            life.until(state.getCurrentWatermarkMs())
-        else:
-            rows = [r for frame in frames for r in rows_of(frame)]
-            for r in sorted(rows, key=lambda r: (r[0], *((x is None, x or "") for x in (r[1], r[2], r[4])))):
-                life.event(*r)
-        state.update(life.held())
-        if life.due() is not None:
-            state.setTimeoutTimestamp(max(life.due(), state.getCurrentWatermarkMs() + 1))
-        if life.changes:
-            yield pd.DataFrame(dict(zip(_NAMES, zip(*life.changes, strict=True), strict=True)))
+        held = zip(*state.get, strict=True) if state.exists else ()
+        lives = {page: Life(page, key[1], tuple(rest), period, snooze) for page, *rest in held}
+        if not state.hasTimedOut:
+            rows = defaultdict(list)
+            for frame in frames:
+                for page, row in zip(frame["page_id"].tolist(), rows_of(frame), strict=True):
+                    rows[page].append(row)
+            for page, own in rows.items():
+                life = lives.get(page) or lives.setdefault(page, Life(page, key[1], None, period, snooze))
+                for r in sorted(own, key=lambda r: (r[0], *((x is None, x or "") for x in (r[1], r[2], r[4])))):
+                    life.event(*r)
+        now = state.getCurrentWatermarkMs()
+        for life in lives.values():  # a page's timer may be due while its neighbours have events
+            life.until(now)
+        kept = [(page, *life.held()) for page, life in lives.items() if life.id is not None]
+        state.update(tuple(map(list, zip(*kept, strict=True))) if kept else ([],) * 7)
+        due = [x for life in lives.values() if (x := life.due()) is not None]
+        if due:
+            state.setTimeoutTimestamp(max(min(due), now + 1))
+        told = [x for life in lives.values() for x in life.changes]
+        if told:
+            yield pd.DataFrame(dict(zip(_NAMES, zip(*told, strict=True), strict=True)))
 
     whole = events.where("at is not null and page_id is not null and type is not null").withWatermark("at", delay)
-    return whole.groupBy("page_id", "type").applyInPandasWithState(fold, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    together = whole.withColumn("pages", F.expr(f"page_id div {PAGES_TOGETHER}")).groupBy("pages", "type")
+    return together.applyInPandasWithState(fold, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_changes(events: DataFrame, path: str, checkpoint: str, **settings) -> None:
